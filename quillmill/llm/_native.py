@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it.
+
+    A plain Python variable would put the whole expression into every lambda
+    that uses it, to be evaluated again for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def find_spans(text: Column, pattern: str, maybe: Column | None = None) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as array<struct<s,e,m>>.
 
@@ -28,12 +39,15 @@ def find_spans(text: Column, pattern: str, maybe: Column | None = None) -> Colum
         start = F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0)) + F.length(x["p"])
         return F.concat(acc, F.array(F.struct(start.alias("s"), (start + F.length(x["m"])).alias("e"), x["m"].alias("m"))))
 
-    pairs = F.zip_with(
-        F.slice(F.split(text, pattern, -1), 1, F.size(found)), found,
-        lambda p, m: F.struct(p.alias("p"), m.alias("m")),
-    )
     none = F.array().cast(SPANS)
-    return F.when(F.size(found) > 0, F.aggregate(pairs, none, grow)).otherwise(none)
+
+    def placed(ms: Column) -> Column:
+        pairs = F.zip_with(
+            F.slice(F.split(text, pattern, -1), 1, F.size(ms)), ms, lambda p, m: F.struct(p.alias("p"), m.alias("m"))
+        )
+        return F.when(F.size(ms) > 0, F.aggregate(pairs, none, grow)).otherwise(none)
+
+    return let(found, placed)
 
 
 def tag(spans: Column, kind: str, order: int) -> Column:

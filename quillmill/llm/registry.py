@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from quillmill.llm import pii, secrets
+from quillmill.llm import decontaminate, pii, secrets, urls
 
-_QUERIES = {"op4_pii": pii.op4_pii, "op7_secrets": secrets.op7_secrets}
-_ORACLES = {"op4_pii": pii.SQL, "op7_secrets": secrets.SQL}
+_QUERIES = {
+    "op4_pii": pii.op4_pii,
+    "op5_urls": urls.op5_urls,
+    "op7_secrets": secrets.op7_secrets,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
+}
+_ORACLES = {
+    "op4_pii": pii.SQL,
+    "op5_urls": urls.SQL,
+    "op7_secrets": secrets.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+}
 
 
 def queries():
