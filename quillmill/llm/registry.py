@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillmill.llm import decontaminate, pii, secrets, urls
+from quillmill.llm import decontaminate, pii, secrets, substring_dedup, suffix_dedup, urls
 
 _QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op4_pii": pii.op4_pii,
     "op5_urls": urls.op5_urls,
     "op7_secrets": secrets.op7_secrets,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 _ORACLES = {
