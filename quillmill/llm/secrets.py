@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm._native import find_spans, render, table, tag
+from quillmill.llm._native import find_spans, let, render, table, tag
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
@@ -43,37 +43,40 @@ ALLOW = (
 
 def window_entropy(string: Column, window: int = WINDOW) -> Column:
     """Largest entropy in bits of any ``window`` consecutive characters (0 if shorter)."""
-    chars = F.split(string, "(?!^)(?!$)")
 
     def weight(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(F.greatest(c, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
 
-    def best(own: Column) -> Column:
-        letters = F.array_distinct(own)
-        codes = F.transform(own, lambda ch: F.array_position(letters, ch).cast("int"))
-
-        def bump(counts: Column, at: Column, by: int) -> Column:
-            return F.transform(counts, lambda c, j: F.when(j == at - 1, c + by).otherwise(c))
+    def bump(counts: Column, at: Column, by: int) -> Column:
+        return F.transform(counts, lambda c, j: F.when(j == at, c + by).otherwise(c))
 
+    def slide(codes: Column, letters: int | Column) -> Column:
         def step(acc: Column, i: Column) -> Column:
             new, old = F.get(codes, i), F.get(codes, i - window)
-            c_new = F.get(acc["counts"], new - 1)
-            grown = acc["s"] + weight(c_new + 1) - weight(c_new)
-            counts = bump(acc["counts"], new, 1)
-            c_old = F.get(counts, old - 1)
-            s = F.when(i >= window, grown - weight(c_old) + weight(c_old - 1)).otherwise(grown)
-            counts = F.when(i >= window, bump(counts, old, -1)).otherwise(counts)
-            bits = F.lit(float(window)).cast("double")
-            h = F.log2(bits) - s / bits
+            c_new, c_old = F.get(acc["counts"], new), F.get(acc["counts"], old)
+            # Where the window moves and both are one character, its count stays.
+            moved = acc["s"] + weight(c_new + 1) - weight(c_new) - weight(c_old) + weight(c_old - 1)
+            s = F.when(i < window, acc["s"] + weight(c_new + 1) - weight(c_new)).when(new == old, acc["s"]).otherwise(moved)
+            counts = F.when(i < window, bump(acc["counts"], new, 1)).when(new == old, acc["counts"]).otherwise(
+                bump(bump(acc["counts"], new, 1), old, -1)
+            )
+            h = F.log2(F.lit(float(window))) - s / window
             top = F.when((i >= window - 1) & (h > acc["best"]), h).otherwise(acc["best"])
             return F.struct(counts.alias("counts"), s.alias("s"), top.alias("best"))
 
-        start = F.struct(
-            F.transform(letters, lambda _: F.lit(0)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best")
+        start = F.struct(F.array_repeat(F.lit(0), letters).alias("counts"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda a: a["best"])
+
+    def coded(chars: Column) -> Column:
+        return let(
+            F.array_distinct(chars),
+            lambda letters: let(
+                F.transform(chars, lambda ch: (F.array_position(letters, ch) - 1).cast("int")),
+                lambda codes: slide(codes, F.size(letters)),
+            ),
         )
-        return F.aggregate(F.sequence(F.lit(0), F.size(own) - 1), start, step, lambda a: a["best"])
 
-    return F.get(F.transform(F.array(chars), best), F.lit(0))
+    return let(F.split(string, "(?!^)(?!$)"), coded)
 
 
 def _random_looking(m: Column) -> Column:
