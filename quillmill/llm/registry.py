@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillmill.llm import decontaminate, pii, secrets, substring_dedup, suffix_dedup, urls
+from quillmill.llm import bpe, decontaminate, pii, secrets, substring_dedup, suffix_dedup, urls
 
 _QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op3_bpe": bpe.op3_bpe,
     "op4_pii": pii.op4_pii,
     "op5_urls": urls.op5_urls,
     "op7_secrets": secrets.op7_secrets,
