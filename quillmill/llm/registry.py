@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from quillmill.llm import bpe, decontaminate, pii, secrets, substring_dedup, suffix_dedup, urls
+from quillmill.llm import ann, bpe, decontaminate, langid, pii, secrets, substring_dedup, suffix_dedup, urls
 
 _QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_pii": pii.op4_pii,
     "op5_urls": urls.op5_urls,
+    "op6_ann": ann.op6_ann,
     "op7_secrets": secrets.op7_secrets,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_langid": langid.op10_langid,
 }
 _ORACLES = {
     "op4_pii": pii.SQL,
