@@ -41,8 +41,8 @@ MAX_LISTS = 4096
 BLOCK_ROWS = 1024
 QUERY_ROWS = 256
 REPLICAS = 2
-REPLICA_RATIO = 1.03
-PROBE_RATIO = 1.22
+REPLICA_RATIO = 1.05
+PROBE_RATIO = 1.18
 NEIGHBOURS = 16
 
 
@@ -138,19 +138,31 @@ def _usable(vec: Column) -> Column:
 
 def _distinct(rows: DataFrame, k: int) -> DataFrame:
     """(vec, ids): each vector with its k + 1 smallest ids; equal vectors are brought together in each task first."""
+    kind = dict(rows.dtypes)["vec"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             met: dict[bytes, list[int]] = {}
             for i, v in zip(pdf["id"], pdf["vec"]):
-                met.setdefault(np.asarray(v, np.float64).tobytes(), []).append(i)
-            out = [(np.frombuffer(v, np.float64), i) for v, ids in met.items() for i in sorted(set(ids))[: k + 1]]
+                met.setdefault(v.tobytes(), []).append(i)
+            out = [(np.frombuffer(v, pdf["vec"].iloc[0].dtype), i) for v, ids in met.items() for i in sorted(set(ids))[: k + 1]]
             yield pd.DataFrame(dict(vec=[v for v, _ in out], id=[i for _, i in out]))
 
-    some = rows.mapInPandas(run, "vec array<double>, id long")
-    first = Window.partitionBy("vec").orderBy("id")
-    some = some.distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= k + 1)
-    return some.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    some = rows.mapInPandas(run, f"vec {kind}, id long").withColumn("name", F.xxhash64("vec"))
+    first = Window.partitionBy("name", "vec").orderBy("id")
+    some = some.withColumn("_n", F.dense_rank().over(first)).filter(F.col("_n") <= k + 1)
+    return some.groupBy("name", "vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).drop("name")
+
+
+def _top(lead: np.ndarray, vec: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n best different (score, vec) of each lead."""
+    order = np.lexsort((vec, -score, lead))
+    same = np.zeros(len(order), bool)  # an entry met in two lists has one score
+    same[1:] = (lead[order][1:] == lead[order][:-1]) & (vec[order][1:] == vec[order][:-1])
+    order = order[~same]
+    start = np.flatnonzero(np.concatenate([[True], lead[order][1:] != lead[order][:-1]]))
+    place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return order[place < n]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K) -> DataFrame:
@@ -160,83 +172,101 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = "array<float>" if dict(vectors.dtypes)[vec_col] == "array<float>" else "array<double>"
 
     def clean(df: DataFrame) -> DataFrame:
-        vec = F.transform(vec_col, lambda x: F.when(x == 0, 0.0).otherwise(x.cast("double")))
+        vec = F.transform(vec_col, lambda x: F.when(x == 0, F.lit(0)).otherwise(x)).cast(kind)
         return df.filter(F.col(id_col).isNotNull() & _usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
 
     rows = clean(vectors)
     top = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     dim = top[0]["d"] if top else 0
-    own = scratch.put(_distinct(rows.filter(F.size("vec") == dim), k), "vectors")
-    asked = scratch.put(clean(queries).filter(F.size("vec") == dim).distinct(), "queries")
+    # An entry is known by its smallest id.
+    own = scratch.put(_distinct(rows.filter(F.size("vec") == dim), k).withColumn("entry", F.get("ids", F.lit(0))), "vectors")
     n = own.count()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not n:
-        return spark.createDataFrame([], schema)
-    norm = own.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).collect()[0][0]
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = clean(queries).filter(F.size("vec") == dim).dropDuplicates(["id"])
+    lead = asked.groupBy(F.xxhash64("vec").alias("name"), "vec").agg(F.min("id").alias("lead"))
+    lead = scratch.put(lead, "lead")
+    asked = scratch.put(asked.withColumn("name", F.xxhash64("vec")).join(lead, ["name", "vec"]).select("id", "lead"), "asked")
+    norm = own.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))).collect()[0][0]
 
     # A bounded sample, by hash; the limit only holds off an unlucky hash.
     share = min(1.0, SAMPLE_ROWS / n)
-    picked = own.filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("vec")
-    sample = np.array([r["vec"] for r in picked.orderBy(F.xxhash64("vec")).limit(2 * SAMPLE_ROWS).collect()], np.float64).reshape(-1, dim)
-    if not len(sample):
-        sample = np.array([r["vec"] for r in own.limit(1).collect()], np.float64)
+    picked = own.filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("entry", "vec")
+    sample = sorted((r["entry"], r["vec"]) for r in picked.limit(2 * SAMPLE_ROWS).collect())
+    sample = sample or [(0, own.limit(1).collect()[0]["vec"])]
+    sample = np.array([v for _, v in sample], np.float64)
     sample = np.hstack([sample, np.sqrt(np.maximum(norm**2 - (sample**2).sum(1, keepdims=True), 0))])
     lists = int(max(1, min(n // LIST_ROWS, MAX_LISTS, len(sample) // 4)))
     model = spark.sparkContext.broadcast(Centroids.fit(sample, lists, norm))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
-                row, cluster = model.value.lists_of(np.stack(part["vec"].to_numpy()))
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                row, cluster = model.value.lists_of(np.stack(part["vec"].to_numpy()).astype(np.float64))
                 yield part.iloc[row].assign(list=cluster.astype(np.int32))
 
-    postings = scratch.put(own.mapInPandas(assign, "vec array<double>, ids array<long>, list int"), "postings")
+    postings = scratch.put(own.select("entry", "vec").mapInPandas(assign, f"entry long, vec {kind}, list int"), "postings")
     counts = postings.groupBy("list").agg(F.count("*").alias("n"))  # at most MAX_LISTS rows
     size = np.zeros(lists, np.int64)
     for r in counts.collect():
         size[r["list"]] = r["n"]
 
-    # The query's list of ids is joined again at the end: equal queries are searched once.
+    # Equal queries are searched once, and told apart at the end.
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [(v, c) for v in pdf["vec"] for c in model.value.probe(np.asarray(v), size, (k + 1) * REPLICAS * 4)]
-            yield pd.DataFrame(dict(vec=[v for v, _ in got], list=[c for _, c in got]))
+            for at in range(0, len(pdf), 200):
+                part = pdf.iloc[at : at + 200]
+                got = [model.value.probe(np.asarray(v, np.float64), size, (k + 1) * REPLICAS * 4) for v in part["vec"]]
+                yield part.iloc[np.repeat(np.arange(len(part)), [len(g) for g in got])].assign(list=np.concatenate(got).astype(np.int32))
 
-    wanted = asked.groupBy("vec").agg(F.min("id").alias("lead"))
-    probes = wanted.select("vec").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "vec").mapInPandas(
-        search, "vec array<double>, list int"
-    )
+    probes = scratch.put(lead.select("lead", "vec").repartition(parts).mapInPandas(search, f"lead long, vec {kind}, list int"), "probes")
 
-    blocks = F.broadcast(counts.select("list", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("b")))
-    stored = postings.join(blocks, "list").groupBy("list", F.pmod(F.xxhash64("vec"), F.col("b")).alias("block")).agg(
-        F.collect_list(F.struct("vec", "ids")).alias("p")
-    )
-    q_count = scratch.put(probes, "probes")
-    q_blocks = q_count.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("b"))
-    asking = q_count.join(F.broadcast(q_blocks), "list").groupBy("list", F.pmod(F.xxhash64("vec"), F.col("b")).alias("qblock")).agg(
-        F.collect_list("vec").alias("q")
-    )
+    def blocks(df: DataFrame, key: str, rows_each: int) -> DataFrame:
+        each = F.broadcast(df.groupBy("list").agg(F.ceil(F.count("*") / rows_each).cast("int").alias("b")))
+        return df.join(each, "list").groupBy("list", F.pmod(F.xxhash64(key), F.col("b")).alias(f"{key}_block")).agg(
+            F.collect_list(key).alias(key), F.flatten(F.collect_list("vec")).alias(f"{key}_vec")
+        )
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list[np.ndarray]] = []
+
+        def best() -> list[np.ndarray]:
+            who, what, how = (np.concatenate(c) for c in zip(*held))
+            at = _top(who, what, how, k + 1)
+            return [who[at], what[at], how[at]]
+
         for pdf in batches:
-            for q, pv, pids in zip(pdf["q"], pdf["pv"], pdf["pids"]):
-                x, y = np.stack(list(q)), np.stack(list(pv))
-                first = np.array([i[0] for i in pids], np.int64)
-                s = np.einsum("ij,kj->ik", x, y)
-                order = np.lexsort((np.broadcast_to(first, s.shape), -s), axis=1)[:, : k + 1]
-                r, c = np.repeat(np.arange(len(x)), order.shape[1]), order.ravel()
-                yield pd.DataFrame(dict(vec=[x[i] for i in r], ids=[pids[j] for j in c], score=s[r, c]))
-
-    pairs = stored.select("list", F.col("p.vec").alias("pv"), F.col("p.ids").alias("pids")).join(asking, "list")
-    near = pairs.select("q", "pv", "pids").mapInPandas(score, "vec array<double>, ids array<long>, score double")
-    each = near.select("vec", F.explode("ids").alias("vec_id"), "score").groupBy("vec", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("vec").orderBy(F.desc("score"), "vec_id")
-    best = each.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1)
-    answers = best.groupBy("vec").agg(F.sort_array(F.collect_list(F.struct("_r", "vec_id", "score"))).alias("a"))
-    told = asked.join(answers, "vec").select(
+            for q, qv, e, ev in zip(pdf["lead"], pdf["lead_vec"], pdf["entry"], pdf["entry_vec"]):
+                x, y = qv.reshape(-1, dim).astype(np.float64), ev.reshape(-1, dim).astype(np.float64)
+                s = x @ y.T
+                # Whatever ties with the last place stays.
+                floor = -np.partition(-s, k, 1)[:, k : k + 1] if s.shape[1] > k + 1 else -np.inf
+                r, c = np.nonzero(s >= floor)
+                held.append([q[r], e[c], s[r, c]])
+                if sum(len(h[0]) for h in held) > 400_000:
+                    held = [best()]
+                    if len(held[0][0]) > 200_000:
+                        yield pd.DataFrame(dict(zip(("lead", "entry", "score"), held[0])))
+                        held = []
+        if held:
+            yield pd.DataFrame(dict(zip(("lead", "entry", "score"), best())))
+
+    pairs = blocks(postings, "entry", BLOCK_ROWS).join(blocks(probes, "lead", QUERY_ROWS), "list")
+    near = pairs.select("lead", "lead_vec", "entry", "entry_vec").mapInPandas(score, "lead long, entry long, score double")
+    near = near.groupBy("lead", "entry").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("lead").orderBy(F.desc("score"), "entry")
+    near = scratch.put(near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1), "near")
+    # The ids of equal vectors tie: the smallest come first.
+    each = near.join(own.select("entry", "ids"), "entry").select("lead", "score", F.explode("ids").alias("vec_id"))
+    order = Window.partitionBy("lead").orderBy(F.desc("score"), "vec_id")
+    best_ids = each.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1)
+    answers = best_ids.groupBy("lead").agg(F.sort_array(F.collect_list(F.struct("_r", "vec_id", "score"))).alias("a"))
+    told = asked.join(answers, "lead").select(
         F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("a", lambda x: x["vec_id"] != F.col("id")), 1, k)).alias("rank", "x")
     )
     return told.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
