@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quillmill.llm import ann, bpe, decontaminate, langid, pii, secrets, substring_dedup, suffix_dedup, urls
+from quillmill.llm import ann, bpe, decontaminate, langid, near_dedup, pii, secrets, substring_dedup, suffix_dedup, urls
 
 _QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_pii": pii.op4_pii,
     "op5_urls": urls.op5_urls,
