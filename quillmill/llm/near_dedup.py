@@ -2,18 +2,16 @@
 
 In each of ``TREES`` independent trees a document's path is a sequence of
 minwise tokens of its shingles, one for each level.  Documents of one node
-share the path so far; a node of at most ``NODE_ROWS`` documents is compared
-exhaustively, a larger one branches on.  A pair of Jaccard similarity J stays
-together for d levels with probability J**d, so at the threshold of 0.8 some
-tree keeps it in a node of depth 3 with probability 1 - 6e-7, and in one of
-depth 6 with 0.998.
-
-Documents with equal sets are one class, whose smallest id stands for it.  In a
-node the signatures of all members are compared, and the pairs of the most
-similar spanning forest become candidates; they are confirmed on full sets.
-Pairs of a node that the confirmed links leave in different components are
-confirmed too, so a forest edge that fails costs no link.  Only links, never
-all pairs of a group, leave a node.
+share the path so far.  A small node is compared exhaustively, on full sets; a
+larger one branches on, and one still large at the last depth is compared block
+by block.  A pair of Jaccard similarity J stays together for d levels with
+probability J**d, so at the threshold of 0.8 some tree keeps it in a node of
+depth 3 with probability 1 - 6e-7, and in one of depth 6 with 0.998.
+
+Documents with equal sets are one class, whose smallest id stands for it.  Of
+nodes with the same members one is kept.  Texts go to their nodes, all pairs of
+a node are compared there by products of incidence matrices, and only the
+components of its links leave it, a row for each member at most.
 
 Defined results: null, empty and word-less texts have no shingles and link with
 nothing; a text of fewer words than a shingle is one shingle, the whole
@@ -36,15 +34,17 @@ from quillmill.llm._native import table
 from quillmill.llm._scratch import Scratch
 
 TREES = 20
-DEPTHS = (3, 6)
-NODE_ROWS = 2000
-#: A pair's signatures must agree in this share of places (four standard deviations under 0.8).
-ESTIMATE = 0.65
-#: Links whose texts are fetched by broadcasting them; more are joined by a shuffle.
-BROADCAST_LINKS = 300_000
+#: (depth, largest node compared whole or in blocks there)
+DEPTHS = ((3, 800), (6, 16_000), (10, None))
+#: Documents compared at once; a node of more is compared in pairs of blocks of half so many.
+NODE_ROWS = 800
+#: Columns of an incidence matrix at once.
+COLUMNS = 4096
+#: Members of nodes whose texts are fetched by broadcasting them; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 SLICE = 1 << 20
 
-_PLACES = TREES * DEPTHS[-1]
+_PLACES = TREES * DEPTHS[-1][0]
 _RNG = np.random.RandomState(77)
 _XOR = _RNG.randint(0, 2**63 - 1, _PLACES, dtype=np.int64).astype(np.uint64)
 _MULTIPLY = _RNG.randint(0, 2**63 - 1, _PLACES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,121 +123,92 @@ def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame
         yield pd.concat(held, ignore_index=True)
 
 
-def _forest(ids: np.ndarray, m: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """Edges of the spanning forest of greatest agreement, of at least ``least`` places."""
-    n = len(ids)
-    best, parent, out = np.full(n, -1), np.zeros(n, np.int64), np.ones(n, bool)
-    i = 0
-    for _ in range(n):
-        out[i] = False
-        c = (m == m[i]).sum(1)
-        up = out & (c > best)
-        best[up], parent[up] = c[up], i
-        left = np.where(out, best, -2)
-        i = int(np.argmax(left))
-        if left[i] < -1:
-            return
-        if left[i] >= least:
-            yield ids[i], ids[parent[i]]
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets have in common."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    flat, row = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    column = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1
+    often = np.bincount(column)[column] > 1  # the others are in no intersection
+    column, row = column[often], row[often]
+    out = np.diag(size).astype(np.int64)
+    off = ~np.eye(n, dtype=bool)
+    if len(column):
+        column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
+        cuts = np.searchsorted(column, np.arange(0, column[-1] + 1, COLUMNS))
+        for a, b in zip(cuts, [*cuts[1:], len(column)]):
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[row[a:b], column[a:b] % COLUMNS] = 1
+            out += (m @ m.T).astype(np.int64) * off
+    return out
+
 
+def _linked(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(id, least id) for the components of the links among the sets, without the least themselves."""
+    size = np.array([len(x) for x in sets])
+    if len(ids) == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(ids.max(), ids.min())] if 100 * both >= percent * (size.sum() - both) else []
+    both = _shared(sets)
+    link = 100 * both >= percent * (size[:, None] + size - both)
+    out, left = [], np.ones(len(ids), bool)
+    for i in np.argsort(ids):
+        if left[i]:
+            reach = link[i] & left
+            seen = np.zeros(len(ids), bool)
+            seen[i] = True
+            while (fresh := reach & ~seen).any():
+                seen |= fresh
+                reach = link[fresh].any(0) & left
+            left &= ~seen
+            out += [(j, ids[i]) for j in ids[seen] if j != ids[i]]
+    return out
 
-def _candidates(across: bool):
-    least = int(np.ceil(ESTIMATE * _PLACES))
 
+def _compared(words: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _grouped(batches, "node"):
-            node, ids = pdf["node"].to_numpy(), pdf["id"].to_numpy()
-            m = np.stack(pdf["sign"].to_numpy())
-            comp = pdf["component"].to_numpy() if across else ids
+            node, ids, texts = pdf["node"].to_numpy(), pdf["id"].to_numpy(), pdf["text"].tolist()
             at = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            size = np.diff(np.append(at, len(node)))
-            two = at[size == 2]
-            ok = ((m[two] == m[two + 1]).sum(1) >= least) & (comp[two] != comp[two + 1])
-            pairs = list(zip(ids[two[ok]], ids[two[ok] + 1]))
-            for a, n in zip(at[size > 2], size[size > 2]):
-                if not across:
-                    pairs += _forest(ids[a : a + n], m[a : a + n], least)
+            found, sets, size = [], {}, 0
+            ends = [*at[1:].tolist(), len(node)]
+            first = 0
+            for k, (a, b) in enumerate(zip(at.tolist(), ends)):
+                size += sum(len(t) for t in texts[a:b])
+                if size < SLICE and b < len(node):
                     continue
-                c = comp[a : a + n]
-                if (c == c[0]).all():
-                    continue
-                for i in range(a, a + n - 1):
-                    far = np.flatnonzero(comp[i + 1 : a + n] != comp[i]) + i + 1
-                    if len(far):
-                        pairs += [(ids[i], ids[j]) for j in far[(m[far] == m[i]).sum(1) >= least]]
-                if len(pairs) > 100_000:
-                    yield _pairs(pairs)
-                    pairs = []
-            if pairs:
-                yield _pairs(pairs)
-
-    return run
-
-
-def _pairs(pairs: list[tuple[int, int]]) -> pd.DataFrame:
-    x = np.array(pairs, np.int64).reshape(-1, 2)
-    return pd.DataFrame(dict(a=x.min(1), b=x.max(1))).drop_duplicates()
-
-
-def _confirmed(words: int, percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _grouped(batches, "pair"):
-            texts, pair = pdf["text"].tolist(), pdf["pair"].to_numpy()
-            links = []
-            for x in range(0, len(pdf), 512):
-                part = range(x, min(x + 512, len(pdf)))
-                sets = dict(zip(part, shingles([texts[j] for j in part], words)))
-                links += [(j, sets[j], sets[j + 1]) for j in part if j + 1 in sets and pair[j] == pair[j + 1]]
-                if part[-1] + 1 < len(pdf) and pair[part[-1]] == pair[part[-1] + 1]:
-                    links.append((part[-1], sets[part[-1]], shingles([texts[part[-1] + 1]], words)[0]))
-                good = []
-                for j, p, q in links:
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if 100 * both >= percent * (len(p) + len(q) - both):
-                        good.append(j)
-                links = []
-                if good:
-                    yield pdf.iloc[good][["a", "b"]]
+                sets = shingles(texts[at[first] : b], words)
+                for x, y in zip(at[first : k + 1].tolist(), ends[first : k + 1]):
+                    found += _linked(ids[x:y], sets[x - at[first] : y - at[first]], percent)
+                first, size = k + 1, 0
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
 
     return run
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int, parts: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ends = pairs.withColumn("pair", F.xxhash64("a", "b")).withColumn("id", F.explode(F.array("a", "b")))
-    if pairs.count() <= BROADCAST_LINKS:
-        ends = F.broadcast(ends)
-    both = docs.join(ends, "id").select("pair", "a", "b", "id", "text")
-    both = both.repartition(parts, "pair").sortWithinPartitions("pair", "id")
-    return both.mapInPandas(_confirmed(words, percent), "a long, b long")
-
-
-def _nodes(reps: DataFrame, parts: int) -> DataFrame:
-    """(node, id): the small nodes of all trees, one of those with the same members; larger ones at the last depth are cut into blocks."""
-    levels = [
-        F.xxhash64(F.lit(d), F.col("t"), F.slice("sign", F.col("t") * DEPTHS[-1] + 1, d)).alias(f"p{d}") for d in DEPTHS
-    ]
-    paths = reps.select("id", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select("id", *levels)
+def _nodes(reps: DataFrame) -> DataFrame:
+    """(node, id): the nodes of all trees to compare, one of those with the same members."""
+    last = DEPTHS[-1][0]
+    levels = [F.xxhash64(F.lit(d), F.col("t"), F.slice("sign", F.col("t") * last + 1, d)).alias(f"p{d}") for d, _ in DEPTHS]
+    left = reps.select("id", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select("id", *levels)
     found = None
-    left = paths
-    for d in DEPTHS:
+    for d, most in DEPTHS:
         p = f"p{d}"
         sizes = left.groupBy(p).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
-        small = sizes.filter(F.col("n") <= NODE_ROWS).groupBy("n", "who").agg(F.min(p).alias(p)).select(p)
-        here = left.join(small, p).select(F.col(p).alias("node"), "id")
-        found = here if found is None else found.union(here)
-        large = sizes.filter(F.col("n") > NODE_ROWS).select(p, "n")
-        left = left.join(large, p)
-        if d != DEPTHS[-1]:
-            left = left.drop("n")
-    # Blocks of a node that stays large share its first member.
-    p = f"p{DEPTHS[-1]}"
-    cut = left.withColumn("_b", F.ceil(F.col("n") / NODE_ROWS))
-    blocks = cut.select(F.xxhash64(p, F.pmod(F.xxhash64("id"), F.col("_b"))).alias("node"), "id")
-    first = cut.groupBy(p).agg(F.min("id").alias("id"), F.max("_b").alias("_b"))
-    first = first.select(p, "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)).alias("k"))
-    shared = first.select(F.xxhash64(p, "k").alias("node"), "id")
-    return found.union(blocks.union(shared).distinct())
+        here = sizes if most is None else sizes.filter(F.col("n") <= most)
+        here = here.groupBy("n", "who").agg(F.min(p).alias(p))
+        member = left.join(here.select(p, "n"), p).select(F.col(p).alias("node"), "n", "id")
+        found = member if found is None else found.union(member)
+        if most is not None:
+            left = left.join(sizes.filter(F.col("n") > most).select(p), p)
+    # A large node's pairs of blocks: every two members meet in one of them.
+    blocks = F.ceil(F.col("n") * 2 / NODE_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.xxhash64("node", F.least(k, own), F.greatest(k, own)))
+    return found.select("id", F.explode(F.when(F.col("n") <= NODE_ROWS, F.array("node")).otherwise(pairs)).alias("node"))
 
 
 def near_duplicates(
@@ -254,31 +225,19 @@ def near_duplicates(
     members = scratch.put(sets.join(classes, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
     reps = members.filter("n > 0 AND id = rep").select("id")
 
-    signs = profile.select("id", "sign").dropDuplicates(["id"]).join(reps, "id")
-    signs = scratch.put(signs, "signs")
-    nodes = scratch.put(_nodes(signs, parts), "nodes")
-    placed = scratch.put(nodes.join(signs, "id"), "placed")
-    first = scratch.put(_in_nodes(placed, parts).mapInPandas(_candidates(False), "a long, b long").distinct(), "first")
-    links = scratch.put(_confirm(first, rows, words, percent, parts), "links1")
-    found = scratch.put(components(links, scratch, "one"), "found")
-
-    known = placed.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = known.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("node")
-    second = _in_nodes(known.join(mixed, "node"), parts).mapInPandas(_candidates(True), "a long, b long").distinct()
-    second = scratch.put(second.join(first, ["a", "b"], "left_anti"), "second")
-    if second.limit(1).count():
-        more = scratch.put(_confirm(second, rows, words, percent, parts), "links2")
-        if more.limit(1).count():
-            found = scratch.put(components(links.union(more), scratch, "two"), "all")
+    signs = scratch.put(profile.select("id", "sign").dropDuplicates(["id"]).join(reps, "id"), "signs")
+    nodes = scratch.put(_nodes(signs), "nodes")
+    if nodes.count() <= BROADCAST_ROWS:
+        nodes = F.broadcast(nodes)
+    placed = rows.dropDuplicates(["id"]) if rows.count() > sets.count() else rows
+    placed = placed.join(nodes, "id").repartition(parts, "node").sortWithinPartitions("node", "id")
+    links = scratch.put(placed.mapInPandas(_compared(words, percent), "a long, b long").distinct(), "links")
+    found = components(links, scratch)
     named = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     return named.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def _in_nodes(placed: DataFrame, parts: int) -> DataFrame:
-    return placed.repartition(parts, "node").sortWithinPartitions("node", "id")
-
-
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
