@@ -20,12 +20,15 @@ import heapq
 import json
 import mmap
 import os
+import re
 import struct
 import tempfile
+import unicodedata
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -33,15 +36,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm._native import table
+from quillmill.llm._scratch import Scratch
 
 #: The split that byte-level BPE makes before merging; x1C-x1F are no spaces there.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-LEXICON_WORDS = 50_000
-#: Words kept by a task, and the longest that are.
-CACHE_WORDS = 200_000
+#: The same split for texts without a character from here on, in the faster module.
+LATIN_END = 0x250
+LEXICON_WORDS = 200_000
+#: Words kept by a Python worker (twice so many at most), and the longest that are.
+CACHE_WORDS = 600_000
 CACHE_CHARS = 64
 
 
+def splitter() -> Callable[[str], list[str]]:
+    import regex
+
+    def chars(major: str) -> str:
+        return "".join(re.escape(chr(c)) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == major)
+
+    space = "".join(re.escape(chr(c)) for c in range(LATIN_END) if regex.match(r"\p{White_Space}", chr(c)))
+    latin = PATTERN.replace(r"[^\p{White_Space}\p{L}\p{N}]", f"[^{space}{chars('L')}{chars('N')}]")
+    for name, own in ((r"\P{White_Space}", f"[^{space}]"), (r"\p{White_Space}", f"[{space}]"), (r"\p{L}", f"[{chars('L')}]"), (r"\p{N}", f"[{chars('N')}]")):
+        latin = latin.replace(name, own)
+    beyond, fast, full = re.compile(f"[^\0-{chr(LATIN_END - 1)}]").search, re.compile(latin).findall, regex.compile(PATTERN).findall
+    return lambda text: full(text) if beyond(text) else fast(text)
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -70,17 +90,27 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
+        self.made = [new for _, new in self.merges.values()]
+        self.none = (len(self.made), -1)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: always the merge of least rank, the leftmost of equals."""
         ids = [self.byte[b] for b in word]
         if len(ids) < 48:
-            while len(ids) > 1:
-                best = min(((m[0], i, m[1]) for i, p in enumerate(zip(ids, ids[1:])) if (m := self.merges.get(p))), default=None)
-                if best is None:
+            none = self.none
+            get = self.merges.get
+            ranks = [get(p, none)[0] for p in zip(ids, ids[1:])]
+            while ranks:
+                least = min(ranks)
+                if least == none[0]:
                     break
-                _, i, new = best
-                ids[i : i + 2] = [new]
+                i = ranks.index(least)
+                ids[i] = new = self.made[least]
+                del ids[i + 1], ranks[i]
+                if i:
+                    ranks[i - 1] = get((ids[i - 1], new), none)[0]
+                if i < len(ranks):
+                    ranks[i] = get((new, ids[i + 1]), none)[0]
             return ids
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -201,23 +231,27 @@ class Lexicon:
 
 
 class Encoder(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers; a bounded cache before the lexicon."""
+    """Word -> its ids as little-endian unsigned 32-bit integers; a bounded cache before the lexicon.
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
-        import regex
+    When the cache is full it becomes the older half, and words met again move to the new one.
+    """
 
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         super().__init__()
-        self.vocabulary, self.lexicon, self.split = vocabulary, lexicon, regex.compile(PATTERN).findall
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, vocabulary.special)) + ")").split if vocabulary.special else lambda t: [t]
+        self.vocabulary, self.lexicon, self.split, self.older = vocabulary, lexicon, splitter(), {}
+        self.cut = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")").split
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = self.lexicon.get(raw) if self.lexicon else None
-        if ids is None:
-            ids = self.vocabulary.merge(raw)
-        out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.get(word)
+        if out is None:
+            raw = word.encode()
+            ids = self.lexicon.get(raw) if self.lexicon else None
+            if ids is None:
+                ids = self.vocabulary.merge(raw)
+            out = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
         return out
@@ -238,13 +272,22 @@ class Encoder(dict):
         return raw
 
 
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def _encoder(tokenizer: str, name: str) -> Encoder:
+    """This worker's encoder; the next task of the same query finds its cache warm."""
+    if (tokenizer, name) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer, name] = Encoder(Vocabulary(tokenizer), Lexicon(SparkFiles.get(name)))
+    return _ENCODERS[tokenizer, name]
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over all documents, summed up in each task before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
-
-        split, seen = regex.compile(PATTERN).findall, Counter()
+        split, seen = splitter(), Counter()
 
         def out() -> pd.DataFrame:
             return pd.DataFrame(dict(word=list(seen), n=list(seen.values())))
@@ -263,9 +306,17 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of at most CACHE_CHARS characters; ties by word.  ``words`` bounds what the driver gets."""
-    top = word_counts(docs, text_col).filter(F.length("word") <= CACHE_CHARS).orderBy(F.desc("n"), "word").limit(words)
-    return [r["word"] for r in top.collect()]
+    """About ``words`` of the most frequent words of at most CACHE_CHARS characters, which bounds what the driver gets.
+
+    The least count of a frequent word is a quantile of the counts, so nothing is sorted in one place.
+    """
+    counts = word_counts(docs, text_col).filter(F.length("word") <= CACHE_CHARS)
+    counts = Scratch(docs.sparkSession, "bpe").put(counts, "words")
+    total = counts.count()
+    if total <= words:
+        return [r["word"] for r in counts.collect()]
+    least = counts.agg(F.percentile_approx("n", 1.0 - words / total, 100_000)).collect()[0][0]
+    return [r["word"] for r in counts.filter(F.col("n") > least).select("word").collect()]
 
 
 def build_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: Iterable[str]) -> str:
@@ -279,31 +330,43 @@ def build_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: Iterable[s
 
 def encode_documents(
     docs: DataFrame, tokenizer: str, text_col: str = "text", keep: Sequence[str] = ("doc_id",), words: int = LEXICON_WORDS,
-    digests: bool = False, lexicon: Iterable[str] | None = None,
+    results: Sequence[str] = ("ids", "decoded"), lexicon: Iterable[str] | None = None,
 ) -> DataFrame:
-    """(*keep, n_tokens, ids array<int>, decoded string), or with ``digests`` (*keep, n_tokens, ids_sha256, decoded_sha256)."""
+    """(*keep, n_tokens, *results) for each row of docs.
+
+    results: of ids (array<int>), decoded (string), lossless (whether it is the
+    text), ids_sha256 (of ids as little-endian 32-bit integers), decoded_sha256.
+    """
     spark = docs.sparkSession
     name = build_lexicon(spark, Vocabulary(tokenizer), frequent_words(docs, text_col, words) if lexicon is None else lexicon)
     inner = {c: f"_k{j}" for j, c in enumerate(dict.fromkeys(keep))}
     rows = docs.select(*[F.col(c).alias(x) for c, x in inner.items()], F.col(text_col).alias("text"))
-    results = (
-        [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digests
-        else [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    kinds = dict(
+        ids=T.ArrayType(T.IntegerType()), decoded=T.StringType(), lossless=T.BooleanType(), ids_sha256=T.StringType(), decoded_sha256=T.StringType()
+    )
+    schema = T.StructType(
+        [*[rows.schema[x] for x in inner.values()], T.StructField("n_tokens", T.LongType()), *[T.StructField(r, kinds[r]) for r in results]]
+    )
+    own = list(inner.values())
+    make = dict(
+        ids=lambda packed, back, text: np.frombuffer(packed, np.int32),
+        decoded=lambda packed, back, text: back.decode(),
+        lossless=lambda packed, back, text: back == (text or "").encode("utf-8", "surrogatepass"),
+        ids_sha256=lambda packed, back, text: hashlib.sha256(packed).hexdigest(),
+        decoded_sha256=lambda packed, back, text: hashlib.sha256(back).hexdigest(),
     )
-    schema = T.StructType([*[rows.schema[x] for x in inner.values()], T.StructField("n_tokens", T.LongType()), *results])
-    own, outs = list(inner.values()), [f.name for f in results]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Encoder(Vocabulary(tokenizer), Lexicon(SparkFiles.get(name)))
+        coder = _encoder(tokenizer, name)
         for pdf in batches:
-            n, a, b = [], [], []
+            n, got = [], [[] for _ in results]
             for text in pdf["text"]:
                 packed = coder.encode(text) if isinstance(text, str) else b""
                 back = coder.decode(packed)
                 n.append(len(packed) // 4)
-                a.append(hashlib.sha256(packed).hexdigest() if digests else memoryview(packed).cast("I").tolist())
-                b.append(hashlib.sha256(back).hexdigest() if digests else back.decode())
-            yield pdf[own].assign(n_tokens=n, **{outs[0]: pd.Series(a, dtype=object, index=pdf.index), outs[1]: pd.Series(b, dtype=object, index=pdf.index)})
+                for values, r in zip(got, results):
+                    values.append(make[r](packed, back, text))
+            yield pdf[own].assign(n_tokens=n, **{r: pd.Series(v, dtype=object, index=pdf.index) for r, v in zip(results, got)})
 
     return rows.mapInPandas(run, schema).withColumnsRenamed({x: c for c, x in inner.items()})
 
@@ -315,4 +378,4 @@ def tokenizer_path() -> str:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), results=("ids_sha256", "decoded_sha256"))
