@@ -20,7 +20,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillmill.llm._native import table
 
@@ -111,20 +110,22 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Profiles(profiles)
 
 
-def predict(docs: DataFrame, model: Profiles, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """(*keep, lang_pred, score) for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    inner = {c: f"_k{j}" for j, c in enumerate(dict.fromkeys(keep))}
-    rows = docs.select(*[F.col(c).alias(x) for c, x in inner.items()], F.col(text_col).alias("text"))
-    schema = T.StructType([*[rows.schema[x] for x in inner.values()], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    own = list(inner.values())
+def predicted(text: Column, model: Profiles) -> Column:
+    """struct(lang_pred, score) of a text column; only the text goes through Python."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [shared.value.predict(t) for t in pdf["text"]]
-            yield pdf[own].assign(lang_pred=[g[0] for g in got], score=[g[1] for g in got])
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+
+    return run(text)
 
-    return rows.mapInPandas(run, schema).withColumnsRenamed({x: c for c, x in inner.items()})
+
+def predict(docs: DataFrame, model: Profiles, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(*keep, lang_pred, score) for each row of docs."""
+    own = [F.col(c) for c in dict.fromkeys(keep)]
+    return docs.select(*own, predicted(F.col(text_col), model).alias("_p")).select(*own, "_p.lang_pred", "_p.score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
