@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmill.functions.columns import let
 from quillmill.functions.numbers import first, round_half_up, trim
 
 # Misread words and what they stand for, in order.
@@ -95,9 +96,11 @@ def form_date(date: Column) -> Column:
 
 def is_date(date: Column) -> Column:
     """Three whole numbers, day 1 to 31 and month 1 to 12."""
-    p = F.split(date, "[/-]")
-    d, m, y = (F.get(p, F.lit(i)).try_cast("int") for i in range(3))
-    return F.coalesce((F.size(p) == 3) & y.isNotNull() & d.between(1, 31) & m.between(1, 12), F.lit(False))
+    part = lambda p, i: F.get(p, F.lit(i)).try_cast("int")
+    return F.coalesce(
+        let(F.split(date, "[/-]"), lambda p: (F.size(p) == 3) & part(p, 2).isNotNull() & part(p, 0).between(1, 31) & part(p, 1).between(1, 12)),
+        F.lit(False),
+    )
 
 
 def image_hash(data_url: Column) -> Column:

@@ -17,7 +17,7 @@ DATE = r"(\d{1,2}/\d{1,2}/\d{4})"
 
 def _found(value: Column, confidence: Column | str) -> Column:
     confidence = F.lit(confidence) if isinstance(confidence, str) else confidence
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), confidence.alias("confidence")))
+    return let(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), confidence.alias("confidence"))))
 
 
 def _none() -> Column:
@@ -30,8 +30,10 @@ def _lines(text: Column) -> Column:
 
 def invoice_no(text: Column) -> Column:
     """struct(value, confidence).  Expects mobile_normalize'd text."""
-    lines = _lines(text)
+    return let(_lines(text), lambda lines: let(mobile_flat(text), lambda flat: _invoice_no(lines, flat)))
 
+
+def _invoice_no(lines: Column, n: Column) -> Column:
     def at(line: Column, i: Column) -> Column:
         v = first(line, r"(?i)No\s*:\s*(\d+)")
         near = F.array_join(F.slice(lines, i + 1, F.lit(3)), " ")
@@ -40,7 +42,6 @@ def invoice_no(text: Column) -> Column:
         return F.coalesce(same, below)
 
     by_line = F.get(F.filter(F.transform(lines, at), lambda x: x.isNotNull()), F.lit(0))
-    n = mobile_flat(text)
     numbers = F.regexp_extract_all(F.array_join(F.slice(lines, F.lit(1), F.lit(20)), " "), F.lit(r"\b(\d{3,6})\b"), F.lit(1))
     loose = F.get(F.filter(numbers, lambda v: (v != "446") & (F.length(v) < 5)), F.lit(0))
     return F.coalesce(
@@ -50,16 +51,18 @@ def invoice_no(text: Column) -> Column:
 
 
 def bill_date(text: Column) -> Column:
-    lines = _lines(text)
+    return let(_lines(text), lambda lines: let(mobile_flat(text), lambda flat: _bill_date(lines, flat)))
+
+
+def _bill_date(lines: Column, n: Column) -> Column:
     head = F.when(F.size(lines) > 25, F.lit(20)).otherwise(F.size(lines))
-    good = lambda c: F.when(is_date(c), c)
+    good = lambda c: let(c, lambda x: F.when(is_date(x), x))
 
     def at(line: Column, i: Column) -> Column:
-        hit = F.coalesce(good(first(line, DATE)), good(first(F.get(lines, i + 1), DATE)))
-        return F.when((i < head) & line.rlike(r"(?i)Date\s*:?"), hit)
+        hit = lambda: F.coalesce(good(first(line, DATE)), good(first(F.get(lines, i + 1), DATE)))
+        return F.when((i < head) & line.rlike(r"(?i)Date\s*:?"), hit())
 
     by_line = F.get(F.filter(F.transform(lines, at), lambda x: x.isNotNull()), F.lit(0))
-    n = mobile_flat(text)
     some = F.get(F.filter(F.transform(F.slice(lines, F.lit(1), head), lambda l: good(first(l, DATE))), lambda x: x.isNotNull()), F.lit(0))
     return F.coalesce(
         _found(by_line, "high"), _found(good(first(n, r"(?i)Date\s*:\s*" + DATE)), "high"),
@@ -86,7 +89,10 @@ def seller_gstin(text: Column) -> Column:
 
 def net_total(text: Column) -> Column:
     """The last "net total" line, else the largest amount over 1000 near the end."""
-    lines = _lines(text)
+    return let(_lines(text), lambda lines: _net_total(lines, text))
+
+
+def _net_total(lines: Column, text: Column) -> Column:
 
     def at(line: Column, i: Column) -> Column:
         hit = F.coalesce(first(line, NET), first(line, AMOUNT), first(F.get(lines, i + 1), AMOUNT))

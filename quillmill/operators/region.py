@@ -27,29 +27,36 @@ def _lines(text: Column) -> Column:
 
 def header(text: Column) -> Column:
     """struct(company_name, gstin, tin, pan, phones, address) of the seller."""
-    t = trim(F.coalesce(text, F.lit("")))
+    return let(trim(F.coalesce(text, F.lit(""))), _header)
+
+
+def _header(t: Column) -> Column:
     gstin = F.coalesce(first(t, r"(?i)\b(33[A-Z]{5}\d{4}[A-Z][0-9A-Z]{3}[A-Z0-9])\b"), first(t, r"(?i)\b(\d{2}[A-Z]{5}\d{4}[A-Z][0-9A-Z]Z[0-9A-Z])\b"))
     tin = F.coalesce(first(t, r"(?i)TIN\s*[:\-]?\s*(\d{9,15})"), first(t, r"\b(\d{9,12})\b"))
     pan = F.coalesce(first(t, r"(?i)PAN\s*[:\-]?\s*([A-Z]{5}\d{4}[A-Z])"), first(t, r"(?i)\b([A-Z]{5}\d{4}[A-Z])\b"))
     phones = F.transform(F.regexp_extract_all(t, F.lit(r"\b\d{5}[\s\-]?\d{5}\b"), F.lit(0)), lambda p: F.regexp_replace(p, r"\s", " "))
-    lines = _lines(t)
-    known = F.get(F.filter(lines, lambda l: l.rlike(r"(?i)NEW\s*GOOD\s*NITS|KNITTING\s*INVOICE")), F.lit(0))
-    name = F.regexp_replace(known, r"\s+", " ")
-    following = F.get(lines, F.array_position(lines, name).cast("int"))
-    swap = name.rlike(r"(?i)^KNITTING\s*INVOICE") & following.rlike(r"(?i)NEW\s*GOOD")
-    company = F.coalesce(F.when(swap, F.regexp_replace(following, r"\s+", " ")).otherwise(name), F.get(lines, F.lit(0)))
-    after = F.slice(lines, F.array_position(lines, company).cast("int") + 1, F.greatest(F.size(lines), F.lit(1)))
-
-    def step(acc: Column, line: Column) -> Column:
-        ends = F.coalesce(F.contains(line, gstin), F.lit(False)) | F.exists(phones, lambda p: F.contains(line, p))
-        stop = acc["stop"] | ends
-        return F.struct(stop.alias("stop"), F.when(stop, acc["a"]).otherwise(F.concat(acc["a"], F.array(line))).alias("a"))
-
-    start = F.struct(F.lit(False).alias("stop"), F.array().cast("array<string>").alias("a"))
-    address = F.when(company.isNotNull(), F.nullif(F.array_join(F.aggregate(after, start, step, lambda a: a["a"]), ", "), F.lit("")))
-    return F.struct(
-        company.alias("company_name"), gstin.alias("gstin"), tin.alias("tin"), pan.alias("pan"), phones.alias("phones"), address.alias("address")
-    )
+    def parts(lines: Column, gstin: Column, phones: Column) -> Column:
+        known = F.get(F.filter(lines, lambda l: l.rlike(r"(?i)NEW\s*GOOD\s*NITS|KNITTING\s*INVOICE")), F.lit(0))
+
+        def company(name: Column) -> Column:
+            following = F.get(lines, F.array_position(lines, name).cast("int"))
+            swap = name.rlike(r"(?i)^KNITTING\s*INVOICE") & following.rlike(r"(?i)NEW\s*GOOD")
+            return F.coalesce(F.when(swap, F.regexp_replace(following, r"\s+", " ")).otherwise(name), F.get(lines, F.lit(0)))
+
+        def ends(line: Column) -> Column:
+            return F.coalesce(F.contains(line, gstin), F.lit(False)) | F.exists(phones, lambda p: F.contains(line, p))
+
+        def address(name: Column) -> Column:
+            after = F.slice(lines, F.array_position(lines, name).cast("int") + 1, F.greatest(F.size(lines), F.lit(1)))
+            marked = lambda a: F.get(F.filter(F.transform(a, lambda l, i: F.when(ends(l), i)), lambda i: i.isNotNull()), F.lit(0))
+            upto = let(after, lambda a: F.slice(a, F.lit(1), F.coalesce(marked(a), F.size(a))))
+            return F.when(name.isNotNull(), F.nullif(F.array_join(upto, ", "), F.lit("")))
+
+        return let(let(F.regexp_replace(known, r"\s+", " "), company), lambda name: F.struct(
+            name.alias("company_name"), gstin.alias("gstin"), tin.alias("tin"), pan.alias("pan"), phones.alias("phones"), address(name).alias("address")
+        ))
+
+    return let(_lines(t), lambda lines: let(gstin, lambda g: let(phones, lambda p: parts(lines, g, p))))
 
 
 def bill_meta(text: Column) -> Column:
