@@ -14,7 +14,7 @@ def test_grayscale_and_sharpen():
     p = picture()
     g = I.grayscale(p.copy())
     r = p[2, 3].astype(float)
-    assert g[2, 3, 0] == round(r[0] * 0.3 + r[1] * 0.59 + r[2] * 0.11)
+    assert g[2, 3, 0] == int(r[0] * 0.3 + r[1] * 0.59 + r[2] * 0.11 + 0.5)
     s = I.sharpen(g.copy())
     x = g[..., 0].astype(int)
     assert s[2, 3, 0] == min(255, max(0, 5 * x[2, 3] - x[1, 3] - x[3, 3] - x[2, 2] - x[2, 4]))
@@ -36,6 +36,20 @@ def test_adaptive_threshold_and_blur_keep_flat_pictures():
     assert (I.brightness()(p.copy())[..., 0] == 128).all()
 
 
+def test_brightness_scales_and_measures_sample():
+    p = np.zeros((5, 5, 4), np.uint8)
+    p[..., 0] = np.arange(25).reshape(5, 5) * 4
+    mean = p[..., 0].mean()
+    assert I.brightness()(p.copy())[2, 2, 0] == int(p[2, 2, 0] * 128 / mean + 0.5)
+    q = picture(6, 7)
+    m, gray = I.measures(q), [[sum(int(v) for v in px[:3]) / 3 for px in row] for row in q]
+    edge = [abs(gray[y][x] * 2 - gray[y][x + 1] - gray[y + 1][x]) for y in range(1, 5, 2) for x in range(1, 6, 2)]
+    mean = sum(edge) / len(edge)
+    assert abs(m["variance"] - sum((e - mean) ** 2 for e in edge) / len(edge)) < 1e-6
+    flat = [g for row in gray for g in row][::4]
+    assert abs(m["mean"] - sum(flat) / len(flat)) < 1e-9 and abs(m["span"] - (max(flat) - min(flat))) < 1e-9
+
+
 def test_frames(spark):
     p = picture()
     df = spark.createDataFrame([(1, 9, 7, bytearray(p.tobytes()))], I.SCHEMA)
