@@ -40,7 +40,7 @@ def test_brightness_scales_and_measures_sample():
     p = np.zeros((5, 5, 4), np.uint8)
     p[..., 0] = np.arange(25).reshape(5, 5) * 4
     mean = p[..., 0].mean()
-    assert I.brightness()(p.copy())[2, 2, 0] == int(p[2, 2, 0] * 128 / mean + 0.5)
+    assert I.brightness()(p.copy())[2, 2, 0] == int(int(p[2, 2, 0]) * 128 / mean + 0.5)
     q = picture(6, 7)
     m, gray = I.measures(q), [[sum(int(v) for v in px[:3]) / 3 for px in row] for row in q]
     edge = [abs(gray[y][x] * 2 - gray[y][x + 1] - gray[y + 1][x]) for y in range(1, 5, 2) for x in range(1, 6, 2)]
