@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from quillmill.llm._native import table
 from quillmill.llm._scratch import Scratch
+from quillmill.llm._worker import resident, text_batches, tidy
 
 #: The split that byte-level BPE makes before merging; x1C-x1F are no spaces there.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -44,7 +45,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 LATIN_END = 0x250
 LEXICON_WORDS = 200_000
 #: Words kept by a Python worker (twice so many at most), and the longest that are.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
+#: Documents whose ids leave a task at once.
+ROWS = 256
 CACHE_CHARS = 64
 
 
@@ -272,15 +275,9 @@ class Encoder(dict):
         return raw
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def _encoder(tokenizer: str, name: str) -> Encoder:
     """This worker's encoder; the next task of the same query finds its cache warm."""
-    if (tokenizer, name) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[tokenizer, name] = Encoder(Vocabulary(tokenizer), Lexicon(SparkFiles.get(name)))
-    return _ENCODERS[tokenizer, name]
+    return resident(("bpe", tokenizer, name), lambda: Encoder(Vocabulary(tokenizer), Lexicon(SparkFiles.get(name))))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -299,9 +296,10 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 if len(seen) >= CACHE_WORDS:
                     yield out()
                     seen.clear()
-        yield out()
+        if seen:
+            yield out()
 
-    found = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word string, n long")
+    found = docs.select(F.col(text_col).alias("text")).mapInPandas(tidy(run), "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -338,6 +336,7 @@ def encode_documents(
     text), ids_sha256 (of ids as little-endian 32-bit integers), decoded_sha256.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     name = build_lexicon(spark, Vocabulary(tokenizer), frequent_words(docs, text_col, words) if lexicon is None else lexicon)
     inner = {c: f"_k{j}" for j, c in enumerate(dict.fromkeys(keep))}
     rows = docs.select(*[F.col(c).alias(x) for c, x in inner.items()], F.col(text_col).alias("text"))
@@ -358,7 +357,7 @@ def encode_documents(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _encoder(tokenizer, name)
-        for pdf in batches:
+        for pdf in (batch.iloc[at : at + ROWS] for batch in batches for at in range(0, len(batch), ROWS)):
             n, got = [], [[] for _ in results]
             for text in pdf["text"]:
                 packed = coder.encode(text) if isinstance(text, str) else b""
@@ -368,7 +367,7 @@ def encode_documents(
                     values.append(make[r](packed, back, text))
             yield pdf[own].assign(n_tokens=n, **{r: pd.Series(v, dtype=object, index=pdf.index) for r, v in zip(results, got)})
 
-    return rows.mapInPandas(run, schema).withColumnsRenamed({x: c for c, x in inner.items()})
+    return rows.mapInPandas(tidy(run, keep=True), schema).withColumnsRenamed({x: c for c, x in inner.items()})
 
 
 def tokenizer_path() -> str:

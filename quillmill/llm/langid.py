@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm._native import table
+from quillmill.llm._worker import text_batches, tidy
 
 ORDERS = 3
 PROFILE = 1000
@@ -100,7 +101,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     g, at = np.unique(np.concatenate([x for x, _ in got]), return_inverse=True)
                     yield pd.DataFrame(dict(lang=lang, gram=g, n=np.bincount(at, np.concatenate([n for _, n in got]), len(g)).astype(np.int64)))
 
-    counted = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(count, "lang string, gram long, n long")
+    counted = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(tidy(count), "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counted.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PROFILE).orderBy("lang", "r")
@@ -112,14 +113,15 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def predicted(text: Column, model: Profiles) -> Column:
     """struct(lang_pred, score) of a text column; only the text goes through Python."""
-    shared = SparkSession.active().sparkContext.broadcast(model)
+    spark = SparkSession.active()
+    text_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return run(text)
+    return F.pandas_udf(tidy(run), "lang_pred string, score double")(text)
 
 
 def predict(docs: DataFrame, model: Profiles, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:

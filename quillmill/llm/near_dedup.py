@@ -32,6 +32,7 @@ from quillmill.llm import _hashing as H
 from quillmill.llm._components import components
 from quillmill.llm._native import table
 from quillmill.llm._scratch import Scratch
+from quillmill.llm._worker import text_batches, tidy
 
 TREES = 20
 #: (depth, largest node compared whole or in blocks there)
@@ -42,7 +43,7 @@ NODE_ROWS = 800
 COLUMNS = 4096
 #: Members of nodes whose texts are fetched by broadcasting them; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 _PLACES = TREES * DEPTHS[-1][0]
 _RNG = np.random.RandomState(77)
@@ -218,8 +219,9 @@ def near_duplicates(
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark, "near")
+    text_batches(spark)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = scratch.put(rows.mapInPandas(_profile(words), "id long, n long, s1 long, s2 long, sign array<int>"), "profile")
+    profile = scratch.put(rows.mapInPandas(tidy(_profile(words)), "id long, n long, s1 long, s2 long, sign array<int>"), "profile")
     sets = profile.select("id", "n", "s1", "s2").distinct()
     classes = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     members = scratch.put(sets.join(classes, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
@@ -231,7 +233,7 @@ def near_duplicates(
         nodes = F.broadcast(nodes)
     placed = rows.dropDuplicates(["id"]) if rows.count() > sets.count() else rows
     placed = placed.join(nodes, "id").repartition(parts, "node").sortWithinPartitions("node", "id")
-    links = scratch.put(placed.mapInPandas(_compared(words, percent), "a long, b long").distinct(), "links")
+    links = scratch.put(placed.mapInPandas(tidy(_compared(words, percent)), "a long, b long").distinct(), "links")
     found = components(links, scratch)
     named = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
