@@ -16,6 +16,8 @@ BYTE = _RNG.randint(0, 2**63 - 1, 256, dtype=np.int64).astype(np.uint64) * np.ui
 B = 0x9E3779B97F4A7C15
 B_INVERSE = pow(B, -1, 2**64)
 _POWERS: dict[str, np.ndarray] = {}
+#: Bytes of text hashed at once.
+STRETCH = 1 << 20
 #: x20 and x09-x0D end words.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -59,6 +61,12 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     gap[1:-1] = SPACE[buf]
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     starts, ends = edge[0::2], edge[1::2]
-    h = runs(prefix(BYTE[buf]), starts, ends)
+    h, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):  # a stretch of whole words at a time, so long texts take no more memory
+        low = starts[at]
+        end = max(at + 1, int(np.searchsorted(ends, low + STRETCH, side="right")))
+        part = prefix(BYTE[buf[low : ends[end - 1]]])
+        h[at:end] = runs(part, starts[at:end] - low, ends[at:end] - low)
+        at = end
     offs = np.cumsum([0] + [len(t) + 1 for t in texts])
     return h, np.searchsorted(starts, offs), buf, starts, ends

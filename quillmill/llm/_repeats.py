@@ -10,7 +10,7 @@ and a stretch of starts that share an anchor is one row:
            are settled there, so thousands of copies do not all travel
   settle   anchors are bucketed by gram; in a bucket sorted by name, rows of one
            name are settled; a bucket with one name is left; of each name in a
-           mixed bucket one row goes on
+           mixed bucket one row goes on.  Heavy buckets are spread by name
   refine   for those rows only, the text of the stretch is fetched and runs are
            compared one by one; buckets too large for memory are compared by a
            grouped count instead
@@ -36,6 +36,10 @@ from quillmill.llm._scratch import Scratch
 SLICE = 1 << 19
 #: Rows of a bucket compared in memory; larger buckets take the grouped count.
 BUCKET_ROWS = 20_000
+#: Buckets of more sampled rows are dealt out by name too, and known to be mixed.
+HEAVY_ROWS = 2_000
+#: So many heavy buckets are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Stands for a null id.
 NO_ID = int(np.iinfo(np.int64).min)
 
@@ -69,6 +73,20 @@ def _elements(texts: list[bytes], plan: Plan):
     return H.BYTE[buf], np.cumsum([0] + [len(t) for t in texts]), buf, None, None
 
 
+def _stretches(texts: list[bytes], plan: Plan) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first unit, units, first units of texts): a single long text is cut into stretches of starts, whose runs overlap."""
+    if len(texts) > 1:
+        x, first, *_ = _elements(texts, plan)
+        yield 0, x, first
+        return
+    whole = texts[0] if plan.unit == "byte" else H.words(texts)[0]
+    step = 4 * SLICE
+    for cut in range(0, max(1, len(whole) - plan.length + 1), step):
+        part = whole[cut : cut + step + plan.length - 1]
+        x = H.BYTE[np.frombuffer(part, np.uint8)] if plan.unit == "byte" else part
+        yield cut, x, np.array([0, len(x)])
+
+
 def _anchors(x: np.ndarray, first: np.ndarray, plan: Plan):
     """Arrays (text, anchor, first start, last start, gram, name); places are within the text."""
     n, L, k = len(x), plan.length, plan.gram
@@ -115,11 +133,7 @@ def _sample(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
             texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
             rows = []
             for at in _slices(texts):
-                x, first, *_ = _elements([texts[j] for j in at], plan)
-                # A long text is cut into stretches of starts, whose runs overlap.
-                cuts = range(0, max(1, len(x) - plan.length + 1), 4 * SLICE) if len(at) == 1 else (0,)
-                for cut in cuts:
-                    part, own = (x, first) if len(at) > 1 else (y := x[cut : cut + 4 * SLICE + plan.length - 1], np.array([0, len(y)]))
+                for cut, part, own in _stretches([texts[j] for j in at], plan):
                     if (got := _anchors(part, own, plan)) is not None:
                         t, a, s1, s2, key, name = got
                         rows.append((ids[np.asarray(at)[t]], a + cut, s1 + cut, s2 + cut, key, name))
@@ -147,8 +161,11 @@ def _sample(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
     return run
 
 
-def _settle(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Over rows sorted by (key, name, id, a).  At most two rows are held between batches."""
+def _settle(plan: Plan, heavy: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Over rows sorted by (key, name, id, a).  At most two rows are held between batches.
+
+    heavy: a bucket's names are in several tasks, and there is more than one.
+    """
     cols = ["id", "a", "s1", "s2", "key", "name", "many"]
 
     def run(batches):
@@ -169,7 +186,7 @@ def _settle(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
             many = np.repeat((size > 1) | np.logical_or.reduceat(now["many"].to_numpy(bool), at), size)
             settled = many if plan.mode == "any" else i > np.repeat(i[at], size)
             key_at = np.flatnonzero(new_key)
-            names = np.repeat(np.add.reduceat(new.astype(int), key_at), np.diff(np.append(key_at, len(now))))
+            names = np.repeat(np.add.reduceat(new.astype(int), key_at), np.diff(np.append(key_at, len(now)))) + heavy
             refine = new & (names > 1)
             if plan.mode == "earlier":  # all stretches of the leading document
                 refine = (names > 1) & ~settled
@@ -180,7 +197,7 @@ def _settle(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
                     yield out[rows].assign(state=state)
             now = now.assign(many=many, told=told | settled, sent=sent | refine)
             tail, last = key_at[-1], at[-1]
-            keep = [tail] if tail == last else [tail, last]
+            keep = [last] if heavy or tail == last else [tail, last]
             held = now.iloc[keep]
             if plan.mode == "earlier" and names[-1] == 1:
                 # Unsent stretches of the leading document wait for a second name.
@@ -297,10 +314,15 @@ def repeated_starts(docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     """(id, s1, s2): stretches of starts of runs that occur again.  docs: (id long, text string)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sample = scratch.put(docs.mapInPandas(_sample(plan), _SAMPLE), "sample")
-    spots = scratch.put(
-        sample.filter(F.col("state") == OPEN).repartition(n, "key").sortWithinPartitions("key", "name", "id", "a")
-        .mapInPandas(_settle(plan), _SPOT), "spots",
-    )
+    bucketed = sample.filter(F.col("state") == OPEN)
+    heavy = scratch.put(bucketed.groupBy("key").count().filter(F.col("count") > HEAVY_ROWS).select("key"), "heavy")
+    if heavy.count() <= BROADCAST_ROWS:
+        heavy = F.broadcast(heavy)
+    order = ("key", "name", "id", "a")
+    light = bucketed.join(heavy, "key", "left_anti").repartition(n, "key").sortWithinPartitions(*order)
+    spread = bucketed.join(heavy, "key", "left_semi").repartition(n, "key", "name").sortWithinPartitions(*order)
+    spots = light.mapInPandas(_settle(plan, False), _SPOT).union(spread.mapInPandas(_settle(plan, True), _SPOT))
+    spots = scratch.put(spots, "spots")
     todo = spots.filter(F.col("state") == REFINE)
     per_doc = todo.groupBy("id").agg(F.collect_list(F.struct("a", "s1", "s2", "key", "many")).alias("x")).select(
         "id", *[F.col(f"x.{c}").alias(c) for c in ("a", "s1", "s2", "key", "many")]
