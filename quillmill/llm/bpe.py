@@ -45,7 +45,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 LATIN_END = 0x250
 LEXICON_WORDS = 200_000
 #: Words kept by a Python worker (twice so many at most), and the longest that are.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 #: Documents whose ids leave a task at once.
 ROWS = 256
 CACHE_CHARS = 64
