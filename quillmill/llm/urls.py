@@ -110,7 +110,8 @@ def judge_urls(
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    each = F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in RULES])
+    rules = spark.range(1).select(F.inline(each))
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
