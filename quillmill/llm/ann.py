@@ -7,8 +7,11 @@ others whose distance is within ``REPLICA_RATIO``.  Lists are kept balanced:
 clusters of the sample over twice the mean are split, and each list is stored
 as blocks of about ``BLOCK_ROWS`` rows, so none outgrows a task.  A query walks
 an in-memory graph of the centroids best first, and searches the lists whose
-distance is within ``PROBE_RATIO`` of the nearest one's (more, if those hold too
-few vectors).  Scores are exact, in double precision, on the original vectors.
+distance is within a ratio of the nearest one's (more, if those hold too few
+vectors).  The ratio is fitted to each table: ``FIT_QUERIES`` of the queries are
+compared with every vector, and it is widened until the lists they search hold
+``TARGET`` of their true neighbours; it is ``PROBE_RATIO`` at least.  Scores are
+exact, in double precision, on the original vectors.
 
 Equal vectors are one entry that keeps the smallest ids an answer can need
 (``k`` + 1), which loses nothing: ties go to smaller ids.
@@ -43,6 +46,11 @@ QUERY_ROWS = 256
 REPLICAS = 2
 REPLICA_RATIO = 1.05
 PROBE_RATIO = 1.18
+#: Queries the ratio is fitted on, and the share of their neighbours it must reach.
+FIT_QUERIES = 128
+TARGET = 0.99
+#: Components of queries that are broadcast at once; more queries are searched in turns.
+TURN_VALUES = 1 << 24
 NEIGHBOURS = 16
 
 
@@ -50,7 +58,7 @@ class Centroids:
     """Fitted centroids and the graph over them."""
 
     def __init__(self, points: np.ndarray, norm: float):
-        self.points, self.norm = points, norm
+        self.points, self.norm, self.ratio = points, norm, PROBE_RATIO
         d = ((points**2).sum(1)[:, None] + (points**2).sum(1)) - 2 * points @ points.T
         np.fill_diagonal(d, np.inf)
         near = np.argsort(d, 1, kind="stable")[:, : min(NEIGHBOURS, len(points) - 1)]
@@ -114,8 +122,8 @@ class Centroids:
         while heap:
             dist, i = heapq.heappop(heap)
             best = min(best, dist)
-            have = sum(size[j] for d, j in taken if d <= best * PROBE_RATIO) if beyond else 0
-            if dist > best * PROBE_RATIO:
+            have = sum(size[j] for d, j in taken if d <= best * self.ratio) if beyond else 0
+            if dist > best * self.ratio:
                 beyond += 1
                 if beyond > NEIGHBOURS and have >= need:
                     break
@@ -124,7 +132,7 @@ class Centroids:
         taken.sort()
         out, have = [], 0
         for dist, i in taken:
-            if dist > best * PROBE_RATIO and have >= need:
+            if dist > best * self.ratio and have >= need:
                 break
             out.append(i)
             have += int(size[i])
@@ -154,6 +162,61 @@ def _distinct(rows: DataFrame, k: int) -> DataFrame:
     return some.groupBy("name", "vec").agg(F.sort_array(F.collect_set("id")).alias("ids")).drop("name")
 
 
+def _reached(postings: DataFrame, asked: np.ndarray, k: int) -> list[list[set[int]]]:
+    """For each query the lists that hold each of its k true nearest entries, by comparing it with every posting."""
+    spark, most = postings.sparkSession, REPLICAS * (k + 1)
+    shared = spark.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, held = shared.value, None
+        for pdf in batches:
+            for at in range(0, len(pdf), 4000):
+                part = pdf.iloc[at : at + 4000]
+                x = np.stack(part["vec"].to_numpy()).astype(np.float64)
+                s = q @ x.T
+                c = np.argpartition(-s, most - 1, 1)[:, :most] if s.shape[1] > most else np.tile(np.arange(s.shape[1]), (len(q), 1))
+                r = np.repeat(np.arange(len(q)), c.shape[1])
+                c = c.ravel()
+                other = (x[c] != q[r]).any(1)  # a query is no neighbour of its own
+                r, c = r[other], c[other]
+                now = [r, part["entry"].to_numpy()[c], part["list"].to_numpy()[c], s[r, c]]
+                held = [np.concatenate(x) for x in zip(held, now)] if held else now
+                order = np.lexsort((held[2], held[1], -held[3], held[0]))
+                start = np.searchsorted(held[0][order], np.arange(len(q)))
+                order = order[np.arange(len(order)) - start[held[0][order]] < most]
+                held = [h[order] for h in held]
+        if held:
+            yield pd.DataFrame(dict(zip(("q", "entry", "list", "score"), held)))
+
+    near = postings.select("entry", "vec", "list").mapInPandas(run, "q int, entry long, list int, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "entry", "list")
+    near = near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
+    found: list[dict[int, set[int]]] = [{} for _ in asked]
+    for r in sorted(near.collect(), key=lambda r: r["_r"]):
+        mine = found[r["q"]]
+        if r["entry"] in mine or len(mine) < k:
+            mine.setdefault(r["entry"], set()).add(r["list"])
+    return [list(f.values()) for f in found]
+
+
+def _fit_ratio(model: Centroids, asked: np.ndarray, reached: list[list[set[int]]], size: np.ndarray, need: int) -> float:
+    """The least ratio, about, by which the lists searched hold TARGET of the true neighbours."""
+    e = model.extended(asked, query=True)
+    d = np.sqrt(np.maximum((e**2).sum(1)[:, None] + (model.points**2).sum(1) - 2 * e @ model.points.T, 1e-30))
+    best = d.min(1)
+    needed = np.sort([min(d[i, j] for j in lists) / best[i] for i, mine in enumerate(reached) for lists in mine])
+    if not len(needed):
+        return PROBE_RATIO
+    ratio = max(PROBE_RATIO, needed[int(np.ceil(TARGET * len(needed))) - 1])
+    while ratio < (d.max(1) / best).max():  # the walk over the graph may miss lists
+        model.ratio = ratio
+        got = [set(model.probe(q, size, need)) for q in asked]
+        if sum(bool(lists & g) for g, mine in zip(got, reached) for lists in mine) >= TARGET * len(needed):
+            break
+        ratio *= 1.02
+    return float(ratio)
+
+
 def _top(lead: np.ndarray, vec: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
     """Places of the n best different (score, vec) of each lead."""
     order = np.lexsort((vec, -score, lead))
@@ -201,7 +264,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     sample = np.array([v for _, v in sample], np.float64)
     sample = np.hstack([sample, np.sqrt(np.maximum(norm**2 - (sample**2).sum(1, keepdims=True), 0))])
     lists = int(max(1, min(n // LIST_ROWS, MAX_LISTS, len(sample) // 4)))
-    model = spark.sparkContext.broadcast(Centroids.fit(sample, lists, norm))
+    fitted = Centroids.fit(sample, lists, norm)
+    model = spark.sparkContext.broadcast(fitted)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -216,48 +280,77 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     for r in counts.collect():
         size[r["list"]] = r["n"]
 
+    need = (k + 1) * REPLICAS * 4
+    some = lead.orderBy(F.xxhash64("vec"), "lead").limit(FIT_QUERIES).collect()
+    if some and lists > 1:
+        some = np.array([r["vec"] for r in some], np.float64)
+        fitted.ratio = _fit_ratio(fitted, some, _reached(postings, some, k), size, need)
+        model = spark.sparkContext.broadcast(fitted)
+
     # Equal queries are searched once, and told apart at the end.
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 200):
                 part = pdf.iloc[at : at + 200]
-                got = [model.value.probe(np.asarray(v, np.float64), size, (k + 1) * REPLICAS * 4) for v in part["vec"]]
-                yield part.iloc[np.repeat(np.arange(len(part)), [len(g) for g in got])].assign(list=np.concatenate(got).astype(np.int32))
+                got = [model.value.probe(np.asarray(v, np.float64), size, need) for v in part["vec"]]
+                where = np.repeat(np.arange(len(part)), [len(g) for g in got])
+                yield part[["lead"]].iloc[where].assign(list=np.concatenate(got).astype(np.int32))
 
-    probes = scratch.put(lead.select("lead", "vec").repartition(parts).mapInPandas(search, f"lead long, vec {kind}, list int"), "probes")
+    probes = scratch.put(lead.select("lead", "vec").repartition(parts).mapInPandas(search, "lead long, list int"), "probes")
 
-    def blocks(df: DataFrame, key: str, rows_each: int) -> DataFrame:
+    def blocks(df: DataFrame, key: str, rows_each: int, *more: Column) -> DataFrame:
         each = F.broadcast(df.groupBy("list").agg(F.ceil(F.count("*") / rows_each).cast("int").alias("b")))
         return df.join(each, "list").groupBy("list", F.pmod(F.xxhash64(key), F.col("b")).alias(f"{key}_block")).agg(
-            F.collect_list(key).alias(key), F.flatten(F.collect_list("vec")).alias(f"{key}_vec")
+            F.collect_list(key).alias(key), *more
         )
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list[np.ndarray]] = []
-
-        def best() -> list[np.ndarray]:
-            who, what, how = (np.concatenate(c) for c in zip(*held))
-            at = _top(who, what, how, k + 1)
-            return [who[at], what[at], how[at]]
-
-        for pdf in batches:
-            for q, qv, e, ev in zip(pdf["lead"], pdf["lead_vec"], pdf["entry"], pdf["entry_vec"]):
-                x, y = qv.reshape(-1, dim).astype(np.float64), ev.reshape(-1, dim).astype(np.float64)
-                s = x @ y.T
-                # Whatever ties with the last place stays.
-                floor = -np.partition(-s, k, 1)[:, k : k + 1] if s.shape[1] > k + 1 else -np.inf
-                r, c = np.nonzero(s >= floor)
-                held.append([q[r], e[c], s[r, c]])
-                if sum(len(h[0]) for h in held) > 400_000:
-                    held = [best()]
-                    if len(held[0][0]) > 200_000:
-                        yield pd.DataFrame(dict(zip(("lead", "entry", "score"), held[0])))
-                        held = []
-        if held:
-            yield pd.DataFrame(dict(zip(("lead", "entry", "score"), best())))
-
-    pairs = blocks(postings, "entry", BLOCK_ROWS).join(blocks(probes, "lead", QUERY_ROWS), "list")
-    near = pairs.select("lead", "lead_vec", "entry", "entry_vec").mapInPandas(score, "lead long, entry long, score double")
+    def score(known):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: list[list[np.ndarray]] = []
+            ids, vec = known.value
+
+            def best() -> list[np.ndarray]:
+                who, what, how = (np.concatenate(c) for c in zip(*held))
+                at = _top(who, what, how, k + 1)
+                return [who[at], what[at], how[at]]
+
+            for pdf in batches:
+                for q, e, ev in zip(pdf["lead"], pdf["entry"], pdf["entry_vec"]):
+                    x, y = vec[np.searchsorted(ids, q)].astype(np.float64), ev.reshape(-1, dim).astype(np.float64)
+                    s = x @ y.T
+                    # Whatever ties with the last place stays.
+                    floor = -np.partition(-s, k, 1)[:, k : k + 1] if s.shape[1] > k + 1 else -np.inf
+                    r, c = np.nonzero(s >= floor)
+                    held.append([q[r], e[c], s[r, c]])
+                    if sum(len(h[0]) for h in held) > 400_000:
+                        held = [best()]
+                        if len(held[0][0]) > 200_000:
+                            yield pd.DataFrame(dict(zip(("lead", "entry", "score"), held[0])))
+                            held = []
+            if held:
+                yield pd.DataFrame(dict(zip(("lead", "entry", "score"), best())))
+
+        return run
+
+    # Vectors of queries go to every task once, not to every list.
+    turns = max(1, -(-lead.count() * dim // TURN_VALUES))
+
+    def turn(t: int) -> DataFrame:
+        def mine(df: DataFrame) -> DataFrame:
+            return df.filter(F.pmod(F.xxhash64("lead", F.lit(1)), F.lit(turns)) == t)
+
+        got = mine(lead).select("lead", "vec").toPandas().sort_values("lead")
+        if not len(got):
+            return spark.createDataFrame([], "lead long, entry long, score double")
+        vec = np.stack([np.asarray(v, "f4" if kind == "array<float>" else "f8") for v in got["vec"]])
+        known = spark.sparkContext.broadcast((got["lead"].to_numpy(), vec))
+        entries = blocks(postings, "entry", BLOCK_ROWS, F.flatten(F.collect_list("vec")).alias("entry_vec"))
+        pairs = entries.join(blocks(mine(probes), "lead", QUERY_ROWS), "list").select("lead", "entry", "entry_vec")
+        return pairs.mapInPandas(score(known), "lead long, entry long, score double")
+
+    near = turn(0)
+    for t in range(1, turns):
+        near = near.union(turn(t))
     near = near.groupBy("lead", "entry").agg(F.max("score").alias("score"))
     order = Window.partitionBy("lead").orderBy(F.desc("score"), "entry")
     near = scratch.put(near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k + 1), "near")

@@ -90,6 +90,23 @@ def test_neighbours(spark, kind):
     assert hits >= 0.9 * 20 * len(found)
 
 
+def test_neighbours_in_many_small_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)  # 1,000 lists: their centroids are close, and a fixed ratio admits few
+    monkeypatch.setattr(ann, "TURN_VALUES", 64 * 150)
+    x = np.random.default_rng(2).normal(size=(8000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found: dict = {}
+    for r in ann.nearest(frame, frame.filter(F.col("vec_id") % 20 == 0)).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    y, hits = x.astype(np.float64), 0
+    for q in range(0, 8000, 20):
+        s = y @ y[q]
+        s[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.98 * 20 * 400
+
+
 def test_fewer_candidates_than_asked_for(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in ann.nearest(frame, frame.filter("vec_id = 0")).collect())
