@@ -5,8 +5,10 @@ minwise tokens of its shingles, one for each level.  Documents of one node
 share the path so far.  A small node is compared exhaustively, on full sets; a
 larger one branches on, and one still large at the last depth is compared block
 by block.  A pair of Jaccard similarity J stays together for d levels with
-probability J**d, so at the threshold of 0.8 some tree keeps it in a node of
-depth 3 with probability 1 - 6e-7, and in one of depth 6 with 0.998.
+probability J**d, so at the threshold of 0.8 no tree of ``TREES`` keeps it in a
+node of depth 3 with probability 6e-7.  Deeper nodes take more trees for the same:
+documents of any node too large for its depth are also in ``_trees(d)`` trees of
+the next depth d (48 at depth 6, 127 at depth 10), wherever they were before.
 
 Documents with equal sets are one class, whose smallest id stands for it.  Of
 nodes with the same members one is kept.  Texts go to their nodes, all pairs of
@@ -45,12 +47,34 @@ COLUMNS = 4096
 BROADCAST_ROWS = 1_000_000
 SLICE = 1 << 19
 
-_PLACES = TREES * DEPTHS[-1][0]
+_LAST = DEPTHS[-1][0]
+_PLACES = TREES * _LAST
 _RNG = np.random.RandomState(77)
 _XOR = _RNG.randint(0, 2**63 - 1, _PLACES, dtype=np.int64).astype(np.uint64)
 _MULTIPLY = _RNG.randint(0, 2**63 - 1, _PLACES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _trees(depth: int) -> int:
+    """Trees in which a link at the threshold is missed as seldom at this depth as in TREES at the first one."""
+    return int(np.ceil(TREES * np.log1p(-(0.8 ** DEPTHS[0][0])) / np.log1p(-(0.8**depth))))
+
+
+_MORE = _trees(_LAST) * _LAST - _PLACES
+_XOR = np.append(_XOR, _RNG.randint(0, 2**63 - 1, _MORE, dtype=np.int64).astype(np.uint64))
+_MULTIPLY = np.append(_MULTIPLY, _RNG.randint(0, 2**63 - 1, _MORE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+
+
+def _minwise(flat: np.ndarray, starts: np.ndarray, places: list[int]) -> np.ndarray:
+    """Of each set, which begin at starts in flat, the minwise tokens of the places."""
+    least = np.empty((len(starts), len(places)), np.uint32)
+    for j, k in enumerate(places):
+        v = flat ^ _XOR[k]
+        v *= _MULTIPLY[k]
+        v >>= np.uint64(32)
+        least[:, j] = np.minimum.reduceat(v.astype(np.uint32), starts)
+    return least.view(np.int32)
+
+
 def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles."""
     raw = [t.encode("utf-8", "surrogatepass").lower() if isinstance(t, str) else b"" for t in texts]
@@ -89,13 +113,7 @@ def _profile(words: int):
                     starts = np.cumsum(n[some]) - n[some]
                     sums[some] = np.add.reduceat(flat, starts)
                     mixed[some] = np.bitwise_xor.reduceat(H.mix(flat + np.uint64(0x5851F42D4C957F2D)), starts)
-                    least = np.empty((len(some), _PLACES), np.uint32)
-                    for k in range(_PLACES):
-                        v = flat ^ _XOR[k]
-                        v *= _MULTIPLY[k]
-                        v >>= np.uint64(32)
-                        least[:, k] = np.minimum.reduceat(v.astype(np.uint32), starts)
-                    for x, row in zip(some, least.view(np.int32)):
+                    for x, row in zip(some, _minwise(flat, starts, list(range(_PLACES)))):
                         sign[x] = row
                 yield pd.DataFrame(dict(
                     id=ids[at], n=n, s1=sums.view(np.int64), s2=mixed.view(np.int64), sign=pd.Series(sign, dtype=object)
@@ -105,6 +123,26 @@ def _profile(words: int):
     return run
 
 
+def _more(words: int, depth: int):
+    """(id, sign): the tokens to this depth in the trees after the first TREES."""
+    places = [t * _LAST + level for t in range(TREES, _trees(depth)) for level in range(depth)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, size, ids, texts = [], 0, pdf["id"].to_numpy(), pdf["text"].tolist()
+            for j, t in enumerate(texts):
+                at.append(j)
+                size += len(t)
+                if size < SLICE and j + 1 < len(texts):
+                    continue
+                sets = shingles([texts[x] for x in at], words)
+                n = np.array([len(s) for s in sets])
+                yield pd.DataFrame(dict(id=ids[at], sign=list(_minwise(np.concatenate(sets), np.cumsum(n) - n, places))))
+                at, size = [], 0
+
+    return run
+
+
 def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
     """Rows of whole keys from rows sorted by key."""
     held: list[pd.DataFrame] = []
@@ -190,21 +228,32 @@ def _compared(words: int, percent: int):
     return run
 
 
-def _nodes(reps: DataFrame) -> DataFrame:
+def _nodes(reps: DataFrame, rows: DataFrame, words: int, scratch: Scratch) -> DataFrame:
     """(node, id): the nodes of all trees to compare, one of those with the same members."""
-    last = DEPTHS[-1][0]
-    levels = [F.xxhash64(F.lit(d), F.col("t"), F.slice("sign", F.col("t") * last + 1, d)).alias(f"p{d}") for d, _ in DEPTHS]
+    levels = [F.xxhash64(F.lit(d), F.col("t"), F.slice("sign", F.col("t") * _LAST + 1, d)).alias(f"p{d}") for d, _ in DEPTHS]
     left = reps.select("id", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select("id", *levels)
-    found = None
+    found = wide = None
     for d, most in DEPTHS:
         p = f"p{d}"
-        sizes = left.groupBy(p).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
+        all_ = left.select("id", p)
+        if wide is not None:
+            own = rows.join(wide, "id", "left_semi").dropDuplicates(["id"]).select("id", "text")
+            own = own.mapInPandas(tidy(_more(words, d)), "id long, sign array<int>")
+            own = own.select("id", "sign", F.explode(F.sequence(F.lit(TREES), F.lit(_trees(d) - 1))).alias("t"))
+            own = own.select("id", F.xxhash64(F.lit(d), F.col("t"), F.slice("sign", (F.col("t") - TREES) * d + 1, d)).alias(p))
+            all_ = all_.union(scratch.put(own, f"more{d}"))
+        sizes = all_.groupBy(p).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
         here = sizes if most is None else sizes.filter(F.col("n") <= most)
         here = here.groupBy("n", "who").agg(F.min(p).alias(p))
-        member = left.join(here.select(p, "n"), p).select(F.col(p).alias("node"), "n", "id")
+        member = all_.join(here.select(p, "n"), p).select(F.col(p).alias("node"), "n", "id")
         found = member if found is None else found.union(member)
         if most is not None:
-            left = left.join(sizes.filter(F.col("n") > most).select(p), p)
+            large = scratch.put(sizes.filter(F.col("n") > most).select(p), f"large{d}")
+            if not large.limit(1).count():
+                break
+            # Members of any large node are in all trees of the next depth.
+            wide = scratch.put(all_.join(large, p).select("id").distinct(), f"wide{d}")
+            left = left.join(large, p)
     # A large node's pairs of blocks: every two members meet in one of them.
     blocks = F.ceil(F.col("n") * 2 / NODE_ROWS).cast("int")
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -228,7 +277,7 @@ def near_duplicates(
     reps = members.filter("n > 0 AND id = rep").select("id")
 
     signs = scratch.put(profile.select("id", "sign").dropDuplicates(["id"]).join(reps, "id"), "signs")
-    nodes = scratch.put(_nodes(signs), "nodes")
+    nodes = scratch.put(_nodes(signs, rows, words, scratch), "nodes")
     if nodes.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
     placed = rows.dropDuplicates(["id"]) if rows.count() > sets.count() else rows

@@ -22,6 +22,16 @@ def test_large_nodes_are_compared_in_blocks(docs, texts, monkeypatch):
     assert got == sorted(near_dedup.brute_force(texts))
 
 
+def test_links_at_the_threshold_are_found_in_deep_nodes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "DEPTHS", ((3, 1), (6, 1), (10, None)))
+    texts = []
+    for k in range(200):  # 80 of 100 pairs of words are in both
+        common = [f"w{k}x{j}" for j in range(81)]
+        texts += [(2 * k + c, " ".join(common + [f"e{k}x{j}x{c}" for j in range(10)])) for c in range(2)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words=2).collect()
+    assert sorted(tuple(r) for r in got) == sorted((i, 90, i - i % 2, i % 2 == 0) for i, _ in texts)
+
+
 def test_empty_table(empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
