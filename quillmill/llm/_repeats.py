@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm import _hashing as H
@@ -44,6 +44,11 @@ BROADCAST_ROWS = 1_000_000
 NO_ID = int(np.iinfo(np.int64).min)
 
 
+def row_name(id_: Column, text: Column) -> Column:
+    """Tells apart the texts without an id; 0 where there is one."""
+    return F.when(id_.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+
+
 @dataclass(frozen=True)
 class Plan:
     unit: str  # byte or word
@@ -120,8 +125,8 @@ def _anchors(x: np.ndarray, first: np.ndarray, plan: Plan):
     return t, a - base, s1 - base, s2 - base, grams[a].view(np.int64), name.view(np.int64)
 
 
-_SAMPLE = "id long, a int, s1 int, s2 int, key long, name long, many boolean, state int"
-_SPOT = "id long, a int, s1 int, s2 int, key long, many boolean, state int"
+_SAMPLE = "id long, row long, a int, s1 int, s2 int, key long, name long, many boolean, state int"
+_SPOT = "id long, row long, a int, s1 int, s2 int, key long, many boolean, state int"
 #: state: a row to be bucketed, a settled stretch of starts, or a row to be refined
 OPEN, SETTLED, REFINE = 0, 1, 2
 
@@ -129,19 +134,19 @@ OPEN, SETTLED, REFINE = 0, 1, 2
 def _sample(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches):
         for pdf in batches:
-            ids = pdf["id"].to_numpy()
+            ids, own_rows = pdf["id"].to_numpy(), pdf["row"].to_numpy()
             texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in pdf["text"]]
             rows = []
             for at in _slices(texts):
                 for cut, part, own in _stretches([texts[j] for j in at], plan):
                     if (got := _anchors(part, own, plan)) is not None:
                         t, a, s1, s2, key, name = got
-                        rows.append((ids[np.asarray(at)[t]], a + cut, s1 + cut, s2 + cut, key, name))
+                        rows.append((ids[np.asarray(at)[t]], own_rows[np.asarray(at)[t]], a + cut, s1 + cut, s2 + cut, key, name))
             if not rows:
                 continue
-            i, a, s1, s2, key, name = (np.concatenate(c) for c in zip(*rows))
+            i, r, a, s1, s2, key, name = (np.concatenate(c) for c in zip(*rows))
             order = np.lexsort((a, i, name, key))
-            i, a, s1, s2, key, name = (c[order] for c in (i, a, s1, s2, key, name))
+            i, r, a, s1, s2, key, name = (c[order] for c in (i, r, a, s1, s2, key, name))
             new = np.ones(len(i), bool)
             new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
             at = np.flatnonzero(new)
@@ -150,7 +155,7 @@ def _sample(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
             state = np.where(new, OPEN, SETTLED)
             if plan.mode == "earlier":  # the same document does not count
                 state = np.where(i == np.repeat(i[at], size), np.where(new, OPEN, -1), SETTLED)
-            frame = pd.DataFrame(dict(id=i, a=a, s1=s1, s2=s2, key=key, name=name, many=many, state=state))
+            frame = pd.DataFrame(dict(id=i, row=r, a=a, s1=s1, s2=s2, key=key, name=name, many=many, state=state))
             yield frame[frame["state"] >= 0]
             if plan.mode == "earlier":
                 # A later stretch of the first document is no source, but may be settled elsewhere.
@@ -166,7 +171,7 @@ def _settle(plan: Plan, heavy: bool) -> Callable[[Iterator[pd.DataFrame]], Itera
 
     heavy: a bucket's names are in several tasks, and there is more than one.
     """
-    cols = ["id", "a", "s1", "s2", "key", "name", "many"]
+    cols = ["id", "row", "a", "s1", "s2", "key", "name", "many"]
 
     def run(batches):
         held = None
@@ -191,7 +196,7 @@ def _settle(plan: Plan, heavy: bool) -> Callable[[Iterator[pd.DataFrame]], Itera
             if plan.mode == "earlier":  # all stretches of the leading document
                 refine = (names > 1) & ~settled
             told, sent = now["told"].to_numpy(bool), now["sent"].to_numpy(bool)
-            out = now[["id", "a", "s1", "s2", "key"]].assign(many=many)
+            out = now[["id", "row", "a", "s1", "s2", "key"]].assign(many=many)
             for rows, state in ((settled & ~told, SETTLED), (refine & ~sent, REFINE)):
                 if rows.any():
                     yield out[rows].assign(state=state)
@@ -208,23 +213,23 @@ def _settle(plan: Plan, heavy: bool) -> Callable[[Iterator[pd.DataFrame]], Itera
 
 
 def _contexts(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """From (id, text, spots) the bytes of each stretch."""
+    """From (id, row, text, spots) the bytes of each stretch."""
 
     def run(batches):
         for pdf in batches:
             out = []
-            for i, t, *spots in zip(*(pdf[c] for c in ("id", "text", "a", "s1", "s2", "key", "many"))):
+            for i, r, t, *spots in zip(*(pdf[c] for c in ("id", "row", "text", "a", "s1", "s2", "key", "many"))):
                 raw = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b""
                 if plan.unit == "word":
                     _, _, _, starts, ends = H.words([raw])
                 for a, s1, s2, key, many in zip(*spots):
                     piece = raw[s1 : s2 + plan.length] if plan.unit == "byte" else raw[starts[s1] : ends[s2 + plan.length - 1]]
-                    out.append((i, a, s1, s2, key, many, piece))
+                    out.append((i, r, a, s1, s2, key, many, piece))
                 if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=["id", "a", "s1", "s2", "key", "many", "piece"])
+                    yield pd.DataFrame(out, columns=["id", "row", "a", "s1", "s2", "key", "many", "piece"])
                     out = []
             if out:
-                yield pd.DataFrame(out, columns=["id", "a", "s1", "s2", "key", "many", "piece"])
+                yield pd.DataFrame(out, columns=["id", "row", "a", "s1", "s2", "key", "many", "piece"])
 
     return run
 
@@ -242,12 +247,12 @@ def _names(pdf: pd.DataFrame, plan: Plan):
     return row, s1[row] + off, H.mix(h + back.astype(np.uint64))
 
 
-def _merge(i: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-    """Starts, sorted by (i, s), as stretches."""
+def _merge(i: np.ndarray, r: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+    """Starts, sorted by (i, r, s), as stretches."""
     new = np.ones(len(i), bool)
-    new[1:] = (i[1:] != i[:-1]) | (s[1:] != s[:-1] + 1)
+    new[1:] = (i[1:] != i[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)
     at = np.flatnonzero(new)
-    return pd.DataFrame(dict(id=i[at], s1=s[at], s2=s[np.append(at[1:], len(s)) - 1]))
+    return pd.DataFrame(dict(id=i[at], row=r[at], s1=s[at], s2=s[np.append(at[1:], len(s)) - 1]))
 
 
 def _refine(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -255,7 +260,7 @@ def _refine(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
 
     def compare(pdf):
         row, s, h = _names(pdf, plan)
-        i = pdf["id"].to_numpy()[row]
+        i, r = pdf["id"].to_numpy()[row], pdf["row"].to_numpy()[row]
         order = np.lexsort((i, h))
         new = np.ones(len(h), bool)
         new[1:] = h[order][1:] != h[order][:-1]
@@ -267,8 +272,8 @@ def _refine(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
             dup = i[order] > np.repeat(i[order][at], size)
         hit = order[dup]
         if len(hit):
-            hit = hit[np.lexsort((s[hit], i[hit]))]
-            yield _merge(i[hit], s[hit])
+            hit = hit[np.lexsort((s[hit], r[hit], i[hit]))]
+            yield _merge(i[hit], r[hit], s[hit])
 
     def run(batches):
         held = None
@@ -305,13 +310,13 @@ def _explode_names(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
             for a in range(0, len(pdf), 4000):
                 part = pdf.iloc[a : a + 4000]
                 row, s, h = _names(part, plan)
-                yield pd.DataFrame(dict(id=part["id"].to_numpy()[row], s=s, name=h.view(np.int64), many=part["many"].to_numpy(bool)[row]))
+                yield pd.DataFrame(dict(id=part["id"].to_numpy()[row], row=part["row"].to_numpy()[row], s=s, name=h.view(np.int64), many=part["many"].to_numpy(bool)[row]))
 
     return run
 
 
 def repeated_starts(docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
-    """(id, s1, s2): stretches of starts of runs that occur again.  docs: (id long, text string)."""
+    """(id, row, s1, s2): stretches of starts of runs that occur again.  docs: (id long, row long, text string)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sample = scratch.put(docs.mapInPandas(_sample(plan), _SAMPLE), "sample")
     bucketed = sample.filter(F.col("state") == OPEN)
@@ -324,24 +329,24 @@ def repeated_starts(docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     spots = light.mapInPandas(_settle(plan, False), _SPOT).union(spread.mapInPandas(_settle(plan, True), _SPOT))
     spots = scratch.put(spots, "spots")
     todo = spots.filter(F.col("state") == REFINE)
-    per_doc = todo.groupBy("id").agg(F.collect_list(F.struct("a", "s1", "s2", "key", "many")).alias("x")).select(
-        "id", *[F.col(f"x.{c}").alias(c) for c in ("a", "s1", "s2", "key", "many")]
+    per_doc = todo.groupBy("id", "row").agg(F.collect_list(F.struct("a", "s1", "s2", "key", "many")).alias("x")).select(
+        "id", "row", *[F.col(f"x.{c}").alias(c) for c in ("a", "s1", "s2", "key", "many")]
     )
     pieces = scratch.put(
-        docs.join(per_doc, "id").mapInPandas(_contexts(plan), "id long, a int, s1 int, s2 int, key long, many boolean, piece binary"),
+        docs.join(per_doc, ["id", "row"]).mapInPandas(_contexts(plan), "id long, row long, a int, s1 int, s2 int, key long, many boolean, piece binary"),
         "pieces",
     )
     large = scratch.put(pieces.groupBy("key").count().filter(F.col("count") > BUCKET_ROWS).select("key"), "large")
     small = pieces.join(large, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key")
-    found = small.mapInPandas(_refine(plan), "id long, s1 int, s2 int")
-    done = [x.filter(F.col("state") == SETTLED).select("id", "s1", "s2") for x in (sample, spots)]
+    found = small.mapInPandas(_refine(plan), "id long, row long, s1 int, s2 int")
+    done = [x.filter(F.col("state") == SETTLED).select("id", "row", "s1", "s2") for x in (sample, spots)]
     out = done[0].union(done[1]).union(found)
     if large.limit(1).count():
-        runs = pieces.join(large, "key", "left_semi").mapInPandas(_explode_names(plan), "id long, s int, name long, many boolean")
+        runs = pieces.join(large, "key", "left_semi").mapInPandas(_explode_names(plan), "id long, row long, s int, name long, many boolean")
         seen = runs.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("lead"))
         runs = runs.join(seen.filter(F.col("n") > 1), "name")
         again = runs.filter(~F.col("many") if plan.mode == "any" else F.col("id") > F.col("lead"))
-        out = out.union(again.select("id", F.col("s").alias("s1"), F.col("s").alias("s2")))
+        out = out.union(again.select("id", "row", F.col("s").alias("s1"), F.col("s").alias("s2")))
     return out
 
 
@@ -356,6 +361,6 @@ def covered(s1: np.ndarray, s2: np.ndarray, length: int) -> tuple[np.ndarray, np
 
 
 def with_stretches(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs (id, ...) with arrays s1 and s2 of their stretches (null without any)."""
-    per_doc = found.groupBy("id").agg(F.collect_list(F.struct("s1", "s2")).alias("x"))
-    return docs.join(per_doc.select("id", F.col("x.s1").alias("s1"), F.col("x.s2").alias("s2")), "id", "left")
+    """docs (id, row, ...) with arrays s1 and s2 of their stretches (null without any)."""
+    per_doc = found.groupBy("id", "row").agg(F.collect_list(F.struct("s1", "s2")).alias("x"))
+    return docs.join(per_doc.select("id", "row", F.col("x.s1").alias("s1"), F.col("x.s2").alias("s2")), ["id", "row"], "left")

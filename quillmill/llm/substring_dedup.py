@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm._native import table
-from quillmill.llm._repeats import NO_ID, Plan, covered, repeated_starts, with_stretches
+from quillmill.llm._repeats import NO_ID, Plan, covered, repeated_starts, row_name, with_stretches
 from quillmill.llm._scratch import Scratch
 
 LENGTH = 50
@@ -61,9 +61,10 @@ def substring_dedup(
     scratch = Scratch(docs.sparkSession, "substring")
     inner = {c: f"_k{j}" for j, c in enumerate(keep)}
     rows = docs.select(
-        F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(x) for c, x in inner.items()]
+        F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("id"), row_name(F.col(id_col), F.col(text_col)).alias("row"),
+        F.col(text_col).alias("text"), *[F.col(c).alias(x) for c, x in inner.items()],
     )
-    found = repeated_starts(rows.select("id", "text"), Plan("word", length, gram, "earlier"), scratch)
+    found = repeated_starts(rows.select("id", "row", "text"), Plan("word", length, gram, "earlier"), scratch)
     fields = [T.StructField("id", T.LongType()), *[rows.schema[x] for x in inner.values()]]
     fields += [T.StructField(x, T.LongType()) for x in ("n_words", "n_removed")] + [T.StructField("kept", T.BinaryType())]
     out = with_stretches(rows, found).mapInPandas(_cut(length, list(inner.values())), T.StructType(fields))

@@ -10,7 +10,8 @@ longest common prefix, since deeper order does not change which bytes go.
 
 Defined results: a null text is empty; texts under L bytes keep everything; runs
 never cross documents; overlapping occurrences count; rows that repeat an id
-with the same text are further occurrences of it; a null id is an id; an empty
+with the same text are further occurrences of it; texts without
+an id are told apart by their names; an empty
 table gives an empty result; further columns are ignored unless in ``keep``.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm._native import table
-from quillmill.llm._repeats import NO_ID, Plan, covered, repeated_starts, with_stretches
+from quillmill.llm._repeats import NO_ID, Plan, covered, repeated_starts, row_name, with_stretches
 from quillmill.llm._scratch import Scratch
 
 LENGTH = 200
@@ -63,9 +64,10 @@ def suffix_dedup(
     scratch = Scratch(docs.sparkSession, "suffix")
     inner = {c: f"_k{j}" for j, c in enumerate(keep)}
     rows = docs.select(
-        F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(x) for c, x in inner.items()]
+        F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("id"), row_name(F.col(id_col), F.col(text_col)).alias("row"),
+        F.col(text_col).alias("text"), *[F.col(c).alias(x) for c, x in inner.items()],
     )
-    found = repeated_starts(rows.select("id", "text"), Plan("byte", length, gram, "any"), scratch)
+    found = repeated_starts(rows.select("id", "row", "text"), Plan("byte", length, gram, "any"), scratch)
     fields = [T.StructField("id", T.LongType()), *[rows.schema[x] for x in inner.values()]]
     fields += [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
     out = with_stretches(rows, found).mapInPandas(_cut(length, list(inner.values())), T.StructType(fields))

@@ -1,5 +1,7 @@
 """Suffix and substring dedup against dictionaries of all runs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,17 @@ def test_rows_that_repeat_an_id(spark):
     assert [r[2] for r in substring(frame)] == [0, 0, 0]
 
 
+def test_texts_without_id_are_told_apart(spark):
+    rng = random.Random(8)
+    x, y, z = (" ".join(f"{c}{rng.randrange(10**6)}" for _ in range(120)) for c in "xyz")
+    part = " ".join(z.split()[20:100])
+    rows = [(None, x + " " + part + " " + x[:70]), (None, y), (None, "few words"), (3, y[:40] + " " + part), (4, "t " + x)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert suffix(frame) == sorted(suffix_dedup.brute_force(rows), key=repr)
+    want = substring_dedup.brute_force([(-1 if i is None else i, t) for i, t in rows])
+    assert substring(frame) == sorted(((None if i == -1 else i, *r) for i, *r in want), key=repr)
+
+
 def test_keep_columns(docs):
     got = suffix_dedup.suffix_dedup(docs, keep=["s1", "key"])
     assert got.columns == ["doc_id", "s1", "key", "n_bytes", "n_removed", "n_spans", "kept"]
