@@ -1,12 +1,11 @@
 """Substring dedup: words covered by a window that starts in an earlier document.
 
-Relative Lempel-Ziv parsing against the documents with smaller ids.  Phrases of
-all documents are indexed in reference blocks (one for each anchor gram, see
-``_repeats``), sorted so that a block's first phrase of each kind is its source.
-A document is factored greedily, longest phrase first: a stretch found whole in
-its block is one long factor; at the boundaries, where a stretch is found only
-in part, the single windows are checked against every phrase of the block.
-Factors of a window or more become duplicate spans; adjoining ones join.
+Anchored window hashing against the documents with smaller ids, in place of
+relative Lempel-Ziv parsing: nothing is factored greedily.  Stretches of windows
+of all documents are bucketed by anchor gram (see ``_repeats``), sorted so that a
+bucket's first stretch of each name is its source.  A stretch whose name has an
+earlier source is settled whole; of mixed buckets the single windows are
+compared.  Windows found earlier become duplicate spans; adjoining ones join.
 
 Defined results: null and empty texts have no words; texts under a window keep
 everything; equal ids are one document, which is no source for itself; a null id
