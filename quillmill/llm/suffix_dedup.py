@@ -1,18 +1,17 @@
 """Suffix dedup: bytes covered by a run of L bytes that also starts anywhere else.
 
-Bucket-pointer refinement on a sampled set of suffixes (see ``_repeats``): the
-first buckets hold the suffixes of one q-gram; a bucket is refined by the bucket
-identifiers of what stands at later offsets, and what is settled at one level
-(single suffixes, suffixes equal to the full depth) is never looked at again.
-Identifiers are names derived from content, so they need no global ranking and
-the refinement of a bucket needs nothing from any other.  Depth is L, not the
-longest common prefix, since deeper order does not change which bytes go.
+Anchored hash grouping of a sampled set of suffixes (see ``_repeats``), in place
+of bucket-pointer refinement: buckets hold the suffixes of one q-gram; one hash of
+the whole stretch settles equal ones, and in what is left of mixed buckets hashes
+of single runs of L bytes are compared.  Names are derived from content, so they
+need no global ranking and a bucket needs nothing from any other.  Depth is L,
+not the longest common prefix, since deeper order does not change which bytes go.
 
 Defined results: a null text is empty; texts under L bytes keep everything; runs
 never cross documents; overlapping occurrences count; rows that repeat an id
-with the same text are further occurrences of it; texts without
-an id are told apart by their names; an empty
-table gives an empty result; further columns are ignored unless in ``keep``.
+with the same text are further occurrences of it; texts without an id are told
+apart by their names; an empty table gives an empty result; further columns are
+ignored unless in ``keep``.
 """
 
 from __future__ import annotations
