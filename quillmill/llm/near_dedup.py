@@ -1,24 +1,34 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-In each of ``TREES`` independent trees a document's path is a sequence of
-minwise tokens of its shingles, one for each level.  Documents of one node
-share the path so far.  A small node is compared exhaustively, on full sets; a
-larger one branches on, and one still large at the last depth is compared block
-by block.  A pair of Jaccard similarity J stays together for d levels with
-probability J**d, so at the threshold of 0.8 no tree of ``TREES`` keeps it in a
-node of depth 3 with probability 6e-7.  Deeper nodes take more trees for the same:
-documents of any node too large for its depth are also in ``_trees(d)`` trees of
-the next depth d (48 at depth 6, 127 at depth 10), wherever they were before.
-
-Documents with equal sets are one class, whose smallest id stands for it.  Of
-nodes with the same members one is kept.  Texts go to their nodes, all pairs of
-a node are compared there by products of incidence matrices, and only the
-components of its links leave it, a row for each member at most.
-
-Defined results: null, empty and word-less texts have no shingles and link with
-nothing; a text of fewer words than a shingle is one shingle, the whole
-sequence; rows of one id must have one text, and count once; rows with a null
-id are left out; an empty table gives an empty result; further columns are ignored.
+In each of ``TREES`` independent trees a document begins in the node of its
+first ``DEPTH`` minwise tokens.  A small node is compared exhaustively, on full
+sets.  A larger one is branched on recursively: each node chooses one or two
+further minwise functions by a hash of its own path, and every member goes on to
+the child of its token under each.  So a pair of Jaccard similarity J meets in
+1.5 * J children of a node on average, more than one at the threshold of 0.8,
+and is never lost on the way down with a probability of over 0.62 at any depth:
+all ``TREES`` trees miss a link of exactly 0.8 with probability 6e-7 in small
+first nodes, and below 5e-4 however deep its nodes have to be branched.
+
+What is known is used: documents with equal sets are one class, whose smallest
+id stands for it.  The first ``FIRST`` trees are compared before the others, and
+after each level the links found so far are contracted to components.  A node
+of one component is done; in any other, only members of different components
+are compared.  A node is small if it has at most ``NODE_PAIRS`` such pairs and
+its texts fit a task; the members outside its largest component then meet that
+component block by block, so no task holds more than ``NODE_ROWS`` of it.  In a
+node that branches on, one member of the largest component is compared with all
+others at once, so that groups of near copies contract instead of branching.
+
+Of nodes with the same members one is kept.  What leaves a task are merges of
+components, fewer than its members.
+
+Defined results, one row for each row of the input: null, empty and word-less
+texts have no shingles and link with nothing; a text of fewer words than a
+shingle is one shingle, the whole sequence; rows that repeat an id are one
+document with several texts, whose links are those of any of them; a row without
+an id links with nothing, has no component and is kept; an empty table gives an
+empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import _hashing as H
@@ -37,34 +47,31 @@ from quillmill.llm._scratch import Scratch
 from quillmill.llm._worker import text_batches, tidy
 
 TREES = 20
-#: (depth, largest node compared whole or in blocks there)
-DEPTHS = ((3, 800), (6, 16_000), (10, None))
-#: Documents compared at once; a node of more is compared in pairs of blocks of half so many.
+#: Minwise tokens on the path to a tree's first nodes.
+DEPTH = 3
+#: Trees that are compared before the others.
+FIRST = 4
+#: Minwise functions that larger nodes choose from.
+POOL = 128
+#: Pairs of members of different components that one node compares; nodes of more branch on.
+NODE_PAIRS = 320_000
+#: Members, and shingles, that one task compares at once; a node of FEW members may have longer texts.
 NODE_ROWS = 800
+NODE_UNITS = 4_000_000
+FEW = 8
 #: Columns of an incidence matrix at once.
 COLUMNS = 4096
 #: Members of nodes whose texts are fetched by broadcasting them; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SLICE = 1 << 19
 
-_LAST = DEPTHS[-1][0]
-_PLACES = TREES * _LAST
+_PLACES = TREES * DEPTH
 _RNG = np.random.RandomState(77)
-_XOR = _RNG.randint(0, 2**63 - 1, _PLACES, dtype=np.int64).astype(np.uint64)
-_MULTIPLY = _RNG.randint(0, 2**63 - 1, _PLACES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_XOR = _RNG.randint(0, 2**63 - 1, _PLACES + POOL, dtype=np.int64).astype(np.uint64)
+_MULTIPLY = _RNG.randint(0, 2**63 - 1, _PLACES + POOL, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _trees(depth: int) -> int:
-    """Trees in which a link at the threshold is missed as seldom at this depth as in TREES at the first one."""
-    return int(np.ceil(TREES * np.log1p(-(0.8 ** DEPTHS[0][0])) / np.log1p(-(0.8**depth))))
-
-
-_MORE = _trees(_LAST) * _LAST - _PLACES
-_XOR = np.append(_XOR, _RNG.randint(0, 2**63 - 1, _MORE, dtype=np.int64).astype(np.uint64))
-_MULTIPLY = np.append(_MULTIPLY, _RNG.randint(0, 2**63 - 1, _MORE, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1))
-
-
-def _minwise(flat: np.ndarray, starts: np.ndarray, places: list[int]) -> np.ndarray:
+def _minwise(flat: np.ndarray, starts: np.ndarray, places: range) -> np.ndarray:
     """Of each set, which begin at starts in flat, the minwise tokens of the places."""
     least = np.empty((len(starts), len(places)), np.uint32)
     for j, k in enumerate(places):
@@ -72,7 +79,15 @@ def _minwise(flat: np.ndarray, starts: np.ndarray, places: list[int]) -> np.ndar
         v *= _MULTIPLY[k]
         v >>= np.uint64(32)
         least[:, j] = np.minimum.reduceat(v.astype(np.uint32), starts)
-    return least.view(np.int32)
+    return least
+
+
+def _first_nodes(tokens: np.ndarray) -> np.ndarray:
+    """Names of the first node of each tree, from the tokens of all."""
+    name = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(H.B), (len(tokens), TREES))
+    for level in range(DEPTH):
+        name = H.mix(name * np.uint64(H.B) + tokens[:, level::DEPTH])
+    return name.view(np.int64)
 
 
 def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -94,51 +109,56 @@ def shingles(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
+def _sliced(texts: list[str | None]) -> Iterator[list[int]]:
+    """Indices of texts, about SLICE characters at a time."""
+    at, size = [], 0
+    for j, t in enumerate(texts):
+        at.append(j)
+        size += len(t) if isinstance(t, str) else 0
+        if size >= SLICE:
+            yield at
+            at, size = [], 0
+    if at:
+        yield at
+
+
 def _profile(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at, size, ids, texts = [], 0, pdf["id"].to_numpy(), pdf["text"].tolist()
-            for j, t in enumerate(texts):
-                at.append(j)
-                size += len(t) if isinstance(t, str) else 0
-                if size < SLICE and j + 1 < len(texts):
-                    continue
+            ids, texts = pdf["id"], pdf["text"].tolist()
+            for at in _sliced(texts):
                 sets = shingles([texts[x] for x in at], words)
                 n = np.array([len(s) for s in sets])
                 some = np.flatnonzero(n)
                 sums, mixed = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-                sign: list = [None] * len(at)
+                nodes: list = [None] * len(at)
                 if len(some):
                     flat = np.concatenate([sets[x] for x in some])
                     starts = np.cumsum(n[some]) - n[some]
                     sums[some] = np.add.reduceat(flat, starts)
                     mixed[some] = np.bitwise_xor.reduceat(H.mix(flat + np.uint64(0x5851F42D4C957F2D)), starts)
-                    for x, row in zip(some, _minwise(flat, starts, list(range(_PLACES)))):
-                        sign[x] = row
+                    for x, row in zip(some, _first_nodes(_minwise(flat, starts, range(_PLACES)))):
+                        nodes[x] = row
                 yield pd.DataFrame(dict(
-                    id=ids[at], n=n, s1=sums.view(np.int64), s2=mixed.view(np.int64), sign=pd.Series(sign, dtype=object)
+                    id=ids.iloc[at].to_numpy(), n=n, s1=sums.view(np.int64), s2=mixed.view(np.int64), nodes=pd.Series(nodes, dtype=object)
                 ))
-                at, size = [], 0
 
     return run
 
 
-def _more(words: int, depth: int):
-    """(id, sign): the tokens to this depth in the trees after the first TREES."""
-    places = [t * _LAST + level for t in range(TREES, _trees(depth)) for level in range(depth)]
+def _signs(words: int):
+    """(id, sign): a text's tokens under the functions that larger nodes choose from."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            at, size, ids, texts = [], 0, pdf["id"].to_numpy(), pdf["text"].tolist()
-            for j, t in enumerate(texts):
-                at.append(j)
-                size += len(t)
-                if size < SLICE and j + 1 < len(texts):
-                    continue
+            ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
+            for at in _sliced(texts):
                 sets = shingles([texts[x] for x in at], words)
                 n = np.array([len(s) for s in sets])
-                yield pd.DataFrame(dict(id=ids[at], sign=list(_minwise(np.concatenate(sets), np.cumsum(n) - n, places))))
-                at, size = [], 0
+                some = np.flatnonzero(n)
+                if len(some):
+                    tokens = _minwise(np.concatenate([sets[x] for x in some]), np.cumsum(n[some]) - n[some], range(_PLACES, _PLACES + POOL))
+                    yield pd.DataFrame(dict(id=ids[np.asarray(at)[some]], sign=list(tokens.view(np.int32))))
 
     return run
 
@@ -162,131 +182,215 @@ def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame
         yield pd.concat(held, ignore_index=True)
 
 
-def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two of the sets have in common."""
+def _shared(sets: list[np.ndarray], hubs: int) -> np.ndarray:
+    """How many elements each of the first ``hubs`` sets has in common with every set."""
     n = len(sets)
     size = np.array([len(x) for x in sets])
-    flat, row = np.concatenate(sets), np.repeat(np.arange(n), size)
+    flat = np.concatenate(sets)
+    if hubs <= FEW:
+        starts, out = np.cumsum(size) - size, np.empty((hubs, n), np.int64)
+        for i in range(hubs):
+            at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+            out[i] = np.add.reduceat((sets[i][at] == flat).astype(np.int64), starts)
+        return out
+    row = np.repeat(np.arange(n), size)
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
     column = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1
     often = np.bincount(column)[column] > 1  # the others are in no intersection
     column, row = column[often], row[often]
-    out = np.diag(size).astype(np.int64)
-    off = ~np.eye(n, dtype=bool)
+    out = np.zeros((hubs, n), np.int64)
     if len(column):
         column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
         cuts = np.searchsorted(column, np.arange(0, column[-1] + 1, COLUMNS))
         for a, b in zip(cuts, [*cuts[1:], len(column)]):
             m = np.zeros((n, COLUMNS), np.float32)
             m[row[a:b], column[a:b] % COLUMNS] = 1
-            out += (m @ m.T).astype(np.int64) * off
+            out += (m[:hubs] @ m.T).astype(np.int64)
     return out
 
 
-def _linked(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(id, least id) for the components of the links among the sets, without the least themselves."""
+def _merged(part: np.ndarray, sets: list[np.ndarray], hubs: int, percent: int) -> list[tuple[int, int]]:
+    """(component, lesser component) for what links between the first ``hubs`` sets and all sets join."""
     size = np.array([len(x) for x in sets])
-    if len(ids) == 2:
+    if len(sets) == 2:
+        if part[0] == part[1]:
+            return []
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(ids.max(), ids.min())] if 100 * both >= percent * (size.sum() - both) else []
-    both = _shared(sets)
-    link = 100 * both >= percent * (size[:, None] + size - both)
-    out, left = [], np.ones(len(ids), bool)
-    for i in np.argsort(ids):
-        if left[i]:
-            reach = link[i] & left
-            seen = np.zeros(len(ids), bool)
-            seen[i] = True
-            while (fresh := reach & ~seen).any():
-                seen |= fresh
-                reach = link[fresh].any(0) & left
-            left &= ~seen
-            out += [(j, ids[i]) for j in ids[seen] if j != ids[i]]
-    return out
+        return [(part.max(), part.min())] if 100 * both >= percent * (size.sum() - both) else []
+    own, at = np.unique(part, return_inverse=True)
+    both = _shared(sets, hubs)
+    link = (100 * both >= percent * (size[:hubs, None] + size - both)) & (part[:hubs, None] != part)
+    r, c = np.nonzero(link)
+    top = np.arange(len(own))
+    while True:  # each component takes the least name it is linked with
+        now = top.copy()
+        np.minimum.at(now, at[r], top[at[c]])
+        np.minimum.at(now, at[c], top[at[r]])
+        now = now[now]
+        if (now == top).all():
+            break
+        top = now
+    return [(own[i], own[j]) for i, j in enumerate(top) if i != j]
 
 
 def _compared(words: int, percent: int):
+    """Over rows sorted by block and role: hubs (role 0) are compared with all of their block."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _grouped(batches, "node"):
-            node, ids, texts = pdf["node"].to_numpy(), pdf["id"].to_numpy(), pdf["text"].tolist()
-            at = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-            found, sets, size = [], {}, 0
-            ends = [*at[1:].tolist(), len(node)]
-            first = 0
-            for k, (a, b) in enumerate(zip(at.tolist(), ends)):
-                size += sum(len(t) for t in texts[a:b])
-                if size < SLICE and b < len(node):
+        for pdf in _grouped(batches, "block"):
+            block, part, role, texts = (pdf[c].to_numpy() for c in ("block", "part", "role", "text"))
+            ends = [*(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            found, first, size, held = [], 0, 0, []
+            for begin, end in zip([0, *ends], ends):
+                held.append((begin, end))
+                size += sum(map(len, texts[begin:end]))
+                if size < SLICE and end < len(block):
                     continue
-                sets = shingles(texts[at[first] : b], words)
-                for x, y in zip(at[first : k + 1].tolist(), ends[first : k + 1]):
-                    found += _linked(ids[x:y], sets[x - at[first] : y - at[first]], percent)
-                first, size = k + 1, 0
+                sets = shingles(texts[first:end].tolist(), words)
+                for a, b in held:
+                    found += _merged(part[a:b], sets[a - first : b - first], int((role[a:b] == 0).sum()), percent)
+                first, size, held = end, 0, []
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
 
     return run
 
 
-def _nodes(reps: DataFrame, rows: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """(node, id): the nodes of all trees to compare, one of those with the same members."""
-    levels = [F.xxhash64(F.lit(d), F.col("t"), F.slice("sign", F.col("t") * _LAST + 1, d)).alias(f"p{d}") for d, _ in DEPTHS]
-    left = reps.select("id", "sign", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("t")).select("id", *levels)
-    found = wide = None
-    for d, most in DEPTHS:
-        p = f"p{d}"
-        all_ = left.select("id", p)
-        if wide is not None:
-            own = rows.join(wide, "id", "left_semi").dropDuplicates(["id"]).select("id", "text")
-            own = own.mapInPandas(tidy(_more(words, d)), "id long, sign array<int>")
-            own = own.select("id", "sign", F.explode(F.sequence(F.lit(TREES), F.lit(_trees(d) - 1))).alias("t"))
-            own = own.select("id", F.xxhash64(F.lit(d), F.col("t"), F.slice("sign", (F.col("t") - TREES) * d + 1, d)).alias(p))
-            all_ = all_.union(scratch.put(own, f"more{d}"))
-        sizes = all_.groupBy(p).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
-        here = sizes if most is None else sizes.filter(F.col("n") <= most)
-        here = here.groupBy("n", "who").agg(F.min(p).alias(p))
-        member = all_.join(here.select(p, "n"), p).select(F.col(p).alias("node"), "n", "id")
-        found = member if found is None else found.union(member)
-        if most is not None:
-            large = scratch.put(sizes.filter(F.col("n") > most).select(p), f"large{d}")
-            if not large.limit(1).count():
-                break
-            # Members of any large node are in all trees of the next depth.
-            wide = scratch.put(all_.join(large, p).select("id").distinct(), f"wide{d}")
-            left = left.join(large, p)
-    # A large node's pairs of blocks: every two members meet in one of them.
-    blocks = F.ceil(F.col("n") * 2 / NODE_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.xxhash64("node", F.least(k, own), F.greatest(k, own)))
-    return found.select("id", F.explode(F.when(F.col("n") <= NODE_ROWS, F.array("node")).otherwise(pairs)).alias("node"))
+def _with_part(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """rows (id, ...) with ``part``, the component known so far."""
+    if parts is None:
+        return rows.withColumn("part", F.col("id"))
+    return rows.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+
+
+def _shapes(member: DataFrame) -> DataFrame:
+    """Of each node with several components: what to do with it.
+
+    member: (node, id, units, part).  n and c are the members of the node and of its
+    largest component ``big``, more and most their shingles; lead is a member of big.
+    """
+    each = member.groupBy("node", "part").agg(F.count("*").alias("c"), F.sum("units").alias("u"), F.min("id").alias("lead"))
+    whole = each.groupBy("node").agg(
+        F.sum("c").alias("n"), F.sum("u").alias("units"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max(F.struct("c", "part", "lead", "u")).alias("big")
+    ).filter("n > big.c")
+    whole = whole.select("node", "n", "units", F.expr("(n * n - squares) div 2").alias("pairs"), F.expr("units - big.u").alias("outside"), "big")
+    one = (F.col("n") <= NODE_ROWS) & (F.col("units") <= NODE_UNITS) | (F.col("n") <= FEW)
+    fits = one | (F.col("n") > NODE_ROWS) & (F.col("outside") <= NODE_UNITS)
+    small = fits & (F.col("pairs") <= NODE_PAIRS)
+    # Where all are hubs there is one block; else those of big, or all the others of a node that branches on, are dealt out.
+    dealt = F.when(small, F.col("big.c")).otherwise(F.col("n") - F.col("big.c"))
+    weight = F.when(small, F.col("big.u")).otherwise(F.col("outside"))
+    blocks = F.when(small & one, 1).otherwise(F.ceil(F.greatest(dealt / NODE_ROWS, weight / NODE_UNITS)).cast("int"))
+    return whole.select("node", small.alias("small"), (small & one).alias("one"), blocks.alias("blocks"), F.col("big.part").alias("big"), F.col("big.lead").alias("lead"))
+
+
+def _tasks(member: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(block, role, id, part): what is compared with what."""
+    rows = member.join(shapes, "node")
+    in_big = F.col("part") == F.col("big")
+    hub = F.col("one") | F.col("small") & ~in_big | ~F.col("small") & (F.col("id") == F.col("lead"))
+    spoke = F.when(F.col("small"), in_big).otherwise(~in_big)
+    rows = rows.filter(hub | spoke).withColumn("role", F.when(hub, 0).otherwise(1))
+    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("b", F.explode(F.when(hub, all_blocks).otherwise(own)))
+    return rows.select(F.xxhash64("node", "b").alias("block"), "role", "id", "part")
+
+
+def _children(member: DataFrame, large: DataFrame, signs: DataFrame) -> DataFrame:
+    """(node, id, units): the members of large nodes in the children that these choose."""
+    rows = member.join(large, "node").select("node", "id", "units").join(signs, "id")
+
+    def child(place: Column) -> Column:
+        return F.xxhash64("node", place, F.get("sign", place))
+
+    one = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(POOL)).cast("int")
+    two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(POOL - 1)), F.lit(POOL)).cast("int")
+    both = F.when(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(2)) == 0, F.array(child(one), child(two))).otherwise(F.array(child(one)))
+    return rows.select(F.explode(both).alias("node"), "id", "units")
+
+
+def _links(reps: DataFrame, rows: DataFrame, links: DataFrame | None, words: int, percent: int, scratch: Scratch) -> DataFrame | None:
+    """(id, component) of what is linked.
+
+    reps: (id, units, nodes); rows: (id, text); links: (a, b) known before, if any id has several texts.
+    """
+    parts_n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def few(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+    def first_nodes(a: int, b: int) -> DataFrame:
+        return reps.select(F.explode(F.slice("nodes", a + 1, b - a)).alias("node"), "id", "units")
+
+    parts = signs = signed = None
+    again = links is not None
+    if again:
+        parts = components(links, scratch, "star-")
+    place, waiting, level = first_nodes(0, FIRST), True, 0
+    while place is not None:
+        if again:  # an id may be in a node with several of its texts
+            place = place.groupBy("node", "id").agg(F.max("units").alias("units"))
+        sizes = place.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
+        here = sizes.groupBy("n", "who").agg(F.min("node").alias("node")).select("node")
+        member = scratch.put(_with_part(place.join(here, "node"), parts), f"member{level}")
+        shapes = scratch.put(_shapes(member), f"shapes{level}")
+        tasks = scratch.put(_tasks(member, shapes), f"tasks{level}")
+        placed = rows.join(few(tasks), "id").repartition(parts_n, "block").sortWithinPartitions("block", "role", "id")
+        found = scratch.put(placed.mapInPandas(tidy(_compared(words, percent)), "a long, b long").distinct(), f"links{level}")
+        large = shapes.filter(~F.col("small")).select("node")
+        place = None
+        if large.limit(1).count():
+            wide = member.join(large, "node", "left_semi").select("id").distinct()
+            if signed is not None:
+                wide = wide.join(signed, "id", "left_anti")
+            wide = scratch.put(wide, f"wide{level}")
+            if wide.limit(1).count():
+                own = rows.join(few(wide), "id", "left_semi").mapInPandas(tidy(_signs(words)), "id long, sign array<int>")
+                own = scratch.put(own, f"signs{level}")
+                signs, signed = (own, wide) if signs is None else (signs.union(own), signed.union(wide))
+            place = _children(member, large, signs)
+        if waiting:
+            rest = first_nodes(FIRST, TREES)
+            place, waiting = rest if place is None else place.union(rest), False
+        if found.limit(1).count():
+            links = found if links is None else links.union(found)
+            parts = components(links, scratch, f"star{level}-")
+        level += 1
+    return parts
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80
 ) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each id of docs."""
+    """(id, n_shingles, component_id, kept) for each row of docs."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark, "near")
     text_batches(spark)
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = scratch.put(rows.mapInPandas(tidy(_profile(words)), "id long, n long, s1 long, s2 long, sign array<int>"), "profile")
-    sets = profile.select("id", "n", "s1", "s2").distinct()
-    classes = sets.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    members = scratch.put(sets.join(classes, ["n", "s1", "s2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "members")
-    reps = members.filter("n > 0 AND id = rep").select("id")
-
-    signs = scratch.put(profile.select("id", "sign").dropDuplicates(["id"]).join(reps, "id"), "signs")
-    nodes = scratch.put(_nodes(signs, rows, words, scratch), "nodes")
-    if nodes.count() <= BROADCAST_ROWS:
-        nodes = F.broadcast(nodes)
-    placed = rows.dropDuplicates(["id"]) if rows.count() > sets.count() else rows
-    placed = placed.join(nodes, "id").repartition(parts, "node").sortWithinPartitions("node", "id")
-    links = scratch.put(placed.mapInPandas(tidy(_compared(words, percent)), "a long, b long").distinct(), "links")
-    found = components(links, scratch)
-    named = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    profile = scratch.put(rows.mapInPandas(tidy(_profile(words)), "id long, n long, s1 long, s2 long, nodes array<long>"), "profile")
+    known = profile.filter("id IS NOT NULL AND n > 0")
+    classes = known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    members = scratch.put(profile.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "members")
+    # The texts of an id are one document: its classes belong together.
+    several = members.filter("id IS NOT NULL AND n > 0").groupBy("id").count().filter("count > 1").select("id")
+    several = scratch.put(members.join(several, "id", "left_semi").select("id", "rep").distinct(), "several")
+    own = rows.filter("id IS NOT NULL AND text IS NOT NULL")
+    reps = known.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi")
+    reps = reps.select("id", F.col("n").alias("units"), "nodes")
+    again = bool(several.limit(1).count())
+    if again:
+        own, reps = own.dropDuplicates(["id", "text"]), reps.dropDuplicates(["id", "nodes"])
+    known_links = several.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")) if again else None
+    found = _links(scratch.put(reps, "reps"), own, known_links, words, percent, scratch)
+    if found is None:
+        named = members.withColumn("component", F.lit(None).cast("long"))
+    else:
+        named = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     named = named.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    return named.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return named.select(F.col("id").alias(id_col), "n_shingles", "component_id", kept.alias("kept"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

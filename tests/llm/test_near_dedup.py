@@ -9,36 +9,78 @@ from quillmill.llm._components import components
 from quillmill.llm._scratch import Scratch
 
 
+def found(frame, words=2):
+    return sorted((tuple(r) for r in near_dedup.near_duplicates(frame, words=words).collect()), key=repr)
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_equals_all_pairs(docs, texts, words):
-    got = sorted(tuple(r) for r in near_dedup.near_duplicates(docs, words=words).collect())
-    assert got == sorted(near_dedup.brute_force(texts, words))
+    assert found(docs, words) == sorted(near_dedup.brute_force(texts, words), key=repr)
+
+
+@pytest.mark.parametrize("limits", [dict(NODE_ROWS=2, NODE_PAIRS=1), dict(NODE_ROWS=3), dict(NODE_UNITS=1, FEW=1), dict(NODE_ROWS=2, NODE_PAIRS=3, FIRST=20), dict(BROADCAST_ROWS=-1)])
+def test_limits_change_nothing(docs, texts, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    assert found(docs) == sorted(near_dedup.brute_force(texts), key=repr)
 
 
-def test_large_nodes_are_compared_in_blocks(docs, texts, monkeypatch):
-    monkeypatch.setattr(near_dedup, "DEPTHS", ((3, 2), (6, 3), (10, None)))
-    monkeypatch.setattr(near_dedup, "NODE_ROWS", 2)
-    got = sorted(tuple(r) for r in near_dedup.near_duplicates(docs, words=2).collect())
-    assert got == sorted(near_dedup.brute_force(texts))
+def pairs_at_the_threshold(n, shared=0):
+    """n pairs of documents with a similarity of exactly 0.8, all with ``shared`` pairs of words in common."""
+    rows = []
+    for k in range(n):
+        common = [f"boiler{j}" for j in range(shared)] + [f"w{k}x{j}" for j in range(81 - shared)]
+        rows += [(2 * k + c, " ".join(common + [f"e{k}x{j}x{c}" for j in range(10)])) for c in range(2)]
+    return rows
 
 
-def test_links_at_the_threshold_are_found_in_deep_nodes(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "DEPTHS", ((3, 1), (6, 1), (10, None)))
-    texts = []
-    for k in range(200):  # 80 of 100 pairs of words are in both
-        common = [f"w{k}x{j}" for j in range(81)]
-        texts += [(2 * k + c, " ".join(common + [f"e{k}x{j}x{c}" for j in range(10)])) for c in range(2)]
-    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words=2).collect()
-    assert sorted(tuple(r) for r in got) == sorted((i, 90, i - i % 2, i % 2 == 0) for i, _ in texts)
+@pytest.mark.parametrize("shared", [0, 60])
+def test_links_at_the_threshold_are_found_in_branched_nodes(spark, monkeypatch, shared):
+    """Every node is branched on until it holds a pair; with boilerplate, unlike documents share most of their nodes for long."""
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 4)
+    monkeypatch.setattr(near_dedup, "NODE_PAIRS", 6)
+    monkeypatch.setattr(near_dedup, "FEW", 2)
+    rows = pairs_at_the_threshold(150, shared)
+    got = found(frame(spark, rows))
+    links = sum(c == i - 1 for i, _, c, _ in got if i % 2)
+    assert links >= 0.99 * 150 and all(c in (i, i - 1) for i, _, c, _ in got)
+
+
+def test_a_large_group_of_near_copies_contracts(spark, monkeypatch):
+    """Copies of one text in one node of far more pairs than a task takes, and a link that only one of them has."""
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 20)
+    monkeypatch.setattr(near_dedup, "NODE_PAIRS", 200)
+    base = [f"w{j}" for j in range(100)]
+    rows = [(k, " ".join(base[:k] + [f"own{k}"] + base[k + 1 :])) for k in range(1, 90)]
+    rows += [(500, " ".join(base[:1] + ["own1"] + base[2:88] + [f"tail{j}" for j in range(12)]))]
+    rows += [(600 + k, " ".join(base[:60] + [f"other{k}x{j}" for j in range(40)])) for k in range(30)]
+    assert found(frame(spark, rows)) == sorted(near_dedup.brute_force(rows), key=repr)
 
 
 def test_empty_table(empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
-def test_null_ids_are_left_out_and_equal_rows_count_once(spark):
-    frame = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (9, "A B C")], "doc_id long, text string")
-    assert sorted(tuple(r) for r in near_dedup.near_duplicates(frame, words=2).collect()) == [(4, 2, 4, True), (9, 2, 4, False)]
+def test_nothing_linked(spark):
+    assert found(frame(spark, [(1, "a b c"), (2, "d e f")])) == [(1, 2, 1, True), (2, 2, 2, True)]
+
+
+def test_rows_without_id_and_rows_that_repeat_one(spark):
+    rows = [(None, "a b c"), (None, None), (4, "a b c"), (4, "a b c"), (9, "A B C"), (9, "q r s t"), (12, "q r s t"), (20, "u v"), (20, "x y z"), (31, "x y z"), (31, "u v")]
+    want = [(None, 2, None, True), (None, 0, None, True), (4, 2, 4, True), (4, 2, 4, True), (9, 2, 4, False), (9, 3, 4, False), (12, 3, 4, False)]
+    want += [(20, 1, 20, True), (20, 2, 20, True), (31, 2, 20, False), (31, 1, 20, False)]
+    assert found(frame(spark, rows)) == sorted(want, key=repr)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(4)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-20_000])), (3, " ".join(long[:1000]))]
+    assert [r[2] for r in found(frame(spark, rows), words=5)] == [1, 1, 3]
 
 
 def test_components_of_chains_and_stars(spark):
