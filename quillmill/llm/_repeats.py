@@ -1,6 +1,6 @@
-"""Where runs of L units occur again: sampled suffixes, and buckets refined by content names.
+"""Where runs of L units occur again: sampled suffixes in q-gram buckets.
 
-A unit is a byte or a word.  Of the k-grams in a run of L units the one with the
+A unit is a byte or a word.  Of the q-grams in a run of L units the one with the
 smallest hash (the rightmost of equals) is its anchor.  Equal runs have equal
 anchors at the same offset, so only runs with one anchor gram need comparing,
 and a stretch of starts that share an anchor is one row:
@@ -9,14 +9,17 @@ and a stretch of starts that share an anchor is one row:
            (hash) of all the units its runs touch; equal names met in one batch
            are settled there, so thousands of copies do not all travel
   settle   anchors are bucketed by gram; in a bucket sorted by name, rows of one
-           name are settled; a bucket with one name is left; of each name in a
+           name are settled; a bucket with one name is done; of each name in a
            mixed bucket one row goes on.  Heavy buckets are spread by name
-  refine   for those rows only, the text of the stretch is fetched and runs are
-           compared one by one; buckets too large for memory are compared by a
-           grouped count instead
+  compare  for those rows only, the text of the stretch is fetched and every
+           suffix in it is refined with the others of its bucket: by
+           ``suffix_dedup`` through bucket pointers, by ``substring_dedup`` through
+           an index of the bucket; buckets too large for a task are refined by
+           grouped counts instead, level by level
 
 Two modes: ``any`` (a run occurs anywhere else) and ``earlier`` (it occurs in a
-document with a smaller id).  Nothing is collected: buckets are streamed.
+document with a smaller id; the source goes along).  Nothing is collected:
+buckets are streamed.
 """
 
 from __future__ import annotations
@@ -26,11 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm import _hashing as H
 from quillmill.llm._scratch import Scratch
+from quillmill.llm._worker import text_batches, tidy
 
 #: Starts of runs handled at once; longer documents are cut into stretches that overlap.
 SLICE = 1 << 19
@@ -44,9 +48,17 @@ BROADCAST_ROWS = 1_000_000
 NO_ID = int(np.iinfo(np.int64).min)
 
 
-def row_name(id_: Column, text: Column) -> Column:
-    """Tells apart the texts without an id; 0 where there is one."""
-    return F.when(id_.isNull(), F.xxhash64(text)).otherwise(F.lit(0).cast("long"))
+def named_rows(docs: DataFrame, id_col: str, text_col: str, keep: dict[str, str], scratch: Scratch) -> DataFrame:
+    """(id, row, text, *keep): ``row`` tells apart texts without an id and those that share one; elsewhere it is 0."""
+    id_, text = F.col(id_col), F.col(text_col)
+    rows = docs.select(F.coalesce(id_.cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), *[F.col(c).alias(x) for c, x in keep.items()])
+    again = scratch.put(rows.groupBy("id").count().filter("count > 1").select("id"), "again")
+    n = again.count()
+    if not n:
+        return rows.withColumn("row", F.lit(0).cast("long"))
+    again = again.withColumn("_again", F.lit(True))
+    rows = rows.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, "id", "left")
+    return rows.withColumn("row", F.when(F.col("_again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))).drop("_again")
 
 
 @dataclass(frozen=True)
@@ -125,8 +137,11 @@ def _anchors(x: np.ndarray, first: np.ndarray, plan: Plan):
     return t, a - base, s1 - base, s2 - base, grams[a].view(np.int64), name.view(np.int64)
 
 
-_SAMPLE = "id long, row long, a int, s1 int, s2 int, key long, name long, many boolean, state int"
-_SPOT = "id long, row long, a int, s1 int, s2 int, key long, many boolean, state int"
+_SAMPLE = "id long, row long, a int, s1 int, s2 int, key long, name long, many boolean, state int, src long, src_s int"
+_SPOT = "id long, row long, a int, s1 int, s2 int, key long, many boolean, state int, src long, src_s int"
+_PIECE = "id long, row long, a int, s1 int, s2 int, key long, many boolean, piece binary"
+#: A stretch of starts found again, in ``earlier`` mode with its source.
+FOUND = "id long, row long, s1 int, s2 int, src long, src_s int"
 #: state: a row to be bucketed, a settled stretch of starts, or a row to be refined
 OPEN, SETTLED, REFINE = 0, 1, 2
 
@@ -155,7 +170,10 @@ def _sample(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFr
             state = np.where(new, OPEN, SETTLED)
             if plan.mode == "earlier":  # the same document does not count
                 state = np.where(i == np.repeat(i[at], size), np.where(new, OPEN, -1), SETTLED)
-            frame = pd.DataFrame(dict(id=i, row=r, a=a, s1=s1, s2=s2, key=key, name=name, many=many, state=state))
+            frame = pd.DataFrame(dict(id=i, row=r, a=a, s1=s1, s2=s2, key=key, name=name, many=many, state=state, src=0, src_s=0))
+            if plan.mode == "earlier":
+                there = state == SETTLED
+                frame["src"], frame["src_s"] = np.where(there, np.repeat(i[at], size), 0), np.where(there, np.repeat(s1[at], size), 0)
             yield frame[frame["state"] >= 0]
             if plan.mode == "earlier":
                 # A later stretch of the first document is no source, but may be settled elsewhere.
@@ -197,9 +215,13 @@ def _settle(plan: Plan, heavy: bool) -> Callable[[Iterator[pd.DataFrame]], Itera
                 refine = (names > 1) & ~settled
             told, sent = now["told"].to_numpy(bool), now["sent"].to_numpy(bool)
             out = now[["id", "row", "a", "s1", "s2", "key"]].assign(many=many)
-            for rows, state in ((settled & ~told, SETTLED), (refine & ~sent, REFINE)):
-                if rows.any():
-                    yield out[rows].assign(state=state)
+            done = settled & ~told
+            if done.any():
+                lead = np.repeat(at, size)[done]
+                from_, from_s = (i[lead], now["s1"].to_numpy()[lead]) if plan.mode == "earlier" else (0, 0)
+                yield out[done].assign(state=SETTLED, src=from_, src_s=from_s)
+            if (refine & ~sent).any():
+                yield out[refine & ~sent].assign(state=REFINE, src=0, src_s=0)
             now = now.assign(many=many, told=told | settled, sent=sent | refine)
             tail, last = key_at[-1], at[-1]
             keep = [last] if heavy or tail == last else [tail, last]
@@ -234,17 +256,11 @@ def _contexts(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
     return run
 
 
-def _names(pdf: pd.DataFrame, plan: Plan):
-    """For all runs of all rows: row, start, and name (offset to the anchor included)."""
-    s1, s2 = pdf["s1"].to_numpy(np.int64), pdf["s2"].to_numpy(np.int64)
-    n = s2 - s1 + 1
-    x, first, *_ = _elements([bytes(b) for b in pdf["piece"]], plan)
+def _runs(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Row and offset of every run of all rows."""
+    n = (pdf["s2"] - pdf["s1"] + 1).to_numpy(np.int64)
     row = np.repeat(np.arange(len(pdf)), n)
-    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = first[row] + off
-    h = H.runs(H.prefix(x), at, at + plan.length)
-    back = (pdf["a"].to_numpy(np.int64) - s1)[row] - off
-    return row, s1[row] + off, H.mix(h + back.astype(np.uint64))
+    return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _merge(i: np.ndarray, r: np.ndarray, s: np.ndarray) -> pd.DataFrame:
@@ -252,28 +268,11 @@ def _merge(i: np.ndarray, r: np.ndarray, s: np.ndarray) -> pd.DataFrame:
     new = np.ones(len(i), bool)
     new[1:] = (i[1:] != i[:-1]) | (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)
     at = np.flatnonzero(new)
-    return pd.DataFrame(dict(id=i[at], row=r[at], s1=s[at], s2=s[np.append(at[1:], len(s)) - 1]))
-
-
-def _refine(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Over rows sorted by key, buckets of at most BUCKET_ROWS rows each."""
-
-    def compare(pdf):
-        row, s, h = _names(pdf, plan)
-        i, r = pdf["id"].to_numpy()[row], pdf["row"].to_numpy()[row]
-        order = np.lexsort((i, h))
-        new = np.ones(len(h), bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        at = np.flatnonzero(new)
-        size = np.diff(np.append(at, len(h)))
-        if plan.mode == "any":
-            dup = np.repeat(size > 1, size) & ~pdf["many"].to_numpy(bool)[row][order]
-        else:
-            dup = i[order] > np.repeat(i[order][at], size)
-        hit = order[dup]
-        if len(hit):
-            hit = hit[np.lexsort((s[hit], r[hit], i[hit]))]
-            yield _merge(i[hit], r[hit], s[hit])
+    return pd.DataFrame(dict(id=i[at], row=r[at], s1=s[at], s2=s[np.append(at[1:], len(s)) - 1], src=0, src_s=0))
+
+
+def _by_bucket(compare: Callable[[pd.DataFrame], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """compare() over whole buckets, from rows sorted by key; buckets are of at most BUCKET_ROWS rows."""
 
     def run(batches):
         held = None
@@ -304,49 +303,68 @@ def _parts(key: np.ndarray) -> Iterator[slice]:
         at = end
 
 
-def _explode_names(plan: Plan) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _explode(plan: Plan, depths: list[int]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """One row for each run of a bucket too large for a task, with its bucket identifiers at all depths."""
+
     def run(batches):
         for pdf in batches:
-            for a in range(0, len(pdf), 4000):
-                part = pdf.iloc[a : a + 4000]
-                row, s, h = _names(part, plan)
-                yield pd.DataFrame(dict(id=part["id"].to_numpy()[row], row=part["row"].to_numpy()[row], s=s, name=h.view(np.int64), many=part["many"].to_numpy(bool)[row]))
+            for at in range(0, len(pdf), 4000):
+                part = pdf.iloc[at : at + 4000]
+                row, off = _runs(part)
+                x, first, *_ = _elements([bytes(b) for b in part["piece"]], plan)
+                p, begin = H.prefix(x), first[row] + off
+                ids = np.stack([H.runs(p, begin, begin + d).view(np.int64) for d in depths], 1)
+                yield pd.DataFrame(dict(
+                    id=part["id"].to_numpy()[row], row=part["row"].to_numpy()[row], s=part["s1"].to_numpy()[row] + off,
+                    key=part["key"].to_numpy()[row], ids=list(ids), many=part["many"].to_numpy(bool)[row],
+                ))
 
     return run
 
 
-def repeated_starts(docs: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
-    """(id, row, s1, s2): stretches of starts of runs that occur again.  docs: (id long, row long, text string)."""
+def _large(pieces: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
+    """Refinement of buckets too large for a task: at each depth, suffixes alone in their bucket are left out."""
+    depths = [plan.gram]
+    while depths[-1] < plan.length:
+        depths.append(min(2 * depths[-1], plan.length))
+    runs = pieces.mapInPandas(_explode(plan, depths), "id long, row long, s int, key long, ids array<long>, many boolean")
+    for level in range(len(depths)):
+        runs = scratch.put(runs.withColumn("at", F.get("ids", F.lit(level))), f"runs{level}")
+        held = runs.groupBy("key", "at").agg(F.count("*").alias("n"), F.min("id").alias("lead")).filter("n > 1")
+        runs = runs.join(held, ["key", "at"])
+        if level < len(depths) - 1:
+            runs = runs.drop("at", "n", "lead")
+    again = runs.filter(~F.col("many") if plan.mode == "any" else F.col("id") > F.col("lead"))
+    return again.select("id", "row", F.col("s").alias("s1"), F.col("s").alias("s2"), F.col("lead").alias("src"), F.lit(None).cast("int").alias("src_s"))
+
+
+def repeated_starts(docs: DataFrame, plan: Plan, compare: Callable[[pd.DataFrame], Iterator[pd.DataFrame]], scratch: Scratch) -> DataFrame:
+    """FOUND: stretches of starts of runs that occur again.  docs: (id long, row long, text string)."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sample = scratch.put(docs.mapInPandas(_sample(plan), _SAMPLE), "sample")
-    bucketed = sample.filter(F.col("state") == OPEN)
+    text_batches(docs.sparkSession)
+    sample = scratch.put(docs.mapInPandas(tidy(_sample(plan)), _SAMPLE), "sample")
+    bucketed = sample.filter(F.col("state") == OPEN).drop("state", "src", "src_s")
     heavy = scratch.put(bucketed.groupBy("key").count().filter(F.col("count") > HEAVY_ROWS).select("key"), "heavy")
     if heavy.count() <= BROADCAST_ROWS:
         heavy = F.broadcast(heavy)
     order = ("key", "name", "id", "a")
     light = bucketed.join(heavy, "key", "left_anti").repartition(n, "key").sortWithinPartitions(*order)
     spread = bucketed.join(heavy, "key", "left_semi").repartition(n, "key", "name").sortWithinPartitions(*order)
-    spots = light.mapInPandas(_settle(plan, False), _SPOT).union(spread.mapInPandas(_settle(plan, True), _SPOT))
+    spots = light.mapInPandas(tidy(_settle(plan, False)), _SPOT).union(spread.mapInPandas(tidy(_settle(plan, True)), _SPOT))
     spots = scratch.put(spots, "spots")
     todo = spots.filter(F.col("state") == REFINE)
     per_doc = todo.groupBy("id", "row").agg(F.collect_list(F.struct("a", "s1", "s2", "key", "many")).alias("x")).select(
         "id", "row", *[F.col(f"x.{c}").alias(c) for c in ("a", "s1", "s2", "key", "many")]
     )
-    pieces = scratch.put(
-        docs.join(per_doc, ["id", "row"]).mapInPandas(_contexts(plan), "id long, row long, a int, s1 int, s2 int, key long, many boolean, piece binary"),
-        "pieces",
-    )
+    pieces = scratch.put(docs.join(per_doc, ["id", "row"]).mapInPandas(tidy(_contexts(plan)), _PIECE), "pieces")
     large = scratch.put(pieces.groupBy("key").count().filter(F.col("count") > BUCKET_ROWS).select("key"), "large")
     small = pieces.join(large, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key")
-    found = small.mapInPandas(_refine(plan), "id long, row long, s1 int, s2 int")
-    done = [x.filter(F.col("state") == SETTLED).select("id", "row", "s1", "s2") for x in (sample, spots)]
+    found = small.mapInPandas(tidy(_by_bucket(compare)), FOUND)
+    columns = [c.split()[0] for c in FOUND.split(", ")]
+    done = [x.filter(F.col("state") == SETTLED).select(*columns) for x in (sample, spots)]
     out = done[0].union(done[1]).union(found)
     if large.limit(1).count():
-        runs = pieces.join(large, "key", "left_semi").mapInPandas(_explode_names(plan), "id long, row long, s int, name long, many boolean")
-        seen = runs.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("lead"))
-        runs = runs.join(seen.filter(F.col("n") > 1), "name")
-        again = runs.filter(~F.col("many") if plan.mode == "any" else F.col("id") > F.col("lead"))
-        out = out.union(again.select("id", "row", F.col("s").alias("s1"), F.col("s").alias("s2")))
+        out = out.union(_large(pieces.join(large, "key", "left_semi"), plan, scratch).select(*columns))
     return out
 
 

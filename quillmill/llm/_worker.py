@@ -10,10 +10,10 @@ from collections.abc import Callable, Hashable, Iterator
 
 from pyspark.sql import SparkSession
 
-#: Rows of long texts that go to Python at once; Spark's default suits short rows.
-BATCH_ROWS = 1000
-_DEFAULT_ROWS = "10000"
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes that go to Python at once.
+BATCH_BYTES = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DEFAULT_BYTES = "67108864b"
 _HELD: dict[Hashable, object] = {}
 
 
@@ -51,6 +51,6 @@ def tidy(run: Callable[[Iterator], Iterator], keep: bool = False) -> Callable[[I
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Smaller Arrow batches in this session, unless it has a size of its own."""
-    if spark.conf.get(_ROWS) == _DEFAULT_ROWS:
-        spark.conf.set(_ROWS, BATCH_ROWS)
+    """Smaller Arrow batches in this session, from here on, unless it has a size of its own: long texts are bounded by bytes."""
+    if spark.conf.get(_BYTES) == _DEFAULT_BYTES:
+        spark.conf.set(_BYTES, f"{BATCH_BYTES}b")

@@ -1,23 +1,27 @@
-"""Suffix dedup: bytes covered by a run of L bytes that also starts anywhere else.
+"""Suffix dedup by bucket-pointer refinement: bytes covered by a run of L bytes that also starts anywhere else.
 
-Anchored hash grouping of a sampled set of suffixes (see ``_repeats``), in place
-of bucket-pointer refinement: buckets hold the suffixes of one q-gram; one hash of
-the whole stretch settles equal ones, and in what is left of mixed buckets hashes
-of single runs of L bytes are compared.  Names are derived from content, so they
-need no global ranking and a bucket needs nothing from any other.  Depth is L,
-not the longest common prefix, since deeper order does not change which bytes go.
+Suffixes begin in buckets of their first q bytes (``GRAM``).  A bucket of more
+than one suffix is refined: its suffixes are sorted on the bucket identifiers of
+the suffixes q bytes later, and the identifiers that this gives are reused at the
+next level, which sorts on those 2q bytes later, and so on until the depth is L
+(32, 64, 128, 200 bytes).  Suffixes alone in their bucket are done (``_pointers``).
+Depth ends at L since deeper order does not change which bytes go.
+
+Refinement needs the suffixes of a bucket and those at later offsets in one
+task, so Spark deals them out by the anchor q-gram that equal runs have in common
+(``_repeats``); stretches of suffixes with equal contexts count as one suffix each
+from there on, and a stretch whose anchor is nowhere else is never refined.
 
 Defined results: a null text is empty; texts under L bytes keep everything; runs
-never cross documents; overlapping occurrences count; rows that repeat an id
-with the same text are further occurrences of it; texts without an id are told
-apart by their names; an empty table gives an empty result; further columns are
-ignored unless in ``keep``.
+never cross documents; overlapping occurrences count; every row is a document of
+its own, rows that repeat an id and rows without one too; an empty table gives an
+empty result; further columns are ignored unless in ``keep``.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,14 +29,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.llm import _hashing as H
 from quillmill.llm._native import table
-from quillmill.llm._repeats import NO_ID, Plan, covered, repeated_starts, row_name, with_stretches
+from quillmill.llm._pointers import refined
+from quillmill.llm._repeats import NO_ID, Plan, _merge, _runs, covered, named_rows, repeated_starts, with_stretches
 from quillmill.llm._scratch import Scratch
+from quillmill.llm._worker import tidy
 
 LENGTH = 200
 GRAM = 32
 
 
+def _repeats_of(length: int, gram: int):
+    """The starts of a bucket's runs that occur again, by refining all suffixes of its stretches."""
+
+    def compare(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        raws = [bytes(b) for b in pdf["piece"]]
+        first = np.cumsum([0] + [len(b) for b in raws])
+        p = H.prefix(H.BYTE[np.frombuffer(b"".join(raws), np.uint8)])
+        n = len(p) - 1
+        start = np.arange(n)
+        grams = H.runs(p, start, np.minimum(start + gram, n)) + (start > n - gram) * start.astype(np.uint64)
+        for _, ids in refined(grams, gram, length):
+            pass
+        row, off = _runs(pdf)
+        bucket = ids[first[row] + off]  # of the runs alone: contexts overlap
+        order = np.argsort(bucket, kind="stable")
+        same = bucket[order][1:] == bucket[order][:-1]
+        again = np.zeros(len(bucket), bool)
+        again[order[1:]] |= same
+        again[order[:-1]] |= same
+        hit = np.flatnonzero(again & ~pdf["many"].to_numpy(bool)[row])
+        if len(hit):
+            i, r, s = pdf["id"].to_numpy()[row[hit]], pdf["row"].to_numpy()[row[hit]], pdf["s1"].to_numpy()[row[hit]] + off[hit]
+            order = np.lexsort((s, r, i))
+            yield _merge(i[order], r[order], s[order])
+
+    return compare
+
+
 def _cut(length: int, keep: Sequence[str]):
     def run(batches):
         for pdf in batches:
@@ -62,14 +97,12 @@ def suffix_dedup(
     keep = [c for c in dict.fromkeys(keep) if c != id_col]
     scratch = Scratch(docs.sparkSession, "suffix")
     inner = {c: f"_k{j}" for j, c in enumerate(keep)}
-    rows = docs.select(
-        F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("id"), row_name(F.col(id_col), F.col(text_col)).alias("row"),
-        F.col(text_col).alias("text"), *[F.col(c).alias(x) for c, x in inner.items()],
-    )
-    found = repeated_starts(rows.select("id", "row", "text"), Plan("byte", length, gram, "any"), scratch)
+    rows = named_rows(docs, id_col, text_col, inner, scratch)
+    plan = Plan("byte", length, gram, "any")
+    found = repeated_starts(rows.select("id", "row", "text"), plan, _repeats_of(length, gram), scratch)
     fields = [T.StructField("id", T.LongType()), *[rows.schema[x] for x in inner.values()]]
     fields += [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
-    out = with_stretches(rows, found).mapInPandas(_cut(length, list(inner.values())), T.StructType(fields))
+    out = with_stretches(rows, found).mapInPandas(tidy(_cut(length, list(inner.values()))), T.StructType(fields))
     return out.select(
         F.nullif("id", F.lit(NO_ID)).alias(id_col), *[F.col(x).alias(c) for c, x in inner.items()], "n_bytes", "n_removed", "n_spans", "kept"
     )
