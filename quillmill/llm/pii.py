@@ -1,5 +1,10 @@
 """Personal data: regular expressions propose, checksums confirm, context scores.
 
+A span's score is that of its kind, and ``CONTEXT_GAIN`` more where one of the
+kind's words stands within ``CONTEXT_CHARS`` characters before or after it.  The
+base kinds always count; of the added ones, spans of at least ``ADMIT`` do: IBANs,
+whose checksum is evidence enough, and national phone numbers that context names.
+
 All of it is DataFrame functions, so one narrow JVM stage without a shuffle.
 
 Defined results: a null text counts as empty (no spans); repeated rows each get
@@ -26,19 +31,29 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9_])"
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+LOCAL = r"0[0-9]{1,4}[\x20/.-][0-9][\x20/.0-9-]+[0-9]"
+
+KINDS = ("email", "ip", "card", "phone", "iban", "local")
 BASE_KINDS = KINDS[:4]
-#: Words that make a kind likelier, looked for before the span.
+#: Words that make a kind likelier, looked for on both sides of the span.
 CONTEXT = {
-    "email": "mail|contact|write|correo|courriel",
-    "ip": "ip|host|server|addr|login",
+    "email": "e?mail|contact|write|correo|courriel",
+    "ip": "ip|host|server|address|addr|login",
     "card": "card|visa|credit|payment|karte|carte|tarjeta",
-    "phone": "phone|tel|call|mobile|fax",
+    "phone": "phone|tel|telephone|call|mobile|fax|telefon|telefono",
     "iban": "iban|bank|account|konto|compte|cuenta",
+    "local": "phone|tel|telephone|call|mobile|fax|telefon|telefono",
 }
-BASE_SCORE = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8}
+#: In hundredths.
+BASE_SCORE = {"email": 80, "ip": 50, "card": 70, "phone": 50, "iban": 80, "local": 40}
 CONTEXT_CHARS = 40
-CONTEXT_GAIN = 0.2
+CONTEXT_GAIN = 20
+ADMIT = 60
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _whole_words(words: str) -> str:
+    return f"(^|[^a-z])({words})([^a-z]|$)"
 
 
 def luhn(digits: Column) -> Column:
@@ -72,7 +87,7 @@ def _octets_ok(m: Column) -> Column:
     )
 
 
-def pii_spans(text: Column) -> Column:
+def _confirmed(text: Column) -> Column:
     """array<struct<s,k,e,kind,m>> of confirmed spans of all kinds."""
     email = find_spans(text, EMAIL, F.contains(text, F.lit("@")))
     ip = F.filter(find_spans(text, IP, text.rlike(r"[0-9]\.[0-9]")), lambda x: _octets_ok(x["m"]))
@@ -81,48 +96,52 @@ def pii_spans(text: Column) -> Column:
         digits = F.regexp_replace(x["m"], "[^0-9]", "")
         return F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(False)
 
+    def n_digits(x: Column) -> Column:
+        return F.length(F.regexp_replace(x["m"], "[^0-9]", ""))
+
     card = F.filter(find_spans(text, CARD, text.rlike("[0-9][ -]?[0-9]")), card_ok)
-    phone = F.filter(
-        find_spans(text, PHONE, F.contains(text, F.lit("+"))),
-        lambda x: F.length(F.regexp_replace(x["m"], "[^0-9]", "")).between(10, 15),
-    )
+    phone = F.filter(find_spans(text, PHONE, F.contains(text, F.lit("+"))), lambda x: n_digits(x).between(10, 15))
     iban = F.filter(
         find_spans(text, IBAN, text.rlike("[A-Z]{2}[0-9]{2}")),
         lambda x: mod97(F.replace(x["m"], F.lit(" "), F.lit(""))),
     )
-    return F.concat(*[tag(c, k, i) for i, (k, c) in enumerate(zip(KINDS, (email, ip, card, phone, iban)))])
+    local = F.filter(find_spans(text, LOCAL, text.rlike("0[0-9]{1,4}[ /.-][0-9]")), lambda x: n_digits(x).between(8, 12))
+    return F.concat(*[tag(c, k, i) for i, (k, c) in enumerate(zip(KINDS, (email, ip, card, phone, iban, local)))])
 
 
-def _scored(text: Column, spans: Column) -> Column:
-    def score(x: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(x["s"] + 1 - CONTEXT_CHARS, F.lit(1)), F.least(x["s"], F.lit(CONTEXT_CHARS))))
-        out = F.lit(0.0)
-        for kind, words in CONTEXT.items():
-            out = F.when(x["kind"] == kind, F.lit(BASE_SCORE[kind]) + F.when(before.rlike(words), CONTEXT_GAIN).otherwise(0.0)).otherwise(out)
-        return F.least(out, F.lit(1.0))
+def _points(text: Column, x: Column) -> Column:
+    """Score of a span in hundredths."""
+    before = F.substring(text, F.greatest(x["s"] + 1 - CONTEXT_CHARS, F.lit(1)), F.least(x["s"], F.lit(CONTEXT_CHARS)))
+    near = F.translate(F.concat(before, F.lit("\n"), F.substring(text, x["e"] + 1, F.lit(CONTEXT_CHARS))), _UPPER, _LOWER)
+    out = F.lit(0)
+    for kind, words in CONTEXT.items():
+        gain = F.when(near.rlike(_whole_words(words)), CONTEXT_GAIN).otherwise(0)
+        out = F.when(x["kind"] == kind, F.lit(BASE_SCORE[kind]) + gain).otherwise(out)
+    return out
 
-    return F.transform(
-        spans,
-        lambda x: F.struct(x["s"], x["k"], x["e"], x["kind"], x["m"], score(x).alias("score")),
+
+def pii_spans(text: Column) -> Column:
+    """array<struct<s,k,e,kind,m,points>> of the spans that count; points are the score in hundredths."""
+    scored = F.transform(
+        _confirmed(text), lambda x: F.struct(x["s"], x["k"], x["e"], x["kind"], x["m"], _points(text, x).alias("points"))
     )
+    return F.filter(scored, lambda x: (x["k"] < len(BASE_KINDS)) | (x["points"] >= ADMIT))
 
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """Rows of ``docs`` with ``spans`` array<struct<s,k,e,kind,m,score>> (k orders the kinds)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """Rows of ``docs`` with ``spans`` array<struct<s,k,e,kind,m,points>> (k orders the kinds)."""
     own = [F.col(c) for c in dict.fromkeys([id_col, *keep])]
-    found = docs.select(*own, text.alias("_text"), pii_spans(text).alias("_spans"))
-    return found.select(*own, _scored(F.col("_text"), F.col("_spans")).alias("spans"))
+    return docs.select(*own, pii_spans(F.coalesce(F.col(text_col), F.lit(""))).alias("spans"))
 
 
-def mask_pii(docs: DataFrame, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """The same rows and columns with each confirmed span replaced by ``[KIND]``.
+def mask_pii(docs: DataFrame, text_col: str = "text", min_points: int = 0) -> DataFrame:
+    """The same rows and columns with each span that counts, and has ``min_points``, replaced by ``[KIND]``.
 
     Of overlapping spans the first (by start, then kind) is replaced, and a
     later one that reaches further extends it.  Null texts stay null.
     """
     text = F.col(text_col)
-    work = docs.withColumn("_q_spans", F.array_sort(F.filter(_scored(text, pii_spans(text)), lambda x: x["score"] >= min_score)))
+    work = docs.withColumn("_q_spans", F.array_sort(F.filter(pii_spans(text), lambda x: x["points"] >= min_points)))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = F.concat(
@@ -148,16 +167,20 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = F.filter("spans", lambda x: x["k"] < len(BASE_KINDS))
     return found.select(
-        "doc_id", *[count(k) for k in BASE_KINDS], F.sha2(render(base), 256).alias("base_sha256"), render(F.col("spans")).alias("spans")
+        "doc_id", *[count(k) for k in BASE_KINDS], F.sha2(render(base), 256).alias("base_sha256"), render(F.col("spans")).alias("spans"),
+        F.array_join(F.transform(F.array_sort("spans"), lambda x: x["points"].cast("string")), ",").alias("points"),
     )
 
 
 def _duck(kind: str, order: int, pattern: str, ok: str) -> str:
+    near = f"""translate(substr(t, greatest(s + 1 - {CONTEXT_CHARS}, 1), least(s, {CONTEXT_CHARS})) || chr(10)
+      || substr(t, s + length(m) + 1, {CONTEXT_CHARS}), '{_UPPER}', '{_LOWER}')"""
+    points = f"{BASE_SCORE[kind]} + CASE WHEN regexp_matches({near}, '{_whole_words(CONTEXT[kind])}') THEN {CONTEXT_GAIN} ELSE 0 END"
     return f"""
-  SELECT doc_id, {order} k, '{kind}' kind, s, s + length(m) e FROM (
-    SELECT doc_id, unnest(ms) m, unnest(list_transform(range(1, len(ms) + 1), lambda i:
-      list_sum(list_transform(ps[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0))) s
-    FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') ms, string_split_regex(t, '{pattern}') ps FROM d)) WHERE {ok}"""
+  SELECT doc_id, {order} k, '{kind}' kind, s, s + length(m) e, {points} points FROM (
+    SELECT doc_id, t, unnest(ms) m, unnest(list_transform(range(1, len(ms) + 1), lambda i:
+      list_sum(list_transform(ps[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0)))::bigint s
+    FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') ms, string_split_regex(t, '{pattern}') ps FROM d)) WHERE {ok}"""
 
 
 _LUHN = """length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 14 AND 19 AND list_sum(list_transform(
@@ -175,11 +198,13 @@ WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents), a AS (
 UNION ALL {_duck('ip', 1, r'[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)', "list_max(list_transform(string_split(m, '.'), lambda p: try_cast(p AS hugeint))) <= 255")}
 UNION ALL {_duck('card', 2, r'[0-9](?:[\x20-]?[0-9])+', _LUHN)}
 UNION ALL {_duck('phone', 3, r'\+[0-9][\x20().0-9-]+[0-9]', "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15")}
-UNION ALL {_duck('iban', 4, r'\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b', _MOD97)})
+UNION ALL {_duck('iban', 4, r'\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)\b', _MOD97)}
+UNION ALL {_duck('local', 5, LOCAL, "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 8 AND 12")})
 SELECT d.doc_id,
   coalesce(n_email, 0)::bigint n_email, coalesce(n_ip, 0)::bigint n_ip, coalesce(n_card, 0)::bigint n_card, coalesce(n_phone, 0)::bigint n_phone,
-  sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+  sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans, coalesce(points, '') points
 FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (k = 0) n_email, count(*) FILTER (k = 1) n_ip, count(*) FILTER (k = 2) n_card,
   count(*) FILTER (k = 3) n_phone, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 4) base,
-  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) spans FROM a GROUP BY 1) USING (doc_id)
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) spans, string_agg(points::varchar, ',' ORDER BY s, k) points
+  FROM a WHERE k < 4 OR points >= {ADMIT} GROUP BY 1) USING (doc_id)
 """
