@@ -31,13 +31,17 @@ KINDS = ("assign", "access", "hex", "entropy")
 BASE_KINDS = KINDS[:3]
 WINDOW = 20
 #: (class, what all characters of the string must match, bits per character)
-CLASSES = (("digit", "^[0-9+/_=-]+$", 3.6), ("hex", "^[0-9A-Fa-f]+$", 3.0), ("alnum", "^[A-Za-z0-9]+$", 3.7), ("base64", "^[A-Za-z0-9+/_=-]+$", 3.9))
-#: Strings that look random and are no secrets.
+CLASSES = (("digit", "^[0-9+/_=-]+$", 3.0), ("hex", "^[0-9A-Fa-f]+$", 3.0), ("alnum", "^[A-Za-z0-9]+$", 3.7), ("base64", "^[A-Za-z0-9+/_=-]+$", 3.9))
+#: Strings that look random and are no secrets: UUIDs, placeholders, words of one case or with
+#: a capital, names of several such words run together, rules, dates, and digits counted up.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"(?i)example|placeholder|dummy|sample|changeme",
-    r"^[A-Za-z+/_=-]+$",
-    r"^[0-9+/_=-]+$",
+    r"^[+/_=-]*([A-Z]?[a-z]+|[A-Z]+)([+/_=-]+([A-Z]?[a-z]+|[A-Z]+))*[+/_=-]*$",
+    r"^[a-z]*([A-Z][a-z]+)+$",
+    r"^[+/_=-]+$",
+    r"^[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}",
+    r"^0?(1234567890?)+[0-9]?$",
 )
 
 
