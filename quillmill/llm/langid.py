@@ -29,30 +29,32 @@ PROFILE = 1000
 DOCUMENT = 400
 #: Labelled documents per language that a profile is learned from, about so many at most.
 SAMPLE_DOCS = 2000
+#: Languages learned, those with the most labelled documents; this bounds the model.
+LANGUAGES = 500
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
 
 
 def _codes(text: str) -> np.ndarray:
-    """Lower-case letters as numbers, each run of anything else as one 0, with a 0 at both ends."""
+    """Lower-case letters as numbers, each run of anything else as one 1, with a 1 at both ends."""
     if not _LETTER:
         _LETTER.append(np.array([chr(i).isalpha() for i in range(0x110000)]))
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    c = np.concatenate([[0], np.where(_LETTER[0][c], c, 0), [0]])
+    c = np.concatenate([[1], np.where(_LETTER[0][c], c, 1), [1]])
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
+    keep[1:] = (c[1:] != 1) | (c[:-1] != 1)
     return c[keep]
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams (21 bits a letter) and their counts; none if there is no letter."""
+    """n-grams (21 bits a letter; no two are one number) and their counts; none if there is no letter."""
     c = _codes(text)
     if len(c) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = [c[c > 0]]
+    found = [c[c > 1]]
     pair = (c[:-1] << 21) | c[1:]
     found.append(pair)
-    inner = c[1:-1] != 0  # of three, the middle one is a letter
+    inner = c[1:-1] != 1  # of three, the middle one is a letter
     found.append((pair[:-1][inner] << 21) | c[2:][inner])
     flat = np.sort(np.concatenate(found[:ORDERS]))
     at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
@@ -86,12 +88,11 @@ class Profiles:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles from about SAMPLE_DOCS documents of each language, chosen by a hash of the id."""
-    rows = labelled.filter(F.col(lang_col).isNotNull())
-    share = F.lit(0.0)
-    for r in rows.groupBy(lang_col).count().collect():
-        share = F.when(F.col(lang_col) == r[0], min(1.0, SAMPLE_DOCS / r[1])).otherwise(share)
-    picked = rows.filter(F.pmod(F.xxhash64(F.lit("profile"), F.col(id_col)), F.lit(1 << 20)) < share * (1 << 20))
+    """Profiles from about SAMPLE_DOCS documents, chosen by a hash of the id, of each of at most LANGUAGES languages."""
+    rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL")
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE_DOCS)) / F.col("count"))
+    picked = rows.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64(F.lit("profile"), F.col("id")), F.lit(1 << 20)) < share * (1 << 20))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -101,7 +102,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     g, at = np.unique(np.concatenate([x for x, _ in got]), return_inverse=True)
                     yield pd.DataFrame(dict(lang=lang, gram=g, n=np.bincount(at, np.concatenate([n for _, n in got]), len(g)).astype(np.int64)))
 
-    counted = picked.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(tidy(count), "lang string, gram long, n long")
+    counted = picked.select("lang", "text").mapInPandas(tidy(count), "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counted.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PROFILE).orderBy("lang", "r")
