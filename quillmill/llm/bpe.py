@@ -44,11 +44,16 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 #: The same split for texts without a character from here on, in the faster module.
 LATIN_END = 0x250
 LEXICON_WORDS = 200_000
-#: Words kept by a Python worker (twice so many at most), and the longest that are.
-CACHE_WORDS = 400_000
+#: Words kept by a Python worker (twice so many at most), words counted before they are summed up,
+#: and the longest that are kept or counted: together they bound the bytes held.
+CACHE_WORDS = 220_000
+COUNT_WORDS = 120_000
+CACHE_CHARS = 64
+#: Beginnings of words, of so many bytes, whose states a lexicon remembers.
+BEGIN_BYTES = 4
+BEGINNINGS = 50_000
 #: Documents whose ids leave a task at once.
 ROWS = 256
-CACHE_CHARS = 64
 
 
 def splitter() -> Callable[[str], list[str]]:
@@ -133,6 +138,9 @@ class Vocabulary:
         return [i for i in ids if i >= 0]
 
 
+_BYTE = [bytes([b]) for b in range(256)]
+
+
 class Lexicon:
     """A minimal acyclic automaton of words with id lists, in one file that is mapped, not read."""
 
@@ -218,17 +226,30 @@ class Lexicon:
             off += 4 * n
         self.first, self.target, self.skip, self.at, self.ids = parts
         self.final, self.labels, self.states = off, off + states, states
+        self.begun: dict[bytes, tuple[int, int]] = {}
 
-    def get(self, word: bytes) -> list[int] | None:
-        state = number = 0
-        find, labels, first = self.map.find, self.labels, self.first
-        for i in range(len(word)):
-            k = find(word[i : i + 1], labels + first[state], labels + first[state + 1]) - labels
+    def walk(self, part: bytes, state: int, number: int) -> tuple[int, int]:
+        """State and word number after the bytes of part; state -1 if no word goes on so."""
+        find, labels, first, skip, target = self.map.find, self.labels, self.first, self.skip, self.target
+        for b in part:
+            k = find(_BYTE[b], labels + first[state], labels + first[state + 1]) - labels
             if k < 0:
-                return None
-            number += self.skip[k]
-            state = self.target[k]
-        if not self.map[self.final + state]:
+                return -1, 0
+            number += skip[k]
+            state = target[k]
+        return state, number
+
+    def get(self, word: bytes) -> list[int] | None:
+        begin = word[:BEGIN_BYTES]
+        known = self.begun.get(begin)
+        if known is None:
+            known = self.walk(begin, 0, 0)
+            if len(self.begun) < BEGINNINGS:
+                self.begun[begin] = known
+        state, number = known
+        if state >= 0:
+            state, number = self.walk(word[BEGIN_BYTES:], state, number)
+        if state < 0 or not self.map[self.final + state]:
             return None
         return self.ids[self.at[number] : self.at[number + 1]].tolist()
 
@@ -281,7 +302,7 @@ def _encoder(tokenizer: str, name: str) -> Encoder:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all documents, summed up in each task before the shuffle."""
+    """(word, n) of the words of at most CACHE_CHARS characters over all documents, summed up in each task before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         split, seen = splitter(), Counter()
@@ -292,8 +313,8 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for pdf in batches:
             for text in pdf["text"]:
                 if isinstance(text, str):
-                    seen.update(split(text))
-                if len(seen) >= CACHE_WORDS:
+                    seen.update(w for w in split(text) if len(w) <= CACHE_CHARS)
+                if len(seen) >= COUNT_WORDS:
                     yield out()
                     seen.clear()
         if seen:
@@ -308,7 +329,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON
 
     The least count of a frequent word is a quantile of the counts, so nothing is sorted in one place.
     """
-    counts = word_counts(docs, text_col).filter(F.length("word") <= CACHE_CHARS)
+    counts = word_counts(docs, text_col)
     counts = Scratch(docs.sparkSession, "bpe").put(counts, "words")
     total = counts.count()
     if total <= words:

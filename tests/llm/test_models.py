@@ -39,11 +39,12 @@ def test_bpe_empty_table_and_clashing_columns(docs, empty):
 
 
 def test_words_are_counted_over_all_documents_and_flushes(spark, docs, texts, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 1)
+    monkeypatch.setattr(bpe, "COUNT_WORDS", 1)
     split, want = bpe.splitter(), {}
     for _, t in texts:
         for w in split(t or ""):
-            want[w] = want.get(w, 0) + 1
+            if len(w) <= bpe.CACHE_CHARS:  # longer ones, up to megabytes, are merged and never kept
+                want[w] = want.get(w, 0) + 1
     assert dict(map(tuple, bpe.word_counts(docs).collect())) == want
     some = bpe.frequent_words(docs, words=40)
     assert 0 < len(some) <= 60 and min(want[w] for w in some) >= sorted(want.values())[-60]
@@ -121,6 +122,66 @@ def test_languages_held_out(spark, sf_dir):
     assert held.score.between(0, 1).all()
 
 
+def out_of_place(labelled, texts, top=1000, own=400):
+    """(lang_pred, score) by dictionaries: most frequent 1- to 3-grams of letters, ties by code, and the sum of how far ranks are apart."""
+
+    def counts(text):
+        runs, now = ["\1"], ""
+        for ch in text.lower() + "\1":
+            if ch.isalpha():
+                now += ch
+            elif now:
+                runs += [*now, "\1"]
+                now = ""
+        found: dict = {}
+        for n in (1, 2, 3):
+            for i in range(len(runs) - n + 1):
+                g = tuple(ord(c) for c in runs[i : i + n])
+                if n == 1 and g != (1,) or n == 2 or n == 3 and g[1] != 1:
+                    found[g] = found.get(g, 0) + 1
+        return found if len(runs) > 1 else {}
+
+    def code(g):
+        out = 0
+        for c in g:
+            out = out << 21 | c
+        return out
+
+    def ranks(found, k):
+        return [g for g, _ in sorted(found.items(), key=lambda x: (-x[1], code(x[0])))[:k]]
+
+    total: dict = {}
+    for text, lang in labelled:
+        for g, n in counts(text).items():
+            total.setdefault(lang, {})
+            total[lang][g] = total[lang].get(g, 0) + n
+    place = {lang: {g: r for r, g in enumerate(ranks(f, top))} for lang, f in total.items()}
+    out = []
+    for text in texts:
+        mine = ranks(counts(text or ""), own)
+        apart = {lang: sum(abs(p[g] - r) if g in p else top for r, g in enumerate(mine)) for lang, p in place.items()}
+        best = min(sorted(apart), key=apart.get) if mine and apart else None
+        out.append((best, 1 - apart[best] / (top * len(mine))) if best else ("und", 0.0))
+    return out
+
+
+def test_languages_equal_plain_out_of_place_distances(spark, texts):
+    labelled = [("the cat sat on the mat, and the dog too", "en"), ("der hund und die katze sind im haus", "de"), ("le chat est sur la table et le chien", "fr"), ("abc abc", "t2"), ("abc abc", "t1"), (texts[0][1], "zz")]
+    model = langid.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(labelled)], "doc_id long, text string, lang string"))
+    rng = random.Random(6)
+    own = [t for _, t in texts] + ["abc", "the hund", "É été ÀB", "x1y2z3", "日本 x"] + ["".join(rng.choice("abcdeé t,.hrn") for _ in range(60)) for _ in range(40)]
+    got = langid.predict(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, (lang, score) in zip(got, out_of_place(labelled, own)):
+        assert (r["lang_pred"], r["score"]) == (lang, pytest.approx(score)), own[r["doc_id"]]
+    assert got[len(texts)]["lang_pred"] == "t1"  # of equals, the first
+
+
+def test_only_the_most_frequent_labels_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    rows = [(i, "the cat", lang) for i, lang in enumerate(["en", "en", "de", "de", "dirty"])]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).names == ["de", "en"]
+
+
 def test_texts_without_letters(spark, docs, empty):
     model = langid.fit(spark.createDataFrame([(1, "the cat", "en"), (2, "der hund", "de"), (3, "x", None), (4, None, "en")], "doc_id long, text string, lang string"))
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "123 !?"), (4, "THE"), (5, "der")], "doc_id long, text string")
