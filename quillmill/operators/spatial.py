@@ -1,8 +1,9 @@
 """Extraction from words with positions on the page.
 
-Words are rows (bill_id, word_ix, text, confidence, x0, y0, x1, y1).  Every
-operator partitions by bill, so all of them share one exchange; ties in position
-go to the earlier word.
+Words are rows (bill_id, word_ix, text, confidence, x0, y0, x1, y1).  What is
+asked of a bill as a whole comes from one aggregate for each bill, whose words
+are then filtered, sorted and put in rows as an array: one exchange and no
+sorted windows.  Ties in position go to the earlier word.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions.columns import let
 from quillmill.functions.numbers import parse_repaired, repair_numeric, round_half_up, shown, trim
 from quillmill.functions.text import is_net_total, is_total
+from quillmill.operators.tables import ITEM
 
 ID = "bill_id"
 GSTIN_WORD = r"^[0-9]{2}[A-Z][A-Z0-9]{12,14}\z"
@@ -40,9 +43,8 @@ def page_part(words: DataFrame, percent: float) -> DataFrame:
 
 def tolerances(words: DataFrame) -> DataFrame:
     """Normalized words with y_tol and row_tol: 0.8 of the mean height of their bill's words, at least 10 and 15."""
-    height = F.avg(F.when(F.col("y1") > F.col("y0"), F.col("y1") - F.col("y0"))).over(Window.partitionBy(ID))
-    h = round_half_up(F.coalesce(height, F.lit(15.0)) * 0.8)
-    return words.withColumn("y_tol", F.greatest(F.lit(10.0), h)).withColumn("row_tol", F.greatest(F.lit(15.0), h))
+    height = _mean_height().over(Window.partitionBy(ID))
+    return words.withColumn("y_tol", _tolerance(height, 10.0)).withColumn("row_tol", _tolerance(height, 15.0))
 
 
 def cluster_rows(words: DataFrame, tolerance: Column | float, descending: bool = False) -> DataFrame:
@@ -55,42 +57,117 @@ def cluster_rows(words: DataFrame, tolerance: Column | float, descending: bool =
     return words.withColumn("_b", begins).withColumn("row_ix", F.sum("_b").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
 
 
-def _row_words(words: DataFrame) -> DataFrame:
-    """(bill_id, row_ix, w array of texts from left to right)."""
-    each = F.sort_array(F.collect_list(F.struct("mid_x", "mid_y", "word_ix", "text")))
-    return words.groupBy(ID, "row_ix").agg(F.transform(each, lambda x: x["text"]).alias("w"))
+_WORD = "struct<mid_y:double,mid_x:double,word_ix:int,text:string>"
 
 
-def _numbers(w: str = "w") -> Column:
+def _at() -> Column:
+    """A normalized word as a _WORD, whose order is that of reading."""
+    return F.struct(F.col("mid_y").cast("double").alias("mid_y"), F.col("mid_x").cast("double").alias("mid_x"), F.col("word_ix").cast("int").alias("word_ix"), "text")
+
+
+def _mean_height() -> Column:
+    return F.avg(F.when(F.col("y1") > F.col("y0"), F.col("y1") - F.col("y0")))
+
+
+def _tolerance(height: Column, least: float) -> Column:
+    return F.greatest(F.lit(least), round_half_up(F.coalesce(height, F.lit(15.0)) * 0.8))
+
+
+def _first(value: Column | str, where: Column) -> Column:
+    """Of a bill's first word that fulfils ``where``."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.min_by(F.when(where, value), F.when(where, F.col("word_ix")))
+
+
+def _in_rows(words: Column, tolerance: Column | float) -> Column:
+    """array<array<_WORD>> of sorted words: a new row begins where the step from the word before exceeds the tolerance."""
+    tolerance = F.lit(float(tolerance)) if isinstance(tolerance, (int, float)) else tolerance
+
+    def step(acc: Column, x: Column) -> Column:
+        new = (F.size(acc["row"]) > 0) & (F.abs(x["mid_y"] - acc["y"]) > tolerance)
+        return F.struct(
+            F.when(new, F.concat(acc["rows"], F.array(acc["row"]))).otherwise(acc["rows"]).alias("rows"),
+            F.when(new, F.array(x)).otherwise(F.concat(acc["row"], F.array(x))).alias("row"), x["mid_y"].alias("y"),
+        )
+
+    none = F.struct(F.array().cast(f"array<array<{_WORD}>>").alias("rows"), F.array().cast(f"array<{_WORD}>").alias("row"), F.lit(None).cast("double").alias("y"))
+    return F.aggregate(words, none, step, lambda a: F.when(F.size(a["row"]) > 0, F.concat(a["rows"], F.array(a["row"]))).otherwise(a["rows"]))
+
+
+def _left_to_right(row: Column) -> Column:
+    """Texts of a row's words."""
+    return F.transform(F.array_sort(F.transform(row, lambda x: F.struct(x["mid_x"], x["mid_y"], x["word_ix"], x["text"]))), lambda x: x["text"])
+
+
+def _row_words(words: Column, tolerance: Column | float) -> Column:
+    """array<array<string>>: for each row of a bill's words their texts from left to right."""
+    return F.transform(_in_rows(F.array_sort(words), tolerance), _left_to_right)
+
+
+def _whole(words: DataFrame) -> DataFrame:
+    """What is asked of each bill as a whole; columns that an operator doesn't use are not computed.
+
+    _t, _n: tops of the first total and of the last net total; _y, gst_no: middle and text
+    of the first registration number; _s: the first word that names a state; _h: mean
+    height; _w: all words; _d: those with a decimal point, with their heights.
+    """
+    hit, net = is_total(F.col("text")), is_net_total(F.col("text"))
+    bare = F.regexp_replace("text", r"\s", "")
+    shape, state = bare.rlike(r"^[0-9]{2}[A-Z][A-Z0-9]{10,13}\z"), F.col("text").rlike(r"(?i)\(\d+\)|Tamil\s*Nadu")
+    return words.groupBy(ID).agg(
+        _first("y0", hit).alias("_t"), F.max_by(F.when(net, F.col("y0")), F.when(net, F.col("word_ix"))).alias("_n"),
+        _first("mid_y", shape).alias("_y"), _first(bare, shape).alias("gst_no"), _first("text", state).alias("_s"),
+        _mean_height().alias("_h"), F.collect_list(_at()).alias("_w"),
+        F.collect_list(F.when(F.contains("text", F.lit(".")), F.struct("y0", "y1", "text"))).alias("_d"),
+    )
+
+
+def _numbers(w: Column) -> Column:
     """array<struct<i,v>> of the words that are numbers after repair."""
     return F.filter(F.transform(w, lambda t, i: F.struct(i.alias("i"), parse_repaired(t).alias("v"))), lambda x: x["v"] >= 0)
 
 
+def _item(w: Column, row_ix: Column) -> Column:
+    """The line item of a row; null if the row is none."""
+
+    def of(n: Column) -> Column:
+        at = lambda k: F.try_element_at(n, F.lit(-k))
+
+        def item(lead: Column) -> Column:
+            one = lambda i: F.get(lead, F.lit(i))
+            end = lambda k: F.try_element_at(lead, F.lit(-k))
+            fabric = F.when(F.size(lead) >= 8, F.array_join(F.slice(lead, F.lit(5), F.greatest(F.size(lead) - 7, F.lit(0))), " ")).otherwise(one(4))
+            return F.struct(
+                row_ix.cast("int").alias("row_ix"), one(0).alias("sl_no"), one(1).alias("dc"), one(2).alias("date"), one(3).alias("gg"),
+                fabric.alias("fabric"), end(3).alias("counts"), end(2).alias("mill"), end(1).alias("dia"),
+                at(3)["v"].alias("weight"), at(2)["v"].alias("rate"), at(1)["v"].alias("amount"),
+            )
+
+        ok = (F.size(w) >= 3) & (F.size(n) >= 3) & (at(1)["v"] > 0) & (at(1)["v"] <= 1e9)
+        return F.when(ok, let(F.slice(w, F.lit(1), at(3)["i"]), item))
+
+    return let(_numbers(w), of)
+
+
+def _items_of() -> Column:
+    """The line items of a bill (_whole): rows above the first total."""
+    above = F.filter("_w", lambda x: x["mid_y"] < F.coalesce("_t", F.lit(1e9)) - 20)
+    return F.filter(F.transform(_row_words(above, _tolerance(F.col("_h"), 15.0)), _item), lambda i: i.isNotNull())
+
+
 def table_rows(words: DataFrame) -> DataFrame:
     """(bill_id, row_ix, sl_no, ..., amount) of the rows above the first total, from normalized words."""
-    words = tolerances(words)
-    total = F.min_by(F.when(is_total(F.col("text")), F.col("y0")), F.when(is_total(F.col("text")), F.col("word_ix"))).over(Window.partitionBy(ID))
-    above = words.withColumn("_t", F.coalesce(total, F.lit(1e9))).filter(F.col("mid_y") < F.col("_t") - 20)
-    rows = _row_words(cluster_rows(above, F.col("row_tol"))).withColumn("_n", _numbers()).filter((F.size("w") >= 3) & (F.size("_n") >= 3))
-    at = lambda k: F.try_element_at("_n", F.lit(-k))
-    lead = F.slice("w", F.lit(1), at(3)["i"])
-    rows = rows.withColumn("_l", lead).filter((at(1)["v"] > 0) & (at(1)["v"] <= 1e9))
-    one = lambda i: F.get("_l", F.lit(i))
-    end = lambda k: F.try_element_at("_l", F.lit(-k))
-    fabric = F.when(F.size("_l") >= 8, F.array_join(F.slice("_l", F.lit(5), F.greatest(F.size("_l") - 7, F.lit(0))), " ")).otherwise(one(4))
-    return rows.select(
-        ID, "row_ix", one(0).alias("sl_no"), one(1).alias("dc"), one(2).alias("date"), one(3).alias("gg"), fabric.alias("fabric"),
-        end(3).alias("counts"), end(2).alias("mill"), end(1).alias("dia"),
-        at(3)["v"].alias("weight"), at(2)["v"].alias("rate"), at(1)["v"].alias("amount"),
-    )
+    # The outer explode: for the inner one Spark would put the whole expression into a filter before it as well.
+    return _whole(words).select(ID, F.explode_outer(_items_of()).alias("_i")).filter(F.col("_i").isNotNull()).select(ID, "_i.*")
 
 
 def table_rows_plain(words: DataFrame) -> DataFrame:
     """(bill_id, row_ix, weight, rate, amount): rows above the first word like a total, 15 apart, by their last three numbers."""
     like = F.regexp_replace("text", r"\s", "").rlike("(?i)T[O0D]?TAL")
-    total = F.min_by(F.when(like, F.col("y0")), F.when(like, F.col("word_ix"))).over(Window.partitionBy(ID))
-    above = words.withColumn("_t", F.coalesce(total, F.lit(1e9))).filter(F.col("y0") < F.col("_t") - 10)
-    rows = _row_words(cluster_rows(above, 15.0)).withColumn("_n", _numbers()).filter(F.size("_n") >= 3)
+    at_y = F.struct(F.col("y0").alias("y0"), _at().alias("x"))
+    whole = words.groupBy(ID).agg(_first("y0", like).alias("_t"), F.collect_list(at_y).alias("_w"))
+    above = F.transform(F.filter("_w", lambda w: w["y0"] < F.coalesce("_t", F.lit(1e9)) - 10), lambda w: w["x"])
+    rows = whole.select(ID, F.posexplode_outer(_row_words(above, 15.0)).alias("row_ix", "w")).withColumn("_n", _numbers(F.col("w"))).filter(F.size("_n") >= 3)
     at = lambda k: F.try_element_at("_n", F.lit(-k))["v"]
     rows = rows.filter((at(1) > 0) & (at(1) <= 1e9))
     return rows.select(ID, "row_ix", at(3).alias("weight"), at(2).alias("rate"), at(1).alias("amount"))
@@ -98,7 +175,8 @@ def table_rows_plain(words: DataFrame) -> DataFrame:
 
 def table_rows_by_column(words: DataFrame) -> DataFrame:
     """(bill_id, row_ix, sl_no, ..., amount): rows of ten columns or more, 18 apart, by place; the last three are numbers."""
-    rows = _row_words(cluster_rows(words.filter(F.col("text") != ""), 18.0)).filter(F.size("w") >= 10)
+    whole = words.filter(F.col("text") != "").groupBy(ID).agg(F.collect_list(_at()).alias("_w"))
+    rows = whole.select(ID, F.posexplode_outer(_row_words(F.col("_w"), 18.0)).alias("row_ix", "w")).filter(F.size("w") >= 10)
     end = lambda k: parse_repaired(F.try_element_at("w", F.lit(-k)))
     rows = rows.filter(end(1).isNotNull() & end(2).isNotNull() & end(3).isNotNull() & (end(1) > 0) & (end(1) <= 1e9))
     names = ("sl_no", "dc", "date", "gg", "fabric", "counts", "mill", "dia")
@@ -108,102 +186,125 @@ def table_rows_by_column(words: DataFrame) -> DataFrame:
     )
 
 
-def bill_numbers(words: DataFrame) -> DataFrame:
-    """(bill_id, bill_no): what stands right of a "No" in the top 28 %, else the first number there.
+def _labels(top: DataFrame) -> DataFrame:
+    """(bill_id, l_ix, label, next): each "No" that is not on a line of a registration number, and the word right of it.
 
-    A bill's "No" words meet the words of the same bill only; the words of a
-    page bound that join.
+    A bill's labels meet the words of the same bill only; the words of a page bound that join.
     """
-    top = page_part(tolerances(words), 28)
+    box = F.struct("x0", "y0", "x1", "y1").alias("box")
     label = top.filter(F.col("text").rlike(r"(?i)^No\.?\z|^T0\z")).select(
-        ID, F.col("word_ix").alias("l_ix"), F.col("mid_x").alias("l_x"), F.col("mid_y").alias("l_y"), F.col("text").alias("l_text")
+        ID, F.col("word_ix").alias("l_ix"), F.col("mid_x").alias("l_x"), F.col("mid_y").alias("l_y"), F.col("text").alias("l_text"), F.struct("x0", "y0", "x1", "y1").alias("label")
     )
-    same = label.join(top, ID).filter(F.abs(F.col("mid_y") - F.col("l_y")) < F.col("y_tol"))
-    right = F.struct("mid_x", "word_ix", "text")
+    same = label.join(top.withColumn("box", box), ID).filter(F.abs(F.col("mid_y") - F.col("l_y")) < F.col("y_tol"))
     line = same.groupBy(ID, "l_ix").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_ix", "text"))), lambda x: x["text"]), " ").alias("line"),
-        F.min(F.when(F.col("mid_x") > F.col("l_x"), right)).alias("next"), F.first("l_text").alias("l_text"),
+        F.min(F.when(F.col("mid_x") > F.col("l_x"), F.struct("mid_x", "word_ix", "text", "box"))).alias("next"),
+        F.first("l_text").alias("l_text"), F.first("label").alias("label"),
     )
-    line = line.filter(~F.col("line").rlike(r"(?i)GST\s*No") & ~F.col("l_text").rlike(GSTIN_WORD) & F.col("next").isNotNull())
+    return line.filter(~F.col("line").rlike(r"(?i)GST\s*No") & ~F.col("l_text").rlike(GSTIN_WORD) & F.col("next").isNotNull())
+
+
+def bill_numbers(words: DataFrame) -> DataFrame:
+    """(bill_id, bill_no): what stands right of a "No" in the top 28 %, else the first number there."""
+    top = page_part(tolerances(words), 28)
+    line = _labels(top)
     plain = F.replace("next.text", F.lit(","), F.lit(""))
     repaired = F.regexp_replace(repair_numeric(F.col("next.text")), r"\D", "")
     value = F.when(plain.rlike(r"^\d{1,6}\z"), plain).when(F.length(repaired).between(1, 6), repaired)
     found = line.withColumn("v", value).filter(F.col("v").isNotNull()).groupBy(ID).agg(F.min_by("v", "l_ix").alias("by_label"))
-    lone = F.when(F.col("text").rlike(r"^\d{1,6}\z"), F.col("word_ix"))
-    other = top.groupBy(ID).agg(F.min_by(F.when(lone.isNotNull(), F.col("text")), lone).alias("lone"))
+    other = top.groupBy(ID).agg(_first("text", F.col("text").rlike(r"^\d{1,6}\z")).alias("lone"))
     return other.join(found, ID, "left").select(ID, F.coalesce("by_label", "lone").alias("bill_no"))
 
 
+def _band() -> Column:
+    """Where the totals of a bill end (_whole)."""
+    return F.coalesce(F.col("_n") + 80, F.col("_t") + 600) + 5
+
+
+def _totals_of() -> Column:
+    """struct(subtotal, cgst, sgst, net_total) of a bill (_whole); null if no decimal stands in the band."""
+    inside = F.filter("_d", lambda x: (x["y0"] >= F.col("_t") - 5) & (x["y1"] <= _band()))
+    values = F.filter(F.transform(inside, lambda x: parse_repaired(x["text"])), lambda v: (v < 1e7) & (v >= 0))
+
+    def sums(v: Column) -> Column:
+        at = lambda i: shown(F.get(v, F.lit(i)))
+        return F.when(F.size(v) > 0, let(F.filter(v, lambda x: (x < 2000) & (x > 0)), lambda small: F.struct(
+            at(1).alias("subtotal"), shown(F.get(small, F.greatest(F.size(small) - 2, F.lit(0)))).alias("cgst"),
+            shown(F.try_element_at(small, F.lit(-1))).alias("sgst"), at(0).alias("net_total"),
+        )))
+
+    return let(F.sort_array(values, asc=False), sums)
+
+
 def totals(words: DataFrame) -> DataFrame:
     """(bill_id, subtotal, cgst, sgst, net_total) from the sizes of the decimals between total and net total."""
-    of = Window.partitionBy(ID)
-    hit, net = is_total(F.col("text")), is_net_total(F.col("text"))
-    anchored = words.withColumn("_t", F.min_by(F.when(hit, F.col("y0")), F.when(hit, F.col("word_ix"))).over(of)).withColumn(
-        "_n", F.max_by(F.when(net, F.col("y0")), F.when(net, F.col("word_ix"))).over(of)
-    )
-    low = F.coalesce(F.col("_n") + 80, F.col("_t") + 600)
-    band = anchored.filter((F.col("y0") >= F.col("_t") - 5) & (F.col("y1") <= low + 5)).withColumn("_v", parse_repaired(F.col("text")))
-    band = band.filter((F.col("_v") < 1e7) & (F.col("_v") >= 0) & F.contains("text", F.lit(".")))
-    values = band.groupBy(ID).agg(F.sort_array(F.collect_list("_v"), asc=False).alias("v"))
-    small = F.filter("v", lambda v: (v < 2000) & (v > 0))
-    at = lambda i: shown(F.get("v", F.lit(i)))
-    return values.select(
-        ID, at(1).alias("subtotal"), shown(F.get(small, F.greatest(F.size(small) - 2, F.lit(0)))).alias("cgst"),
-        shown(F.try_element_at(small, F.lit(-1))).alias("sgst"), at(0).alias("net_total"),
-    )
+    return _whole(words).select(ID, _totals_of().alias("_x")).filter(F.col("_x").isNotNull()).select(ID, "_x.*")
+
+
+def _customer_of() -> Column:
+    """struct(name, address, gst_no, state) of a bill (_whole); null without a registration number of 15 characters."""
+    # From the bottom up; words of one height keep their order, then each line goes from left to right.
+    up = F.array_sort(F.transform(
+        F.filter("_w", lambda x: x["mid_y"] < F.col("_y") - 5), lambda x: F.struct((-x["mid_y"]).alias("down"), x["word_ix"].alias("at"), x.alias("x"))
+    ))
+    lines = F.transform(_in_rows(F.transform(up, lambda u: u["x"]), _tolerance(F.col("_h"), 15.0)), lambda row: F.array_join(_left_to_right(row), " "))
+    code = F.nullif(F.regexp_extract("_s", r"\((\d+)\)", 1), F.lit(""))
+
+    def who(l: Column) -> Column:
+        capital = F.get(F.filter(l, lambda x: (F.length(F.regexp_replace(x, "[^A-Z]", "")) >= 2) & (F.length(x) <= 80)), F.lit(0))
+        return let(capital, lambda name: F.struct(
+            F.coalesce(name, F.get(l, F.lit(0))).alias("name"),
+            F.array_join(F.when(name.isNotNull(), F.filter(l, lambda x: x != name)).otherwise(F.slice(l, F.lit(2), F.greatest(F.size(l), F.lit(1)))), ", ").alias("address"),
+            F.col("gst_no"), F.coalesce(code, F.when(F.col("_s").isNotNull(), "Tamil Nadu")).alias("state"),
+        ))
+
+    return F.when(F.length("gst_no") == 15, let(lines, who))
 
 
 def customers(words: DataFrame) -> DataFrame:
     """(bill_id, name, address, gst_no, state): the lines above the first registration number, from the bottom up."""
-    words, of = tolerances(words), Window.partitionBy(ID)
-    shape = F.regexp_replace("text", r"\s", "").rlike(r"^[0-9]{2}[A-Z][A-Z0-9]{10,13}\z")
-    state = F.col("text").rlike(r"(?i)\(\d+\)|Tamil\s*Nadu")
-    first = lambda c, where: F.min_by(F.when(where, c), F.when(where, F.col("word_ix"))).over(of)
-    words = words.withColumn("_y", first(F.col("mid_y"), shape)).withColumn("gst_no", first(F.regexp_replace("text", r"\s", ""), shape))
-    words = words.withColumn("_s", first(F.col("text"), state)).filter(F.length("gst_no") == 15)
-    above = cluster_rows(words.filter(F.col("mid_y") < F.col("_y") - 5), F.col("row_tol"), descending=True)
-    # Words of one height keep their order; then each line goes from left to right.
-    lines = above.groupBy(ID, "gst_no", "_s", "row_ix").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("mid_x", "word_ix", "text"))), lambda x: x["text"]), " ").alias("l")
-    )
-    each = lines.groupBy(ID, "gst_no", "_s").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_ix", "l"))), lambda x: x["l"]).alias("l"))
-    capital = F.get(F.filter("l", lambda l: (F.length(F.regexp_replace(l, "[^A-Z]", "")) >= 2) & (F.length(l) <= 80)), F.lit(0))
-    rest = F.when(capital.isNotNull(), F.filter("l", lambda l: l != capital)).otherwise(F.slice("l", F.lit(2), F.greatest(F.size("l"), F.lit(1))))
-    code = F.nullif(F.regexp_extract("_s", r"\((\d+)\)", 1), F.lit(""))
-    return each.select(
-        ID, F.coalesce(capital, F.get("l", F.lit(0))).alias("name"), F.array_join(rest, ", ").alias("address"), "gst_no",
-        F.coalesce(code, F.when(F.col("_s").isNotNull(), "Tamil Nadu")).alias("state"),
-    )
+    return _whole(words).select(ID, _customer_of().alias("_x")).filter(F.col("_x").isNotNull()).select(ID, "_x.*")
 
 
 def merge(parsed: DataFrame, words: DataFrame) -> DataFrame:
-    """Parsed bills where what the words say, if anything, takes the place of what the text said."""
+    """Parsed bills where what the words say takes the place of what the text said.
+
+    Totals from words, where there are any, replace all totals of the text, with null
+    what they lack.
+    """
     words = normalize_words(words)
-    numbers, sums, who = bill_numbers(words), totals(words), customers(words)
-    rows = table_rows(words)
-    items = rows.groupBy(ID).agg(F.sort_array(F.collect_list(F.struct(F.col("row_ix").alias("line_ix"), *[c for c in rows.columns[2:]]))).alias("_items"))
-    out = parsed.join(numbers.withColumnRenamed("bill_no", "_no"), ID, "left")
-    out = out.join(sums.select(ID, F.struct("subtotal", "cgst", "sgst", "net_total").alias("_sums")), ID, "left")
-    out = out.join(who.select(ID, F.struct("name", "address", "gst_no", "state").alias("_who")), ID, "left").join(items, ID, "left")
+    said = _whole(words).select(ID, _totals_of().alias("_sums"), _customer_of().alias("_who"), _items_of().alias("_items"))
+    out = parsed.join(said, ID, "left").join(bill_numbers(words).withColumnRenamed("bill_no", "_no"), ID, "left")
+    items = F.transform("_items", lambda i: F.struct(i["row_ix"].alias("line_ix"), *[i[c] for c in ITEM]))
+    out = out.withColumn("_items", F.when(F.size("_items") > 0, items))
     return out.select(
         ID, "template", F.coalesce("_who", "customer").alias("customer"),
         F.col("bill_meta").withField("bill_no", F.coalesce("_no", "bill_meta.bill_no")).alias("bill_meta"),
-        F.struct(
-            *[F.coalesce(f"_sums.{c}", f"totals.{c}").alias(c) for c in ("subtotal", "cgst", "sgst")],
-            F.when(F.col("_sums").isNull(), F.col("totals.rounded_off")).alias("rounded_off"),
-            F.coalesce("_sums.net_total", "totals.net_total").alias("net_total"),
-        ).alias("totals"),
+        F.struct(*[
+            F.when(F.col("_sums").isNull(), F.col(f"totals.{c}")).otherwise(F.lit(None) if c == "rounded_off" else F.col(f"_sums.{c}")).alias(c)
+            for c in ("subtotal", "cgst", "sgst", "rounded_off", "net_total")
+        ]).alias("totals"),
         F.coalesce("_items", "items").alias("items"),
     )
 
 
 def zones(words: DataFrame) -> DataFrame:
-    """(bill_id, zone, x0, y0, x1, y1): the words each of the operators above looks at."""
-    box = [ID, "x0", "y0", "x1", "y1"]
-    top = page_part(words, 28).select(*box).withColumn("zone", F.lit("bill_no"))
-    of, hit = Window.partitionBy(ID), is_total(F.col("text"))
-    total = F.min_by(F.when(hit, F.col("y0")), F.when(hit, F.col("word_ix"))).over(of)
-    with_total = words.withColumn("_t", F.coalesce(total, F.lit(1e9)))
-    table = with_total.filter(F.col("mid_y") < F.col("_t") - 20).select(*box).withColumn("zone", F.lit("table"))
-    sums = with_total.filter((F.col("y0") >= F.col("_t") - 5) & (F.col("_t") < 1e9)).select(*box).withColumn("zone", F.lit("totals"))
-    return top.unionByName(table).unionByName(sums)
+    """(bill_id, zone, row_ix, x0, y0, x1, y1) of normalized words: what each of the operators above looks at.
+
+    bill_no: the first usable "No" and the word right of it; customer: all words above the
+    first registration number, if it has 15 characters; totals: the band from total to net
+    total; table: the words above the total with their row (row_ix is null in other zones).
+    """
+    box = lambda *where: [F.lit(where[0]).alias("zone"), where[1].cast("long").alias("row_ix"), "x0", "y0", "x1", "y1"]
+    none = F.lit(None)
+    label = _labels(page_part(tolerances(words), 28)).groupBy(ID).agg(F.min_by(F.array("label", "next.box"), "l_ix").alias("b"))
+    label = label.select(ID, F.explode("b").alias("b")).select(ID, F.lit("bill_no").alias("zone"), none.cast("long").alias("row_ix"), "b.*")
+    bare = F.regexp_replace("text", r"\s", "")
+    shape = bare.rlike(r"^[0-9]{2}[A-Z][A-Z0-9]{10,14}\z")
+    whole = _whole(words).select(ID, "_t", "_n", "_h").join(words.groupBy(ID).agg(_first("mid_y", shape).alias("_y"), F.length(_first(bare, shape)).alias("_g")), ID)
+    all_ = words.join(whole, ID)
+    customer = all_.filter((F.col("_g") == 15) & (F.col("mid_y") < F.col("_y") - 5)).select(ID, *box("customer", none))
+    sums = all_.filter((F.col("y0") >= F.col("_t") - 5) & (F.col("y1") <= _band())).select(ID, *box("totals", none))
+    above = all_.filter(F.col("mid_y") < F.coalesce("_t", F.lit(1e9)) - 20)
+    table = cluster_rows(above, _tolerance(F.col("_h"), 15.0)).select(ID, *box("table", F.col("row_ix")))
+    return label.unionByName(customer).unionByName(sums).unionByName(table)

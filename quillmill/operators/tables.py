@@ -12,6 +12,7 @@ from quillmill.functions.numbers import parse_float, parse_repaired, trim
 TOTAL_LINE = r"(?i)T[O0D]TAL|TOTAL"
 HEADER_LINE = r"(?i)S\.?\s*No|D\.?\s*C\.?|Fabric|Wt\.?\s*Kgs|Rate|Amount|GG|COUNTS|MILL|DIA"
 END_LINE = r"(?i)T[O0D]TAL|TOTAL|CGST|SGST|NET\s*T"
+ITEM = ("sl_no", "dc", "date", "gg", "fabric", "counts", "mill", "dia", "weight", "rate", "amount")
 NUMERIC = r"[\d,]+\.?[\dA-Za-z]*"
 
 
@@ -49,29 +50,37 @@ def row_backward(line: Column, tokens: Column) -> Column:
     return let(lead, item)
 
 
-def table_rows(bills: DataFrame, id_col: str = "bill_id", text_col: str = "text") -> DataFrame:
-    """One row per line item: (id, line_ix, sl_no, ..., amount).
+def with_items(bills: DataFrame, text_col: str = "text", name: str = "items") -> DataFrame:
+    """bills with ``name``: an array of line items (line_ix, sl_no, ..., amount), null if there is none.
 
     Items stand between the first header line and the first total line; a bill
     without any there is read again from its first line.
     """
     lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda l, i: F.struct(i.alias("i"), trim(l).alias("l")))
-    of = bills.select(id_col, lines.alias("_l"))
     at = lambda pattern: F.get(F.filter("_l", lambda x: x["l"].rlike(pattern)), F.lit(0))["i"]
-    of = of.select(id_col, "_l", F.coalesce(at(TOTAL_LINE), F.size("_l")).alias("_t"), at(HEADER_LINE).alias("_h"))
-
-    def body(start: Column) -> Column:
-        """Lines from start to the first that ends the table."""
-        part = F.filter("_l", lambda x: (x["i"] >= start) & (x["i"] < F.col("_t")) & (x["l"] != ""))
-        first_end = lambda p: F.coalesce(F.get(F.filter(p, lambda x: x["l"].rlike(END_LINE)), F.lit(0))["i"], F.col("_t"))
-        return let(part, lambda p: let(first_end(p), lambda stop: F.filter(p, lambda x: x["i"] < stop)))
-
-    of = of.withColumn("_a", body(F.coalesce(F.col("_h") + 1, F.lit(0))))
-    some = F.exists("_a", lambda x: is_row(numeric_tokens(x["l"])))
-    chosen = F.when(F.col("_h").isNull() | some, F.col("_a")).otherwise(body(F.lit(0)))
-    each = of.select(id_col, F.explode(chosen).alias("_x")).select(id_col, F.col("_x.i").alias("line_ix"), F.col("_x.l").alias("_x"))
-    rows = each.withColumn("_k", numeric_tokens(F.col("_x"))).filter(is_row(F.col("_k")))
-    return rows.select(id_col, "line_ix", row_backward(F.col("_x"), F.col("_k")).alias("_i")).select(id_col, "line_ix", "_i.*")
+    of = bills.withColumn("_l", lines).withColumn("_t_ix", F.coalesce(at(TOTAL_LINE), F.size("_l"))).withColumn("_h_ix", at(HEADER_LINE))
+
+    def rows_from(start: Column) -> Column:
+        """Item lines, with their numbers, from start to the first line that ends the table."""
+        part = F.filter("_l", lambda x: (x["i"] >= start) & (x["i"] < F.col("_t_ix")) & (x["l"] != ""))
+        first_end = lambda p: F.coalesce(F.get(F.filter(p, lambda x: x["l"].rlike(END_LINE)), F.lit(0))["i"], F.col("_t_ix"))
+        body = let(part, lambda p: let(first_end(p), lambda stop: F.filter(p, lambda x: x["i"] < stop)))
+        return F.filter(F.transform(body, lambda x: F.struct(x["i"].alias("i"), x["l"].alias("l"), numeric_tokens(x["l"]).alias("k"))), lambda x: is_row(x["k"]))
+
+    of = of.withColumn("_a", rows_from(F.coalesce(F.col("_h_ix") + 1, F.lit(0))))
+    of = of.withColumn("_a", F.when(F.col("_h_ix").isNull() | (F.size("_a") > 0), F.col("_a")).otherwise(rows_from(F.lit(0))))
+
+    def item(x: Column) -> Column:
+        return let(row_backward(x["l"], x["k"]), lambda r: F.struct(x["i"].alias("line_ix"), *[r[c].alias(c) for c in ITEM]))
+
+    return of.withColumn(name, F.when(F.size("_a") > 0, F.transform("_a", item))).drop("_l", "_t_ix", "_h_ix", "_a")
+
+
+def table_rows(bills: DataFrame, id_col: str = "bill_id", text_col: str = "text") -> DataFrame:
+    """One row per line item: (id, line_ix, sl_no, ..., amount)."""
+    rows = with_items(bills.select(id_col, F.col(text_col).alias("_text")), "_text", "_items")
+    # The outer explode: for the inner one Spark would put the whole expression into a filter before it as well.
+    return rows.select(id_col, F.explode_outer("_items").alias("_i")).filter(F.col("_i").isNotNull()).select(id_col, "_i.*")
 
 
 def table_rows_plain(bills: DataFrame, id_col: str = "bill_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.functions.columns import before, let
 from quillmill.functions.numbers import first, parse_float, shown, to_number, trim
 from quillmill.functions.text import iso_date_strict, normalize_lines
-from quillmill.operators.tables import table_rows
+from quillmill.operators.tables import with_items
 
 # Fixed values.
 TEMPLATE = "NEW_GOOD_NITS"
@@ -156,26 +156,22 @@ def parse_bills(bills: DataFrame, id_col: str = "bill_id", text_col: str = "text
     of = lambda c: F.when(F.col("template").isNotNull(), c)
     parts = known.select(
         id_col, "template", F.when(F.col("template").isNull(), "Unsupported invoice format").alias("error"),
-        of(customer(F.col("_t"))).alias("customer"), of(bill_meta(F.col("_t"))).alias("bill_meta"), of(totals(F.col("_t"))).alias("totals"),
+        of(customer(F.col("_t"))).alias("customer"), of(bill_meta(F.col("_t"))).alias("bill_meta"), of(totals(F.col("_t"))).alias("totals"), of(F.col("_t")).alias("_t"),
     )
-    rows = table_rows(known.filter(F.col("template").isNotNull()).select(id_col, "_t"), id_col, "_t")
-    item = F.struct(*[c for c in rows.columns if c != id_col])
-    items = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return parts.join(items, id_col, "left")
+    return with_items(parts, "_t").drop("_t")
 
 
 def parse_regions(regions: DataFrame, id_col: str = "bill_id") -> DataFrame:
     """The same parts where each comes from its own region's text: header, customer, bill_meta, table, totals."""
     from quillmill.operators.region import header
 
-    t = lambda c: normalize_lines(F.col(c))
-    parts = regions.select(
-        id_col, header(t("header")).alias("header"), customer(t("customer")).alias("customer"),
-        bill_meta(t("bill_meta")).alias("bill_meta"), totals(t("totals")).alias("totals"),
+    names = ("header", "customer", "bill_meta", "totals", "table")
+    t = regions.select(id_col, *[normalize_lines(F.col(c)).alias(c) for c in names])
+    parts = t.select(
+        id_col, header(F.col("header")).alias("header"), customer(F.col("customer")).alias("customer"),
+        bill_meta(F.col("bill_meta")).alias("bill_meta"), totals(F.col("totals")).alias("totals"), "table",
     )
-    rows = table_rows(regions.select(id_col, t("table").alias("_t")), id_col, "_t")
-    items = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct(*[c for c in rows.columns if c != id_col]))).alias("items"))
-    return parts.join(items, id_col, "left")
+    return with_items(parts, "table").drop("table")
 
 
 def to_generic(parsed: DataFrame, id_col: str = "bill_id") -> DataFrame:

@@ -149,26 +149,31 @@ def _(spark, d):
 
 
 # ---- the known template, from text
+def _normalized(spark, d) -> DataFrame:
+    """Bills with their text normalized once, before the extraction that names it many times."""
+    return R.bills_text(spark, d).select("bill_id", T.normalize_lines(F.col("text")).alias("text"))
+
+
 @query("bill_meta", f"WITH {BILLS} SELECT bill_id, bill_no, bill_date AS date, bill_id::varchar job_no FROM b")
 def _(spark, d):
-    return R.bills_text(spark, d).select("bill_id", template.bill_meta(T.normalize_lines(F.col("text"))).alias("m")).select("bill_id", "m.bill_no", "m.date", "m.job_no")
+    return _normalized(spark, d).select("bill_id", template.bill_meta(F.col("text")).alias("m")).select("bill_id", "m.bill_no", "m.date", "m.job_no")
 
 
-@query("bill_totals", f"WITH {BILLS} SELECT bill_id, sub subtotal, tax cgst, tax sgst, abs(off)::decimal(18,2) rounded_off, net net_total FROM b")
+@query("bill_totals", f"WITH {BILLS} SELECT bill_id, sub subtotal, tax cgst, tax sgst, abs(off)::decimal(18,2) rounded_off, net net_total FROM b")  # the label takes a minus as its own, as a colon
 def _(spark, d):
-    t = R.bills_text(spark, d).select("bill_id", template.totals(T.normalize_lines(F.col("text"))).alias("t"))
-    money = [F.abs(F.col(f"t.{c}").try_cast("decimal(18,2)")).alias(c) for c in ("subtotal", "cgst", "sgst", "rounded_off", "net_total")]
+    t = _normalized(spark, d).select("bill_id", template.totals(F.col("text")).alias("t"))
+    money = [F.col(f"t.{c}").try_cast("decimal(18,2)").alias(c) for c in ("subtotal", "cgst", "sgst", "rounded_off", "net_total")]
     return t.select("bill_id", *money)
 
 
 @query("bill_customer", f"WITH {BILLS} SELECT bill_id, cname AS name, seg AS address, gstin gst_no FROM b")
 def _(spark, d):
-    return R.bills_text(spark, d).select("bill_id", template.customer(T.normalize_lines(F.col("text"))).alias("c")).select("bill_id", "c.name", "c.address", "c.gst_no")
+    return _normalized(spark, d).select("bill_id", template.customer(F.col("text")).alias("c")).select("bill_id", "c.name", "c.address", "c.gst_no")
 
 
 @query("bill_header", f"WITH {BILLS} SELECT bill_id, 'NEW GOOD NITS' company_name, '33AAFFN1234A1Z5' gstin, right(cname, 9) tin, 0 phones FROM b")
 def _(spark, d):
-    h = R.bills_text(spark, d).select("bill_id", region.header(T.normalize_lines(F.col("text"))).alias("h"))
+    h = _normalized(spark, d).select("bill_id", region.header(F.col("text")).alias("h"))
     return h.select("bill_id", "h.company_name", "h.gstin", "h.tin", F.size("h.phones").alias("phones"))
 
 
@@ -234,13 +239,14 @@ _GENERIC = "".join([
     "coalesce(nullif(regexp_extract(txt, '(?i)(?:Invoice No)[\\s#:]*([A-Z0-9\\-]+)', 1), ''), nullif(regexp_extract(txt, '(?i)(?:Invoice|Bill|INV)[\\s#:]*No[.\\s#:]*([A-Z0-9\\-]+)', 1), ''), ",
     "nullif(regexp_extract(txt, '(?i)(?:Invoice|Bill)[\\s#:]*([A-Z0-9\\-]{4,})', 1), ''), nullif(regexp_extract(txt, '(?i)No[.\\s#:]*([A-Z0-9\\-]+)', 1), '')) bill_no, ",
     "iso AS date, replace(nullif(regexp_extract(txt, '(?i)(?:GST)[\\s:]*[₹$]?[\\s]*" + _NUM + "', 1), ''), ',', '') gst0, ",
-    "replace(regexp_extract(txt, '(?i)(?:Total)[\\s:]*[₹$]?[\\s]*" + _NUM + "', 1), ',', '') total",
+    "replace(regexp_extract(txt, '(?i)(?:Total)[\\s:]*[₹$]?[\\s]*" + _NUM + "', 1), ',', '') total, ",
+    "substr(trim(string_split(trim(regexp_extract(txt, '(?i)(?:To|Customer|Bill\\s*To)[\\s:]+([A-Z][A-Za-z\\s&]+?)(?:\\n|GST|Date|Invoice|Total|$)', 1)), chr(10))[1]), 1, 100) who",
 ])
 
 
-@query("generic_bill", f"WITH {TEXT} SELECT bill_id, bill_no, date, total FROM (SELECT tx.bill_id, {_GENERIC} FROM tx JOIN (SELECT bill_id, iso FROM b) USING (bill_id))")
+@query("generic_bill", f"WITH {TEXT} SELECT bill_id, bill_no, date, total, gst0 AS gst, nullif(who, '') customer FROM (SELECT tx.bill_id, {_GENERIC} FROM tx JOIN (SELECT bill_id, iso FROM b) USING (bill_id))")
 def _(spark, d):
-    return generic.extract(R.bills_text(spark, d), generic.Rules().get("new-goo-nits")).select("bill_id", "bill_no", "date", "total")
+    return generic.extract(R.bills_text(spark, d), generic.Rules().get("new-goo-nits")).select("bill_id", "bill_no", "date", "total", "gst", "customer")
 
 
 @query("extract_any", f"WITH {BILLS} SELECT bill_id, bill_no, iso AS date, net total FROM b UNION ALL SELECT -c_custkey, c_custkey::varchar, NULL, (c_custkey * 10)::decimal(18,2) FROM customer")
@@ -349,10 +355,23 @@ def _(spark, d):
     return rows.join(R.rendered_lines(spark, d).select("bill_id").distinct(), "bill_id", "left_semi")
 
 
-@query("spatial_totals", f"WITH {BILLS} SELECT bill_id, greatest(sub, net) net_total, least(sub, net) subtotal FROM b")
+#: Totals from words: the decimals between TOTAL and the net total by size; the last two under 2000 are the taxes.
+_SUMS = WORDS + """,
+an AS (SELECT bill_id, min(CASE WHEN text = 'TOTAL' THEN y0 END) t, max(CASE WHEN text = 'NETTOTAL' THEN y0 END) n FROM ws GROUP BY 1),
+dv AS (SELECT bill_id, list_sort(list(try_cast(regexp_extract(text, '^[0-9]+[.][0-9]*') AS double)), 'DESC') v FROM ws JOIN an USING (bill_id)
+  WHERE y0 >= t - 5 AND y1 <= n + 85 AND regexp_matches(text, '^[0-9]+[.]') GROUP BY 1),
+sums AS (SELECT bill_id, v[1] net_total, v[2] subtotal, coalesce(sm[greatest(len(sm) - 1, 1)], NULL) cgst, sm[len(sm)] sgst
+  FROM (SELECT bill_id, v, list_filter(v, lambda x: x < 2000 AND x > 0) sm FROM dv))"""
+
+
+def _numbers_of(*names: str) -> list:
+    return [F.col(n).cast("double").alias(n.split(".")[-1]) for n in names]
+
+
+@query("spatial_totals", f"WITH {_SUMS} SELECT bill_id, net_total, subtotal, cgst, sgst FROM sums")
 def _(spark, d):
     t = spatial.totals(spatial.normalize_words(R.bills_words(spark, d)))
-    return t.select("bill_id", F.col("net_total").cast("double").cast(R.MONEY).alias("net_total"), F.col("subtotal").cast("double").cast(R.MONEY).alias("subtotal"))
+    return t.select("bill_id", *_numbers_of("net_total", "subtotal", "cgst", "sgst"))
 
 
 @query("spatial_bill_no", f"WITH {WORDS} SELECT bill_id, coalesce(min(w2.text), NULL) bill_no FROM (SELECT bill_id, min_by(text, word_ix) text FROM (SELECT bill_id, word_ix, text, y0, max(y1) OVER (PARTITION BY bill_id) + 50 page FROM ws) WHERE y0 < page * 28 / 100 AND regexp_full_match(text, '\\d{{1,6}}') GROUP BY 1) w2 GROUP BY 1")
@@ -365,15 +384,42 @@ def _(spark, d):
     return spatial.customers(spatial.normalize_words(R.bills_words(spark, d))).select("bill_id", "name", "address", "gst_no")
 
 
-@query("spatial_merge", f"WITH {BILLS} SELECT bill_id, bill_no, bill_id::varchar job_no, n::int n_items, greatest(net, sub) net_total FROM b")
+@query(
+    "spatial_merge",
+    f"WITH {_SUMS} SELECT b.bill_id, bill_no, b.bill_id::varchar job_no, n::int n_items, 'NEW GOOD NITS' AS name, '33AAFFN1234A1Z5' gst_no, sums.net_total, sums.subtotal, "
+    "sums.cgst, sums.sgst, NULL::double rounded_off FROM b JOIN sums USING (bill_id)",
+)
 def _(spark, d):
     m = spatial.merge(template.parse_bills(R.bills_text(spark, d)), R.bills_words(spark, d))
-    return m.select("bill_id", "bill_meta.bill_no", "bill_meta.job_no", F.size("items").alias("n_items"), F.col("totals.net_total").cast("double").cast(R.MONEY).alias("net_total"))
+    sums = _numbers_of(*[f"totals.{c}" for c in ("net_total", "subtotal", "cgst", "sgst", "rounded_off")])
+    return m.select("bill_id", "bill_meta.bill_no", "bill_meta.job_no", F.size("items").alias("n_items"), "customer.name", "customer.gst_no", *sums)
 
 
-@query("spatial_zones", f"WITH {WORDS}, z AS (SELECT *, max(y1) OVER (PARTITION BY bill_id) + 50 page, min(CASE WHEN text = 'TOTAL' THEN y0 END) OVER (PARTITION BY bill_id) t FROM ws) SELECT bill_id, 'bill_no' AS zone, count(*) n FROM z WHERE y0 < page * 28 / 100 GROUP BY 1 UNION ALL SELECT bill_id, 'table', count(*) FROM z WHERE y0 + 6 < t - 20 GROUP BY 1 UNION ALL SELECT bill_id, 'totals', count(*) FROM z WHERE y0 >= t - 5 GROUP BY 1")
+#: Words in the order they were written; a bill has its "No:" alone as "No:", so that its number is labelled by no "No", "No." or "T0".
+_ZONES = WORDS + """,
+an AS (SELECT bill_id, min(CASE WHEN text = 'TOTAL' THEN y0 END) t, max(CASE WHEN text = 'NETTOTAL' THEN y0 END) n,
+  min_by(y0 + 6, word_ix) FILTER (regexp_full_match(text, '[0-9]{2}[A-Z][A-Z0-9]{10,14}')) g FROM ws GROUP BY 1)"""
+
+
+@query(
+    "spatial_zones",
+    f"WITH {_ZONES} SELECT bill_id, 'customer' AS zone, NULL::bigint row_ix, x0, y0, x1, y1 FROM ws JOIN an USING (bill_id) WHERE y0 + 6 < g - 5 "
+    "UNION ALL SELECT bill_id, 'totals', NULL, x0, y0, x1, y1 FROM ws JOIN an USING (bill_id) WHERE y0 >= t - 5 AND y1 <= n + 85 "
+    "UNION ALL SELECT bill_id, 'table', j, x0, y0, x1, y1 FROM ws JOIN an USING (bill_id) WHERE y0 + 6 < t - 20 "
+    "UNION ALL SELECT -1 - bill_id, 'bill_no', NULL, k * 50.0, 0.0, k * 50.0 + 30, 12.0 FROM b, (VALUES (0), (1)) v(k) "
+    "UNION ALL SELECT -1 - bill_id, 'table', 0, k * 50.0, 0.0, k * 50.0 + 30, 12.0 FROM b, (VALUES (0), (1)) v(k)",
+)
 def _(spark, d):
-    return spatial.zones(spatial.normalize_words(R.bills_words(spark, d))).groupBy("bill_id", "zone").agg(F.count("*").alias("n"))
+    words = R.bills_words(spark, d)
+    # Further pages whose number has a label of its own: "No." and the number, above a low total.
+    page = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("word_ix"), F.lit(t).alias("text"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 30.0).alias("x1"), F.lit(y + 12.0).alias("y1"))
+        for i, (t, x, y) in enumerate((("No.", 0.0, 0.0), ("1234", 50.0, 0.0), ("foot", 0.0, 600.0), ("TOTAL", 0.0, 300.0)))
+    ]))
+    more = words.select((-1 - F.col("bill_id")).alias("bill_id")).distinct().select("bill_id", page.alias("w")).select("bill_id", "w.*")
+    both = words.select("bill_id", "word_ix", "text", "x0", "y0", "x1", "y1").unionByName(more)
+    found = spatial.zones(spatial.normalize_words(both))
+    return found.filter((F.col("bill_id") >= 0) | F.col("zone").isin("bill_no", "table"))
 
 
 @query("text_of_words", "WITH " + _text("NETTOTAL") + " SELECT bill_id, txt AS text FROM tx")
@@ -497,7 +543,10 @@ def _(spark, d):
     return after.select("id", "billNo", F.lit(True).alias("saved")).union(rejected.select("id", "billNo", F.lit(False)))
 
 
-@query("save_checked", f"WITH {_UPSERT.replace('FROM st WHERE id % 3 = 0)', chr(70) + 'ROM st WHERE id % 3 = 0 AND date::date <= DATE ' + chr(39) + '1996-06-30' + chr(39) + ')')} SELECT id FROM old UNION ALL SELECT id FROM ok")
+_UPSERT_DATED = _UPSERT.replace("FROM st WHERE id % 3 = 0)", "FROM st WHERE id % 3 = 0 AND date::date <= DATE '1996-06-30')")
+
+
+@query("save_checked", f"WITH {_UPSERT_DATED} SELECT id FROM old UNION ALL SELECT id FROM ok")
 def _(spark, d):
     old, new = _halves(spark, d)
     return S.save_checked(old, new, F.to_date(F.lit("1996-06-30")), confirmed=True)[0].select("id")
@@ -518,9 +567,10 @@ def _(spark, d):
 @query("find_bill", f"WITH {STORE} SELECT 'no' AS how, min(id) id FROM st WHERE billNo = '1500' UNION ALL SELECT 'hash', min(id) FROM st WHERE invoiceHash = (SELECT invoiceHash FROM st WHERE id = 42) UNION ALL SELECT 'id', 42")
 def _(spark, d):
     s = R.store(spark, d)
-    h = s.filter("id = 42").select("invoiceHash").first()
+    wanted = s.filter("id = 42").select(F.col("invoiceHash").alias("h"))
+    same = s.join(F.broadcast(wanted), F.col("invoiceHash") == F.col("h")).agg(F.min("id").alias("id")).filter("id IS NOT NULL")
     return (
-        S.by_bill_no(s, "1500").select(F.lit("no").alias("how"), "id").union(S.by_hash(s, h[0] if h else None).select(F.lit("hash"), "id"))
+        S.by_bill_no(s, "1500").select(F.lit("no").alias("how"), "id").union(same.select(F.lit("hash"), "id"))
         .union(S.by_id(s, 42).select(F.lit("id"), "id"))
     )
 
@@ -631,5 +681,7 @@ def _(spark, d):
 @query("image_quality", None)
 def _(spark, d):
     m = images.measured(R.images(spark, d))
-    q = checks.quality(F.lit(False), ~F.col("blurry"), F.col("bright_ok"), F.col("contrast_ok"), F.lit(False))
+    m = m.join(R.images(spark, d).select("image_id", "width", "height"), "image_id")
+    size = (F.col("width"), F.col("height"))
+    q = checks.quality(T.resolution(*size)["adequate"], ~F.col("blurry"), F.col("bright_ok"), F.col("contrast_ok"), T.page_dpi(*size)["adequate"])
     return m.select("image_id", q["issues"].alias("issues"), q["poor"].alias("poor"))
