@@ -218,11 +218,12 @@ def _fit_ratio(model: Centroids, asked: np.ndarray, reached: list[list[set[int]]
 
 
 def _top(lead: np.ndarray, vec: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
-    """Places of the n best different (score, vec) of each lead."""
-    order = np.lexsort((vec, -score, lead))
-    same = np.zeros(len(order), bool)  # an entry met in two lists has one score
-    same[1:] = (lead[order][1:] == lead[order][:-1]) & (vec[order][1:] == vec[order][:-1])
-    order = order[~same]
+    """Places of the n best different vec of each lead; one met in several lists counts once, at its best score."""
+    order = np.lexsort((-score, vec, lead))
+    first = np.ones(len(order), bool)
+    first[1:] = (lead[order][1:] != lead[order][:-1]) | (vec[order][1:] != vec[order][:-1])
+    order = order[first]
+    order = order[np.lexsort((vec[order], -score[order], lead[order]))]
     start = np.flatnonzero(np.concatenate([[True], lead[order][1:] != lead[order][:-1]]))
     place = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
     return order[place < n]
