@@ -7,10 +7,11 @@ a lost executor costs no earlier stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, decontaminate, langid, near_dedup, pii
+from quillmill.llm._native import fresh
 from quillmill.llm._scratch import Scratch
 
 #: Dropped rows that are broadcast against the documents; more are joined by a shuffle.
@@ -22,28 +23,38 @@ def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     gone = Scratch(docs.sparkSession, "pipeline").put(gone.distinct(), name)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    own = docs.withColumn("_name", F.xxhash64("text"))
-    same = own["doc_id"].eqNullSafe(gone["doc_id"]) & (own["_name"] == gone["text_name"])
+    mark = fresh(docs, "_name")
+    own = docs.withColumn(mark, F.xxhash64("text"))
+    same = own["doc_id"].eqNullSafe(gone["doc_id"]) & (own[mark] == gone["text_name"])
     return own.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; ``lang`` becomes what was found.  Null and letterless texts go."""
     model = langid.fit(docs)
-    found = docs.withColumn("_found", langid.predicted(F.col("text"), model)["lang_pred"])
-    return found.filter(F.col("_found") != langid.UNKNOWN).select(
-        *[F.col("_found").alias(c) if c == "lang" else F.col(c) for c in docs.columns]
+    mark = fresh(docs, "_found")
+    found = docs.withColumn(mark, langid.predicted(F.col("text"), model)["lang_pred"])
+    return found.filter(F.col(mark) != langid.UNKNOWN).select(
+        *[F.col(mark).alias(c) if c == "lang" else F.col(c) for c in docs.columns]
     )
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the smallest id."""
-    groups = near_dedup.near_duplicates(docs)
-    ids = groups.filter(~F.col("kept")).select("doc_id")
-    ids = Scratch(spark, "pipeline").put(ids, "copies")
-    if ids.count() <= BROADCAST_ROWS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five words, 0.8) the document with the smallest id; of the rows of one id, one."""
+    scratch = Scratch(spark, "pipeline")
+    groups = scratch.put(near_dedup.near_duplicates(docs), "groups")
+    ids = scratch.put(groups.filter(~F.col("kept")).select("doc_id").distinct(), "copies")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    left = docs.join(few, "doc_id", "left_anti").select(*docs.columns)
+    again = groups.filter(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    again = scratch.put(again, "again")
+    if not again.limit(1).count():
+        return left
+    few = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    place = fresh(docs, "_place")
+    one = left.join(few, "doc_id", "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).select(*docs.columns)
+    return left.join(few, "doc_id", "left_anti").select(*docs.columns).union(one)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

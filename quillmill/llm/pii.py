@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm._native import find_spans, render, table, tag
+from quillmill.llm._native import find_spans, fresh, render, table, tag
 
 # A match inside a run of word characters succeeds exactly if the one from the
 # start of the run does, so only run starts (or the end of the last match) are tried.
@@ -140,8 +140,8 @@ def mask_pii(docs: DataFrame, text_col: str = "text", min_points: int = 0) -> Da
     Of overlapping spans the first (by start, then kind) is replaced, and a
     later one that reaches further extends it.  Null texts stay null.
     """
-    text = F.col(text_col)
-    work = docs.withColumn("_q_spans", F.array_sort(F.filter(pii_spans(text), lambda x: x["points"] >= min_points)))
+    text, spans = F.col(text_col), fresh(docs, "_spans")
+    work = docs.withColumn(spans, F.array_sort(F.filter(pii_spans(text), lambda x: x["points"] >= min_points)))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = F.concat(
@@ -152,11 +152,11 @@ def mask_pii(docs: DataFrame, text_col: str = "text", min_points: int = 0) -> Da
         )
 
     done = F.aggregate(
-        F.col("_q_spans"), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
+        F.col(spans), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
     )
-    masked = F.when(F.size("_q_spans") > 0, done).otherwise(text)
-    return work.withColumn(text_col, masked).drop("_q_spans")
+    masked = F.when(F.size(spans) > 0, done).otherwise(text)
+    return work.withColumn(text_col, masked).drop(spans)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

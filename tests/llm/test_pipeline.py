@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillmill.llm import bpe, langid, near_dedup, pii, registry
@@ -56,8 +57,22 @@ def test_null_ids_and_repeated_rows_pass_through(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     bad = docs.limit(1).selectExpr("cast(NULL AS bigint) doc_id", "text", "lang", "source", "n_chars")
     both = docs.limit(30).union(bad).union(docs.selectExpr("doc_id", "cast(NULL AS string) text", "lang", "source", "n_chars").limit(2))
+    both = both.union(docs.orderBy("doc_id").limit(1))  # a row that repeats an id
     out = both
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, out, sf_dir)
         assert out.columns == docs.columns
     assert out.filter("text IS NULL").count() == 0
+    assert out.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").count() == 0
+
+
+def test_stages_on_an_empty_table_and_with_clashing_columns(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    for name in ("_name", "_found", "_spans", "id", "row", "node", "kept", "_place"):
+        docs = docs.withColumn(name, F.lit(None).cast("string"))
+    for rows in (docs.limit(0), docs):
+        out = rows
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, out, sf_dir)
+            assert out.columns == docs.columns
+        assert corpus_pipeline.tokens(spark, out, sf_dir).count() == out.count()
