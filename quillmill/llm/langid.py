@@ -122,7 +122,8 @@ def predicted(text: Column, model: Profiles) -> Column:
         for texts in batches:
             yield pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return F.pandas_udf(tidy(run), "lang_pred string, score double")(text)
+    # Called non-deterministic so that a filter on the result is not pushed before it as a second evaluation.
+    return F.pandas_udf(tidy(run), "lang_pred string, score double").asNondeterministic()(text)
 
 
 def predict(docs: DataFrame, model: Profiles, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:

@@ -57,7 +57,7 @@ POOL = 128
 NODE_PAIRS = 320_000
 #: Members, and shingles, that one task compares at once; a node of FEW members may have longer texts.
 NODE_ROWS = 800
-NODE_UNITS = 4_000_000
+NODE_UNITS = 1_500_000
 FEW = 8
 #: Columns of an incidence matrix at once.
 COLUMNS = 4096
