@@ -83,15 +83,13 @@ def _in_rows(words: Column, tolerance: Column | float) -> Column:
     """array<array<_WORD>> of sorted words: a new row begins where the step from the word before exceeds the tolerance."""
     tolerance = F.lit(float(tolerance)) if isinstance(tolerance, (int, float)) else tolerance
 
-    def step(acc: Column, x: Column) -> Column:
-        new = (F.size(acc["row"]) > 0) & (F.abs(x["mid_y"] - acc["y"]) > tolerance)
-        return F.struct(
-            F.when(new, F.concat(acc["rows"], F.array(acc["row"]))).otherwise(acc["rows"]).alias("rows"),
-            F.when(new, F.array(x)).otherwise(F.concat(acc["row"], F.array(x))).alias("row"), x["mid_y"].alias("y"),
-        )
-
-    none = F.struct(F.array().cast(f"array<array<{_WORD}>>").alias("rows"), F.array().cast(f"array<{_WORD}>").alias("row"), F.lit(None).cast("double").alias("y"))
-    return F.aggregate(words, none, step, lambda a: F.when(F.size(a["row"]) > 0, F.concat(a["rows"], F.array(a["row"]))).otherwise(a["rows"]))
+    def of(a: Column) -> Column:
+        y, n = lambda i: F.get(a, i)["mid_y"], F.size(a)
+        starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.abs(y(i) - y(i - 1)) > tolerance))
+        cut = lambda s: F.transform(s, lambda at, k: F.slice(a, at + 1, F.coalesce(F.get(s, k + 1), n) - at))
+        return F.when(n > 0, let(starts, cut)).otherwise(F.array().cast(f"array<array<{_WORD}>>"))
+
+    return let(words, of)
 
 
 def _left_to_right(row: Column) -> Column:
