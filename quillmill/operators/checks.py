@@ -74,6 +74,17 @@ def number_ok(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).isin("") | F.coalesce((v >= 0) & (v < float("inf")) & ~F.isnan(v), F.lit(False))
 
 
+def inline_status(field: str, text: Column) -> Column:
+    """What a form says of a required field: ok, required, invalid date, or invalid amount.
+
+    An amount is the longest numeric prefix, not negative; a date is an ISO date, as the form's field holds it.
+    """
+    v = trim(F.coalesce(text, F.lit("")))
+    fails = {"date": (F.try_to_date(v, "yyyy-MM-dd").isNull(), "invalid date"), "total": (~F.coalesce(parse_float(v) >= 0, F.lit(False)), "invalid amount")}
+    wrong, says = fails.get(field, (F.lit(False), ""))
+    return F.when(v == "", "required").when(wrong, says).otherwise("ok")
+
+
 def quality(resolution: Column, blur: Column, brightness: Column, contrast: Column, dpi: Column) -> Column:
     """struct(issues, poor) of five checks that are true where all is well; three issues are poor."""
     issues = sum((F.when(c, 0).otherwise(1) for c in (resolution, blur, brightness, contrast, dpi)), F.lit(0))

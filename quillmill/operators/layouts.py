@@ -10,6 +10,10 @@ CROP_LAYOUT = (
     ("header", 0.0, 0.18, 0.0, 1.0), ("customer", 0.18, 0.35, 0.0, 0.55), ("billMeta", 0.18, 0.35, 0.52, 1.0),
     ("table", 0.35, 0.75, 0.0, 1.0), ("totals", 0.75, 0.92, 0.0, 1.0),
 )
+PAGE_LAYOUT = (
+    ("header", 0.0, 0.18, None, None), ("customer", 0.18, 0.35, 0.6, 1.0), ("billMeta", 0.18, 0.35, 0.0, 0.6),
+    ("table", 0.35, 0.75, None, None), ("totals", 0.75, 0.92, None, None),
+)
 TRAINED = (
     ("header", 0.0, 0.17, None, None), ("customer", 0.18, 0.16, 0.0, 0.6), ("billMeta", 0.18, 0.16, 0.6, 0.4),
     ("table", 0.36, 0.4, None, None), ("totals", 0.78, 0.14, None, None),
@@ -61,6 +65,11 @@ def average(layouts: DataFrame, id_col: str = "bill_id") -> DataFrame:
     return layouts.groupBy("region").agg(*[(F.sum(c) / n).alias(c) for c in ("y", "h", "x", "w")])
 
 
+def train(words: DataFrame, heights: DataFrame, id_col: str = "bill_id") -> DataFrame:
+    """(region, y, h, x, w): the layout of a template, from the words of its sample pages and (id, height)."""
+    return average(layouts_of(anchors(words, id_col), heights, id_col), id_col)
+
+
 def layout_for(templates: DataFrame, trained: DataFrame, default: DataFrame) -> DataFrame:
     """(template, region, y, h, x, w): the trained layout of each template, else the default one."""
     known = trained.select("template").distinct().withColumn("_k", F.lit(True))
@@ -87,6 +96,38 @@ def crop_boxes(pages: DataFrame, layout: DataFrame) -> DataFrame:
     return out.withColumn("out_w", grown("sw", MIN_WIDTH)).withColumn("out_h", grown("sh", MIN_HEIGHT))
 
 
+def _whole(size: Column) -> Column:
+    """A size in whole pixels, one at least."""
+    return F.greatest(F.lit(1), F.floor(size + 0.5).cast("int"))
+
+
+def crop_plain(pages: DataFrame, layout: DataFrame) -> DataFrame:
+    """(…, region, sx, sy, sw, sh, out_w, out_h): boxes in fractions of a pixel; without left and right, the full width.
+
+    layout: (region, top, bottom, left, right), one row for each region, so it is broadcast.
+    """
+    both = pages.join(F.broadcast(layout), F.lit(True))
+    x, y = F.coalesce(F.col("left") * F.col("width"), F.lit(0.0)), F.col("top") * F.col("height")
+    w = F.coalesce(F.col("right") * F.col("width"), F.col("width").cast("double")) - x
+    h = F.col("bottom") * F.col("height") - y
+    return both.select(*pages.columns, "region", x.alias("sx"), y.alias("sy"), w.alias("sw"), h.alias("sh"), _whole(w).alias("out_w"), _whole(h).alias("out_h"))
+
+
+def crop_trained(pages: DataFrame, layout: DataFrame) -> DataFrame:
+    """(…, region, sx, sy, sw, sh, out_w, out_h) by a layout as training makes it; without x and w, the full width.
+
+    layout: (region, y, h, x, w), one row for each region, so it is broadcast.
+    """
+    size = F.struct("width", "height").alias("_size")
+    both = pages.select(*pages.columns, size).join(F.broadcast(layout.select("region", F.struct("y", "h", "x", "w").alias("_r"))), F.lit(True))
+    w = F.when(F.col("_r.w").isNull(), F.col("_size.width").cast("int")).otherwise(_whole(F.col("_r.w") * F.col("_size.width")))
+    h = _whole(F.coalesce("_r.h", F.lit(0.0)) * F.col("_size.height"))
+    return both.select(
+        *pages.columns, "region", F.coalesce(F.col("_r.x") * F.col("_size.width"), F.lit(0.0)).alias("sx"),
+        (F.coalesce("_r.y", F.lit(0.0)) * F.col("_size.height")).alias("sy"), w.alias("sw"), h.alias("sh"), w.alias("out_w"), h.alias("out_h"),
+    )
+
+
 def route_words(words: DataFrame, pages: DataFrame, layout: DataFrame, id_col: str = "bill_id") -> DataFrame:
     """(id, region, word_ix, text): the region that holds each word's middle."""
     box = F.broadcast(layout)

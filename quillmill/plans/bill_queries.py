@@ -490,9 +490,9 @@ def _(spark, d):
     return s.select("id", F.exists(checks.bill_warnings(F.col("g").cast("string"), F.col("total").cast("string")), lambda w: F.startswith(w, F.lit("gst"))).alias("off"))
 
 
-@query("validate_parsed", f"WITH {BILLS} SELECT bill_id, true table_ok, true gst_ok, abs(sub::double + tax::double + tax::double + abs(off)::double - net::double) < 1 net_ok FROM b")
+@query("validate_parsed", f"WITH {BILLS} SELECT bill_id, true table_ok, true gst_ok, abs(sub::double + tax::double + tax::double + abs(off)::double - net::double) < 1 net_ok, NOT net_ok AS mismatch FROM b")
 def _(spark, d):
-    return checks.validated(template.parse_bills(R.bills_text(spark, d))).drop("mismatch")
+    return checks.validated(template.parse_bills(R.bills_text(spark, d)))
 
 
 @query("recalc_totals", f"WITH {BILLS} SELECT bill_id, sub subtotal, tax cgst, tax sgst, off rounded_off, net net_total FROM b")
@@ -505,6 +505,15 @@ def _(spark, d):
     return R.passes(spark, d).filter("field = 'total'").select("bill_id", "pass", "field", checks.number_ok(F.col("value")).alias("ok"))
 
 
+@query("inline_form", f"""WITH {PASSES}, t AS (SELECT bill_id, pass, field, trim(value) v FROM p)
+SELECT bill_id, pass, field, CASE WHEN v = '' THEN 'required' WHEN field = 'date' AND try_strptime(v, '%Y-%m-%d') IS NULL THEN 'invalid date'
+  WHEN field = 'total' AND NOT regexp_matches(v, '^[0-9.]') THEN 'invalid amount' ELSE 'ok' END AS status FROM t""")
+def _(spark, d):
+    fields = ("billNo", "date", "customer", "total")
+    status = F.coalesce(*[F.when(F.col("field") == f, checks.inline_status(f, F.col("value"))) for f in fields])
+    return R.passes(spark, d).select("bill_id", "pass", "field", status.alias("status"))
+
+
 @query("document_confidence", f"WITH {WORDS}, q AS (SELECT bill_id, word_ix % 5 q, avg(confidence) / 100 c FROM ws GROUP BY 1, 2) SELECT bill_id, round(avg(c), 9) confidence FROM q GROUP BY 1")
 def _(spark, d):
     w = R.bills_words(spark, d)
@@ -637,7 +646,9 @@ def _(spark, d):
 
 @query("average_layout", f"WITH {_LAYOUTS} SELECT region, round(avg(y), 6) y, round(avg(h), 6) h, CASE WHEN region = 'customer' THEN 0.0 WHEN region = 'billMeta' THEN 0.6 END::double x FROM ly GROUP BY 1")
 def _(spark, d):
-    return layouts.average(_learned(spark, d)).select("region", F.round("y", 6).alias("y"), F.round("h", 6).alias("h"), F.round("x", 6).alias("x"))
+    words = R.bills_words(spark, d)
+    heights = words.groupBy("bill_id").agg((F.max("y1") + 50).alias("height"))
+    return layouts.train(words, heights).select("region", F.round("y", 6).alias("y"), F.round("h", 6).alias("h"), F.round("x", 6).alias("x"))
 
 
 def _layout_values() -> str:
@@ -651,6 +662,23 @@ def _(spark, d):
     return layouts.crop_boxes(pages, layout).select("p_partkey", "region", "sx", "sy", "sw", "sh")
 
 
+def _sql_rows(rows: tuple) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows) + ")"
+
+
+@query("region_crops", f"""WITH pg AS (SELECT p_partkey, p_size * 41 w, p_size * 53 h FROM part),
+a AS (SELECT region, t::double t, b::double b, l::double l, r::double r FROM {_sql_rows(layouts.PAGE_LAYOUT)} v(region, t, b, l, r)),
+c AS (SELECT region, y::double y, hh::double hh, x::double x, ww::double ww FROM {_sql_rows(layouts.TRAINED)} v(region, y, hh, x, ww))
+SELECT p_partkey, 'plain' AS how, region, coalesce(l * w, 0) sx, t * h sy, greatest(1, floor(coalesce(r * w, w) - coalesce(l * w, 0) + 0.5))::int out_w, greatest(1, floor(b * h - t * h + 0.5))::int out_h FROM pg, a
+UNION ALL SELECT p_partkey, 'trained', region, coalesce(x * w, 0), y * h, CASE WHEN ww IS NULL THEN w ELSE greatest(1, floor(ww * w + 0.5)) END::int, greatest(1, floor(hh * h + 0.5))::int FROM pg, c""")
+def _(spark, d):
+    pages = R.table(spark, d, "part").select("p_partkey", (F.col("p_size") * 41).alias("width"), (F.col("p_size") * 53).alias("height"))
+    plain = layouts.crop_plain(pages, spark.createDataFrame(list(layouts.PAGE_LAYOUT), "region string, top double, bottom double, left double, right double"))
+    trained = layouts.crop_trained(pages, spark.createDataFrame(list(layouts.TRAINED), layouts.LAYOUT))
+    each = [x.select("p_partkey", F.lit(n).alias("how"), "region", "sx", "sy", "out_w", "out_h") for n, x in (("plain", plain), ("trained", trained))]
+    return each[0].union(each[1])
+
+
 @query("route_words", f"WITH {WORDS}, pg AS (SELECT bill_id, max(x1) + 50 w, max(y1) + 50 h FROM ws GROUP BY 1), v AS (SELECT region, t::double t, b::double b, l::double l, r::double r FROM (VALUES {_layout_values()}) v(region, t, b, l, r)) SELECT ws.bill_id, region, count(*) n FROM ws JOIN pg USING (bill_id) JOIN v ON (y0 + y1) / 2 / h >= t AND (y0 + y1) / 2 / h < b AND (x0 + x1) / 2 / w >= l AND (x0 + x1) / 2 / w < r GROUP BY 1, 2")
 def _(spark, d):
     words = R.bills_words(spark, d)
@@ -668,17 +696,54 @@ def _(spark, d):
 
 
 # ---- pixels
-@query("image_measures", None)
+PIXELS = """px AS (SELECT p_partkey AS id, y, x, ((x * p_size + y * 7 + p_partkey) % 256)::int v
+  FROM part, (SELECT unnest(range(12)) y), (SELECT unnest(range(16)) x))"""
+
+
+def _otsu(pixels: str) -> str:
+    """ot (id, otsu): of a table of pixels (id, v), 192 of each picture."""
+    return f"""hi AS (SELECT i.id, t, count(v) h FROM (SELECT DISTINCT id FROM {pixels}) i CROSS JOIN (SELECT unnest(range(256)) t) LEFT JOIN {pixels} p ON p.id = i.id AND v = t GROUP BY 1, 2),
+cu AS (SELECT id, t, (sum(h) OVER w)::double under, (sum(h * t) OVER w)::double mass, (sum(h * t) OVER (PARTITION BY id))::double whole FROM hi WINDOW w AS (PARTITION BY id ORDER BY t)),
+va AS (SELECT id, t, CASE WHEN under > 0 AND under < 192 THEN (under * (192 - under)) * ((mass / under - (whole - mass) / (192 - under)) * (mass / under - (whole - mass) / (192 - under))) ELSE -1 END b FROM cu),
+ot AS (SELECT id, greatest(1, least(254, t))::int otsu FROM va QUALIFY row_number() OVER (PARTITION BY id ORDER BY b DESC, t) = 1)"""
+
+
+def _sharp(factor: float) -> str:
+    """sh (id, y, x, v): gray pixels after contrast and sharpening."""
+    return f"""gy AS (SELECT id, y, x, floor(v * 0.3::double + (v // 2) * 0.59::double + (255 - v) * 0.11::double + 0.5) v FROM px),
+co AS (SELECT id, y, x, floor(greatest(0, least(255, (v - 128) * {factor}::double + 128)) + 0.5)::int v FROM gy),
+sh AS (SELECT id, y, x, CASE WHEN y IN (0, 11) OR x IN (0, 15) THEN v ELSE greatest(0, least(255, 5 * v - lag(v) OVER r - lead(v) OVER r - lag(v) OVER c - lead(v) OVER c)) END v
+  FROM co WINDOW r AS (PARTITION BY id, y ORDER BY x), c AS (PARTITION BY id, x ORDER BY y))"""
+
+
+_HASH = "sha256(unhex(string_agg(repeat(printf('%02x', v::int), 3) || 'ff', '' ORDER BY y, x)))"
+_MEASURES = PIXELS + ", " + _otsu("px") + """, gr AS (SELECT id, y, x, (255 + v // 2)::double / 3 g FROM px),
+ed AS (SELECT id, y, x, abs(g * 2 - lead(g) OVER (PARTITION BY id, y ORDER BY x) - lead(g) OVER (PARTITION BY id, x ORDER BY y)) e FROM gr),
+m1 AS (SELECT id, var_pop(e) variance FROM ed WHERE y % 2 = 1 AND x % 2 = 1 AND y < 11 AND x < 15 GROUP BY 1),
+m2 AS (SELECT id, avg(g) mean, max(g) - min(g) span FROM gr WHERE x % 4 = 0 GROUP BY 1),
+me AS (SELECT id AS image_id, variance, variance < 50 AS blurry, mean, mean BETWEEN 40 AND 235 AS bright_ok, span, span >= 50 AS contrast_ok, otsu FROM m1 JOIN m2 USING (id) JOIN ot USING (id))"""
+
+
+@query("image_measures", f"WITH {_MEASURES} SELECT * REPLACE (round(variance, 6) AS variance, round(mean, 6) AS mean, round(span, 6) AS span) FROM me")
 def _(spark, d):
-    return images.measured(R.images(spark, d))
+    return images.measured(R.images(spark, d)).withColumns({c: F.round(c, 6) for c in ("variance", "mean", "span")})
 
 
-@query("image_preprocess", None)
+@query("image_preprocess", f"WITH {PIXELS}, {_sharp(1.3)}, {_otsu('sh')}, bw AS (SELECT id, y, x, CASE WHEN v > otsu THEN 255 ELSE 0 END v FROM sh JOIN ot USING (id)) SELECT id AS image_id, {_HASH} AS pixels FROM bw GROUP BY 1")
 def _(spark, d):
     return images.preprocess(R.images(spark, d)).select("image_id", F.sha2("rgba", 256).alias("pixels"))
 
 
-@query("image_quality", None)
+@query("image_enhance", f"""WITH {PIXELS}, {_sharp(1.4)},
+s3 AS (SELECT id, y, x, v, v + lag(v) OVER r + lead(v) OVER r AS t FROM sh WINDOW r AS (PARTITION BY id, y ORDER BY x)),
+bl AS (SELECT id, y, x, CASE WHEN y IN (0, 11) OR x IN (0, 15) THEN v ELSE floor((t + lag(t) OVER c + lead(t) OVER c)::double / 9 + 0.5)::int END v FROM s3 WINDOW c AS (PARTITION BY id, x ORDER BY y)),
+av AS (SELECT id, y, x, v, avg(v) OVER (PARTITION BY id) a FROM bl),
+ev AS (SELECT id, y, x, CASE WHEN a < 1 THEN v ELSE floor(least(255, v * (128 / a)) + 0.5)::int END v FROM av) SELECT id AS image_id, {_HASH} AS pixels FROM ev GROUP BY 1""")
+def _(spark, d):
+    return images.enhance(R.images(spark, d)).select("image_id", F.sha2("rgba", 256).alias("pixels"))
+
+
+@query("image_quality", f"""WITH {_MEASURES} SELECT image_id, issues, issues >= 3 AS poor FROM (SELECT image_id, (1 + CASE WHEN blurry THEN 1 ELSE 0 END + CASE WHEN bright_ok THEN 0 ELSE 1 END + CASE WHEN contrast_ok THEN 0 ELSE 1 END + 1)::int issues FROM me)""")
 def _(spark, d):
     m = images.measured(R.images(spark, d))
     m = m.join(R.images(spark, d).select("image_id", "width", "height"), "image_id")

@@ -155,3 +155,14 @@ def test_stream_extracts_each_bill_once(spark, tmp_path):
     finally:
         out.stop()
     assert [(r["invoice_no"]["value"], r["total"]["value"]) for r in got] == [("1234", "1,234.00")]
+
+
+def test_inline_status_of_required_fields(spark):
+    from quillmill.operators import checks
+
+    rows = [(None,), ("  ",), ("12.5x",), ("-1",), ("abc",), ("2026-02-28",), ("2026-13-01",)]
+    df = spark.createDataFrame(rows, "v string").coalesce(1)
+    got = {f: [r[0] for r in df.select(checks.inline_status(f, F.col("v"))).collect()] for f in ("total", "date", "billNo")}
+    assert got["total"] == ["required", "required", "ok", "invalid amount", "invalid amount", "ok", "ok"]
+    assert got["date"] == ["required", "required", "invalid date", "invalid date", "invalid date", "ok", "invalid date"]
+    assert got["billNo"] == ["required", "required", *["ok"] * 5]

@@ -66,3 +66,10 @@ def test_injected_scanner(spark):
     df = spark.createDataFrame([(1, bytearray(b"TOTAL 5"))], "bill_id long, content binary")
     assert tuple(scans.scan(df, scanner).first()) == (1, "TOTAL 5", 0.8)
     assert scans.scan(df, scanner, words=True).first()["confidence"] == 0.0
+
+
+def test_enhance_is_its_steps_in_order(spark):
+    p = picture()
+    got = I.enhance(spark.createDataFrame([(1, 9, 7, bytearray(p.tobytes()))], I.SCHEMA)).first()["rgba"]
+    want = I.brightness()(I.box_blur(I.sharpen(I.contrast(1.4)(I.grayscale(p.copy())))))
+    assert bytes(got) == want.tobytes()
