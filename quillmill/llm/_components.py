@@ -35,6 +35,8 @@ def components(links: DataFrame, scratch: Scratch, name: str = "star") -> DataFr
         hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = put(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), 2 * n + 2)
         was, now = now, state(edges)
+        for k in (2 * n, 2 * n + 1):
+            scratch.drop(f"{name}{k}")
         n += 1
         if was == now:
             break

@@ -330,12 +330,15 @@ def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON
     The least count of a frequent word is a quantile of the counts, so nothing is sorted in one place.
     """
     counts = word_counts(docs, text_col)
-    counts = Scratch(docs.sparkSession, "bpe").put(counts, "words")
+    scratch = Scratch(docs.sparkSession, "bpe")
+    counts = scratch.put(counts, "words")
     total = counts.count()
-    if total <= words:
-        return [r["word"] for r in counts.collect()]
-    least = counts.agg(F.percentile_approx("n", 1.0 - words / total, 100_000)).collect()[0][0]
-    return [r["word"] for r in counts.filter(F.col("n") > least).select("word").collect()]
+    if total > words:
+        least = counts.agg(F.percentile_approx("n", 1.0 - words / total, 100_000)).collect()[0][0]
+        counts = counts.filter(F.col("n") > least)
+    found = [r["word"] for r in counts.select("word").collect()]
+    scratch.drop("words")
+    return found
 
 
 def build_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: Iterable[str]) -> str:

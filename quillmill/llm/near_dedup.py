@@ -321,6 +321,10 @@ def _links(reps: DataFrame, rows: DataFrame, links: DataFrame | None, words: int
     def few(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
+    def done_with(level: int) -> None:
+        for name in ("member", "shapes", "tasks") if level >= 0 else ():
+            scratch.drop(f"{name}{level}")
+
     def first_nodes(a: int, b: int) -> DataFrame:
         return reps.select(F.explode(F.slice("nodes", a + 1, b - a)).alias("node"), "id", "units")
 
@@ -335,6 +339,7 @@ def _links(reps: DataFrame, rows: DataFrame, links: DataFrame | None, words: int
         sizes = place.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
         here = sizes.groupBy("n", "who").agg(F.min("node").alias("node")).select("node")
         member = scratch.put(_with_part(place.join(here, "node"), parts), f"member{level}")
+        done_with(level - 1)
         shapes = scratch.put(_shapes(member), f"shapes{level}")
         tasks = scratch.put(_tasks(member, shapes), f"tasks{level}")
         placed = rows.join(few(tasks), "id").repartition(parts_n, "block").sortWithinPartitions("block", "role", "id")
@@ -358,6 +363,7 @@ def _links(reps: DataFrame, rows: DataFrame, links: DataFrame | None, words: int
             links = found if links is None else links.union(found)
             parts = components(links, scratch, f"star{level}-")
         level += 1
+    done_with(level - 1)
     return parts
 
 
@@ -383,7 +389,10 @@ def near_duplicates(
     if again:
         own, reps = own.dropDuplicates(["id", "text"]), reps.dropDuplicates(["id", "nodes"])
     known_links = several.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")) if again else None
-    found = _links(scratch.put(reps, "reps"), own, known_links, words, percent, scratch)
+    reps = scratch.put(reps, "reps")
+    scratch.drop("profile")
+    found = _links(reps, own, known_links, words, percent, scratch)
+    scratch.drop("reps")
     if found is None:
         named = members.withColumn("component", F.lit(None).cast("long"))
     else:
