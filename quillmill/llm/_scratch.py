@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a file that go to the JVM at once.
+PIECE = 1 << 20
 _OWN: dict[str, str] = {}
 
 
@@ -39,8 +41,23 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(out)
         return self.spark.read.schema(df.schema).parquet(out)
 
+    def put_file(self, raw: bytes, name: str) -> str:
+        """Write a file of bounded size; returns where it is."""
+        p, files = self._at(name)
+        out = files.create(p)
+        try:
+            for at in range(0, len(raw), PIECE):
+                out.write(bytearray(raw[at : at + PIECE]))
+        finally:
+            out.close()
+        return p.toString()
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing lazy reads any more."""
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        p, files = self._at(name)
+        files.delete(p, True)
+
+    def _at(self, name: str) -> tuple:
+        """Hadoop's path and file system of a table or file of this run."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())

@@ -19,10 +19,8 @@ import hashlib
 import heapq
 import json
 import mmap
-import os
 import re
 import struct
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
@@ -148,6 +146,12 @@ class Lexicon:
 
     @staticmethod
     def compile(entries: Iterable[tuple[bytes, Sequence[int]]], path: str) -> None:
+        with open(path, "wb") as f:
+            f.write(Lexicon.packed(entries))
+
+    @staticmethod
+    def packed(entries: Iterable[tuple[bytes, Sequence[int]]]) -> bytes:
+        """The file's bytes."""
         words = sorted(dict(entries).items())
         # Incremental construction from sorted words: what can no longer change is replaced by its equal.
         root: list = [False, {}]
@@ -210,11 +214,8 @@ class Lexicon:
         for _, out in words:
             ids += out
             at.append(len(ids))
-        with open(path, "wb") as f:
-            f.write(Lexicon.HEAD.pack(len(order), len(labels), len(words), len(ids), 0))
-            for part in (first, target, skip, at, ids):
-                f.write(struct.pack(f"<{len(part)}i", *part))
-            f.write(bytes(final) + bytes(labels))
+        head = Lexicon.HEAD.pack(len(order), len(labels), len(words), len(ids), 0)
+        return head + b"".join(np.array(part, "<i4").tobytes() for part in (first, target, skip, at, ids)) + bytes(final) + bytes(labels)
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -342,11 +343,10 @@ def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON
 
 
 def build_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: Iterable[str]) -> str:
-    """Compile, and hand to the executors; returns the name for SparkFiles."""
+    """Compile into the shared folder, and hand to the executors; returns the name for SparkFiles."""
     name = f"quillmill-{uuid.uuid4().hex}.lexicon"
-    path = os.path.join(tempfile.mkdtemp(prefix="quillmill-"), name)
-    Lexicon.compile(((w.encode(), vocabulary.merge(w.encode())) for w in words), path)
-    spark.sparkContext.addFile(path)
+    raw = Lexicon.packed((w.encode(), vocabulary.merge(w.encode())) for w in words)
+    spark.sparkContext.addFile(Scratch(spark, "bpe").put_file(raw, name))
     return name
 
 
