@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import ann, bpe, decontaminate, langid, near_dedup, pii, secrets, substring_dedup, suffix_dedup, urls
+from quillmill.llm import ann, bpe, decontaminate, fill_in_middle, langid, near_dedup, pii, secrets, substring_dedup, suffix_dedup, urls
 
 _QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,12 +15,14 @@ _QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_langid": langid.op10_langid,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
 }
 _ORACLES = {
     "op4_pii": pii.SQL,
     "op5_urls": urls.SQL,
     "op7_secrets": secrets.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op11_fill_in_middle": fill_in_middle.SQL,
 }
 
 
