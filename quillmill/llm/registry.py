@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import ann, bpe, decontaminate, fill_in_middle, langid, near_dedup, pii, secrets, substring_dedup, suffix_dedup, urls
+from quillmill.llm import ann, bpe, decontaminate, fill_in_middle, importance, langid, near_dedup, pii, secrets, substring_dedup, suffix_dedup, urls
 
 _QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ _QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_langid": langid.op10_langid,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_importance": importance.op12_importance,
 }
 _ORACLES = {
     "op4_pii": pii.SQL,
