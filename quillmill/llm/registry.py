@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import ann, bpe, decontaminate, fill_in_middle, importance, langid, near_dedup, pii, secrets, substring_dedup, suffix_dedup, urls
+from quillmill.llm import ann, bpe, decontaminate, fill_in_middle, importance, langid, near_dedup, pii, secrets, substring_dedup, suffix_dedup, urls, vector_dedup
 
 _QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -17,6 +17,7 @@ _QUERIES = {
     "op10_langid": langid.op10_langid,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_importance": importance.op12_importance,
+    "op13_vector_dedup": vector_dedup.op13_vector_dedup,
 }
 _ORACLES = {
     "op4_pii": pii.SQL,
