@@ -477,11 +477,11 @@ def _(spark, d):
 
 
 # ---- checks
-@query("validate_bill", f"WITH {STORE} SELECT id, CASE WHEN total <= 0 THEN 1 ELSE 0 END + CASE WHEN date::date > DATE '1996-06-30' THEN 1 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END AS errors FROM st")
+@query("validate_bill", f"WITH {STORE} SELECT id, concat_ws('; ', CASE WHEN id % 7 = 0 THEN 'customer: required' END, CASE WHEN total <= 0 THEN 'total: must be over 0' END, CASE WHEN date::date > DATE '1996-06-30' THEN 'date: in the future' END) AS errors FROM st")
 def _(spark, d):
     s = R.store(spark, d).withColumn("customer", F.when(F.col("id") % 7 != 0, F.col("customer")))
     e = checks.bill_errors(F.col("billNo"), F.col("date"), F.col("customer"), F.col("total").cast("string"), F.to_date(F.lit("1996-06-30")))
-    return s.select("id", F.size(e).alias("errors"))
+    return s.select("id", F.array_join(e, "; ").alias("errors"))
 
 
 @query("validate_gst_rate", f"WITH {STORE}, x AS (SELECT id, total::double t, gst::double * (1 + id % 5) g FROM st) SELECT id, g > 0 AND least(abs(5 - g / t * 100), abs(12 - g / t * 100), abs(18 - g / t * 100), abs(28 - g / t * 100)) > 2 off FROM x")
@@ -546,44 +546,12 @@ def _halves(spark, d):
     return s.filter("id % 3 <> 0"), s.filter("id % 3 = 0")
 
 
-@query("upsert_bills", f"WITH {_UPSERT} SELECT id, billNo, true saved FROM old UNION ALL SELECT id, billNo, true FROM ok UNION ALL SELECT id, billNo, false FROM new WHERE id NOT IN (SELECT id FROM ok)")
-def _(spark, d):
-    after, rejected = S.upsert(*_halves(spark, d))
-    return after.select("id", "billNo", F.lit(True).alias("saved")).union(rejected.select("id", "billNo", F.lit(False)))
-
-
-_UPSERT_DATED = _UPSERT.replace("FROM st WHERE id % 3 = 0)", "FROM st WHERE id % 3 = 0 AND date::date <= DATE '1996-06-30')")
-
-
-@query("save_checked", f"WITH {_UPSERT_DATED} SELECT id FROM old UNION ALL SELECT id FROM ok")
-def _(spark, d):
-    old, new = _halves(spark, d)
-    return S.save_checked(old, new, F.to_date(F.lit("1996-06-30")), confirmed=True)[0].select("id")
-
-
-@query("mobile_insert", f"WITH {_UPSERT} SELECT id, billNo invoiceNo FROM old UNION ALL SELECT id, billNo FROM ok")
-def _(spark, d):
-    old, new = (x.withColumnRenamed("billNo", "invoiceNo") for x in _halves(spark, d))
-    return S.insert(old, new)[0].select("id", "invoiceNo")
-
-
 @query("delete_bills", f"WITH {STORE} SELECT id FROM st WHERE id % 11 <> 0")
 def _(spark, d):
     s = R.store(spark, d)
     return S.delete(s, s.filter("id % 11 = 0")).select("id")
 
 
-@query("find_bill", f"WITH {STORE} SELECT 'no' AS how, min(id) id FROM st WHERE billNo = '1500' UNION ALL SELECT 'hash', min(id) FROM st WHERE invoiceHash = (SELECT invoiceHash FROM st WHERE id = 42) UNION ALL SELECT 'id', 42")
-def _(spark, d):
-    s = R.store(spark, d)
-    wanted = s.filter("id = 42").select(F.col("invoiceHash").alias("h"))
-    same = s.join(F.broadcast(wanted), F.col("invoiceHash") == F.col("h")).agg(F.min("id").alias("id")).filter("id IS NOT NULL")
-    return (
-        S.by_bill_no(s, "1500").select(F.lit("no").alias("how"), "id").union(same.select(F.lit("hash"), "id"))
-        .union(S.by_id(s, 42).select(F.lit("id"), "id"))
-    )
-
-
 @query("search_records", f"WITH {STORE} SELECT id FROM st WHERE contains(lower(billNo), '12') OR contains(lower(customer), '12') OR contains(strftime(date::date, '%-m/%-d/%Y'), '12')")
 def _(spark, d):
     return S.search(R.store(spark, d), "12").select("id")

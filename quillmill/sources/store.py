@@ -39,38 +39,72 @@ def duplicates(records: DataFrame, key: str) -> DataFrame:
 
 
 def first_of_each(records: DataFrame, key: str = "billNo") -> DataFrame:
-    """What saving the records one after another would keep: the first of each key."""
-    order = Window.partitionBy(key).orderBy("createdAt", "id")
-    return records.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    """What saving the records one after another would keep: the first of each key.  Rows without a key are all kept."""
+    order = Window.partitionBy(key, F.when(F.col(key).isNull(), F.col("id"))).orderBy("createdAt", "id")
+    return records.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") == 1) | F.col(key).isNull()).drop("_r")
+
+
+def last_of_each_id(records: DataFrame) -> DataFrame:
+    """Of the rows of one id the newest; rows without an id are all kept."""
+    order = Window.partitionBy("id", F.when(F.col("id").isNull(), F.xxhash64(*records.columns))).orderBy(
+        F.col("createdAt").desc_nulls_last(), *[F.col(c) for c in records.columns if c in ("billNo", "invoiceNo")]
+    )
+    return records.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") == 1) | F.col("id").isNull()).drop("_r")
+
+
+def judged(known: DataFrame, new: DataFrame, key: str = "billNo", replace: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(new rows to store, rejected new rows with ``errors``), by the (id, key) of what is stored.
+
+    Of new rows of one id the newest counts, of those of one number the first; a
+    number that a stored record of another id has (of any, unless ``replace``) is
+    taken, as the store was before.  Rows without a number clash with nothing.
+    """
+    last = last_of_each_id(new)
+    taken = known.select(key, F.col("id").alias("_other")).filter(F.col(key).isNotNull())
+    own = F.col("id").eqNullSafe(F.col("_other")) if replace else F.lit(False)
+    clash = last.join(taken, key).filter(~own).select("id", key).distinct()
+    free = last.join(clash, ["id", key], "left_anti").select(*new.columns)
+    good = first_of_each(free, key)
+
+    def bad(rows: DataFrame, why: str) -> DataFrame:
+        return rows.select(*new.columns, F.array(F.lit(why)).alias("errors"))
+
+    late = free.join(good.filter(F.col(key).isNotNull()).select("id", key), ["id", key], "left_anti").filter(F.col(key).isNotNull())
+    old = new.exceptAll(last.select(*new.columns))
+    return good, bad(last.join(clash, ["id", key], "left_semi"), f"{key}: taken").unionByName(bad(late, f"{key}: taken")).unionByName(bad(old, "id: saved again later"))
 
 
 def upsert(records: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records after saving, rejected new rows).  A row replaces the one of its id; another record's billNo rejects it."""
-    taken = records.select("billNo", F.col("id").alias("_other"))
-    clash = new.join(taken, "billNo").filter(F.col("id") != F.col("_other")).select("id").distinct()
-    rejected = new.join(clash, "id", "left_semi")
-    good = first_of_each(new.join(clash, "id", "left_anti"))
+    good, rejected = judged(records, new)
     good = good.withColumn("synced", F.coalesce("synced", F.lit(False)))
-    late = new.join(clash, "id", "left_anti").join(good.select("id"), "id", "left_anti")
-    return records.join(good.select("id"), "id", "left_anti").unionByName(good, allowMissingColumns=True), rejected.unionByName(late)
+    return records.join(good.select("id"), "id", "left_anti").unionByName(good, allowMissingColumns=True), rejected.drop("errors")
+
+
+def as_shown(new: DataFrame, shown: str = "Not Found") -> DataFrame:
+    """New rows of the mobile store, where what is missing is stored as it was shown."""
+    return new.fillna(shown, subset=[c for c, t in new.dtypes if t == "string"])
 
 
 def insert(records: DataFrame, new: DataFrame, key: str = "invoiceNo", shown: str = "Not Found") -> tuple[DataFrame, DataFrame]:
     """(records after inserting, rejected new rows) of the mobile store: the key is unique, and null is stored as what was shown."""
-    filled = new.fillna(shown, subset=[c for c, t in new.dtypes if t == "string"])
+    filled = as_shown(new, shown)
     fresh = first_of_each(filled.join(records.select(key), key, "left_anti"), key)
     return records.unionByName(fresh, allowMissingColumns=True), filled.join(fresh.select("id"), "id", "left_anti")
 
 
-def save_checked(records: DataFrame, new: DataFrame, as_of: Column, confirmed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(records, rejected with ``errors``): errors reject; warnings do unless ``confirmed``; then as ``upsert``."""
+def save_errors(as_of: Column, confirmed: bool = False) -> Column:
+    """array<string> of what keeps a new row from being saved: its errors, and its warnings unless ``confirmed``."""
     from quillmill.operators.checks import bill_errors, bill_warnings
 
     text = lambda c: F.col(c).cast("string")
-    checked = new.withColumn("errors", bill_errors(text("billNo"), text("date"), text("customer"), text("total"), as_of))
-    warned = bill_warnings(text("gst"), text("total"))
-    if not confirmed:
-        checked = checked.withColumn("errors", F.concat("errors", warned))
+    found = bill_errors(text("billNo"), text("date"), text("customer"), text("total"), as_of)
+    return found if confirmed else F.concat(found, bill_warnings(text("gst"), text("total")))
+
+
+def save_checked(records: DataFrame, new: DataFrame, as_of: Column, confirmed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(records, rejected with ``errors``): errors reject; warnings do unless ``confirmed``; then as ``upsert``."""
+    checked = new.withColumn("errors", save_errors(as_of, confirmed))
     bad = checked.filter(F.size("errors") > 0)
     after, clash = upsert(records, checked.filter(F.size("errors") == 0).drop("errors"))
     return after, bad.unionByName(clash.withColumn("errors", F.array(F.lit("billNo: taken"))))
@@ -80,11 +114,18 @@ def delete(records: DataFrame, ids: DataFrame) -> DataFrame:
     return records.join(ids.select("id"), "id", "left_anti")
 
 
+def searched(records: DataFrame) -> dict[str, Column]:
+    """The texts that a search looks into, in lower case."""
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    return dict(
+        billNo=low(F.col("billNo")), customer=low(F.col("customer")), date=low(F.date_format(F.try_to_date("date", "yyyy-MM-dd"), "M/d/yyyy"))
+    )
+
+
 def search(records: DataFrame, query: str | None) -> DataFrame:
     """Case-insensitive, in bill number, customer, or the date as M/d/yyyy; an empty query finds all."""
-    q = (query or "").lower()
-    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(q))
-    return records.filter(has(F.col("billNo")) | has(F.col("customer")) | has(F.date_format(F.try_to_date("date", "yyyy-MM-dd"), "M/d/yyyy")))
+    found = [F.contains(text, F.lit((query or "").lower())) for text in searched(records).values()]
+    return records.filter(found[0] | found[1] | found[2])
 
 
 def filter_sync(records: DataFrame, status: str) -> DataFrame:

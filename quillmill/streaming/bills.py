@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from quillmill.functions.text import image_hash
+from quillmill.sources.saved import BillStore
 
 SCHEMA = "bill_id long, text string, arrived timestamp"
 
@@ -25,3 +27,17 @@ def extracted(stream: DataFrame) -> DataFrame:
     return stream.select(
         "bill_id", "arrived", mobile.invoice_no(t).alias("invoice_no"), mobile.bill_date(t).alias("date"), mobile.net_total(t).alias("total")
     )
+
+
+def stored(stream: DataFrame, store: BillStore, name: str) -> DataStreamWriter:
+    """A writer of a stream of new bills (rows of the store) that saves each micro-batch.
+
+    A number that an earlier batch has stored is rejected, so of each number the first stays, over
+    the whole stream.  The store knows the last batch it took of ``name``: one that is
+    replayed after a failure is not applied again.  Start it with a checkpointLocation.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        store.save(batch, token=name, number=number)
+
+    return stream.writeStream.foreachBatch(save).queryName(name)

@@ -2,6 +2,7 @@
 
 import pytest
 
+from quillmill.plans import saved_queries  # noqa: F401  adds its queries
 from quillmill.plans.bill_queries import ORACLES, QUERIES
 
 
