@@ -87,25 +87,26 @@ def gaussian(p: np.ndarray) -> np.ndarray:
     return p
 
 
-def adaptive_threshold(size: int = 11, less: float = 2) -> Callable[[np.ndarray], np.ndarray]:
-    """White where a pixel exceeds the mean around it less a constant."""
+def adaptive_threshold(size: int = 11, less: float = 2, gaussian: bool = False) -> Callable[[np.ndarray], np.ndarray]:
+    """White where a pixel exceeds the mean around it less a constant; the mean is plain, or a whole number weighted by a bell curve."""
 
     def run(p: np.ndarray) -> np.ndarray:
         r = size // 2
         x = np.pad(p[..., 0].astype(float), r, mode="edge")
-        s = np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-        mean = (s[size:, size:] - s[:-size, size:] - s[size:, :-size] + s[:-size, :-size]) / size**2
+        if gaussian:
+            w = np.exp(-((np.arange(size) - r) ** 2) / (2 * (0.3 * ((size - 1) * 0.5 - 1) + 0.8) ** 2))
+            w /= w.sum()
+            x = sum(w[i] * x[i : i + p.shape[0]] for i in range(size))
+            mean = np.floor(sum(w[i] * x[:, i : i + p.shape[1]] for i in range(size)) + 0.5)
+        else:
+            s = np.pad(x.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+            mean = (s[size:, size:] - s[:-size, size:] - s[size:, :-size] + s[:-size, :-size]) / size**2
         p[..., :3] = np.where(p[..., 0] > mean - less, 255, 0)[..., None]
         return p
 
     return run
 
 
-def upscale(p: np.ndarray) -> np.ndarray:
-    """Twice the size, each pixel repeated."""
-    return p.repeat(2, 0).repeat(2, 1)
-
-
 def otsu(p: np.ndarray) -> int:
     """The threshold of greatest variance between classes, from 1 to 254."""
     h = np.bincount(p[..., 0].ravel(), minlength=256).astype(float)

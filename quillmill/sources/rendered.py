@@ -97,20 +97,66 @@ def passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("bill_id", "pass", "f.field", value.alias("value"))
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, width, height, rgba): a small picture for each part, its pixels a pattern of the part's key and size."""
+def _drawn(spark: SparkSession, sf_dir: str, draw) -> DataFrame:
+    """(image_id, width, height, rgba): draw(key, size) gives a part's picture (height, width, 4), and whether its bytes are torn."""
     from collections.abc import Iterator
 
-    import numpy as np
     import pandas as pd
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for key, size in zip(pdf["p_partkey"], pdf["p_size"]):
-                y, x = np.mgrid[0:12, 0:16]
-                v = ((x * int(size) + y * 7 + int(key)) % 256).astype(np.uint8)
-                out.append((key, 16, 12, np.dstack([v, v // 2, 255 - v, np.full_like(v, 255)]).tobytes()))
+                p, torn = draw(int(key), int(size))
+                out.append((key, p.shape[1], p.shape[0], p.tobytes()[:100] if torn else p.tobytes()))
             yield pd.DataFrame(out, columns=["image_id", "width", "height", "rgba"])
 
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(draw, "image_id long, width int, height int, rgba binary")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(run, "image_id long, width int, height int, rgba binary")
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small picture for each part, its pixels a pattern of the part's key and size."""
+    import numpy as np
+
+    def draw(key: int, size: int) -> tuple:
+        y, x = np.mgrid[0:12, 0:16]
+        v = ((x * size + y * 7 + key) % 256).astype(np.uint8)
+        return np.dstack([v, v // 2, 255 - v, np.full_like(v, 255)]), False
+
+    return _drawn(spark, sf_dir, draw)
+
+
+def photos(spark: SparkSession, sf_dir: str, torn: bool = False) -> DataFrame:
+    """A photo of 48 by 40 for each part: a light page with a line of text on a dark ground; of some no page, and if ``torn``, of some too few bytes."""
+    import numpy as np
+
+    def draw(key: int, size: int) -> tuple:
+        v = np.full((40, 48), 10 + key % 20)
+        x, y, w, h = 2 + key % 5, 2 + key % 3, 14 + (key * 7 + size) % 24, 6 + (key * 3 + size) % 28
+        if key % 11:
+            v[y : y + h, x : x + w] = 200 + size
+            if h >= 12:
+                v[y + h // 2 : y + h // 2 + 2, x + 4 : x + w - 4] = 60
+        return np.dstack([v, v, v, np.full_like(v, 255)]).astype(np.uint8), torn and key % 13 == 0
+
+    return _drawn(spark, sf_dir, draw)
+
+
+#: Directions (right, down) that the sheets below lie in.
+TILTS = ((1, 0), (12, 1), (7, 1), (5, 2), (4, 3), (12, -1), (7, -2), (3, -2), (40, 1), (150, 1))
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A white sheet on black, 24 by 20, for each part, turned as its key says."""
+    import numpy as np
+
+    def draw(key: int, size: int) -> tuple:
+        u, v = TILTS[key % len(TILTS)]
+        y, x = np.mgrid[0:20, 0:24]
+        x, y, n = 2 * x - 24, 2 * y - 20, u * u + v * v
+        along, across = (x * u + y * v) ** 2, (y * u - x * v) ** 2
+        inside = (along <= (10 + size % 4) ** 2 * n) & (across <= (5 + key % 4) ** 2 * n)
+        g = (inside * 255).astype(np.uint8)
+        return np.dstack([g, g, g, np.full_like(g, 255)]), False
+
+    return _drawn(spark, sf_dir, draw)
