@@ -52,11 +52,13 @@ def mobile_clean(text: Column) -> Column:
 
 
 def joined_lines(lines: Column) -> Column:
+    """The trimmed lines as one text."""
     return F.array_join(F.transform(lines, trim), "\n")
 
 
 def top_part(text: Column, percent: float) -> Column:
-    return F.substring(text, F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(text) * percent / 100.0)).cast("int"))
+    """The first ``percent`` of a text's characters, one at least."""
+    return F.substring(text, F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(text) * (percent / 100.0))).cast("int"))
 
 
 def is_total(word: Column) -> Column:

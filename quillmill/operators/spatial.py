@@ -8,6 +8,8 @@ sorted windows.  Ties in position go to the earlier word.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,8 @@ def cluster_rows(words: DataFrame, tolerance: Column | float, descending: bool =
 
 
 _WORD = "struct<mid_y:double,mid_x:double,word_ix:int,text:string>"
+_BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+_BOXED = _WORD[:-1] + f",box:{_BOX}>"
 
 
 def _at() -> Column:
@@ -79,15 +83,15 @@ def _first(value: Column | str, where: Column) -> Column:
     return F.min_by(F.when(where, value), F.when(where, F.col("word_ix")))
 
 
-def _in_rows(words: Column, tolerance: Column | float) -> Column:
-    """array<array<_WORD>> of sorted words: a new row begins where the step from the word before exceeds the tolerance."""
+def _in_rows(words: Column, tolerance: Column | float, kind: str = _WORD) -> Column:
+    """array<array<kind>> of sorted words: a new row begins where the step from the word before exceeds the tolerance."""
     tolerance = F.lit(float(tolerance)) if isinstance(tolerance, (int, float)) else tolerance
 
     def of(a: Column) -> Column:
         y, n = lambda i: F.get(a, i)["mid_y"], F.size(a)
         starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.abs(y(i) - y(i - 1)) > tolerance))
         cut = lambda s: F.transform(s, lambda at, k: F.slice(a, at + 1, F.coalesce(F.get(s, k + 1), n) - at))
-        return F.when(n > 0, let(starts, cut)).otherwise(F.array().cast(f"array<array<{_WORD}>>"))
+        return F.when(n > 0, let(starts, cut)).otherwise(F.array().cast(f"array<array<{kind}>>"))
 
     return let(words, of)
 
@@ -184,34 +188,56 @@ def table_rows_by_column(words: DataFrame) -> DataFrame:
     )
 
 
-def _labels(top: DataFrame) -> DataFrame:
-    """(bill_id, l_ix, label, next): each "No" that is not on a line of a registration number, and the word right of it.
+def _boxed() -> Column:
+    """A normalized word as a _BOXED."""
+    box = F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return F.struct(F.col("mid_y").cast("double").alias("mid_y"), F.col("mid_x").cast("double").alias("mid_x"), F.col("word_ix").cast("int").alias("word_ix"), "text", box.alias("box"))
+
+
+def _page() -> list[Column]:
+    """_p: all words of a bill; _page: how far down it goes; _h: mean height."""
+    return [F.collect_list(_boxed()).alias("_p"), (F.max("y1") + 50).alias("_page"), _mean_height().alias("_h")]
+
+
+def _top(percent: float = 28) -> Column:
+    """The words (of _page) that begin in the top ``percent``, in their order."""
+    inside = F.filter("_p", lambda x: x["box"]["y0"] < F.col("_page") * percent / 100)
+    return F.transform(F.array_sort(F.transform(inside, lambda x: F.struct(x["word_ix"], x.alias("x")))), lambda u: u["x"])
 
-    A bill's labels meet the words of the same bill only; the words of a page bound that join.
+
+def _labels(top: Column) -> Column:
+    """array<struct<label,next>>: each "No" that is not on a line of a registration number, and the word next to its right.
+
+    Words of the line are looked for in the bill's own array, which a page bounds.
     """
-    box = F.struct("x0", "y0", "x1", "y1").alias("box")
-    label = top.filter(F.col("text").rlike(r"(?i)^No\.?\z|^T0\z")).select(
-        ID, F.col("word_ix").alias("l_ix"), F.col("mid_x").alias("l_x"), F.col("mid_y").alias("l_y"), F.col("text").alias("l_text"), F.struct("x0", "y0", "x1", "y1").alias("label")
-    )
-    same = label.join(top.withColumn("box", box), ID).filter(F.abs(F.col("mid_y") - F.col("l_y")) < F.col("y_tol"))
-    line = same.groupBy(ID, "l_ix").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("word_ix", "text"))), lambda x: x["text"]), " ").alias("line"),
-        F.min(F.when(F.col("mid_x") > F.col("l_x"), F.struct("mid_x", "word_ix", "text", "box"))).alias("next"),
-        F.first("l_text").alias("l_text"), F.first("label").alias("label"),
-    )
-    return line.filter(~F.col("line").rlike(r"(?i)GST\s*No") & ~F.col("l_text").rlike(GSTIN_WORD) & F.col("next").isNotNull())
+    tolerance = _tolerance(F.col("_h"), 10.0)
+
+    def beside(label: Column) -> Column:
+        line = F.filter(top, lambda x: F.abs(x["mid_y"] - label["mid_y"]) < tolerance)
+        right = lambda a: F.array_min(F.transform(
+            F.filter(a, lambda x: x["mid_x"] > label["mid_x"]), lambda x: F.struct(x["mid_x"].alias("mid_x"), x["word_ix"].alias("word_ix"), x.alias("x"))
+        ))["x"]
+        seen = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), " ")
+        return let(line, lambda a: F.struct(label.alias("label"), F.when(~seen(a).rlike(r"(?i)GST\s*No"), right(a)).alias("next")))
+
+    own = F.filter(top, lambda x: x["text"].rlike(r"(?i)^No\.?\z|^T0\z") & ~x["text"].rlike(GSTIN_WORD))
+    return F.filter(F.transform(own, beside), lambda l: l["next"].isNotNull())
 
 
 def bill_numbers(words: DataFrame) -> DataFrame:
     """(bill_id, bill_no): what stands right of a "No" in the top 28 %, else the first number there."""
-    top = page_part(tolerances(words), 28)
-    line = _labels(top)
-    plain = F.replace("next.text", F.lit(","), F.lit(""))
-    repaired = F.regexp_replace(repair_numeric(F.col("next.text")), r"\D", "")
-    value = F.when(plain.rlike(r"^\d{1,6}\z"), plain).when(F.length(repaired).between(1, 6), repaired)
-    found = line.withColumn("v", value).filter(F.col("v").isNotNull()).groupBy(ID).agg(F.min_by("v", "l_ix").alias("by_label"))
-    other = top.groupBy(ID).agg(_first("text", F.col("text").rlike(r"^\d{1,6}\z")).alias("lone"))
-    return other.join(found, ID, "left").select(ID, F.coalesce("by_label", "lone").alias("bill_no"))
+
+    def value(text: Column) -> Column:
+        plain = F.replace(text, F.lit(","), F.lit(""))
+        repaired = F.regexp_replace(repair_numeric(text), r"\D", "")
+        return F.when(plain.rlike(r"^\d{1,6}\z"), plain).when(F.length(repaired).between(1, 6), repaired)
+
+    def number(top: Column) -> Column:
+        labelled = F.filter(F.transform(_labels(top), lambda l: value(l["next"]["text"])), lambda v: v.isNotNull())
+        lone = F.filter(F.transform(top, lambda x: x["text"]), lambda t: t.rlike(r"^\d{1,6}\z"))
+        return F.coalesce(F.get(labelled, F.lit(0)), F.get(lone, F.lit(0)))
+
+    return words.groupBy(ID).agg(*_page()).filter(F.size(_top()) > 0).select(ID, let(_top(), number).alias("bill_no"))
 
 
 def _band() -> Column:
@@ -293,16 +319,28 @@ def zones(words: DataFrame) -> DataFrame:
     first registration number, if it has 15 characters; totals: the band from total to net
     total; table: the words above the total with their row (row_ix is null in other zones).
     """
-    box = lambda *where: [F.lit(where[0]).alias("zone"), where[1].cast("long").alias("row_ix"), "x0", "y0", "x1", "y1"]
-    none = F.lit(None)
-    label = _labels(page_part(tolerances(words), 28)).groupBy(ID).agg(F.min_by(F.array("label", "next.box"), "l_ix").alias("b"))
-    label = label.select(ID, F.explode("b").alias("b")).select(ID, F.lit("bill_no").alias("zone"), none.cast("long").alias("row_ix"), "b.*")
     bare = F.regexp_replace("text", r"\s", "")
     shape = bare.rlike(r"^[0-9]{2}[A-Z][A-Z0-9]{10,14}\z")
-    whole = _whole(words).select(ID, "_t", "_n", "_h").join(words.groupBy(ID).agg(_first("mid_y", shape).alias("_y"), F.length(_first(bare, shape)).alias("_g")), ID)
-    all_ = words.join(whole, ID)
-    customer = all_.filter((F.col("_g") == 15) & (F.col("mid_y") < F.col("_y") - 5)).select(ID, *box("customer", none))
-    sums = all_.filter((F.col("y0") >= F.col("_t") - 5) & (F.col("y1") <= _band())).select(ID, *box("totals", none))
-    above = all_.filter(F.col("mid_y") < F.coalesce("_t", F.lit(1e9)) - 20)
-    table = cluster_rows(above, _tolerance(F.col("_h"), 15.0)).select(ID, *box("table", F.col("row_ix")))
-    return label.unionByName(customer).unionByName(sums).unionByName(table)
+    hit, net = is_total(F.col("text")), is_net_total(F.col("text"))
+    whole = words.groupBy(ID).agg(
+        *_page(), _first("y0", hit).alias("_t"), F.max_by(F.when(net, F.col("y0")), F.when(net, F.col("word_ix"))).alias("_n"),
+        _first("mid_y", shape).alias("_y"), F.length(_first(bare, shape)).alias("_g"),
+    )
+
+    def zone(name: str, boxes: Column, row: Column | None = None) -> Column:
+        at = F.lit(None).cast("long") if row is None else row.cast("long")
+        return F.transform(boxes, lambda x: F.struct(F.lit(name).alias("zone"), at.alias("row_ix"), *[x[c].alias(c) for c in ("x0", "y0", "x1", "y1")]))
+
+    def boxes(where: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter("_p", where), lambda x: x["box"])
+
+    first = F.get(let(_top(), _labels), F.lit(0))
+    label = let(first, lambda l: F.when(l.isNotNull(), F.array(l["label"]["box"], l["next"]["box"])))
+    customer = boxes(lambda x: (F.col("_g") == 15) & (x["mid_y"] < F.col("_y") - 5))
+    sums = boxes(lambda x: (x["box"]["y0"] >= F.col("_t") - 5) & (x["box"]["y1"] <= _band()))
+    above = F.array_sort(F.filter("_p", lambda x: x["mid_y"] < F.coalesce("_t", F.lit(1e9)) - 20))
+    rows = _in_rows(above, _tolerance(F.col("_h"), 15.0), _BOXED)
+    table = F.flatten(F.transform(rows, lambda r, i: zone("table", F.transform(r, lambda x: x["box"]), i)))
+    none = F.array().cast("array<struct<zone:string,row_ix:bigint,x0:double,y0:double,x1:double,y1:double>>")
+    found = F.concat(*[F.coalesce(z, none) for z in (zone("bill_no", label), zone("customer", customer), zone("totals", sums), table)])
+    return whole.select(ID, F.explode(found).alias("z")).select(ID, "z.*")

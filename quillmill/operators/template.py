@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.columns import before, let
 from quillmill.functions.numbers import first, parse_float, shown, to_number, trim
-from quillmill.functions.text import iso_date_strict, normalize_lines
+from quillmill.functions.text import iso_date_strict, normalize_lines, top_part
 from quillmill.operators.tables import with_items
 
 # Fixed values.
@@ -96,7 +96,7 @@ def customer(text: Column) -> Column:
 def bill_meta(text: Column) -> Column:
     """struct(bill_no, date, job_no, party_dc_no, ref).  Expects normalized text."""
     full = trim(F.coalesce(text, F.lit("")))
-    top = F.substring(full, F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(full) * 0.4)).cast("int"))
+    top = top_part(full, 40)
     number = r"\bNo\s*[:\-]?\s*(\d{2,4})\b"
     ok = lambda n: F.when(~n.isin(*POSTAL), n)
     lines = F.filter(F.split(top, "\n", -1), lambda l: ~l.rlike("(?i)GST|TIN|PAN|UDYAM|Phone") & ~l.rlike(r"\d{5}\s*\d{5}"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.numbers import round_half_up, trim
+from quillmill.functions.numbers import trim
+from quillmill.functions.text import two_decimals
 
 
 def vote(passes: DataFrame, id_col: str = "bill_id") -> DataFrame:
@@ -40,7 +41,7 @@ def rated(fields: DataFrame) -> DataFrame:
     status = F.when(c >= 0.8, "high").when(c >= 0.6, "medium").otherwise("low")
     return fields.select(
         *[x for x in fields.columns if x not in ("confidence", "value")], F.coalesce("value", F.lit("")).alias("value"),
-        (c < 0.7).alias("needs_review"), status.alias("status"), round_half_up(c, 2).alias("confidence"),
+        (c < 0.7).alias("needs_review"), status.alias("status"), two_decimals(c).alias("confidence"),
     )
 
 
@@ -56,7 +57,7 @@ def overall(ratings: DataFrame, id_col: str = "bill_id") -> DataFrame:
     """(id, average, low_fields, needs_review, total_fields, poor) of rated fields."""
     low = F.sort_array(F.collect_list(F.when(F.col("needs_review"), F.col("field"))))
     out = ratings.groupBy(id_col).agg(F.avg("confidence").alias("a"), low.alias("low_fields"), F.count("*").alias("total_fields"))
-    average = round_half_up(F.col("a"), 2)
+    average = two_decimals(F.col("a"))
     return out.select(
         id_col, average.alias("average"), "low_fields", (F.size("low_fields") > 0).alias("needs_review"), "total_fields",
         ((average * 100 < 50) | (F.size("low_fields") >= 3)).alias("poor"),

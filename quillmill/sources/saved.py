@@ -19,6 +19,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +30,7 @@ from quillmill.sources import folders
 from quillmill.sources import store as S
 
 #: Buckets of a new store; a bucket of many rows is several files, each of a range of numbers.
-BUCKETS = 64
+BUCKETS = 32
 TRIES = 5
 #: Rows of a bucket that a Bloom filter is made for.
 FILTER_ROWS = 100_000
@@ -109,7 +110,7 @@ class Snapshot:
 
     def rejected(self, token: str) -> DataFrame:
         """What the last save of a token rejected."""
-        return self.spark.read.parquet(f"{self.path}/{self.manifest['applied'][token]['rejected']}")
+        return _refused(self.spark, f"{self.path}/{self.manifest['applied'][token]['judged']}")
 
 
 class BillStore:
@@ -157,7 +158,7 @@ class BillStore:
                 return now, now.rejected(token)
             after = self._saved(now, new, token, number, errors, replace, before_commit)
             if after:
-                return self.snapshot(after["version"]), self.spark.read.parquet(f"{self.path}/{after['last_rejected']}")
+                return self.snapshot(after["version"]), _refused(self.spark, f"{self.path}/{after['judged']}")
         raise Conflict(self.path)
 
     def delete(self, ids: DataFrame) -> Snapshot:
@@ -175,7 +176,7 @@ class BillStore:
     def clean(self, keep: int = 2) -> None:
         """Forget all but the newest versions and delete the files that only they named.  No save may be running, and no older version be read."""
         kept = [self.snapshot(v).manifest for v in self.versions()[-keep:]]
-        used = {f.split("/")[1] for m in kept for t in m["tables"].values() for f in t.values()} | {a["rejected"].split("/")[1] for m in kept for a in m["applied"].values()}
+        used = {f.split("/")[1] for m in kept for t in m["tables"].values() for f in t.values()} | {a["judged"].split("/")[1] for m in kept for a in m["applied"].values()}
         for v in self.versions()[:-keep]:
             folders.remove(self.spark, f"{self.path}/manifests/{v:012d}.json")
         for name in folders.names(self.spark, f"{self.path}/data"):
@@ -202,16 +203,14 @@ class BillStore:
         wrong = rows.filter(F.size("errors") > 0)
         fine = rows.filter(F.coalesce(F.size("errors"), F.lit(0)) <= 0).drop("errors")
         known = now.read(buckets=_distinct(fine.select("at"))).select("id", now.key)
-        good, late = S.judged(known, fine, now.key, replace)
-        good = self._staged(good, f"{out}/good")
-        rejected = f"{out}/rejected"
-        wrong.drop("at").unionByName(late.drop("at")).write.parquet(f"{self.path}/{rejected}")
+        told = f"{out}/judged"
+        seen = self._staged(S.judged(known, fine, now.key, replace).unionByName(wrong), told)
+        good = seen.filter("errors IS NULL").drop("errors")
         tables = self._changed(now, out, good, good.select("id"))
-        for staged in ("new", "good"):
-            folders.remove(self.spark, f"{self.path}/{out}/{staged}")
-        after = now.manifest | dict(version=now.version + 1, tables=tables, last_rejected=rejected)
+        folders.remove(self.spark, f"{self.path}/{out}/new")
+        after = now.manifest | dict(version=now.version + 1, tables=tables, judged=told)
         if token:
-            after["applied"] = now.manifest["applied"] | {token: dict(number=number, rejected=rejected)}
+            after["applied"] = now.manifest["applied"] | {token: dict(number=number, judged=told)}
         if before_commit:
             before_commit()
         return after if self._commit(after) else None
@@ -241,23 +240,30 @@ class BillStore:
     def _written(self, now: Snapshot, out: str, records: DataFrame, ids: DataFrame, hashes: DataFrame, *touched: list[int] | None) -> dict:
         """Manifest tables after writing these contents of the touched buckets (None: all)."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        tables = {}
-        for (name, df, key), old in zip((("records", records, now.key), ("ids", ids, "id"), ("hashes", hashes, "invoiceHash")), touched):
+
+        def write(name: str, df: DataFrame, key: str, old: list[int] | None) -> dict:
             known = {b: f for b, f in now.manifest["tables"][name].items() if old is not None and int(b) not in old}
-            tables[name] = known
             if old == []:
-                continue
+                return known
             rows = df.withColumn("bucket", bucket_of(F.col(key), F.col("id"), now.buckets)).repartitionByRange(parts, "bucket", key, "id").sortWithinPartitions("bucket", key, "id")
             rows.write.partitionBy("bucket").option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", str(FILTER_ROWS)).parquet(f"{self.path}/{out}/{name}")
-            for found in folders.names(self.spark, f"{self.path}/{out}/{name}"):
-                if found.startswith("bucket="):
-                    known[found.removeprefix("bucket=")] = f"{out}/{name}/{found}"
-        return tables
+            found = [x for x in folders.names(self.spark, f"{self.path}/{out}/{name}") if x.startswith("bucket=")]
+            return known | {x.removeprefix("bucket="): f"{out}/{name}/{x}" for x in found}
+
+        todo = [("records", records, now.key), ("ids", ids, "id"), ("hashes", hashes, "invoiceHash")]
+        with ThreadPoolExecutor(len(todo)) as pool:  # three independent jobs
+            made = pool.map(lambda x: write(*x[0], x[1]), zip(todo, touched))
+            return {name: tables for (name, _, _), tables in zip(todo, made)}
 
     def _commit(self, manifest: dict) -> bool:
         return folders.put_once(self.spark, f"{self.path}/manifests/{manifest['version']:012d}.json", manifest)
 
 
+def _refused(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a save that were not stored, with ``errors``."""
+    return spark.read.parquet(path).filter("errors IS NOT NULL").drop("at")
+
+
 def _distinct(buckets: DataFrame) -> list[int]:
     """Bucket numbers: as many as a store has at most."""
     return [r[0] for r in buckets.distinct().collect()]

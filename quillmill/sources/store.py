@@ -44,41 +44,35 @@ def first_of_each(records: DataFrame, key: str = "billNo") -> DataFrame:
     return records.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") == 1) | F.col(key).isNull()).drop("_r")
 
 
-def last_of_each_id(records: DataFrame) -> DataFrame:
-    """Of the rows of one id the newest; rows without an id are all kept."""
-    order = Window.partitionBy("id", F.when(F.col("id").isNull(), F.xxhash64(*records.columns))).orderBy(
-        F.col("createdAt").desc_nulls_last(), *[F.col(c) for c in records.columns if c in ("billNo", "invoiceNo")]
-    )
-    return records.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") == 1) | F.col("id").isNull()).drop("_r")
-
-
-def judged(known: DataFrame, new: DataFrame, key: str = "billNo", replace: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(new rows to store, rejected new rows with ``errors``), by the (id, key) of what is stored.
+def judged(known: DataFrame, new: DataFrame, key: str = "billNo", replace: bool = True) -> DataFrame:
+    """new with ``errors``: null for rows to store, else why not; by the (id, key) of what is stored.
 
     Of new rows of one id the newest counts, of those of one number the first; a
     number that a stored record of another id has (of any, unless ``replace``) is
     taken, as the store was before.  Rows without a number clash with nothing.
     """
-    last = last_of_each_id(new)
-    taken = known.select(key, F.col("id").alias("_other")).filter(F.col(key).isNotNull())
-    own = F.col("id").eqNullSafe(F.col("_other")) if replace else F.lit(False)
-    clash = last.join(taken, key).filter(~own).select("id", key).distinct()
-    free = last.join(clash, ["id", key], "left_anti").select(*new.columns)
-    good = first_of_each(free, key)
-
-    def bad(rows: DataFrame, why: str) -> DataFrame:
-        return rows.select(*new.columns, F.array(F.lit(why)).alias("errors"))
-
-    late = free.join(good.filter(F.col(key).isNotNull()).select("id", key), ["id", key], "left_anti").filter(F.col(key).isNotNull())
-    old = new.exceptAll(last.select(*new.columns))
-    return good, bad(last.join(clash, ["id", key], "left_semi"), f"{key}: taken").unionByName(bad(late, f"{key}: taken")).unionByName(bad(old, "id: saved again later"))
+    name = lambda c: f"_{c}_"
+    of_id = Window.partitionBy("id", F.when(F.col("id").isNull(), F.xxhash64(*new.columns))).orderBy(F.col("createdAt").desc_nulls_last(), key)
+    last = new.withColumn(name("turn"), F.when(F.col("id").isNull(), 1).otherwise(F.row_number().over(of_id)))
+    taken = known.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(name("key"))).agg(F.min("id").alias(name("low")), F.max("id").alias(name("high")))
+    met = last.join(taken, F.col(key) == F.col(name("key")), "left")
+    other = ~(F.col("id").eqNullSafe(F.col(name("low"))) & F.col("id").eqNullSafe(F.col(name("high")))) if replace else F.lit(True)
+    free = (F.col(name("turn")) == 1) & ~(F.col(name("key")).isNotNull() & other)
+    met = met.withColumn(name("free"), free)
+    # A number that many rows have is summed up before it is shuffled.
+    order = F.struct("createdAt", "id")
+    firsts = met.filter(F.col(name("free")) & F.col(key).isNotNull()).groupBy(F.col(key).alias(name("first"))).agg(F.min(order).alias(name("row")))
+    met = met.join(firsts, F.col(key) == F.col(name("first")), "left")
+    first = F.col(name("free")) & (F.col(key).isNull() | order.eqNullSafe(F.col(name("row"))))
+    why = F.when(F.col(name("turn")) > 1, F.array(F.lit("id: saved again later"))).when(~first, F.array(F.lit(f"{key}: taken")))
+    return met.select(*new.columns, why.alias("errors"))
 
 
 def upsert(records: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records after saving, rejected new rows).  A row replaces the one of its id; another record's billNo rejects it."""
-    good, rejected = judged(records, new)
-    good = good.withColumn("synced", F.coalesce("synced", F.lit(False)))
-    return records.join(good.select("id"), "id", "left_anti").unionByName(good, allowMissingColumns=True), rejected.drop("errors")
+    seen = judged(records, new)
+    good = seen.filter("errors IS NULL").drop("errors").withColumn("synced", F.coalesce("synced", F.lit(False)))
+    return records.join(good.select("id"), "id", "left_anti").unionByName(good, allowMissingColumns=True), seen.filter("errors IS NOT NULL").drop("errors")
 
 
 def as_shown(new: DataFrame, shown: str = "Not Found") -> DataFrame:
@@ -156,12 +150,8 @@ def write_csv(records: DataFrame, path: str) -> None:
 
 
 def write_json(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").json(path)
-
-
-def write_excel(records: DataFrame, path: str) -> None:
-    """One sheet, "Invoices"; needs a spreadsheet library, and takes the rows to the driver, as one sheet must."""
-    export_rows(records).toPandas().to_excel(path, sheet_name="Invoices", index=False)
+    """All columns of all records, nulls included, one JSON object a line, so that no task holds more than a record."""
+    records.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def tiles(records: DataFrame) -> DataFrame:

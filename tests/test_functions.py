@@ -166,3 +166,28 @@ def test_inline_status_of_required_fields(spark):
     assert got["total"] == ["required", "required", "ok", "invalid amount", "invalid amount", "ok", "ok"]
     assert got["date"] == ["required", "required", "invalid date", "invalid date", "invalid date", "ok", "invalid date"]
     assert got["billNo"] == ["required", "required", *["ok"] * 5]
+
+
+def test_words_beside_labels_take_one_exchange_and_no_window(spark, tmp_path):
+    schema = "bill_id long, word_ix int, text string, x0 double, y0 double, x1 double, y1 double"
+    spark.createDataFrame([(1, 0, "No", 0.0, 0.0, 9.0, 9.0)], schema).write.parquet(str(tmp_path / "w"))
+    words = spatial.normalize_words(spark.read.parquet(str(tmp_path / "w")))
+    for df in (spatial.bill_numbers(words), spatial.zones(words)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and "Join" not in plan
+
+
+def test_the_nearest_word_to_the_right_of_a_label(spark):
+    def page(*words):
+        return [(1, i, t, float(x), float(y), x + 20.0, y + 10.0) for i, (t, x, y) in enumerate(words)]
+
+    def number(*words):
+        df = spark.createDataFrame(page(*words, ("foot", 0, 900)), "bill_id long, word_ix int, text string, x0 double, y0 double, x1 double, y1 double")
+        return spatial.bill_numbers(spatial.normalize_words(df)).first()["bill_no"]
+
+    assert number(("77", 300, 0), ("No.", 0, 50), ("9", 90, 52), ("8", 60, 48), ("5", 40, 70)) == "8"
+    assert number(("GST", 0, 50), ("No", 30, 50), ("12", 60, 50), ("No", 0, 90), ("1,234", 40, 90)) == "1234"
+    assert number(("No", 0, 50), ("word", 40, 50), ("T0", 0, 90), ("12O4", 40, 90)) == "1204"
+    assert number(("No", 100, 50), ("left", 0, 50), ("31", 0, 90)) == "31"
+    assert number(("No", 0, 50), ("abc", 40, 50)) is None
+    assert number(("no", 0, 50), ("41", 40, 50), ("No.", 0, 80), ("42", 40, 80)) == "41"
