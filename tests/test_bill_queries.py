@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillmill.plans import picture_queries, saved_queries  # noqa: F401  add their queries
+from quillmill.plans import damaged_queries, picture_queries, saved_queries  # noqa: F401  add their queries
 from quillmill.plans.bill_queries import ORACLES, QUERIES
 
 
