@@ -77,13 +77,38 @@ def extract(bills: DataFrame, rules: dict | None = None, id_col: str = "bill_id"
     )
 
 
-def extract_any(bills: DataFrame, rules: dict | None = None, id_col: str = "bill_id", text_col: str = "text") -> DataFrame:
-    """Bills of the known template by its own parser, all others by labels."""
+FIELDS = ("bill_no", "date", "customer", "gst", "total")
+
+
+def extract_any(
+    bills: DataFrame, rules: dict | None = None, id_col: str = "bill_id", text_col: str = "text", words: DataFrame | None = None,
+    scan_confidence: str | None = None,
+) -> DataFrame:
+    """(id, bill_no, date, customer, gst, total, confidence): bills of the known template by its own parser, all others by labels.
+
+    confidence is a map from each field to 0-1.  Of the known template a field that is
+    there has 0.9.  Else it is the mean of the words (id, text, confidence 0-100) that
+    the value holds or is held by, without such words that of the scan (a column of
+    bills, 0-100), or 0.5; a field that isn't there has 0.
+    """
     from quillmill.operators.template import detect_template, parse_bills, to_generic
+    from quillmill.operators.votes import field_confidence
 
     known = detect_template(F.col(text_col)).isNotNull()
-    own = to_generic(parse_bills(bills.filter(known), id_col, text_col), id_col).drop("confidence")
-    own = own.select(id_col, *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("bill_no", "date", "customer", "gst", "total")])
-    return own.unionByName(extract(bills.filter(~known), rules, id_col, text_col))
+    own = to_generic(parse_bills(bills.filter(known), id_col, text_col), id_col)
+    own = own.select(id_col, *[F.nullif(F.col(c), F.lit("")).alias(c) for c in FIELDS], "confidence")
+    scanned = F.nullif(F.col(scan_confidence).cast("double"), F.lit(0.0)) if scan_confidence else F.lit(None).cast("double")
+    t = F.col(text_col)
+    values = (bill_no(t, rules), bill_date(t), customer(t, rules), gst(t, rules), total(t, rules))
+    found = bills.filter(~F.coalesce(known, F.lit(False))).select(id_col, scanned.alias("_scan"), *[v.alias(c) for c, v in zip(FIELDS, values)])
+    if words is None:
+        sure = lambda c: F.when(trim(F.coalesce(c, F.lit(""))) == "", 0.0).otherwise(F.coalesce(F.col("_scan") / 100, F.lit(0.5)))
+        return own.unionByName(found.select(id_col, *FIELDS, F.create_map(*[x for c in FIELDS for x in (F.lit(c), sure(F.col(c)))]).alias("confidence")))
+    each = found.select(id_col, "_scan", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in FIELDS])).alias("f"))
+    rated = field_confidence(each.select(id_col, "_scan", "f.*"), words, F.col("_scan"), id_col).groupBy(id_col).agg(
+        *[F.max(F.when(F.col("field") == c, F.col("value"))).alias(c) for c in FIELDS],
+        F.map_from_entries(F.collect_list(F.struct("field", "confidence"))).alias("confidence"),
+    )
+    return own.unionByName(rated)
 
 

@@ -315,18 +315,6 @@ def _(spark, d):
     return region.first_table(smart, plain).groupBy("bill_id", "source").agg(F.count("*").alias("n"))
 
 
-@query("form_fields", f"WITH {BILLS} SELECT bill_id, unnest(['date', 'formDate', 'gst', 'netTotal', 'total']) field, unnest([bill_date, iso, gstin, net::double::varchar, net::double::varchar]) AS value FROM b")
-def _(spark, d):
-    t = F.col("text")
-    who = region.customer(F.regexp_extract("text", r"(?s)(To\..*?)\nJob", 1))
-    p = R.bills_text(spark, d).select("bill_id", region.bill_meta(t).alias("bill_meta"), who.alias("customer"), region.totals(t).alias("totals"))
-    out = region.form_fields(p).filter(F.col("field").isin("date", "formDate", "gst", "netTotal", "total"))
-    return out.withColumn("value", F.when(F.col("field").isin("netTotal", "total"), F.col("value").try_cast("double").try_cast(R.MONEY).cast("string")).otherwise(F.col("value")))
-
-
-ORACLES["form_fields"] = ORACLES["form_fields"].replace("net::double::varchar", "net::varchar")
-
-
 # ---- words on the page
 @query("word_confidence_filter", f"WITH {WORDS} SELECT bill_id, count(*) n FROM ws WHERE confidence > 45 GROUP BY 1")
 def _(spark, d):
@@ -655,14 +643,6 @@ def _(spark, d):
     return layouts.route_words(words, pages, layout).groupBy("bill_id", "region").agg(F.count("*").alias("n"))
 
 
-@query("trained_layout", "SELECT t AS template, region, y::double y, h::double h FROM (VALUES ('NEW_GOOD_NITS'), ('OTHER')) a(t), (VALUES ('header', 0.0, 0.17), ('customer', 0.18, 0.16), ('billMeta', 0.18, 0.16), ('table', 0.36, 0.4), ('totals', 0.78, 0.14)) l(region, y, h)")
-def _(spark, d):
-    default = spark.createDataFrame(list(layouts.TRAINED), layouts.LAYOUT)
-    saved = S.layout_json(default.withColumn("template", F.lit(template.TEMPLATE)))
-    wanted = spark.createDataFrame([(template.TEMPLATE,), ("OTHER",)], "template string")
-    return layouts.layout_for(wanted, S.layouts_from_json(saved), default).select("template", "region", "y", "h")
-
-
 # ---- pixels
 PIXELS = """px AS (SELECT p_partkey AS id, y, x, ((x * p_size + y * 7 + p_partkey) % 256)::int v
   FROM part, (SELECT unnest(range(12)) y), (SELECT unnest(range(16)) x))"""

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
-from quillmill.operators import mobile, region, spatial, tables, template
-from quillmill.plans.bill_queries import BILLS, ORACLES, QUERIES, query
+from quillmill.operators import checks, generic, layouts, mobile, region, spatial, tables, template
+from quillmill.plans.bill_queries import _LAYOUTS, BILLS, ORACLES, QUERIES, query
 from quillmill.sources import rendered as R
 from quillmill.sources import scans
+from quillmill.sources import store as S
 
 #: The seller's registration number.
 SELLER = "33AAFFN1234A1Z5"
@@ -194,6 +195,71 @@ def _(spark, d):
     return region.form_fields(parsed)
 
 
+_HEADERS = [
+    "KNITTING INVOICE\nNEW GOOD NITS\n12 Mill Road\nTirupur {k}\nGSTIN 33AAFFN1234A1Z5\nTIN: 1{six}99\nPAN: AAFFN1234A\nPh 98765 43210, 04212-22333",
+    "NEW GOOD NITS\nlane {no}\n9876543210\nrest",
+    "Other firm\nPAN AAFFN1234A\n29ABCDE1234F1Z5",
+    "",
+    "KNITTING  INVOICE\nNEW  GOOD NITS\nlane {no}",  # spaces doubled: the name isn't found again among the lines
+]
+
+
+@query("damaged_header", f"""WITH {_sql(len(_HEADERS))} SELECT bill_id, {_by_kind("'NEW GOOD NITS'", "'NEW GOOD NITS'", "'Other firm'", "NULL", "'KNITTING INVOICE'")} AS company_name, {_by_kind("'33AAFFN1234A1Z5'", "NULL", "'29ABCDE1234F1Z5'")} AS gstin,
+{_by_kind("'1' || six || '99'", "'9876543210'")} AS tin, {_by_kind("'AAFFN1234A'", "NULL", "'AAFFN1234A'")} AS pan, {_by_kind("'98765 43210; 04212-22333'", "'9876543210'", "''", "''", "''")} AS phones,
+{_by_kind("'12 Mill Road, Tirupur ' || k", "'lane ' || no", "'PAN AAFFN1234A'", "NULL", "'KNITTING  INVOICE, NEW  GOOD NITS, lane ' || no")} AS address FROM o""")
+def _(spark, d):
+    h = _orders(spark, d, len(_HEADERS)).select("bill_id", region.header(_text(_HEADERS)).alias("h"))
+    return h.select("bill_id", *[f"h.{c}" for c in ("company_name", "gstin", "tin", "pan")], F.array_join("h.phones", "; ").alias("phones"), "h.address")
+
+
+@query("extract_any_confidence", f"""WITH {BILLS}, c AS (SELECT c_custkey k, c_custkey::varchar bill_no, (c_custkey * 10)::varchar total, CASE WHEN c_custkey % 5 > 0 THEN 80 END scan FROM customer),
+w AS (SELECT k, unnest(['Invoice', bill_no, 'Grand', total]) t, unnest([50, 70, 80, 40]) s FROM c WHERE k % 2 = 0),
+f AS (SELECT k, unnest(['bill_no', 'total']) field, unnest([bill_no, total]) v, scan FROM c),
+m AS (SELECT f.k, field, coalesce(avg(s) / 100, max(scan) / 100::double, 0.5) sure FROM f LEFT JOIN w ON w.k = f.k AND (contains(lower(v), lower(t)) OR contains(lower(t), lower(v))) GROUP BY 1, 2)
+SELECT bill_id, bill_no, net total, 0.9::double bill_no_sure, 0.9::double total_sure, 0.9::double date_sure FROM b
+UNION ALL SELECT -k, k::varchar, (k * 10)::decimal(18,2), round(max(sure) FILTER (field = 'bill_no'), 9), round(max(sure) FILTER (field = 'total'), 9), 0 FROM m GROUP BY k""")
+def _(spark, d):
+    """Half of the other bills have words with confidences; of those without, some have a scan's."""
+    key = F.col("c_custkey")
+    other = R.table(spark, d, "customer").select(
+        (-key).alias("bill_id"), F.concat(F.lit("Invoice No: "), key, F.lit("\nGrand Total: "), key * 10).alias("text"), F.when(key % 5 > 0, 80.0).alias("scan"), key
+    )
+    word = F.explode(F.arrays_zip(F.array(F.lit("Invoice"), key.cast("string"), F.lit("Grand"), (key * 10).cast("string")).alias("text"), F.array(*map(F.lit, (50.0, 70.0, 80.0, 40.0))).alias("confidence")))
+    words = other.filter(key % 2 == 0).select("bill_id", word.alias("w")).select("bill_id", "w.*")
+    bills = R.bills_text(spark, d).withColumn("scan", F.lit(None).cast("double")).union(other.drop("c_custkey"))
+    out = generic.extract_any(bills, generic.Rules().get(), words=words, scan_confidence="scan")
+    return out.select("bill_id", "bill_no", F.col("total").cast(R.MONEY).alias("total"), *[F.round(F.col("confidence")[c], 9).alias(f"{c}_sure") for c in ("bill_no", "total", "date")])
+
+
+@query("photo_quality", """WITH ph AS (SELECT p_partkey id, p_size * 40 w, p_size * 50 h FROM part)
+SELECT id AS image_id, (CASE WHEN w * h >= 250000 THEN 0 ELSE 1 END + CASE WHEN w >= 400 AND least(w / 8.27::double, h / 11.69::double) >= 50 THEN 0 ELSE 1 END + id % 2 + id % 3 // 2 + id % 5 // 4)::int issues,
+(CASE WHEN w * h >= 250000 THEN 0 ELSE 1 END + CASE WHEN w >= 400 AND least(w / 8.27::double, h / 11.69::double) >= 50 THEN 0 ELSE 1 END + id % 2 + id % 3 // 2 + id % 5 // 4) >= 3 AS poor FROM ph""")
+def _(spark, d):
+    """Sizes on both sides of the limits, with every mix of the other checks."""
+    key, size = F.col("p_partkey"), (F.col("p_size") * 40, F.col("p_size") * 50)
+    q = checks.quality(T.resolution(*size)["adequate"], key % 2 == 0, key % 3 < 2, key % 5 < 4, T.page_dpi(*size)["adequate"])
+    return R.table(spark, d, "part").select(key.alias("image_id"), q["issues"].alias("issues"), q["poor"].alias("poor"))
+
+
+def _learned_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Templates of bills, with the layout learned from the words of the known one, saved as text and read back; the others have the default."""
+    words = R.bills_words(spark, d)
+    heights = words.groupBy("bill_id").agg((F.max("y1") + 50).alias("height"))
+    trained = layouts.train(words, heights).withColumn("template", F.lit(region.TEMPLATE))
+    saved = S.layouts_from_json(S.layout_json(trained))
+    seen = R.bills_text(spark, d).select(region.detect_template(F.when(F.col("bill_id") % 3 > 0, F.col("text")).otherwise("OTHER SELLER")).alias("template"))
+    bills = seen.groupBy("template").agg(F.count("*").alias("bills"))
+    default = spark.createDataFrame(list(layouts.TRAINED), layouts.LAYOUT)
+    return layouts.layout_for(bills, saved, default).select("template", "bills", "region", F.round("y", 6).alias("y"), F.round("h", 6).alias("h"))
+
+
+QUERIES["trained_layout"] = _learned_layouts
+ORACLES["trained_layout"] = f"""WITH {_LAYOUTS}, t AS (SELECT CASE WHEN bill_id % 3 > 0 THEN '{region.TEMPLATE}' ELSE '{region.UNKNOWN}' END AS template, count(*) bills FROM (SELECT DISTINCT l_orderkey bill_id FROM lineitem) GROUP BY 1),
+le AS (SELECT '{region.TEMPLATE}' AS template, region, avg(y) y, avg(h) h FROM ly GROUP BY 2
+  UNION ALL SELECT '{region.UNKNOWN}', * FROM (VALUES {", ".join(str((r, y, h)) for r, y, h, *_ in layouts.TRAINED)}))
+SELECT template, bills, region, round(y::double, 6) y, round(h::double, 6) h FROM t JOIN le USING (template)"""
+
+
 @query("text_of_blocks", f"WITH {_sql(1)} SELECT bill_id, 'No: ' || no || chr(10) || 'FIRM ' || k || chr(10) || chr(10) || gstin AS text FROM o")
 def _(spark, d):
     line = lambda *parts: F.concat(*[F.lit(p) if p[:1] in " NF" else F.col(p) for p in parts])
