@@ -70,25 +70,44 @@ def train(words: DataFrame, heights: DataFrame, id_col: str = "bill_id") -> Data
     return average(layouts_of(anchors(words, id_col), heights, id_col), id_col)
 
 
+#: Regions of a layout, at most; a page has a handful.
+MOST_REGIONS = 64
+
+
+def _regions(layout: DataFrame) -> Column:
+    """The rows of a layout as an array literal, by which pages are unfolded instead of joined."""
+    rows = layout.limit(MOST_REGIONS + 1).collect()
+    if len(rows) > MOST_REGIONS:
+        raise ValueError(f"a layout of more than {MOST_REGIONS} regions")
+    kind = f"array<{layout.schema.simpleString()}>"
+    return F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in layout.schema]) for r in rows]).cast(kind)
+
+
+def _unfolded(pages: DataFrame, layout: DataFrame) -> DataFrame:
+    """Each page with each region; the layout's columns are in ``_r``."""
+    return pages.select("*", F.explode(_regions(layout)).alias("_r"))
+
+
 def layout_for(templates: DataFrame, trained: DataFrame, default: DataFrame) -> DataFrame:
     """(template, region, y, h, x, w): the trained layout of each template, else the default one."""
     known = trained.select("template").distinct().withColumn("_k", F.lit(True))
     marked = templates.join(known, "template", "left")
     own = marked.filter("_k").drop("_k").join(trained, "template")
-    return own.unionByName(marked.filter("_k IS NULL").drop("_k").join(F.broadcast(default), F.lit(True)))
+    other = _unfolded(marked.filter("_k IS NULL").drop("_k"), default)
+    return own.unionByName(other.select(*templates.columns, "_r.*"))
 
 
 def crop_boxes(pages: DataFrame, layout: DataFrame) -> DataFrame:
     """(…, region, sx, sy, sw, sh, out_w, out_h) in whole pixels for each page of (width, height) and each region.
 
-    layout: (region, top, bottom, left, right); it has one row for each region,
-    so it is broadcast.  Boxes under the least size are scaled up; empty ones are left out.
+    layout: (region, top, bottom, left, right), one row for each region.  Boxes under
+    the least size are scaled up; empty ones are left out.
     """
     r = lambda c: F.floor(c + 0.5).cast("int")
-    both = pages.join(F.broadcast(layout), F.lit(True))
-    out = both.select(
-        *pages.columns, "region", r(F.col("left") * F.col("width")).alias("sx"), r(F.col("top") * F.col("height")).alias("sy"),
-        r((F.col("right") - F.col("left")) * F.col("width")).alias("sw"), r((F.col("bottom") - F.col("top")) * F.col("height")).alias("sh"),
+    at = lambda c: F.col(f"_r.{c}")
+    out = _unfolded(pages, layout).select(
+        *pages.columns, at("region"), r(at("left") * F.col("width")).alias("sx"), r(at("top") * F.col("height")).alias("sy"),
+        r((at("right") - at("left")) * F.col("width")).alias("sw"), r((at("bottom") - at("top")) * F.col("height")).alias("sh"),
     ).filter("sw > 0 AND sh > 0")
     small = (F.col("sw") < MIN_WIDTH) | (F.col("sh") < MIN_HEIGHT)
     scale = F.greatest(MIN_WIDTH / F.col("sw"), MIN_HEIGHT / F.col("sh"))
@@ -104,34 +123,31 @@ def _whole(size: Column) -> Column:
 def crop_plain(pages: DataFrame, layout: DataFrame) -> DataFrame:
     """(…, region, sx, sy, sw, sh, out_w, out_h): boxes in fractions of a pixel; without left and right, the full width.
 
-    layout: (region, top, bottom, left, right), one row for each region, so it is broadcast.
+    layout: (region, top, bottom, left, right), one row for each region.
     """
-    both = pages.join(F.broadcast(layout), F.lit(True))
-    x, y = F.coalesce(F.col("left") * F.col("width"), F.lit(0.0)), F.col("top") * F.col("height")
-    w = F.coalesce(F.col("right") * F.col("width"), F.col("width").cast("double")) - x
-    h = F.col("bottom") * F.col("height") - y
-    return both.select(*pages.columns, "region", x.alias("sx"), y.alias("sy"), w.alias("sw"), h.alias("sh"), _whole(w).alias("out_w"), _whole(h).alias("out_h"))
+    at = lambda c: F.col(f"_r.{c}")
+    x, y = F.coalesce(at("left") * F.col("width"), F.lit(0.0)), at("top") * F.col("height")
+    w = F.coalesce(at("right") * F.col("width"), F.col("width").cast("double")) - x
+    h = at("bottom") * F.col("height") - y
+    return _unfolded(pages, layout).select(*pages.columns, at("region"), x.alias("sx"), y.alias("sy"), w.alias("sw"), h.alias("sh"), _whole(w).alias("out_w"), _whole(h).alias("out_h"))
 
 
 def crop_trained(pages: DataFrame, layout: DataFrame) -> DataFrame:
     """(…, region, sx, sy, sw, sh, out_w, out_h) by a layout as training makes it; without x and w, the full width.
 
-    layout: (region, y, h, x, w), one row for each region, so it is broadcast.
+    layout: (region, y, h, x, w), one row for each region.
     """
-    size = F.struct("width", "height").alias("_size")
-    both = pages.select(*pages.columns, size).join(F.broadcast(layout.select("region", F.struct("y", "h", "x", "w").alias("_r"))), F.lit(True))
-    w = F.when(F.col("_r.w").isNull(), F.col("_size.width").cast("int")).otherwise(_whole(F.col("_r.w") * F.col("_size.width")))
-    h = _whole(F.coalesce("_r.h", F.lit(0.0)) * F.col("_size.height"))
-    return both.select(
-        *pages.columns, "region", F.coalesce(F.col("_r.x") * F.col("_size.width"), F.lit(0.0)).alias("sx"),
-        (F.coalesce("_r.y", F.lit(0.0)) * F.col("_size.height")).alias("sy"), w.alias("sw"), h.alias("sh"), w.alias("out_w"), h.alias("out_h"),
+    w = F.when(F.col("_r.w").isNull(), F.col("width").cast("int")).otherwise(_whole(F.col("_r.w") * F.col("width")))
+    h = _whole(F.coalesce("_r.h", F.lit(0.0)) * F.col("height"))
+    return _unfolded(pages, layout.select("region", "y", "h", "x", "w")).select(
+        *pages.columns, F.col("_r.region"), F.coalesce(F.col("_r.x") * F.col("width"), F.lit(0.0)).alias("sx"),
+        (F.coalesce("_r.y", F.lit(0.0)) * F.col("height")).alias("sy"), w.alias("sw"), h.alias("sh"), w.alias("out_w"), h.alias("out_h"),
     )
 
 
 def route_words(words: DataFrame, pages: DataFrame, layout: DataFrame, id_col: str = "bill_id") -> DataFrame:
     """(id, region, word_ix, text): the region that holds each word's middle."""
-    box = F.broadcast(layout)
     placed = words.join(pages, id_col)
     x, y = (F.col("x0") + F.col("x1")) / 2 / F.col("width"), (F.col("y0") + F.col("y1")) / 2 / F.col("height")
-    inside = (y >= F.col("top")) & (y < F.col("bottom")) & (x >= F.col("left")) & (x < F.col("right"))
-    return placed.join(box, inside).select(id_col, "region", "word_ix", "text")
+    inside = F.filter(_regions(layout), lambda r: (y >= r["top"]) & (y < r["bottom"]) & (x >= r["left"]) & (x < r["right"]))
+    return placed.select(id_col, F.explode(inside).alias("_r"), "word_ix", "text").select(id_col, "_r.region", "word_ix", "text")
