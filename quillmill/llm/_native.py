@@ -31,6 +31,45 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Elements of an array that are run through at once, and characters of a piece of text.
+RUN, PIECE = 128, 512
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """For each element of an array what ``join`` makes of ``zero`` and all elements before it.
+
+    An array that grows by one element is copied each time, so this is done in runs of
+    RUN elements: within each of them, and over what each run makes as a whole.
+    """
+
+    def before(xs: Column, start: Column) -> Column:
+        grown = F.aggregate(xs, F.array(start), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, F.lit(-1)), x))))
+        return F.slice(grown, F.lit(1), F.size(xs))
+
+    def of(xs: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / RUN).cast("int")), lambda k: F.slice(xs, k * RUN + 1, F.lit(RUN)))
+        whole = lambda rs: F.transform(rs, lambda r: F.aggregate(r, zero, join))
+        each = lambda rs: F.flatten(F.zip_with(rs, before(whole(rs), zero), before))
+        return F.when(F.size(xs) > 0, let(runs, each)).otherwise(F.slice(xs, F.lit(1), F.lit(0)))
+
+    return let(values, of)
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points: places in it are then found without walking from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, a: Column, b: Column) -> Column:
+    """The code points from a up to b of the text of ``pieces``."""
+    first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+    piece = lambda k: F.coalesce(F.get(parts, k), F.lit(""))
+    return F.when(first == last, F.substring(piece(first), a % PIECE + 1, b - a)).otherwise(F.concat(
+        F.substring(piece(first), a % PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substring(piece(last), F.lit(1), b % PIECE),
+    ))
+
+
 def find_spans(text: Column, pattern: str, maybe: Column | None = None) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as array<struct<s,e,m>>.
 
@@ -42,18 +81,17 @@ def find_spans(text: Column, pattern: str, maybe: Column | None = None) -> Colum
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if maybe is not None:
         found = F.when(maybe, found)
-
-    def grow(acc: Column, x: Column) -> Column:
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["e"], F.lit(0)) + F.length(x["p"])
-        return F.concat(acc, F.array(F.struct(start.alias("s"), (start + F.length(x["m"])).alias("e"), x["m"].alias("m"))))
-
     none = F.array().cast(SPANS)
 
     def placed(ms: Column) -> Column:
-        pairs = F.zip_with(
-            F.slice(F.split(text, pattern, -1), 1, F.size(ms)), ms, lambda p, m: F.struct(p.alias("p"), m.alias("m"))
-        )
-        return F.when(F.size(ms) > 0, F.aggregate(pairs, none, grow)).otherwise(none)
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(ms)), lambda p: F.length(p))
+
+        def at(gs: Column) -> Column:
+            lengths = F.zip_with(gs, ms, lambda g, m: g + F.length(m))
+            starts = F.zip_with(running(lengths, lambda a, x: a + x, F.lit(0)), gs, lambda a, g: a + g)
+            return F.zip_with(starts, ms, lambda s, m: F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m")))
+
+        return F.when(F.size(ms) > 0, let(gaps, at)).otherwise(none)
 
     return let(found, placed)
 

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm._native import find_spans, fresh, render, table, tag
+from quillmill.llm._native import cut, find_spans, fresh, let, pieces, render, running, table, tag
 
 # A match inside a run of word characters succeeds exactly if the one from the
 # start of the run does, so only run starts (or the end of the last match) are tried.
@@ -49,6 +49,7 @@ BASE_SCORE = {"email": 80, "ip": 50, "card": 70, "phone": 50, "iban": 80, "local
 CONTEXT_CHARS = 40
 CONTEXT_GAIN = 20
 ADMIT = 60
+_SCORED = "array<struct<s:int,k:int,e:int,kind:string,m:string,points:int>>"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -109,23 +110,24 @@ def _confirmed(text: Column) -> Column:
     return F.concat(*[tag(c, k, i) for i, (k, c) in enumerate(zip(KINDS, (email, ip, card, phone, iban, local)))])
 
 
-def _points(text: Column, x: Column) -> Column:
-    """Score of a span in hundredths."""
-    before = F.substring(text, F.greatest(x["s"] + 1 - CONTEXT_CHARS, F.lit(1)), F.least(x["s"], F.lit(CONTEXT_CHARS)))
-    near = F.translate(F.concat(before, F.lit("\n"), F.substring(text, x["e"] + 1, F.lit(CONTEXT_CHARS))), _UPPER, _LOWER)
+def _points(parts: Column, x: Column) -> Column:
+    """Score of a span in hundredths, by the text's pieces."""
+    before = cut(parts, F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0)), x["s"])
+    near = F.translate(F.concat(before, F.lit("\n"), cut(parts, x["e"], x["e"] + CONTEXT_CHARS)), _UPPER, _LOWER)
     out = F.lit(0)
     for kind, words in CONTEXT.items():
-        gain = F.when(near.rlike(_whole_words(words)), CONTEXT_GAIN).otherwise(0)
-        out = F.when(x["kind"] == kind, F.lit(BASE_SCORE[kind]) + gain).otherwise(out)
+        out = F.when(x["kind"] == kind, F.lit(BASE_SCORE[kind]) + F.when(near.rlike(_whole_words(words)), CONTEXT_GAIN).otherwise(0)).otherwise(out)
     return out
 
 
 def pii_spans(text: Column) -> Column:
     """array<struct<s,k,e,kind,m,points>> of the spans that count; points are the score in hundredths."""
-    scored = F.transform(
-        _confirmed(text), lambda x: F.struct(x["s"], x["k"], x["e"], x["kind"], x["m"], _points(text, x).alias("points"))
-    )
-    return F.filter(scored, lambda x: (x["k"] < len(BASE_KINDS)) | (x["points"] >= ADMIT))
+
+    def scored(spans: Column) -> Column:
+        each = lambda parts: F.transform(spans, lambda x: F.struct(x["s"], x["k"], x["e"], x["kind"], x["m"], _points(parts, x).alias("points")))
+        return F.when(F.size(spans) > 0, let(pieces(text), each)).otherwise(F.array().cast(_SCORED))
+
+    return F.filter(let(_confirmed(text), scored), lambda x: (x["k"] < len(BASE_KINDS)) | (x["points"] >= ADMIT))
 
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -143,19 +145,19 @@ def mask_pii(docs: DataFrame, text_col: str = "text", min_points: int = 0) -> Da
     text, spans = F.col(text_col), fresh(docs, "_spans")
     work = docs.withColumn(spans, F.array_sort(F.filter(pii_spans(text), lambda x: x["points"] >= min_points)))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.concat(
-            acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")
-        )
-        return F.struct(
-            F.when(x["s"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["e"]).alias("at")
-        )
-
-    done = F.aggregate(
-        F.col(spans), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step,
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    masked = F.when(F.size(spans) > 0, done).otherwise(text)
+    def masked(xs: Column) -> Column:
+        ends = running(F.transform(xs, lambda x: x["e"]), lambda a, e: F.greatest(a, e), F.lit(0))
+
+        def told(parts: Column) -> Column:
+            def one(x: Column, at: Column) -> Column:
+                return F.when(x["s"] >= at, F.concat(cut(parts, at, x["s"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise("")
+
+            last = F.array_max(F.transform(xs, lambda x: x["e"]))
+            return F.concat(F.array_join(F.zip_with(xs, ends, one), ""), cut(parts, last, F.length(text)))
+
+        return F.when(F.size(xs) > 0, let(pieces(text), told)).otherwise(text)
+
+    masked = let(F.col(spans), masked)
     return work.withColumn(text_col, masked).drop(spans)
 
 

@@ -121,3 +121,50 @@ def test_shuffled_joins_give_the_same(docs, texts, spark, monkeypatch):
     one = run()
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     assert run() == one and sum(n for _, n in one) > 0
+
+
+def test_many_matches_in_one_text_take_linear_time(spark):
+    """300,000 matches in a text: places, scores and masks come within seconds, and are right."""
+    import time
+
+    n = 300_000
+    text = "mail a@b.cd and é, " * n
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    row = pii.scan_pii(one).select(
+        F.size("spans").alias("n"), F.get("spans", F.lit(n - 1)).alias("last"), F.get("spans", F.lit(7)).alias("some"), F.size(F.filter("spans", lambda x: x["points"] == 100)).alias("sure")
+    ).first()
+    at = text.rindex("a@b.cd")
+    assert (row["n"], row["sure"], row["last"]["s"], row["last"]["e"], row["some"]["s"]) == (n, n, at, at + 6, 7 * 19 + 5)
+    masked = pii.mask_pii(one).first()["text"]
+    assert masked == text.replace("a@b.cd", "[EMAIL]")
+    keys = spark.createDataFrame([(1, "token=abcdefg, é " * n)], "doc_id long, text string")
+    row = secrets.scan_secrets(keys).select(F.size("spans").alias("n"), F.get("spans", F.lit(n - 1))["s"].alias("s")).first()
+    assert (row["n"], row["s"]) == (n, 17 * (n - 1))
+    assert time.time() - start < 120
+
+
+def test_running_and_cut_equal_plain_python(spark):
+    from quillmill.llm import _native as N
+
+    for n in (0, 1, N.RUN, N.RUN + 1, 5 * N.RUN + 3):
+        xs = [(7 * i) % 23 for i in range(n)]
+        row = spark.createDataFrame([(xs,)], "x array<int>").select(
+            N.running(F.col("x"), lambda a, x: a + x, F.lit(0)).alias("sums"), N.running(F.col("x"), lambda a, x: F.greatest(a, x), F.lit(5)).alias("tops")
+        ).first()
+        assert row["sums"] == [sum(xs[:i]) for i in range(n)] and row["tops"] == [max([5, *xs[:i]]) for i in range(n)]
+    text = "".join(chr(0x1F600 + i % 50) if i % 3 else "\n" for i in range(2000))
+    cuts = [(0, 0), (0, 5), (510, 515), (512, 1024), (3, 1999), (1999, 2040), (1024, 1024), (2000, 2000), (0, 2000)]
+    df = spark.createDataFrame([(text, a, b) for a, b in cuts], "t string, a int, b int")
+    assert [r[0] for r in df.select(N.cut(N.pieces(F.col("t")), F.col("a"), F.col("b"))).collect()] == [text[a:b] for a, b in cuts]
+
+
+def test_overlapping_spans_are_masked_as_one(spark):
+    text = "call +378282246310005 or 4111 1111 1111 1111.2.3.4, +378282246310005"
+    spans = pii.scan_pii(frame(spark, [text])).first()["spans"]
+    out, at = "", 0
+    for s in sorted(spans, key=lambda s: (s["s"], s["k"])):
+        if s["s"] >= at:
+            out += text[at : s["s"]] + f"[{s['kind'].upper()}]"
+        at = max(at, s["e"])
+    assert len(spans) > 1 and pii.mask_pii(frame(spark, [text])).first()["text"] == out + text[at:]
