@@ -40,7 +40,7 @@ ALLOW = (
     r"^[+/_=-]*([A-Z]?[a-z]+|[A-Z]+)([+/_=-]+([A-Z]?[a-z]+|[A-Z]+))*[+/_=-]*$",
     r"^[a-z]*([A-Z][a-z]+)+$",
     r"^[+/_=-]+$",
-    r"^[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}",
+    r"^([0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}[+/_=-]*)+$",
     r"^0?(1234567890?)+[0-9]?$",
 )
 

@@ -144,6 +144,12 @@ def test_many_matches_in_one_text_take_linear_time(spark):
     assert time.time() - start < 120
 
 
+def test_a_date_hides_no_secret_behind_it(spark):
+    texts = ["2024-01-02-aB3dE5fG7hI9jK1lM3nO5pQ7", "2024-01-02_2024-03-04_", "2024-01-02-2024-1-2-2024"]
+    got = [[s["kind"] for s in r["spans"]] for r in secrets.scan_secrets(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [["entropy"], [], []]
+
+
 def test_running_and_cut_equal_plain_python(spark):
     from quillmill.llm import _native as N
 
