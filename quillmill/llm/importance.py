@@ -328,3 +328,27 @@ def brute_force(docs: list[tuple[int | None, str | None]], target: list[str | No
     order = sorted((r for r in rows if r[4]), key=lambda r: (-r[3], r[0] is None, r[0]))
     ranks = {id(r): k + 1 for k, r in enumerate(order[: percent * len(order) // 100])}
     return [(*r[:4], ranks.get(id(r))) for r in rows]
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_FEATURES_SQL = "w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])"
+#: CRC-32 of the bytes of f, bit by bit.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, octet_length(encode(f))), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS_SQL} AS w FROM documents),
+df AS (SELECT r, unnest({_FEATURES_SQL}) AS f FROM d),
+bf AS (SELECT unnest({_FEATURES_SQL}) AS f FROM (SELECT {_WORDS_SQL} AS w FROM benchmark)),
+fb AS (SELECT f, {_CRC_SQL} % {BUCKETS} AS bucket FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+sc AS (SELECT bucket, count(*) AS s FROM df JOIN fb USING (f) GROUP BY 1),
+tc AS (SELECT bucket, count(*) AS t FROM bf JOIN fb USING (f) GROUP BY 1),
+al AS (SELECT (SELECT count(*) FROM df)::double AS ss, (SELECT count(*) FROM bf)::double AS tt),
+ga AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (ss + {BUCKETS}) / ((coalesce(s, 0) + 1)::double * (tt + {BUCKETS}))))::bigint AS gain
+  FROM sc FULL JOIN tc USING (bucket), al),
+we AS (SELECT r, count(*) AS n, sum(gain)::bigint AS total FROM df JOIN fb USING (f) JOIN ga USING (bucket) GROUP BY 1),
+sd AS (SELECT doc_id, r, len(w) >= 20 AS enough, coalesce(n, 0)::bigint AS n_features, CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END::bigint AS weight,
+  floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint AS noise FROM d LEFT JOIN we USING (r)),
+ra AS (SELECT *, weight + noise AS score, row_number() OVER (ORDER BY enough DESC, weight + noise DESC, doc_id) AS place FROM sd)
+SELECT doc_id, n_features, weight, score::bigint AS score, CASE WHEN enough AND place <= 25 * (SELECT count(*) FROM sd WHERE enough) // 100 THEN place END::bigint AS rank FROM ra
+"""

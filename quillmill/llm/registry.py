@@ -25,6 +25,7 @@ _ORACLES = {
     "op7_secrets": secrets.SQL,
     "op9_decontaminate": decontaminate.SQL,
     "op11_fill_in_middle": fill_in_middle.SQL,
+    "op12_importance": importance.SQL,
 }
 
 

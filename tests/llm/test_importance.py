@@ -75,3 +75,7 @@ def test_query_equals_brute_force_on_its_tables(spark, sf_dir):
     target = [r[0] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").collect()]
     got = imp.op12_importance(spark, sf_dir)
     assert ordered(got.select("doc_id", "n_features", "weight", "score", "rank").collect()) == ordered(imp.brute_force(docs, target))
+
+
+def test_query_equals_its_sql(compare):
+    compare(imp.op12_importance, imp.SQL)
