@@ -20,6 +20,15 @@ component block by block, so no task holds more than ``NODE_ROWS`` of it.  In a
 node that branches on, one member of the largest component is compared with all
 others at once, so that groups of near copies contract instead of branching.
 
+A member that resembles all of a large node would go on to nearly the whole of it
+again and again, if nothing there is linked and contracts (pages of one template).
+So its average similarity to the node is estimated from ``PROBES`` minwise tokens,
+and where branching on would copy it to more rows than comparing it here, it leaves
+the node: one level later it is compared with all members of other components, hubs
+of a block against each block of the node, and only the others branch on.  While
+comparing one member of the largest component still halves the pairs of such a
+node, that is done instead.
+
 Of nodes with the same members one is kept.  What leaves a task are merges of
 components, fewer than its members.
 
@@ -59,8 +68,14 @@ NODE_PAIRS = 320_000
 NODE_ROWS = 800
 NODE_UNITS = 1_500_000
 FEW = 8
-#: Columns of an incidence matrix at once.
-COLUMNS = 4096
+#: Members of a block of a node that members leave.
+DENSE_ROWS = 2000
+#: Minwise tokens, and about how many members of a node, that average similarities are estimated from.
+PROBES = 32
+PROBED = 256
+#: Values of an incidence matrix, and hubs, at once.
+CELLS = 1 << 22
+HUBS = 512
 #: Members of nodes whose texts are fetched by broadcasting them; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SLICE = 1 << 19
@@ -182,8 +197,8 @@ def _grouped(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame
         yield pd.concat(held, ignore_index=True)
 
 
-def _shared(sets: list[np.ndarray], hubs: int) -> np.ndarray:
-    """How many elements each of the first ``hubs`` sets has in common with every set."""
+def _shared(sets: list[np.ndarray], hubs: int) -> Iterator[tuple[int, np.ndarray]]:
+    """How many elements each of the first ``hubs`` sets has in common with every set: (first hub, counts), HUBS at a time."""
     n = len(sets)
     size = np.array([len(x) for x in sets])
     flat = np.concatenate(sets)
@@ -192,22 +207,26 @@ def _shared(sets: list[np.ndarray], hubs: int) -> np.ndarray:
         for i in range(hubs):
             at = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
             out[i] = np.add.reduceat((sets[i][at] == flat).astype(np.int64), starts)
-        return out
+        yield 0, out
+        return
     row = np.repeat(np.arange(n), size)
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
     column = np.cumsum(np.concatenate([[True], flat[1:] != flat[:-1]])) - 1
     often = np.bincount(column)[column] > 1  # the others are in no intersection
     column, row = column[often], row[often]
-    out = np.zeros((hubs, n), np.int64)
     if len(column):
         column = np.cumsum(np.concatenate([[0], column[1:] != column[:-1]]))
-        cuts = np.searchsorted(column, np.arange(0, column[-1] + 1, COLUMNS))
+    width = max(1, min(CELLS // n, int(column[-1]) + 1 if len(column) else 1))
+    cuts = np.searchsorted(column, np.arange(0, column[-1] + 1, width)) if len(column) else np.zeros(0, np.int64)
+    for first in range(0, hubs, HUBS):
+        last = min(hubs, first + HUBS)
+        out = np.zeros((last - first, n), np.int64)
         for a, b in zip(cuts, [*cuts[1:], len(column)]):
-            m = np.zeros((n, COLUMNS), np.float32)
-            m[row[a:b], column[a:b] % COLUMNS] = 1
-            out += (m[:hubs] @ m.T).astype(np.int64)
-    return out
+            m = np.zeros((n, width), np.float32)
+            m[row[a:b], column[a:b] % width] = 1
+            out += (m[first:last] @ m.T).astype(np.int64)
+        yield first, out
 
 
 def _merged(part: np.ndarray, sets: list[np.ndarray], hubs: int, percent: int) -> list[tuple[int, int]]:
@@ -219,18 +238,26 @@ def _merged(part: np.ndarray, sets: list[np.ndarray], hubs: int, percent: int) -
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(part.max(), part.min())] if 100 * both >= percent * (size.sum() - both) else []
     own, at = np.unique(part, return_inverse=True)
-    both = _shared(sets, hubs)
-    link = (100 * both >= percent * (size[:hubs, None] + size - both)) & (part[:hubs, None] != part)
-    r, c = np.nonzero(link)
     top = np.arange(len(own))
-    while True:  # each component takes the least name it is linked with
-        now = top.copy()
-        np.minimum.at(now, at[r], top[at[c]])
-        np.minimum.at(now, at[c], top[at[r]])
-        now = now[now]
-        if (now == top).all():
-            break
-        top = now
+    if not hubs or len(own) == 1:
+        return []
+    for first, both in _shared(sets, hubs):
+        rows = slice(first, first + len(both))
+        r, c = np.nonzero(100 * both >= percent * (size[rows, None] + size - both))
+        r, c = at[first + r], at[c]
+        new = top[r] != top[c]
+        r, c = r[new], c[new]
+        while len(r):  # each component takes the least name it is linked with
+            now = top.copy()
+            p, q = top[r], top[c]
+            np.minimum.at(now, p, q)
+            np.minimum.at(now, q, p)
+            now = now[now]
+            if (now == top).all():
+                break
+            top = now[top]
+        while (top[top] != top).any():
+            top = top[top]
     return [(own[i], own[j]) for i, j in enumerate(top) if i != j]
 
 
@@ -282,7 +309,9 @@ def _shapes(member: DataFrame) -> DataFrame:
     dealt = F.when(small, F.col("big.c")).otherwise(F.col("n") - F.col("big.c"))
     weight = F.when(small, F.col("big.u")).otherwise(F.col("outside"))
     blocks = F.when(small & one, 1).otherwise(F.ceil(F.greatest(dealt / NODE_ROWS, weight / NODE_UNITS)).cast("int"))
-    return whole.select("node", small.alias("small"), (small & one).alias("one"), blocks.alias("blocks"), F.col("big.part").alias("big"), F.col("big.lead").alias("lead"))
+    return whole.select(
+        "node", "n", "units", "pairs", small.alias("small"), (small & one).alias("one"), blocks.alias("blocks"), F.col("big.part").alias("big"), F.col("big.lead").alias("lead")
+    )
 
 
 def _tasks(member: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -298,9 +327,87 @@ def _tasks(member: DataFrame, shapes: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("node", "b").alias("block"), "role", "id", "part")
 
 
-def _children(member: DataFrame, large: DataFrame, signs: DataFrame) -> DataFrame:
-    """(node, id, units): the members of large nodes in the children that these choose."""
-    rows = member.join(large, "node").select("node", "id", "units").join(signs, "id")
+def _judged(member: DataFrame, large: DataFrame, signs: DataFrame) -> DataFrame:
+    """(node, id, units, before, sign, leaves): whether comparing a member of a large node here costs fewer rows than branching on.
+
+    A member's average similarity is the mean share, over PROBES minwise functions of the pool, of the node's most
+    frequent token where the member has that token; the shares are those of about PROBED members.  It decides where
+    a member is compared, not with what result.
+    """
+    rows = member.select("node", "id", "units").join(large.select("node", "n", F.col("units").alias("all"), F.col("pairs").alias("before")), "node").join(signs, "id")
+    begin = F.pmod(F.xxhash64("node", F.lit(4)), F.lit(POOL - PROBES + 1)).cast("int") + 1
+    rows = rows.withColumn("probe", F.slice("sign", begin, PROBES))
+    some = rows.filter(F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("n") / PROBED)) == 0)
+    counts = some.select("node", F.posexplode("probe").alias("at", "token")).groupBy("node", "at", "token").agg(F.count("*").alias("c"))
+    modes = counts.groupBy("node", "at").agg(F.max(F.struct("c", "token")).alias("top"), F.sum("c").alias("of"))
+    modes = modes.groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("at", F.col("top.token").alias("token"), (F.col("top.c") / F.col("of")).alias("share")))).alias("modes")
+    )
+    same = F.zip_with("probe", "modes", lambda x, m: F.when(x == m["token"], m["share"]).otherwise(0.0))
+    rows = rows.join(modes, "node", "left").withColumn("_s", F.coalesce(F.aggregate(same, F.lit(0.0), lambda a, x: a + x) / PROBES, F.lit(0.0)))
+    # Of members of similarity s the share 2s / (1 + s) stays together in a child.
+    rows = rows.withColumn("_b", F.greatest(F.lit(0.05), F.least(F.lit(0.99), 2 * F.col("_s") / (1 + F.col("_s")))))
+    over = F.greatest(F.col("n") / NODE_ROWS, F.col("all") / NODE_UNITS, F.lit(1.0))
+    rows = rows.withColumn("_g", 1.5 * F.col("_b") + 1e-6).withColumn("_l", F.log(over) / -F.log("_b"))
+    branched = F.col("_g") * (F.pow("_g", F.col("_l")) - 1) / (F.col("_g") - 1)
+    here = 2 + 1.5 * F.greatest(F.col("n") / DENSE_ROWS, F.col("all") / NODE_UNITS)
+    return rows.select("node", "id", "units", "before", "sign", (branched > here).alias("leaves"))
+
+
+def _dense_tasks(member: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Of nodes that members leave: (block, role, id, part) to compare now, and the nodes whose rest is compared one level later.
+
+    member: (node, id, units, part, before, leaves), where before is the node's pairs one level earlier.
+    """
+    each = member.groupBy("node", "part").agg(
+        F.count("*").alias("c"), F.sum("units").alias("u"), F.min_by("id", F.xxhash64("id", F.lit(level))).alias("lead"), F.max("before").alias("before"),
+        F.count_if("leaves").alias("cl"), F.sum(F.when(F.col("leaves"), F.col("units")).otherwise(0)).alias("ul"),
+    )
+    whole = each.groupBy("node").agg(
+        F.sum("c").alias("n"), F.sum("u").alias("units"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max("before").alias("before"),
+        F.max(F.struct("c", "part", "lead", "u", "cl", "ul")).alias("big"), F.sum("cl").alias("cl"), F.sum("ul").alias("ul"),
+    ).filter("n > big.c").withColumn("pairs", F.expr("(n * n - squares) div 2"))
+
+    def blocks(n: Column, units: Column) -> Column:
+        return F.ceil(F.greatest(n / DENSE_ROWS, units / NODE_UNITS)).cast("int")
+
+    out_l, out_u = F.col("cl") - F.col("big.cl"), F.col("ul") - F.col("big.ul")
+    whole = whole.select(
+        "node", "pairs", F.col("big.part").alias("big"), F.col("big.lead").alias("lead"),
+        # The last level's comparisons joined half of the pairs or more, and many are left: one member again.
+        ((2 * F.col("pairs") <= F.col("before")) & (F.col("pairs") > NODE_PAIRS)).alias("again"),
+        blocks(F.col("n"), F.col("units")).alias("bs"), blocks(out_l, out_u).alias("bo"), blocks(F.col("big.cl"), F.col("big.ul")).alias("bg"),
+    )
+    rows = member.drop("before").join(whole, "node")
+    in_big = F.col("part") == F.col("big")
+
+    def own(n: str, salt: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.greatest(F.col(n), F.lit(1))).cast("int")
+
+    def task(kind: int, hub: Column, spoke: Column, role: int) -> Column:
+        return F.struct(F.lit(kind).alias("k"), hub.alias("h"), spoke.alias("s"), F.lit(role).alias("role"))
+
+    def each_of(n: Column, make) -> Column:
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), make)).otherwise(F.array().cast("array<struct<k:int,h:int,s:int,role:int>>"))
+
+    lead = F.when(F.col("id") == F.col("lead"), each_of(F.col("bs"), lambda j: task(0, F.lit(0), j, 0))).when(
+        ~in_big, F.array(task(0, F.lit(0), own("bs", 1), 1))
+    )
+    outside, inside = F.col("leaves") & ~in_big, F.col("leaves") & in_big
+    # Kind 1: those that leave, outside the largest component, with all; kind 2: those inside it with the others outside.
+    hubs = F.when(outside, each_of(F.col("bs"), lambda j: task(1, own("bo", 2), j, 0))).when(
+        inside, each_of(F.col("bs"), lambda j: task(2, own("bg", 2), j, 0))
+    ).otherwise(each_of(F.lit(0), lambda j: task(0, j, j, 0)))
+    spokes = each_of(F.when(outside, own("bo", 2)).otherwise(F.col("bo")), lambda i: task(1, i, own("bs", 1), 1))
+    others = each_of(F.when(~F.col("leaves") & ~in_big, F.col("bg")).otherwise(0), lambda i: task(2, i, own("bs", 1), 1))
+    rows = rows.withColumn("_t", F.explode(F.when(F.col("again"), lead).otherwise(F.concat(hubs, spokes, others))))
+    tasks = rows.select(F.xxhash64("node", "_t.k", "_t.h", "_t.s", F.lit(5)).alias("block"), F.col("_t.role").alias("role"), "id", "part")
+    later = member.drop("before", "part").join(whole.filter("again").select("node", F.col("pairs").alias("before")), "node")
+    return tasks, later.select("node", "id", "units", "before", "leaves")
+
+
+def _children(rows: DataFrame) -> DataFrame:
+    """(node, id, units): members of large nodes in the children that these choose."""
 
     def child(place: Column) -> Column:
         return F.xxhash64("node", place, F.get("sign", place))
@@ -322,8 +429,10 @@ def _links(reps: DataFrame, rows: DataFrame, links: DataFrame | None, words: int
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     def done_with(level: int) -> None:
-        for name in ("member", "shapes", "tasks") if level >= 0 else ():
+        for name in ("member", "shapes", "tasks", "dense") if level >= 0 else ():
             scratch.drop(f"{name}{level}")
+        if level > 0:
+            scratch.drop(f"judged{level - 1}")
 
     def first_nodes(a: int, b: int) -> DataFrame:
         return reps.select(F.explode(F.slice("nodes", a + 1, b - a)).alias("node"), "id", "units")
@@ -332,21 +441,30 @@ def _links(reps: DataFrame, rows: DataFrame, links: DataFrame | None, words: int
     again = links is not None
     if again:
         parts = components(links, scratch, "star-")
-    place, waiting, level = first_nodes(0, FIRST), True, 0
-    while place is not None:
-        if again:  # an id may be in a node with several of its texts
-            place = place.groupBy("node", "id").agg(F.max("units").alias("units"))
-        sizes = place.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
-        here = sizes.groupBy("n", "who").agg(F.min("node").alias("node")).select("node")
-        member = scratch.put(_with_part(place.join(here, "node"), parts), f"member{level}")
-        done_with(level - 1)
-        shapes = scratch.put(_shapes(member), f"shapes{level}")
-        tasks = scratch.put(_tasks(member, shapes), f"tasks{level}")
+    place, dense, waiting, level = first_nodes(0, FIRST), None, True, 0
+    while place is not None or dense is not None:
+        shapes = later = large = None
+        work = []
+        if place is not None:
+            if again:  # an id may be in a node with several of its texts
+                place = place.groupBy("node", "id").agg(F.max("units").alias("units"))
+            sizes = place.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
+            here = sizes.groupBy("n", "who").agg(F.min("node").alias("node")).select("node")
+            member = scratch.put(_with_part(place.join(here, "node"), parts), f"member{level}")
+            shapes = scratch.put(_shapes(member), f"shapes{level}")
+            work.append(_tasks(member, shapes))
+        if dense is not None:
+            held = scratch.put(_with_part(dense, parts), f"dense{level}")
+            now, later = _dense_tasks(held, level)
+            work.append(now)
+        tasks = scratch.put(work[0] if len(work) == 1 else work[0].union(work[1]), f"tasks{level}")
         placed = rows.join(few(tasks), "id").repartition(parts_n, "block").sortWithinPartitions("block", "role", "id")
         found = scratch.put(placed.mapInPandas(tidy(_compared(words, percent)), "a long, b long").distinct(), f"links{level}")
-        large = shapes.filter(~F.col("small")).select("node")
-        place = None
-        if large.limit(1).count():
+        done_with(level - 1)
+        place, dense = None, later if later is not None and later.limit(1).count() else None
+        if shapes is not None:
+            large = shapes.filter(~F.col("small"))
+        if large is not None and large.limit(1).count():
             wide = member.join(large, "node", "left_semi").select("id").distinct()
             if signed is not None:
                 wide = wide.join(signed, "id", "left_anti")
@@ -355,13 +473,22 @@ def _links(reps: DataFrame, rows: DataFrame, links: DataFrame | None, words: int
                 own = rows.join(few(wide), "id", "left_semi").mapInPandas(tidy(_signs(words)), "id long, sign array<int>")
                 own = scratch.put(own, f"signs{level}")
                 signs, signed = (own, wide) if signs is None else (signs.union(own), signed.union(wide))
-            place = _children(member, large, signs)
+            judged = scratch.put(_judged(member, large, signs), f"judged{level}")
+            place = _children(judged.filter(~F.col("leaves")))
+            left = judged.filter("leaves").select("node").distinct()
+            if left.limit(1).count():
+                more = judged.join(left, "node", "left_semi").groupBy("node", "id").agg(
+                    F.max("units").alias("units"), F.max("before").alias("before"), F.max("leaves").alias("leaves")
+                )
+                dense = more if dense is None else dense.union(more)
         if waiting:
             rest = first_nodes(FIRST, TREES)
             place, waiting = rest if place is None else place.union(rest), False
         if found.limit(1).count():
             links = found if links is None else links.union(found)
             parts = components(links, scratch, f"star{level}-")
+            # What is known is the components: their links stand for all that led to them.
+            links = parts.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
         level += 1
     done_with(level - 1)
     return parts
