@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.llm import near_dedup
 from quillmill.llm._components import components
@@ -61,6 +62,57 @@ def test_a_large_group_of_near_copies_contracts(spark, monkeypatch):
     assert found(frame(spark, rows)) == sorted(near_dedup.brute_force(rows), key=repr)
 
 
+def a_template(n, common=120, own=20, pairs=50, words=5):
+    """n unlinked documents of ``common`` and ``own`` words, and pairs of them that just reach a similarity of 0.8."""
+    boiler = [f"boiler{j}" for j in range(common)]
+    rows = [(k, " ".join(boiler + [f"own{k}x{j}" for j in range(own)])) for k in range(n)]
+    total, same = common + own, common
+    while 100 * (same - words + 1) < 80 * (2 * (total - words + 1) - (same - words + 1)):
+        same += 1
+    for p in range(pairs):
+        shared = boiler + [f"pair{p}x{j}" for j in range(same - common)]
+        rows += [(n + 2 * p + c, " ".join(shared + [f"end{p}x{c}x{j}" for j in range(total - same)])) for c in range(2)]
+    return rows
+
+
+def test_a_template_of_many_unlinked_documents_is_bounded(spark, monkeypatch):
+    """Nothing contracts and a large share of each node stays together: those that resemble their node leave it."""
+    rows_of = {}
+
+    class Counted(Scratch):
+        def put(self, df, name):
+            out = super().put(df, name)
+            if name.rstrip("0123456789") in ("member", "dense", "tasks"):
+                rows_of[name] = out.count()
+            return out
+
+    monkeypatch.setattr(near_dedup, "Scratch", Counted)
+    n, pairs = 4000, 50
+    rows = a_template(n, pairs=pairs)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows).repartition(4)).collect()}
+    want = {i: n + 2 * ((i - n) // 2) if i >= n else i for i, _ in rows}
+    assert sum(got[i] == want[i] for i in range(n, n + 2 * pairs)) >= 0.99 * 2 * pairs
+    assert all(got[i] in (i, want[i]) for i in want)
+    assert sum(rows_of.values()) <= 100 * len(rows)
+
+
+@pytest.mark.parametrize("limits, all_leave", [
+    (dict(NODE_ROWS=2, NODE_PAIRS=1, FEW=2, DENSE_ROWS=3, HUBS=2, CELLS=64), True), (dict(NODE_ROWS=4, NODE_PAIRS=4, FEW=2, DENSE_ROWS=1, PROBED=2), False),
+])
+def test_leaving_a_node_changes_nothing(docs, texts, spark, monkeypatch, limits, all_leave):
+    """Blocks of few members, some or all members leaving, and ids with several texts."""
+    for name, value in limits.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    if all_leave:
+        judged = near_dedup._judged
+        monkeypatch.setattr(near_dedup, "_judged", lambda *a: judged(*a).withColumn("leaves", F.lit(True)))
+    template = [(10_000 + i, t) for i, t in a_template(24, pairs=6, words=2)]
+    both = [*texts, *template]
+    assert found(frame(spark, both)) == sorted(near_dedup.brute_force(both), key=repr)
+    again = frame(spark, [*template, *[(i, t + " extra") for i, t in template[:5]]])
+    assert {r[0]: r[2] for r in found(again)} == {r[0]: r[2] for r in near_dedup.brute_force(template)}
+
+
 def test_empty_table(empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
