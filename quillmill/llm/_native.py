@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +70,13 @@ def cut(parts: Column, a: Column, b: Column) -> Column:
     ))
 
 
+def kept_columns(keep: Sequence[str], results: Sequence[str]) -> list[str]:
+    """keep, each once; a ValueError for names that a result has (in any case, as Spark compares names)."""
+    if clash := {k.lower() for k in keep} & set(results):
+        raise ValueError(f"columns to keep have names of results: {sorted(clash)}")
+    return list(dict.fromkeys(keep))
+
+
 def find_spans(text: Column, pattern: str, maybe: Column | None = None) -> Column:
     """Leftmost non-overlapping matches of ``pattern`` as array<struct<s,e,m>>.
 

@@ -14,10 +14,12 @@ _OWN: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a temporary folder of this process."""
+    """spark.checkpoint.dir; where it is unset (tests), a temporary folder of this process, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster the tables of a run need a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="quillmill-")
         atexit.register(_remove, _OWN["dir"])

@@ -13,7 +13,9 @@ The benchmark side is broadcast only while its counted windows stay within
 Defined results: null, empty and word-less texts have no words and no hits;
 repeated rows each get their own result; word-less items never occur; equal
 items all count; an empty benchmark or an empty document table gives no hits or
-no rows; further columns are ignored unless named in ``keep``.
+no rows; all items without an id count as one, whose id is null in ``items``;
+documents without an id get their results like all; further columns are ignored
+unless named in ``keep``, where names of results are an error.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm._native import let, table
+from quillmill.llm._native import kept_columns, let, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -107,7 +109,7 @@ def _windows(run: DataFrame) -> DataFrame:
             lambda i: F.struct((F.col("at") + i).cast("int").alias("pos"), F.array_join(F.slice(parts, i + 1, F.col("len")), " ").alias("win")),
         ),
     )
-    each = F.when(F.col("len") > 0, each).otherwise(F.array(F.struct(F.col("at").alias("pos"), F.lit("").alias("win"))))
+    each = F.when(F.col("len") > 0, each).otherwise(F.array(F.struct(F.col("at").alias("pos"), F.col("_row").cast("string").alias("win"))))
     return run.withColumn("_w", F.explode(each))
 
 
@@ -116,7 +118,7 @@ def contaminated_words(
     item_col: str = "item_id", item_text_col: str = "text", keep: Sequence[str] = (),
 ) -> DataFrame:
     """(id, *keep, n_words, hits array<struct<pos,len>>, items array of item ids) for each row of docs."""
-    own = list(dict.fromkeys([id_col, *keep]))
+    own = kept_columns([id_col, *keep], ("n_words", "hits", "items"))
     items = bench.select(F.col(item_col).alias("_item"), words_of(F.col(item_text_col)).alias("_w")).filter(F.size("_w") > 0)
     items = items.withColumn("_n", F.least(F.size("_w"), F.lit(WINDOW)))
     shorter = [r[0] for r in items.filter(F.col("_n") < WINDOW).select("_n").distinct().collect()]  # at most WINDOW - 1 numbers
@@ -127,7 +129,7 @@ def contaminated_words(
     )
     fp = F.when(F.col("_n") < WINDOW, F.xxhash64(F.col("_n"), F.col("_x"))).otherwise(F.array_min(_grams(F.col("_x"), GRAM)))
     known = item_windows.groupBy("_n", F.array_join("_x", " ").alias("win"), fp.alias("fp")).agg(
-        F.collect_set("_item").alias("_items")
+        F.collect_set(F.struct("_item")).alias("_items")  # a struct, since sets leave nulls out
     )
     fps = known.select("fp").distinct()
     windows = known.select(F.col("_n").alias("len"), "win", "_items")
@@ -137,20 +139,21 @@ def contaminated_words(
     words = docs.select(F.struct(*own).alias("_own"), F.monotonically_increasing_id().alias("_row"), words_of(F.col(text_col)).alias("_w"))
     grams = words.withColumn("_m", _minima(_grams(F.col("_w"), GRAM), width))
     first = F.array(F.struct(
-        F.lit(None).cast("bigint").alias("fp"), F.size("_w").alias("at"), F.lit(0).alias("len"), F.lit("").alias("words")
+        F.xxhash64("_row").alias("fp"), F.size("_w").alias("at"), F.lit(0).alias("len"), F.lit("").alias("words")
     ))
     runs = grams.select(
         "_own", "_row",
         F.explode(F.concat(first, _runs(F.col("_w"), F.col("_m")), *[_short(F.col("_w"), n) for n in shorter])).alias("_r"),
     ).select("_own", "_row", "_r.*")
-    # One row for each document (len 0), and the runs whose fingerprint the benchmark has.
+    # One row for each document (len 0), and the runs whose fingerprint the benchmark has.  The former are kept whatever
+    # they meet, so their keys are hashes and numbers of the row: where the joins are shuffled, no task gets all of them.
     met = runs.join(fps.withColumn("_met", F.lit(True)), "fp", "left").filter((F.col("len") == 0) | F.col("_met"))
     spots = _windows(met).select("_own", "_row", "len", "at", F.col("_w.pos").alias("pos"), F.col("_w.win").alias("win"))
     hits = spots.join(windows, ["len", "win"], "left").filter((F.col("len") == 0) | F.col("_items").isNotNull())
     return hits.groupBy("_row", "_own").agg(
         F.max(F.when(F.col("len") == 0, F.col("at"))).cast("long").alias("n_words"),
         F.collect_set(F.when(F.col("len") > 0, F.struct("pos", "len"))).alias("hits"),
-        F.array_distinct(F.flatten(F.collect_set("_items"))).alias("items"),
+        F.transform(F.array_distinct(F.flatten(F.collect_set("_items"))), lambda x: x["_item"]).alias("items"),
     ).select("_own.*", "n_words", "hits", "items")
 
 

@@ -9,7 +9,7 @@ ranks are apart, with a fixed distance for n-grams the profile lacks.
 Defined results: a null text, an empty one and one without a letter are ``und``
 with score 0; ties go to the language that sorts first; without labelled rows
 everything is ``und``; repeated rows each get a row; an empty table gives an
-empty result; further columns are ignored unless in ``keep``; whole texts count.
+empty result; further columns are ignored unless in ``keep`` (a name of a result is an error); whole texts count.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm._native import table
+from quillmill.llm._native import kept_columns, table
 from quillmill.llm._worker import text_batches, tidy
 
 ORDERS = 3
@@ -128,7 +128,7 @@ def predicted(text: Column, model: Profiles) -> Column:
 
 def predict(docs: DataFrame, model: Profiles, text_col: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(*keep, lang_pred, score) for each row of docs."""
-    own = [F.col(c) for c in dict.fromkeys(keep)]
+    own = [F.col(c) for c in kept_columns(keep, ("lang_pred", "score"))]
     return docs.select(*own, predicted(F.col(text_col), model).alias("_p")).select(*own, "_p.lang_pred", "_p.score")
 
 

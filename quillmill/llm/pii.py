@@ -9,7 +9,7 @@ All of it is DataFrame functions, so one narrow JVM stage without a shuffle.
 
 Defined results: a null text counts as empty (no spans); repeated rows each get
 their own result; an empty table gives an empty result; further columns of the
-input are ignored by ``scan_pii`` unless named in ``keep``; long texts are read
+input are ignored by ``scan_pii`` unless named in ``keep`` (a name of a result is an error); long texts are read
 whole (every pattern uses possessive runs and run-start guards, so a long run
 of letters or digits costs linear time and no stack).
 """
@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm._native import cut, find_spans, fresh, let, pieces, render, running, table, tag
+from quillmill.llm._native import cut, find_spans, fresh, kept_columns, let, pieces, render, running, table, tag
 
 # A match inside a run of word characters succeeds exactly if the one from the
 # start of the run does, so only run starts (or the end of the last match) are tried.
@@ -132,7 +132,7 @@ def pii_spans(text: Column) -> Column:
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Rows of ``docs`` with ``spans`` array<struct<s,k,e,kind,m,points>> (k orders the kinds)."""
-    own = [F.col(c) for c in dict.fromkeys([id_col, *keep])]
+    own = [F.col(c) for c in kept_columns([id_col, *keep], ("spans",))]
     return docs.select(*own, pii_spans(F.coalesce(F.col(text_col), F.lit(""))).alias("spans"))
 
 

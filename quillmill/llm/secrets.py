@@ -9,7 +9,7 @@ entropy findings only, never the known shapes.
 
 All of it is DataFrame functions in one narrow stage.  Null texts count as
 empty, repeated rows each get their own result, empty tables give empty
-results, other columns are ignored unless named in ``keep``, and long texts
+results, other columns are ignored unless named in ``keep`` (a name of a result is an error), and long texts
 are read whole.
 """
 
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm._native import find_spans, let, render, table, tag
+from quillmill.llm._native import find_spans, kept_columns, let, render, table, tag
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
@@ -111,7 +111,7 @@ def secret_spans(text: Column) -> Column:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Rows of ``docs`` with ``spans`` array<struct<s,k,e,kind,m>> (k orders the kinds)."""
-    own = [F.col(c) for c in dict.fromkeys([id_col, *keep])]
+    own = [F.col(c) for c in kept_columns([id_col, *keep], ("spans",))]
     return docs.select(*own, secret_spans(F.coalesce(F.col(text_col), F.lit(""))).alias("spans"))
 
 

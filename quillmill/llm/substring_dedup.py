@@ -14,7 +14,8 @@ the next word.  Kept factors are the duplicate spans; adjoining ones join.
 Defined results: null and empty texts have no words; texts under a window keep
 everything; rows of one id are one document, which is no source for itself, and
 each returns a row; a null id comes before all others; an empty table gives an
-empty result; further columns are ignored unless named in ``keep``.
+empty result; further columns are ignored unless named in ``keep``,
+where names of results are an error.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm import _hashing as H
-from quillmill.llm._native import table
+from quillmill.llm._native import kept_columns, table
 from quillmill.llm._pointers import longest_earlier
 from quillmill.llm._repeats import NO_ID, Plan, covered, named_rows, repeated_starts, with_stretches
 from quillmill.llm._scratch import Scratch
@@ -126,7 +127,7 @@ def substring_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: Sequence[str] = ()
 ) -> DataFrame:
     """(id, *keep, n_words, n_removed, kept binary) for each row of docs."""
-    keep = [c for c in dict.fromkeys(keep) if c != id_col]
+    keep = [c for c in kept_columns([id_col, *keep], ("n_words", "n_removed", "kept")) if c != id_col]
     scratch = Scratch(docs.sparkSession, "substring")
     inner = {c: f"_k{j}" for j, c in enumerate(keep)}
     rows = named_rows(docs, id_col, text_col, inner, scratch)

@@ -15,7 +15,8 @@ from there on, and a stretch whose anchor is nowhere else is never refined.
 Defined results: a null text is empty; texts under L bytes keep everything; runs
 never cross documents; overlapping occurrences count; every row is a document of
 its own, rows that repeat an id and rows without one too; an empty table gives an
-empty result; further columns are ignored unless in ``keep``.
+empty result; further columns are ignored unless in ``keep``,
+where names of results are an error.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.llm import _hashing as H
-from quillmill.llm._native import table
+from quillmill.llm._native import kept_columns, table
 from quillmill.llm._pointers import refined
 from quillmill.llm._repeats import NO_ID, Plan, _merge, _runs, covered, named_rows, repeated_starts, with_stretches
 from quillmill.llm._scratch import Scratch
@@ -94,7 +95,7 @@ def suffix_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: Sequence[str] = ()
 ) -> DataFrame:
     """(id, *keep, n_bytes, n_removed, n_spans, kept binary) for each row of docs."""
-    keep = [c for c in dict.fromkeys(keep) if c != id_col]
+    keep = [c for c in kept_columns([id_col, *keep], ("n_bytes", "n_removed", "n_spans", "kept")) if c != id_col]
     scratch = Scratch(docs.sparkSession, "suffix")
     inner = {c: f"_k{j}" for j, c in enumerate(keep)}
     rows = named_rows(docs, id_col, text_col, inner, scratch)

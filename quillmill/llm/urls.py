@@ -12,7 +12,8 @@ fewer, are repeated for each salt.
 Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule and gets the default verdict; repeated pages each get a row; equal
 rules with different verdicts block; empty tables give empty results or the
-default verdict; further columns are ignored unless named in ``keep``.
+default verdict; further columns are ignored unless named in ``keep``,
+where names of results are an error; pages without an id are judged like all.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm._native import table
+from quillmill.llm._native import kept_columns, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -79,7 +80,7 @@ def judge_urls(
     """
     spark = pages.sparkSession
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = list(dict.fromkeys([id_col, *keep]))
+    own = kept_columns([id_col, *keep], ("host", "path", "rule", "verdict"))
     ruled = (
         rules.select(F.translate("host", UPPER, LOWER).alias("_rhost"), F.col("path").alias("_rpath"), "verdict")
         .groupBy("_rhost", "_rpath").agg(F.max("verdict").alias("_verdict"))

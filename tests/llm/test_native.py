@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.conftest import rows_of
 
-from quillmill.llm import decontaminate, pii, secrets, urls
+from quillmill.llm import decontaminate, pii, secrets, substring_dedup, suffix_dedup, urls
 
 PRIVATE = [
     None, "", "mail a.b@c.de, x@y or a@b.c%d@e.f and @z.w", "ip 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8 010.000.255.1 256.1.1.1 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111",
@@ -77,7 +77,9 @@ def test_entropy_of_windows(spark):
 
 @pytest.mark.parametrize("scan", [pii.scan_pii, secrets.scan_secrets])
 def test_scans_of_clashing_columns_and_empty_tables(docs, empty, scan):
-    assert scan(docs, keep=["spans", "key"][1:]).columns == ["doc_id", "key", "spans"]
+    assert scan(docs, keep=["key", "words", "key"]).columns == ["doc_id", "key", "words", "spans"]
+    with pytest.raises(ValueError, match="spans"):
+        scan(docs, keep=["Spans", "key"])
     assert scan(docs).count() == docs.count() and scan(empty).count() == 0
 
 
@@ -115,6 +117,43 @@ def test_decontaminate_empty_sides(docs, empty, spark):
     assert none.filter(F.size("hits") > 0).count() == 0 and none.count() == docs.count()
 
 
+def test_names_of_results_are_not_kept(docs, spark):
+    bench = spark.createDataFrame([(1, "some words")], "item_id long, text string")
+    rules = spark.createDataFrame([("a", "", "allow")], "host string, path string, verdict string")
+    for keep, run in [
+        (["hits"], lambda k: decontaminate.contaminated_words(docs.withColumn("hits", F.lit(1)), bench, keep=k)),
+        (["Host"], lambda k: urls.judge_urls(docs.withColumn("host", F.lit(1)), rules, "doc_id", "text", keep=k)),
+        (["kept"], lambda k: suffix_dedup.suffix_dedup(docs, keep=k)),
+        (["kept"], lambda k: substring_dedup.substring_dedup(docs, keep=k)),
+    ]:
+        with pytest.raises(ValueError, match=keep[0].lower()):
+            run(keep)
+
+
+def test_rows_without_ids(spark):
+    """Items without an id make words hit and count as one; pages and documents without one get their results."""
+    bench = spark.createDataFrame([(None, "tiny item"), (None, "other thing"), (3, "tiny item")], "item_id long, text string")
+    docs = spark.createDataFrame([(None, "a tiny item"), (None, "a tiny item"), (7, "tiny item, other thing"), (8, "nothing")], "doc_id long, text string")
+    got = decontaminate.contaminated_words(docs, bench).collect()
+    rows = sorted(((r["doc_id"], len(r["hits"]), sorted(map(str, r["items"]))) for r in got), key=str)
+    assert rows == sorted([(None, 1, ["3", "None"]), (None, 1, ["3", "None"]), (7, 2, ["3", "None"]), (8, 0, [])], key=str)
+    rules = spark.createDataFrame([("a.b", "/x", "block")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(None, "s://a.b/x"), (None, "s://a.b/x"), (None, None)], "page_id long, url string")
+    judged = sorted(r["verdict"] for r in urls.judge_urls(pages, rules).collect())
+    assert judged == sorted(["block", "block", urls.DEFAULT])
+
+
+def test_no_task_gets_the_row_of_every_document_where_joins_are_shuffled(docs, texts, spark, monkeypatch):
+    """The rows that keep documents have keys of their own: the plan compares no null or constant key."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    bench = spark.createDataFrame([(1, " ".join(texts[0][1].split()[5:30]))], "item_id long, text string")
+    many = docs.crossJoin(spark.range(40)).select("doc_id", "text")
+    found = decontaminate.contaminated_words(many, bench)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "null AS fp" not in plan and plan.count("xxhash64(_row") == 1
+    assert found.count() == many.count()
+
+
 def test_shuffled_joins_give_the_same(docs, texts, spark, monkeypatch):
     bench = spark.createDataFrame([(1, " ".join(texts[0][1].split()[5:30]))], "item_id long, text string")
     run = lambda: sorted((r["doc_id"], len(r["hits"])) for r in decontaminate.contaminated_words(docs, bench).collect())
