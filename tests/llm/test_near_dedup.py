@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillmill.llm import near_dedup
+from quillmill.llm import _components, near_dedup
 from quillmill.llm._components import components
 from quillmill.llm._scratch import Scratch
 
@@ -135,7 +135,9 @@ def test_a_very_long_text(spark):
     assert [r[2] for r in found(frame(spark, rows), words=5)] == [1, 1, 3]
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("block", [1_000_000, 10])
+def test_components_of_chains_and_stars(spark, monkeypatch, block):
+    monkeypatch.setattr(_components, "BLOCK_EDGES", block)
     rng = random.Random(1)
     chain = [(i, i + 1) for i in range(100, 160)]
     star = [(500, i) for i in range(501, 560)]
