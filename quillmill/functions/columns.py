@@ -13,6 +13,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def before(text: Column, part: Column) -> Column:
-    """What stands before the first ``part``."""
-    return F.call_function("substring_index", text, part, F.lit(1))
+def before(text: Column | str, part: Column, count: Column | None = None) -> Column:
+    """What stands before the first ``part``, or before the one of that number."""
+    return F.call_function("substring_index", F.col(text) if isinstance(text, str) else text, part, F.lit(1) if count is None else count)

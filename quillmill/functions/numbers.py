@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Letters that are read for 0, 1, 1, 5 and 8.
+MISREAD = "OIlSB"
 _PREFIX = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 
 
@@ -13,8 +15,12 @@ def first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+#: White space, as \s has it.
+SPACE = " \t\n\x0b\f\r"
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def parse_float(text: Column) -> Column:
@@ -30,13 +36,14 @@ def round_half_up(value: Column, digits: int = 0) -> Column:
 def repair_numeric(token: Column) -> Column:
     """Letters that scans put for digits; left alone where letters exceed digits by over two."""
     t = trim(token)
-    digits = F.length(F.regexp_replace(t, "[^0-9]", ""))
-    letters = F.length(F.regexp_replace(t, "[^A-Za-z]", ""))
-    return F.when(letters > digits + 2, t).otherwise(F.translate(t, "OIlSB", "01158"))
+    digits, letters = (F.length(F.regexp_replace(t, kind, "")) for kind in ("[^0-9]", "[^A-Za-z]"))
+    fixed = F.when(letters > digits + 2, t).otherwise(F.translate(t, MISREAD, "01158"))
+    return F.when(token.rlike(f"[{MISREAD}]"), fixed).otherwise(t)
 
 
 def parse_repaired(token: Column) -> Column:
-    return parse_float(repair_numeric(F.replace(token, F.lit(","), F.lit(""))))
+    value = parse_float(repair_numeric(F.replace(token, F.lit(","), F.lit(""))))
+    return F.when(token.rlike(rf"^[\s,]*[+\-.0-9{MISREAD}]"), value)  # else it is no number
 
 
 def to_number(text: Column) -> Column:
