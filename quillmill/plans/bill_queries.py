@@ -383,10 +383,15 @@ def _(spark, d):
     return m.select("bill_id", "bill_meta.bill_no", "bill_meta.job_no", F.size("items").alias("n_items"), "customer.name", "customer.gst_no", *sums)
 
 
-#: Words in the order they were written; a bill has its "No:" alone as "No:", so that its number is labelled by no "No", "No." or "T0".
+#: Words in the order they were written.  "No:" is no label; the "No" of the heading "Sl No" is one where it lies in the top 28 %, in bills of many items.
 _ZONES = WORDS + """,
 an AS (SELECT bill_id, min(CASE WHEN text = 'TOTAL' THEN y0 END) t, max(CASE WHEN text = 'NETTOTAL' THEN y0 END) n,
-  min_by(y0 + 6, word_ix) FILTER (regexp_full_match(text, '[0-9]{2}[A-Z][A-Z0-9]{10,14}')) g FROM ws GROUP BY 1)"""
+  min_by(y0 + 6, word_ix) FILTER (regexp_full_match(text, '[0-9]{2}[A-Z][A-Z0-9]{10,14}')) g FROM ws GROUP BY 1),
+tp AS (SELECT * FROM (SELECT *, max(y1) OVER (PARTITION BY bill_id) + 50 page FROM ws) WHERE y0 < page * 28 / 100),
+ln AS (SELECT bill_id, j, string_agg(text, ' ' ORDER BY word_ix) line FROM tp GROUP BY 1, 2),
+lb AS (SELECT bill_id, word_ix label, beside FROM (SELECT *, lead(word_ix) OVER (PARTITION BY bill_id, j ORDER BY x0) beside FROM tp) JOIN ln USING (bill_id, j)
+  WHERE regexp_full_match(text, '(?i)(No[.]?|T0)') AND beside IS NOT NULL AND NOT regexp_matches(line, '(?i)GST[[:space:]]*No')
+  QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY word_ix) = 1)"""
 
 
 @query(
@@ -394,6 +399,7 @@ an AS (SELECT bill_id, min(CASE WHEN text = 'TOTAL' THEN y0 END) t, max(CASE WHE
     f"WITH {_ZONES} SELECT bill_id, 'customer' AS zone, NULL::bigint row_ix, x0, y0, x1, y1 FROM ws JOIN an USING (bill_id) WHERE y0 + 6 < g - 5 "
     "UNION ALL SELECT bill_id, 'totals', NULL, x0, y0, x1, y1 FROM ws JOIN an USING (bill_id) WHERE y0 >= t - 5 AND y1 <= n + 85 "
     "UNION ALL SELECT bill_id, 'table', j, x0, y0, x1, y1 FROM ws JOIN an USING (bill_id) WHERE y0 + 6 < t - 20 "
+    "UNION ALL SELECT bill_id, 'bill_no', NULL, x0, y0, x1, y1 FROM ws JOIN lb USING (bill_id) WHERE word_ix IN (label, beside) "
     "UNION ALL SELECT -1 - bill_id, 'bill_no', NULL, k * 50.0, 0.0, k * 50.0 + 30, 12.0 FROM b, (VALUES (0), (1)) v(k) "
     "UNION ALL SELECT -1 - bill_id, 'table', 0, k * 50.0, 0.0, k * 50.0 + 30, 12.0 FROM b, (VALUES (0), (1)) v(k)",
 )
