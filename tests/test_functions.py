@@ -191,3 +191,17 @@ def test_the_nearest_word_to_the_right_of_a_label(spark):
     assert number(("No", 100, 50), ("left", 0, 50), ("31", 0, 90)) == "31"
     assert number(("No", 0, 50), ("abc", 40, 50)) is None
     assert number(("no", 0, 50), ("41", 40, 50), ("No.", 0, 80), ("42", 40, 80)) == "41"
+
+
+@pytest.mark.parametrize("raw", [" 1,2I.5x", "\t12 ", "\x0b-S.5\n", ", 7", " , 8", "D12", "ABCS", "O", "", " ", None, "+.5e2z", "1 ", " 1", "l2B kg", "- 5"])
+def test_parse_repaired_equals_its_plain_rule(spark, raw):
+    def rule(t):
+        if t is None:
+            return None
+        t = re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "", t.replace(",", ""))
+        if len(re.sub("[^A-Za-z]", "", t)) <= len(re.sub("[^0-9]", "", t)) + 2:
+            t = t.translate(str.maketrans("OIlSB", "01158"))
+        found = re.match(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", t)
+        return float(found[0]) if found else None
+
+    assert one(spark, N.parse_repaired(F.col("v")), v=raw) == rule(raw)
