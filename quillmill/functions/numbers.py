@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillmill.functions.columns import let
+
 #: Letters that are read for 0, 1, 1, 5 and 8.
 MISREAD = "OIlSB"
-_PREFIX = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
+_PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def first(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match; null without a match or if the group is empty."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return let(F.regexp_extract(text, pattern, group), lambda v: F.when(v != "", v))  # nullif would match twice
 
 
 #: White space, as \s has it.
@@ -25,7 +27,7 @@ def trim(text: Column) -> Column:
 
 def parse_float(text: Column) -> Column:
     """The longest numeric prefix as a double, else null ('125.5x' is 125.5)."""
-    return trim(F.regexp_substr(text, F.lit(_PREFIX))).try_cast("double")
+    return F.regexp_extract(text, _PREFIX, 1).try_cast("double")
 
 
 def round_half_up(value: Column, digits: int = 0) -> Column:
@@ -42,8 +44,9 @@ def repair_numeric(token: Column) -> Column:
 
 
 def parse_repaired(token: Column) -> Column:
+    plain = token.rlike(r"^[0-9]+\.?[0-9]*\z")
     value = parse_float(repair_numeric(F.replace(token, F.lit(","), F.lit(""))))
-    return F.when(token.rlike(rf"^[\s,]*[+\-.0-9{MISREAD}]"), value)  # else it is no number
+    return F.when(plain, token.try_cast("double")).when(token.rlike(rf"^[\s,]*[+\-.0-9{MISREAD}]"), value)  # else it is no number
 
 
 def to_number(text: Column) -> Column:

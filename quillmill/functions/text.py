@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,24 +13,37 @@ from pyspark.sql import functions as F
 from quillmill.functions.columns import let
 from quillmill.functions.numbers import first, round_half_up, trim
 
-# Misread words and what they stand for, in order.
-REPAIRS = ((r"(?i)\bT0TAL\b", "TOTAL"), (r"(?i)\bGST\s*N0\b", "GST No"), (r"(?i)\bGSTNO\b", "GST No"), (r"\bNo\.", "No:"), (r"(?i)\bG5T\b", "GST"))
+# Misread words, what they stand for, and two letters that each of them has (in either case), in order.
+REPAIRS = (
+    (r"(?i)\bT0TAL\b", "TOTAL", "0T"), (r"(?i)\bGST\s*N0\b", "GST No", "N0"), (r"(?i)\bGSTNO\b", "GST No", "TN"), (r"\bNo\.", "No:", "o."),
+    (r"(?i)\bG5T\b", "GST", "5T"),
+)
 FLAT_REPAIRS = (
-    (r"(?i)\bT0TAL\b", "TOTAL"), (r"(?i)\bTOIAL\b", "TOTAL"), (r"(?i)\bTDTAL\b", "TOTAL"), (r"(?i)\bGST\s*N0\b", "GST No"),
-    (r"(?i)\bGSTNO\b", "GST No"), (r"(?i)\bG5T\b", "GST"), (r"\bNo\.", "No:"),
+    (r"(?i)\bT0TAL\b", "TOTAL", "0T"), (r"(?i)\bTOIAL\b", "TOTAL", "OI"), (r"(?i)\bTDTAL\b", "TOTAL", "TD"), (r"(?i)\bGST\s*N0\b", "GST No", "N0"),
+    (r"(?i)\bGSTNO\b", "GST No", "TN"), (r"(?i)\bG5T\b", "GST", "5T"), (r"\bNo\.", "No:", "o."),
 )
 
 
-def _repair(text: Column, repairs: Sequence[tuple[str, str]]) -> Column:
-    for pattern, own in repairs:
-        text = F.regexp_replace(text, pattern, own)
+def _repaired(text: Column, pattern: str, own: str, pair: str) -> Column:
+    cases = {a + b for a in (pair[0].upper(), pair[0].lower()) for b in (pair[1].upper(), pair[1].lower())}
+    may = reduce(or_, [F.contains(text, F.lit(c)) for c in sorted(cases)])
+    return F.when(may, F.regexp_replace(text, pattern, own)).otherwise(text)
+
+
+def _repair(text: Column, repairs: Sequence[tuple[str, str, str]]) -> Column:
+    """Patterns are looked for only in texts that have their two letters."""
+    for repair in repairs:
+        text = let(text, lambda t: _repaired(t, *repair))
     return text
 
 
+def _one_space(text: Column) -> Column:
+    return let(text, lambda t: F.when(F.contains(t, F.lit("  ")), F.regexp_replace(t, " +", " ")).otherwise(t))
+
+
 def normalize_lines(text: Column) -> Column:
     """Runs of spaces become one, line breaks stay, misread labels are repaired."""
-    t = trim(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")), " +", " "))
-    return _repair(t, REPAIRS)
+    return _repair(trim(_one_space(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")))), REPAIRS)
 
 
 def normalize_flat(text: Column) -> Column:
@@ -61,13 +77,30 @@ def top_part(text: Column, percent: float) -> Column:
     return F.substring(text, F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(text) * (percent / 100.0))).cast("int"))
 
 
+def spelt(pattern: str, whole: bool = True, exact: bool = False) -> str:
+    """A pattern for what is ``pattern`` in capitals and without white space; the dotless i has the capital I.
+
+    whole: from the first to the last character; exact: as it is written, not in either case.
+    """
+    def letter(m: re.Match) -> str:
+        own = m[0].removesuffix("?").strip("[]")
+        if not exact:
+            own = "".join(c + c.lower() + ("\u0131" if c == "I" else "") if c.isalpha() else c for c in own)
+        return rf"(?:[{own}]\s*)" + ("?" if m[0].endswith("?") else "")
+
+    own = "(?:" + re.sub(r"(?:\[[^]]*\]|[A-Z])\??", letter, pattern) + ")"
+    return rf"^\s*{own}\z" if whole else own
+
+
+TOTAL, NET_TOTAL = spelt("T[O0D]?TAL|TOIAL"), spelt("NETT[O0D]?TAL")
+
+
 def is_total(word: Column) -> Column:
-    t = F.regexp_replace(F.upper(F.coalesce(word, F.lit(""))), r"\s", "")
-    return t.rlike(r"^(?:T[O0D]?TAL|TOIAL)\z")
+    return F.coalesce(word, F.lit("")).rlike(TOTAL)
 
 
 def is_net_total(word: Column) -> Column:
-    return F.regexp_replace(F.upper(F.coalesce(word, F.lit(""))), r"\s", "").rlike(r"^NETT[O0D]?TAL\z")
+    return F.coalesce(word, F.lit("")).rlike(NET_TOTAL)
 
 
 def iso_date(date: Column) -> Column:

@@ -16,9 +16,9 @@ TEMPLATE, UNKNOWN = "NEW_GOOD_NITS", "UNKNOWN"
 
 
 def detect_template(text: Column) -> Column:
-    up = F.upper(F.coalesce(text, F.lit("")))
-    hit = F.contains(up, F.lit("NEW")) & F.contains(up, F.lit("GOOD")) & F.contains(up, F.lit("NITS"))
-    return F.when(hit, TEMPLATE).otherwise(UNKNOWN)
+    hit = lambda up: F.contains(up, F.lit("NEW")) & F.contains(up, F.lit("GOOD")) & F.contains(up, F.lit("NITS"))
+    own = F.coalesce(text, F.lit(""))
+    return F.when(hit(own), TEMPLATE).when(let(F.upper(own), hit), TEMPLATE).otherwise(UNKNOWN)
 
 
 def _lines(text: Column) -> Column:

@@ -50,6 +50,15 @@ def row_backward(line: Column, tokens: Column) -> Column:
     return let(lead, item)
 
 
+def _first_line(text: Column, pattern: str) -> Column:
+    """The number of the first line with a match, found in the whole text, where the search ends at the first one; null without."""
+    def line(at: Column) -> Column:
+        above = F.substring(text, F.lit(1), at - 1)
+        return F.when(at > 0, F.length(above) - F.length(F.replace(above, F.lit("\n"), F.lit(""))))
+
+    return let(F.regexp_instr(text, F.lit(pattern.replace(r"\s", r"[^\S\n]"))), line)
+
+
 def with_items(bills: DataFrame, text_col: str = "text", name: str = "items") -> DataFrame:
     """bills with ``name``: an array of line items (line_ix, sl_no, ..., amount), null if there is none.
 
@@ -57,7 +66,7 @@ def with_items(bills: DataFrame, text_col: str = "text", name: str = "items") ->
     without any there is read again from its first line.
     """
     lines = F.transform(F.split(F.col(text_col), "\n", -1), lambda l, i: F.struct(i.alias("i"), trim(l).alias("l")))
-    at = lambda pattern: F.get(F.filter("_l", lambda x: x["l"].rlike(pattern)), F.lit(0))["i"]
+    at = lambda pattern: _first_line(F.col(text_col), pattern)
     of = bills.withColumn("_l", lines).withColumn("_t_ix", F.coalesce(at(TOTAL_LINE), F.size("_l"))).withColumn("_h_ix", at(HEADER_LINE))
 
     def rows_from(start: Column) -> Column:

@@ -21,12 +21,15 @@ TO = r"(?:To|T0|T\s*o|7o)\.?\s*"
 
 
 def detect_template(text: Column) -> Column:
-    up = F.upper(F.coalesce(text, F.lit("")))
-    has = lambda w: F.contains(up, F.lit(w))
-    hit = (has("NEW") & has("GOOD") & has("NITS")) | (has("KNITTING") & has("INVOICE") & (has("GOOD") | has("NEW"))) | (
-        has("GOOD") & has("NITS") & has("TIRUPUR")
-    )
-    return F.when(hit, F.lit(TEMPLATE))
+    def hit(up: Column) -> Column:
+        has = lambda w: F.contains(up, F.lit(w))
+        return (has("NEW") & has("GOOD") & has("NITS")) | (has("KNITTING") & has("INVOICE") & (has("GOOD") | has("NEW"))) | (
+            has("GOOD") & has("NITS") & has("TIRUPUR")
+        )
+
+    # What is in capitals stays so; only other texts have to be turned into capitals, once.
+    own = F.coalesce(text, F.lit(""))
+    return F.when(hit(own), F.lit(TEMPLATE)).when(let(F.upper(own), hit), F.lit(TEMPLATE))
 
 
 def _lines(text: Column) -> Column:
@@ -39,9 +42,13 @@ def _without(lines: Column, line: Column) -> Column:
 
 def customer(text: Column) -> Column:
     """struct(name, address, gst_no, state); null if there is no customer.  Expects normalized text."""
-    full = trim(F.coalesce(text, F.lit("")))
+    return let(text, lambda t: let(trim(F.coalesce(t, F.lit(""))), lambda full: let(
+        F.regexp_extract_all(full, F.lit(GST_NO), F.lit(1)), lambda gsts: _customer(t, full, gsts)
+    )))
+
+
+def _customer(text: Column, full: Column, gsts: Column) -> Column:
     bleed = full.rlike(BLEED)
-    gsts = F.regexp_extract_all(full, F.lit(GST_NO), F.lit(1))
     one, seller = F.get(gsts, F.lit(0)), F.get(gsts, F.lit(0)).rlike(SELLER)
 
     def record(name: Column, address: Column, gst: Column, state: Column) -> Column:
@@ -59,7 +66,8 @@ def customer(text: Column) -> Column:
     state_re = r"(?i)STATE\s*[:\-]?\s*[^,\n]*\s*\((\d+)\)|Tamil\s*Nadu\s*\((\d+)\)|\((\d+)\)"
     named = lambda lines: F.get(F.filter(lines, lambda l: l.rlike("[A-Z]{2,}") & (F.length(l) <= 60) & ~l.rlike(r"TIN|PAN|GSTIN|^\d") & ~l.rlike(r"(?i)^M/s\s*\z")), F.lit(0))
     trade = lambda lines: F.get(F.filter(lines, lambda l: l.rlike(r"(?i)GARMENTS|TEXTILES|TRADERS|PVT|LTD|CO\.")), F.lit(0))
-    state1 = F.coalesce(*[first(full, state_re, i) for i in (1, 2, 3)])
+    # A match of any of the three ends with its number in brackets.
+    state1 = F.when(F.contains(full, F.lit("(")), first(F.regexp_extract(full, state_re, 0), r"\((\d+)\)\z"))
     case1 = let(lines, lambda ls: let(named(ls), lambda name: record(
         F.coalesce(name, trade(ls), F.get(ls, F.lit(0))), F.when(name.isNull(), F.array_join(ls, ", ")).otherwise(_without(ls, name)), theirs, state1
     )))
@@ -115,13 +123,15 @@ def bill_meta(text: Column) -> Column:
 
 def totals(text: Column) -> Column:
     """struct(subtotal, cgst, sgst, rounded_off, net_total) of strings; labels first, then sizes of the numbers."""
-    start = F.regexp_instr(text, F.lit(r"(?i)T[O0D]TAL|TOTAL"))
-    net = F.regexp_instr(text, F.lit(r"(?i)NET\s*T[O0D]?TAL"))
-    block = (
-        F.when((start > 0) & (net > start), F.substring(text, start, net + 120 - start))
-        .when(start > 0, F.substring(text, start, F.lit(800))).otherwise(F.lit(""))
-    )
-    block = F.when(net > 0, F.concat(block, F.lit("\n"), F.substring(text, net, F.lit(80)))).otherwise(block)
+    def around(start: Column, net: Column) -> Column:
+        block = (
+            F.when((start > 0) & (net > start), F.substring(text, start, net + 120 - start))
+            .when(start > 0, F.substring(text, start, F.lit(800))).otherwise(F.lit(""))
+        )
+        return F.when(net > 0, F.concat(block, F.lit("\n"), F.substring(text, net, F.lit(80)))).otherwise(block)
+
+    at = lambda pattern: F.regexp_instr(text, F.lit(pattern))
+    block = let(at(r"(?i)T[O0D]TAL|TOTAL"), lambda start: let(at(r"(?i)NET\s*T[O0D]?TAL"), lambda net: around(start, net)))
     tax = lambda w: (
         r"(?i)" + w + r"\s*2\.?5%?\s*[:\-]?\s*[\d.]+\s+([\d,.]+)|" + w + r"\s*2\.?5%?\s*[:\-]?\s*([\d,.]+)"
     )
