@@ -25,7 +25,10 @@ DEFAULTS = {"customer": 0.18, "total": 0.75, "netTotal": 0.88}
 
 def anchors(words: DataFrame, id_col: str = "bill_id") -> DataFrame:
     """(id, anchor, x, y): the last word that marks each anchor, the first for the bill number."""
-    t = F.upper(F.trim("text"))
+    # Only words that can mark an anchor are turned into capitals and grouped; long s and its ligatures have the capital S.
+    words = words.filter(F.col("text").rlike("[Nn][EeOo]|[Tt][Oo]|[Gg][Ss\u017f\ufb05\ufb06]"))
+    words = words.select(id_col, "word_ix", "x0", "y0", F.upper(F.trim("text")).alias("_t"))
+    t = F.col("_t")
     has = lambda w: F.contains(t, F.lit(w))
     rules = {
         "company": has("NEW") & (has("GOOD") | has("NITS")), "gstin": t == "GSTIN", "customer": t == "TO",
