@@ -309,7 +309,7 @@ def _(spark, d):
 @query("first_table", f"WITH {BILLS} SELECT bill_id, source::int source, count(*) n FROM (SELECT bill_id, 0 source FROM li UNION ALL SELECT -1 - l_orderkey, 1 FROM lineitem) GROUP BY 1, 2")
 def _(spark, d):
     text = R.bills_text(spark, d)
-    smart = spatial.table_rows_by_column(spatial.normalize_words(R.bills_words(spark, d))).select("bill_id", "amount")
+    smart = spatial.table_rows_by_column(spatial.normalize_words(R.bills_pages(spark, d))).select("bill_id", "amount")
     lines = R.rendered_lines(spark, d).select((-1 - F.col("bill_id")).alias("bill_id"), F.col("amount").cast("double"))
     plain = tables.table_rows(text).select("bill_id", "amount").union(lines)
     return region.first_table(smart, plain).groupBy("bill_id", "source").agg(F.count("*").alias("n"))
@@ -328,18 +328,17 @@ def _(spark, d):
 
 @query("word_rows_cluster", f"WITH {WORDS} SELECT bill_id, word_ix::int word_ix, j::bigint row_ix FROM ws")
 def _(spark, d):
-    words = spatial.tolerances(spatial.normalize_words(R.bills_words(spark, d)))
-    return spatial.cluster_rows(words, F.col("row_tol")).select("bill_id", "word_ix", "row_ix")
+    return spatial.word_rows(spatial.normalize_words(R.bills_pages(spark, d)))
 
 
 @query("spatial_table_rows", f"WITH {LINES} SELECT bill_id, {_ITEM} FROM li")
 def _(spark, d):
-    return spatial.table_rows(spatial.normalize_words(R.bills_words(spark, d))).drop("row_ix")
+    return spatial.table_rows(spatial.normalize_words(R.bills_pages(spark, d))).drop("row_ix")
 
 
 @query("spatial_rows_plain", f"WITH {LINES} SELECT bill_id, qty::double weight, price::double rate, amount::double amount FROM li")
 def _(spark, d):
-    rows = spatial.table_rows_plain(spatial.normalize_words(R.bills_words(spark, d))).drop("row_ix")
+    rows = spatial.table_rows_plain(spatial.normalize_words(R.bills_pages(spark, d))).drop("row_ix")
     return rows.join(R.rendered_lines(spark, d).select("bill_id").distinct(), "bill_id", "left_semi")
 
 
@@ -358,18 +357,18 @@ def _numbers_of(*names: str) -> list:
 
 @query("spatial_totals", f"WITH {_SUMS} SELECT bill_id, net_total, subtotal, cgst, sgst FROM sums")
 def _(spark, d):
-    t = spatial.totals(spatial.normalize_words(R.bills_words(spark, d)))
+    t = spatial.totals(spatial.normalize_words(R.bills_pages(spark, d)))
     return t.select("bill_id", *_numbers_of("net_total", "subtotal", "cgst", "sgst"))
 
 
 @query("spatial_bill_no", f"WITH {WORDS} SELECT bill_id, coalesce(min(w2.text), NULL) bill_no FROM (SELECT bill_id, min_by(text, word_ix) text FROM (SELECT bill_id, word_ix, text, y0, max(y1) OVER (PARTITION BY bill_id) + 50 page FROM ws) WHERE y0 < page * 28 / 100 AND regexp_full_match(text, '\\d{{1,6}}') GROUP BY 1) w2 GROUP BY 1")
 def _(spark, d):
-    return spatial.bill_numbers(spatial.normalize_words(R.bills_words(spark, d))).filter("bill_no IS NOT NULL")
+    return spatial.bill_numbers(spatial.normalize_words(R.bills_pages(spark, d))).filter("bill_no IS NOT NULL")
 
 
 @query("spatial_customer", f"WITH {BILLS} SELECT bill_id, 'NEW GOOD NITS' AS name, '' AS address, '33AAFFN1234A1Z5' gst_no FROM b")
 def _(spark, d):
-    return spatial.customers(spatial.normalize_words(R.bills_words(spark, d))).select("bill_id", "name", "address", "gst_no")
+    return spatial.customers(spatial.normalize_words(R.bills_pages(spark, d))).select("bill_id", "name", "address", "gst_no")
 
 
 @query(
@@ -378,7 +377,7 @@ def _(spark, d):
     "sums.cgst, sums.sgst, NULL::double rounded_off FROM b JOIN sums USING (bill_id)",
 )
 def _(spark, d):
-    m = spatial.merge(template.parse_bills(R.bills_text(spark, d)), R.bills_words(spark, d))
+    m = spatial.merge(template.parse_bills(R.bills_text(spark, d)), R.bills_pages(spark, d))
     sums = _numbers_of(*[f"totals.{c}" for c in ("net_total", "subtotal", "cgst", "sgst", "rounded_off")])
     return m.select("bill_id", "bill_meta.bill_no", "bill_meta.job_no", F.size("items").alias("n_items"), "customer.name", "customer.gst_no", *sums)
 

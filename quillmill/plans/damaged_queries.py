@@ -171,7 +171,7 @@ def _(spark, d):
 
 @query("first_table_rows", f"WITH {BILLS} SELECT bill_id, 0 source, amount::double amount FROM li UNION ALL SELECT -1 - l_orderkey, 1, l_extendedprice::decimal(18,2)::double FROM lineitem")
 def _(spark, d):
-    smart = spatial.table_rows_by_column(spatial.normalize_words(R.bills_words(spark, d))).select("bill_id", "amount")
+    smart = spatial.table_rows_by_column(spatial.normalize_words(R.bills_pages(spark, d))).select("bill_id", "amount")
     lines = R.rendered_lines(spark, d).select((-1 - F.col("bill_id")).alias("bill_id"), F.col("amount").cast("double"))
     plain = tables.table_rows(R.bills_text(spark, d)).select("bill_id", "amount").union(lines)
     return region.first_table(smart, plain).select("bill_id", "source", F.round("amount", 2).alias("amount"))
