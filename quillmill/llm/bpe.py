@@ -7,6 +7,10 @@ prefixes, and the numbers on a word's transitions add up to its place in the
 table of outputs.  The file goes to the executors by ``addFile`` and is
 memory-mapped there.  Words that it lacks are merged exactly.
 
+Texts are cut before single spaces that end a word, which are always a boundary of
+the split; the pieces are counted and kept by a task, and only pieces that it does
+not know are split.  Their words walk the automaton, and are merged, all at once.
+
 Defined results: a null text is empty and has no ids; the special token's string
 in a text is that token; repeated rows each get a row; an empty table gives an
 empty result (and an empty lexicon); further columns are ignored unless in
@@ -42,14 +46,14 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 #: The same split for texts without a character from here on, in the faster module.
 LATIN_END = 0x250
 LEXICON_WORDS = 200_000
-#: Words kept by a Python worker (twice so many at most), words counted before they are summed up,
+#: Pieces kept by a Python worker (twice so many at most), pieces counted before they are summed up,
 #: and the longest that are kept or counted: together they bound the bytes held.
-CACHE_WORDS = 220_000
-COUNT_WORDS = 120_000
+CACHE_PIECES = 220_000
+COUNT_WORDS = 160_000
 CACHE_CHARS = 64
-#: Beginnings of words, of so many bytes, whose states a lexicon remembers.
-BEGIN_BYTES = 4
-BEGINNINGS = 50_000
+#: Bytes of the longest words that are merged many at once, and how many.
+SHORT_BYTES = 256
+TOGETHER = 4096
 #: Documents whose ids leave a task at once.
 ROWS = 256
 
@@ -68,6 +72,26 @@ def splitter() -> Callable[[str], list[str]]:
     return lambda text: full(text) if beyond(text) else fast(text)
 
 
+#: Where a cut before a single space would part a run of white space; \s has all of White_Space, and some more.
+_RUNS = re.compile(r"\s (?:\s|\Z)").search
+
+
+def pieces(text: str, split: Callable[[str], list[str]]) -> list[str]:
+    """The text in pieces whose words are those of the text: one that begins with a space is what follows it, others have a space before them.
+
+    No match of PATTERN has a space behind another character that is none, so such spaces begin one.
+    """
+    if _RUNS(text):
+        return [" " + w for w in split(text)]
+    out = text.split(" ")
+    out[0] = " " + out[0]
+    return out
+
+
+def unpieced(piece: str) -> str:
+    return piece[1:] if piece[:1] == " " else " " + piece
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, others from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -98,6 +122,12 @@ class Vocabulary:
             self.merges[ids[a], ids[b]] = (rank, ids[a + b])
         self.made = [new for _, new in self.merges.values()]
         self.none = (len(self.made), -1)
+        # The same for many pairs at once: pairs as sorted numbers, with their ranks and ids.
+        pairs = np.array([a << 32 | b for a, b in self.merges] or [-1], np.int64)
+        order = np.argsort(pairs)
+        self.pair = pairs[order]
+        self.rank = np.array([r for r, _ in self.merges.values()] or [len(self.made)], np.int64)[order]
+        self.new = np.array(self.made or [-1], np.int64)[order]
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word: always the merge of least rank, the leftmost of equals."""
@@ -135,8 +165,58 @@ class Vocabulary:
                     heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
         return [i for i in ids if i >= 0]
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the merge of each pair; the rank of none is the number of merges."""
+        pair = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+        known = self.pair[at] == pair
+        return np.where(known, self.rank[at], len(self.made)), self.new[at]
+
+    def merge_all(self, words: Sequence[bytes]) -> list[bytes]:
+        """Ids of each word as ``merge`` gives them, packed: in each round every word that is not done has one merge."""
+        out: list[bytes] = [b""] * len(words)
+        for k, word in enumerate(words):
+            if len(word) > SHORT_BYTES:
+                out[k] = np.array(self.merge(word), "<u4").tobytes()
+        own = [k for k, word in enumerate(words) if 0 < len(word) <= SHORT_BYTES]
+        for first in range(0, len(own), TOGETHER):
+            self._merge_some(words, own[first : first + TOGETHER], out)
+        return out
 
-_BYTE = [bytes([b]) for b in range(256)]
+    def _merge_some(self, words: Sequence[bytes], own: list[int], out: list[bytes]) -> None:
+        none, done = len(self.made), []
+        ids = np.array(self.byte, np.int64)[np.frombuffer(b"".join([words[k] for k in own]), np.uint8)]
+        word = np.repeat(np.array(own, np.int64), [len(words[k]) for k in own])
+        rank, new = np.full(len(ids), none), np.full(len(ids), -1)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        rank[inner], new[inner] = self._ranks(ids[inner], ids[inner + 1])
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            size = np.diff(np.append(first, len(ids)))
+            least = np.minimum.reduceat(rank, first)
+            over = np.repeat(least == none, size)
+            if over.any():
+                done.append((word[over], ids[over]))
+                word, ids, rank, new = word[~over], ids[~over], rank[~over], new[~over]
+                size, least = size[least < none], least[least < none]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == np.repeat(least, size))
+            at = at[np.concatenate([[True], word[at[1:]] != word[at[:-1]]])]  # the leftmost of equals
+            ids[at] = new[at]
+            stays = np.ones(len(ids), bool)
+            stays[at + 1] = False
+            at -= np.arange(len(at))
+            word, ids, rank, new = word[stays], ids[stays], rank[stays], new[stays]
+            rank[at] = none
+            changed = np.concatenate([at[at > 0] - 1, at[at < len(ids) - 1]])
+            changed = changed[word[changed] == word[changed + 1]]
+            rank[changed], new[changed] = self._ranks(ids[changed], ids[changed + 1])
+        for word, ids in done:
+            cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            packed = ids.astype("<u4").tobytes()
+            for k, a, b in zip(word[cut].tolist(), (4 * cut).tolist(), [*(4 * cut[1:]).tolist(), len(packed)]):
+                out[k] = packed[a:b]
 
 
 class Lexicon:
@@ -221,44 +301,50 @@ class Lexicon:
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         states, moves, self.words, n_ids, _ = self.HEAD.unpack_from(self.map)
-        view, off, parts = memoryview(self.map), self.HEAD.size, []
+        off, parts = self.HEAD.size, []
         for n in (states + 1, moves, moves, self.words + 1, n_ids):
-            parts.append(view[off : off + 4 * n].cast("i"))
+            parts.append(np.frombuffer(self.map, "<i4", n, off))
             off += 4 * n
         self.first, self.target, self.skip, self.at, self.ids = parts
-        self.final, self.labels, self.states = off, off + states, states
-        self.begun: dict[bytes, tuple[int, int]] = {}
-
-    def walk(self, part: bytes, state: int, number: int) -> tuple[int, int]:
-        """State and word number after the bytes of part; state -1 if no word goes on so."""
-        find, labels, first, skip, target = self.map.find, self.labels, self.first, self.skip, self.target
-        for b in part:
-            k = find(_BYTE[b], labels + first[state], labels + first[state + 1]) - labels
-            if k < 0:
-                return -1, 0
-            number += skip[k]
-            state = target[k]
-        return state, number
+        self.states, self.id_bytes = states, off - 4 * n_ids
+        self.final, labels = (np.frombuffer(self.map, np.uint8, n, at) for n, at in ((states, off), (moves, off + states)))
+        # A move's key: state and byte; moves are sorted by both.
+        self.key = np.repeat(np.arange(states), np.diff(self.first)) << 8 | labels
+
+    def find(self, words: Sequence[bytes]) -> np.ndarray:
+        """Each word's number, -1 where there is none: all words walk from state to state at once."""
+        size = np.array([len(w) for w in words], np.int64)
+        begin, raw = np.cumsum(size) - size, np.frombuffer(b"".join(words), np.uint8)
+        state, number = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        on, depth = np.flatnonzero(size), 0
+        while len(on):
+            key = state[on] << 8 | raw[begin[on] + depth]
+            move = np.searchsorted(self.key, key)
+            goes = move < len(self.key)
+            goes[goes] = self.key[move[goes]] == key[goes]
+            state[on[~goes]] = -1
+            on, move = on[goes], move[goes]
+            state[on] = self.target[move]
+            number[on] += self.skip[move]
+            depth += 1
+            on = on[size[on] > depth]
+        ends = (state >= 0) & (self.final[state] > 0)
+        return np.where(ends, number, -1)
+
+    def packed_ids(self, numbers: np.ndarray) -> list[bytes]:
+        """Ids of the words of these numbers, as little-endian 32-bit integers."""
+        begin, end = (self.id_bytes + 4 * self.at[numbers + k].astype(np.int64) for k in (0, 1))
+        return [self.map[a:b] for a, b in zip(begin.tolist(), end.tolist())]
 
     def get(self, word: bytes) -> list[int] | None:
-        begin = word[:BEGIN_BYTES]
-        known = self.begun.get(begin)
-        if known is None:
-            known = self.walk(begin, 0, 0)
-            if len(self.begun) < BEGINNINGS:
-                self.begun[begin] = known
-        state, number = known
-        if state >= 0:
-            state, number = self.walk(word[BEGIN_BYTES:], state, number)
-        if state < 0 or not self.map[self.final + state]:
-            return None
-        return self.ids[self.at[number] : self.at[number + 1]].tolist()
+        number = int(self.find([word])[0])
+        return None if number < 0 else self.ids[self.at[number] : self.at[number + 1]].tolist()
 
 
 class Encoder(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers; a bounded cache before the lexicon.
+    """Piece -> its ids as little-endian unsigned 32-bit integers; a bounded cache before the lexicon.
 
-    When the cache is full it becomes the older half, and words met again move to the new one.
+    When the cache is full it becomes the older half, and pieces met again move to the new one.
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
@@ -266,27 +352,50 @@ class Encoder(dict):
         self.vocabulary, self.lexicon, self.split, self.older = vocabulary, lexicon, splitter(), {}
         self.cut = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")").split
 
-    def __missing__(self, word: str) -> bytes:
-        out = self.older.get(word)
-        if out is None:
-            raw = word.encode()
-            ids = self.lexicon.get(raw) if self.lexicon else None
-            if ids is None:
-                ids = self.vocabulary.merge(raw)
-            out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= CACHE_CHARS:
-            if len(self) >= CACHE_WORDS:
-                self.older = dict(self)
-                self.clear()
-            self[word] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
+    def words(self, words: Sequence[str]) -> list[bytes]:
+        raw = [w.encode() for w in words]
+        number = self.lexicon.find(raw) if self.lexicon else np.full(len(raw), -1)
+        merged = iter(self.vocabulary.merge_all([raw[k] for k in np.flatnonzero(number < 0).tolist()]))
+        found = iter(self.lexicon.packed_ids(number[number >= 0]) if self.lexicon else ())
+        return [next(merged) if n < 0 else next(found) for n in number.tolist()]
+
+    def learn(self, used: set[str]) -> list[str]:
+        """Put the ids of the pieces into the cache; returns those too long to stay."""
+        if len(self) >= CACHE_PIECES:
+            self.older = dict(self)
+            self.clear()
+        new = used.difference(self)
+        known = self.older.keys() & new
+        for piece in known:
+            self[piece] = self.older[piece]
+        new -= known
+        whole = [piece for piece in new if piece.isascii() and piece.isalpha()]  # a space and letters: one word
+        new.difference_update(whole)
+        others = list(new)
+        words = [self.split(unpieced(piece)) for piece in others]
+        each = list(set().union(*words))
+        packed = self.words([*[" " + piece for piece in whole], *each])
+        self.update(zip(whole, packed))
+        known = dict(zip(each, packed[len(whole) :]))
+        self.update((piece, b"".join([known[w] for w in own])) for piece, own in zip(others, words))
+        return [piece for some in (whole, others) for piece in some if len(piece) > CACHE_CHARS]
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Packed ids of each text; a text that is none has no ids."""
         special = self.vocabulary.special
-        if not any(s in text for s in special):
-            return b"".join(map(self.__getitem__, self.split(text)))
-        parts = self.cut(text)
-        return b"".join(struct.pack("<I", special[p]) if p in special else b"".join(map(self.__getitem__, self.split(p))) for p in parts)
+        parts = []
+        for k, text in enumerate(texts):
+            if isinstance(text, str):
+                cut = self.cut(text) if any(s in text for s in special) else [text]
+                parts += [(k, part, None if part in special else pieces(part, self.split)) for part in cut]
+        used: set[str] = set().union(*[own for _, _, own in parts if own])
+        long = self.learn(used)
+        out: list[bytes] = [b""] * len(texts)
+        for k, part, own in parts:
+            out[k] += struct.pack("<I", special[part]) if own is None else b"".join(map(self.__getitem__, own))
+        for piece in long:
+            del self[piece]
+        return out
 
     def decode(self, packed: bytes) -> bytes:
         raw = b"".join(map(self.vocabulary.token.__getitem__, memoryview(packed).cast("I")))
@@ -309,12 +418,22 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         split, seen = splitter(), Counter()
 
         def out() -> pd.DataFrame:
-            return pd.DataFrame(dict(word=list(seen), n=list(seen.values())))
+            n: dict[str, int] = {}
+            for piece, times in seen.items():
+                for w in [" " + piece] if piece.isascii() and piece.isalpha() else split(unpieced(piece)):
+                    n[w] = n.get(w, 0) + times
+            words = [w for w in n if len(w) <= CACHE_CHARS]
+            return pd.DataFrame(dict(word=pd.Series(words, dtype=object), n=np.array([n[w] for w in words], np.int64)))
 
         for pdf in batches:
             for text in pdf["text"]:
                 if isinstance(text, str):
-                    seen.update(w for w in split(text) if len(w) <= CACHE_CHARS)
+                    own = pieces(text, split)
+                    if max(map(len, own)) > CACHE_CHARS:
+                        long = [w for piece in own if len(piece) > CACHE_CHARS for w in split(unpieced(piece))]
+                        seen.update(" " + w for w in long if len(w) <= CACHE_CHARS)
+                        own = [piece for piece in own if len(piece) <= CACHE_CHARS]
+                    seen.update(own)
                 if len(seen) >= COUNT_WORDS:
                     yield out()
                     seen.clear()
@@ -345,7 +464,8 @@ def frequent_words(docs: DataFrame, text_col: str = "text", words: int = LEXICON
 def build_lexicon(spark: SparkSession, vocabulary: Vocabulary, words: Iterable[str]) -> str:
     """Compile into the shared folder, and hand to the executors; returns the name for SparkFiles."""
     name = f"quillmill-{uuid.uuid4().hex}.lexicon"
-    raw = Lexicon.packed((w.encode(), vocabulary.merge(w.encode())) for w in words)
+    raw = [w.encode() for w in words]
+    raw = Lexicon.packed((w, np.frombuffer(ids, "<u4").tolist()) for w, ids in zip(raw, vocabulary.merge_all(raw)))
     spark.sparkContext.addFile(Scratch(spark, "bpe").put_file(raw, name))
     return name
 
@@ -379,12 +499,17 @@ def encode_documents(
         decoded_sha256=lambda packed, back, text: hashlib.sha256(back).hexdigest(),
     )
 
+    def coded_rows(coder: Encoder, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
+        for pdf in batches:
+            packed = coder.encode_all(pdf["text"].tolist())
+            for at in range(0, len(pdf), ROWS):
+                yield pdf.iloc[at : at + ROWS], packed[at : at + ROWS]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = _encoder(tokenizer, name)
-        for pdf in (batch.iloc[at : at + ROWS] for batch in batches for at in range(0, len(batch), ROWS)):
+        for pdf, coded in coded_rows(coder, batches):
             n, got = [], [[] for _ in results]
-            for text in pdf["text"]:
-                packed = coder.encode(text) if isinstance(text, str) else b""
+            for text, packed in zip(pdf["text"], coded):
                 back = coder.decode(packed)
                 n.append(len(packed) // 4)
                 for values, r in zip(got, results):

@@ -68,6 +68,26 @@ def test_pretokens_split_as_the_library_does(library):
         assert [i for w in split(text) for i in own.merge(w.encode())] == library.encode(text, add_special_tokens=False).ids
 
 
+def test_only_new_pieces_are_split_and_words_are_merged_together(library, monkeypatch):
+    rng = random.Random(6)
+    marks = ["a", "b", " ", " ", " ", "\n", "\t", "'s", "\u00a0", "\x1c", "\u3000", "1", "½", "é", "日", "🙂", ".", "<|endoftext|>", "x" * 70, "é" * 40]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(2000)]
+    split, own = bpe.splitter(), bpe.Vocabulary(bpe.tokenizer_path())
+    words = sorted({w for t in texts for w in split(t)})
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.merge_all([w.encode() for w in words])] == [own.merge(w.encode()) for w in words]
+    assert all([w for piece in bpe.pieces(t, split) for w in split(bpe.unpieced(piece))] == split(t) for t in texts)
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 100)
+    coder = bpe.Encoder(own, None)
+    got = [ids for k in range(0, len(texts), 50) for ids in coder.encode_all(texts[k : k + 50])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [r.ids for r in library.encode_batch(texts, add_special_tokens=False)]
+    assert all(len(piece) <= bpe.CACHE_CHARS for piece in coder)
+    seen: list[str] = []
+    coder = bpe.Encoder(own, None)
+    coder.split = lambda text: seen.append(text) or split(text)
+    coder.encode_all(["one, two, three"] * 500 + [None, "two, one,"])
+    assert sum(map(len, seen)) < 50  # not 500 texts
+
+
 @pytest.mark.parametrize("kind", ["float", "double"])
 def test_neighbours(spark, kind):
     rng = np.random.default_rng(1)
