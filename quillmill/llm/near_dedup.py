@@ -79,6 +79,10 @@ HUBS = 512
 #: Members of nodes whose texts are fetched by broadcasting them; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SLICE = 1 << 19
+#: Rows that are worth a task of their own, and rows with texts; the least number of tasks that a step is dealt to.
+TASK_ROWS = 20_000
+TASK_TEXTS = 2_000
+TASKS = 24
 
 _PLACES = TREES * DEPTH
 _RNG = np.random.RandomState(77)
@@ -284,6 +288,11 @@ def _compared(words: int, percent: int):
     return run
 
 
+def _gathered(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """Few rows in few tasks: what Spark deals to many partitions would mostly be tasks that begin and end."""
+    return df.coalesce(max(TASKS, -(-rows // each)))
+
+
 def _with_part(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
     """rows (id, ...) with ``part``, the component known so far."""
     if parts is None:
@@ -291,14 +300,14 @@ def _with_part(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
     return rows.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
 
 
-def _shapes(member: DataFrame) -> DataFrame:
+def _shapes(member: DataFrame, n: int) -> DataFrame:
     """Of each node with several components: what to do with it.
 
-    member: (node, id, units, part).  n and c are the members of the node and of its
+    member: (node, id, units, part), about n rows.  Of a result n and c are the members of the node and of its
     largest component ``big``, more and most their shingles; lead is a member of big.
     """
     each = member.groupBy("node", "part").agg(F.count("*").alias("c"), F.sum("units").alias("u"), F.min("id").alias("lead"))
-    whole = each.groupBy("node").agg(
+    whole = _gathered(each, n).groupBy("node").agg(
         F.sum("c").alias("n"), F.sum("u").alias("units"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max(F.struct("c", "part", "lead", "u")).alias("big")
     ).filter("n > big.c")
     whole = whole.select("node", "n", "units", F.expr("(n * n - squares) div 2").alias("pairs"), F.expr("units - big.u").alias("outside"), "big")
@@ -327,7 +336,7 @@ def _tasks(member: DataFrame, shapes: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("node", "b").alias("block"), "role", "id", "part")
 
 
-def _judged(member: DataFrame, large: DataFrame, signs: DataFrame) -> DataFrame:
+def _judged(member: DataFrame, large: DataFrame, signs: DataFrame, n: int) -> DataFrame:
     """(node, id, units, before, sign, leaves): whether comparing a member of a large node here costs fewer rows than branching on.
 
     A member's average similarity is the mean share, over PROBES minwise functions of the pool, of the node's most
@@ -339,8 +348,8 @@ def _judged(member: DataFrame, large: DataFrame, signs: DataFrame) -> DataFrame:
     rows = rows.withColumn("probe", F.slice("sign", begin, PROBES))
     some = rows.filter(F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("n") / PROBED)) == 0)
     counts = some.select("node", F.posexplode("probe").alias("at", "token")).groupBy("node", "at", "token").agg(F.count("*").alias("c"))
-    modes = counts.groupBy("node", "at").agg(F.max(F.struct("c", "token")).alias("top"), F.sum("c").alias("of"))
-    modes = modes.groupBy("node").agg(
+    modes = _gathered(counts, n).groupBy("node", "at").agg(F.max(F.struct("c", "token")).alias("top"), F.sum("c").alias("of"))
+    modes = _gathered(modes, n).groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct("at", F.col("top.token").alias("token"), (F.col("top.c") / F.col("of")).alias("share")))).alias("modes")
     )
     same = F.zip_with("probe", "modes", lambda x, m: F.when(x == m["token"], m["share"]).otherwise(0.0))
@@ -354,7 +363,7 @@ def _judged(member: DataFrame, large: DataFrame, signs: DataFrame) -> DataFrame:
     return rows.select("node", "id", "units", "before", "sign", (branched > here).alias("leaves"))
 
 
-def _dense_tasks(member: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+def _dense_tasks(member: DataFrame, level: int, n: int) -> tuple[DataFrame, DataFrame]:
     """Of nodes that members leave: (block, role, id, part) to compare now, and the nodes whose rest is compared one level later.
 
     member: (node, id, units, part, before, leaves), where before is the node's pairs one level earlier.
@@ -363,7 +372,7 @@ def _dense_tasks(member: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
         F.count("*").alias("c"), F.sum("units").alias("u"), F.min_by("id", F.xxhash64("id", F.lit(level))).alias("lead"), F.max("before").alias("before"),
         F.count_if("leaves").alias("cl"), F.sum(F.when(F.col("leaves"), F.col("units")).otherwise(0)).alias("ul"),
     )
-    whole = each.groupBy("node").agg(
+    whole = _gathered(each, n).groupBy("node").agg(
         F.sum("c").alias("n"), F.sum("u").alias("units"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max("before").alias("before"),
         F.max(F.struct("c", "part", "lead", "u", "cl", "ul")).alias("big"), F.sum("cl").alias("cl"), F.sum("ul").alias("ul"),
     ).filter("n > big.c").withColumn("pairs", F.expr("(n * n - squares) div 2"))
@@ -438,6 +447,7 @@ def _links(reps: DataFrame, rows: DataFrame, links: DataFrame | None, words: int
         return reps.select(F.explode(F.slice("nodes", a + 1, b - a)).alias("node"), "id", "units")
 
     parts = signs = signed = None
+    docs, members = reps.count(), 0
     again = links is not None
     if again:
         parts = components(links, scratch, "star-")
@@ -445,21 +455,28 @@ def _links(reps: DataFrame, rows: DataFrame, links: DataFrame | None, words: int
     while place is not None or dense is not None:
         shapes = later = large = None
         work = []
+        rows_n = docs * (FIRST if level == 0 else TREES - FIRST if level == 1 else 0) + 2 * members
+        members = 0
         if place is not None:
             if again:  # an id may be in a node with several of its texts
                 place = place.groupBy("node", "id").agg(F.max("units").alias("units"))
             sizes = place.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("who")).filter("n > 1")
-            here = sizes.groupBy("n", "who").agg(F.min("node").alias("node")).select("node")
-            member = scratch.put(_with_part(place.join(here, "node"), parts), f"member{level}")
-            shapes = scratch.put(_shapes(member), f"shapes{level}")
+            here = _gathered(_gathered(sizes, rows_n).groupBy("n", "who").agg(F.min("node").alias("node")).select("node"), rows_n)
+            member = scratch.put(_gathered(_with_part(place.join(here, "node"), parts), rows_n), f"member{level}")
+            members = member.count()
+            shapes = scratch.put(_gathered(_shapes(member, members), members), f"shapes{level}")
             work.append(_tasks(member, shapes))
         if dense is not None:
-            held = scratch.put(_with_part(dense, parts), f"dense{level}")
-            now, later = _dense_tasks(held, level)
+            held = scratch.put(_gathered(_with_part(dense, parts), rows_n), f"dense{level}")
+            held_n = held.count()
+            now, later = _dense_tasks(held, level, held_n)
+            members += held_n
             work.append(now)
-        tasks = scratch.put(work[0] if len(work) == 1 else work[0].union(work[1]), f"tasks{level}")
+        tasks = scratch.put(_gathered(work[0] if len(work) == 1 else work[0].union(work[1]), members), f"tasks{level}")
+        tasks_n = tasks.count()
         placed = rows.join(few(tasks), "id").repartition(parts_n, "block").sortWithinPartitions("block", "role", "id")
-        found = scratch.put(placed.mapInPandas(tidy(_compared(words, percent)), "a long, b long").distinct(), f"links{level}")
+        compared = _gathered(placed, tasks_n, TASK_TEXTS).mapInPandas(tidy(_compared(words, percent)), "a long, b long")
+        found = scratch.put(_gathered(compared.distinct(), tasks_n), f"links{level}")
         done_with(level - 1)
         place, dense = None, later if later is not None and later.limit(1).count() else None
         if shapes is not None:
@@ -468,12 +485,12 @@ def _links(reps: DataFrame, rows: DataFrame, links: DataFrame | None, words: int
             wide = member.join(large, "node", "left_semi").select("id").distinct()
             if signed is not None:
                 wide = wide.join(signed, "id", "left_anti")
-            wide = scratch.put(wide, f"wide{level}")
+            wide = scratch.put(_gathered(wide, members), f"wide{level}")
             if wide.limit(1).count():
                 own = rows.join(few(wide), "id", "left_semi").mapInPandas(tidy(_signs(words)), "id long, sign array<int>")
                 own = scratch.put(own, f"signs{level}")
                 signs, signed = (own, wide) if signs is None else (signs.union(own), signed.union(wide))
-            judged = scratch.put(_judged(member, large, signs), f"judged{level}")
+            judged = scratch.put(_gathered(_judged(member, large, signs, members), members), f"judged{level}")
             place = _children(judged.filter(~F.col("leaves")))
             left = judged.filter("leaves").select("node").distinct()
             if left.limit(1).count():
@@ -503,12 +520,14 @@ def near_duplicates(
     text_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     profile = scratch.put(rows.mapInPandas(tidy(_profile(words)), "id long, n long, s1 long, s2 long, nodes array<long>"), "profile")
+    n = profile.count()
     known = profile.filter("id IS NOT NULL AND n > 0")
     classes = known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
-    members = scratch.put(profile.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "members")
+    members = profile.select("id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"))
+    members = scratch.put(_gathered(members, n), "members")
     # The texts of an id are one document: its classes belong together.
     several = members.filter("id IS NOT NULL AND n > 0").groupBy("id").count().filter("count > 1").select("id")
-    several = scratch.put(members.join(several, "id", "left_semi").select("id", "rep").distinct(), "several")
+    several = scratch.put(_gathered(members.join(several, "id", "left_semi").select("id", "rep").distinct(), n), "several")
     own = rows.filter("id IS NOT NULL AND text IS NOT NULL")
     reps = known.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi")
     reps = reps.select("id", F.col("n").alias("units"), "nodes")
@@ -516,7 +535,7 @@ def near_duplicates(
     if again:
         own, reps = own.dropDuplicates(["id", "text"]), reps.dropDuplicates(["id", "nodes"])
     known_links = several.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")) if again else None
-    reps = scratch.put(reps, "reps")
+    reps = scratch.put(_gathered(reps, n), "reps")
     scratch.drop("profile")
     found = _links(reps, own, known_links, words, percent, scratch)
     scratch.drop("reps")

@@ -113,6 +113,30 @@ def test_leaving_a_node_changes_nothing(docs, texts, spark, monkeypatch, limits,
     assert {r[0]: r[2] for r in found(again)} == {r[0]: r[2] for r in near_dedup.brute_force(template)}
 
 
+def test_few_rows_are_not_dealt_to_many_tasks(spark, docs, texts, monkeypatch):
+    """With many shuffle partitions each table of a run is written by few tasks, with the same result."""
+    files = {}
+
+    class Counted(Scratch):
+        def put(self, df, name):
+            out = super().put(df, name)
+            files[name] = len(out.inputFiles())
+            return out
+
+    monkeypatch.setattr(near_dedup, "Scratch", Counted)
+    monkeypatch.setattr(near_dedup, "TASKS", 3)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        assert found(docs) == sorted(near_dedup.brute_force(texts), key=repr)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "links1" in files and max(files.values()) <= 3
+
+
 def test_empty_table(empty):
     assert near_dedup.near_duplicates(empty).collect() == []
 
