@@ -18,12 +18,30 @@ from quillmill.functions.text import NET_TOTAL, TOTAL, spelt
 
 ANY_SPACE = r"[\s\v]"  # \s of Java; that of Arrow's patterns lacks one
 _NUMBER = rf"^{ANY_SPACE}*(?P<n>[+\-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+\-]?[0-9]+)?)"
+LABEL = r"(?i)^No\.?\z|^T0\z"
+#: A registration number, of 13 to 17 characters.
+SHAPE = spelt("[0-9][0-9][A-Z]" + "[A-Z0-9]" * 10 + "[A-Z0-9]?" * 4, exact=True)
+ZONES = ("bill_no", "customer", "totals", "table")
 #: Pages that are worked on at once.
 PIECE = 1000
 
 
-def _has(text: pa.Array, pattern: str) -> np.ndarray:
-    return pc.match_substring_regex(text, re.sub(r"(?<!\[)\\s", lambda m: ANY_SPACE, pattern)).to_numpy(zero_copy_only=False)
+def _plain(mask: pa.Array) -> np.ndarray:
+    return mask.to_numpy(zero_copy_only=False)
+
+
+def _has(text: pa.Array, pattern: str, may: np.ndarray | None = None) -> np.ndarray:
+    """Texts that fulfil the pattern; it is matched only where it ``may`` be."""
+    if may is not None:
+        out = may.copy()
+        out[may] = _has(text.filter(pa.array(may)), pattern)
+        return out
+    return _plain(pc.match_substring_regex(text, re.sub(r"(?<!\[)\\s", lambda m: ANY_SPACE, pattern)))
+
+
+def _begins(text: pa.Array, letter: str) -> np.ndarray:
+    """Texts that begin with the letter, in either case."""
+    return _plain(pc.or_(pc.starts_with(text, letter), pc.starts_with(text, letter.lower())))
 
 
 class Page:
@@ -185,12 +203,16 @@ def items_by_column(p: Page) -> tuple[np.ndarray, list[pa.Array]]:
     return rows.bill[good], [pa.array(rows.ix[good], pa.int32()), *names, *[pa.array(v[ok]) for v in value]]
 
 
-def sums(p: Page) -> tuple[np.ndarray, list[pa.Array]]:
-    """Pages with decimals between total and net total, and their subtotal, cgst, sgst and net_total by size."""
-    total, net = p.first(_has(p.text, TOTAL)), p.first(_has(p.text, NET_TOTAL), last=True)
+def _between(p: Page, total: np.ndarray, net: np.ndarray) -> np.ndarray:
+    """Words between a page's total and net total (or 600 below the total); none without a total."""
     top = _of(p.y0, total, np.nan)
     band = np.where(net >= 0, _of(p.y0, net, 0.0) + 80, top + 600) + 5
-    at = np.flatnonzero((p.y0 >= (top - 5)[p.bill]) & (p.y1 <= band[p.bill]) & pc.match_substring(p.text, ".").to_numpy(zero_copy_only=False))
+    return (p.y0 >= (top - 5)[p.bill]) & (p.y1 <= band[p.bill])
+
+
+def sums(p: Page) -> tuple[np.ndarray, list[pa.Array]]:
+    """Pages with decimals between total and net total, and their subtotal, cgst, sgst and net_total by size."""
+    at = np.flatnonzero(_between(p, p.first(_has(p.text, TOTAL)), p.first(_has(p.text, NET_TOTAL), last=True)) & pc.match_substring(p.text, ".").to_numpy(zero_copy_only=False))
     v = parsed(p.text.take(pa.array(at)))
     some = (v < 1e7) & (v >= 0)
     v, b = v[some], p.bill[at[some]]
@@ -229,19 +251,24 @@ def customers(p: Page) -> tuple[np.ndarray, list[pa.Array]]:
     return np.array(out[0], np.int64), [pa.array(c, pa.string()) for c in out[1:]]
 
 
-def bill_numbers(p: Page) -> tuple[np.ndarray, list[pa.Array]]:
-    """Pages with words in their top 28 %, and what stands right of a "No" there, else the first number there, else null."""
+def _top(p: Page) -> np.ndarray:
+    """Words that begin in the top 28 % of their page (lowest word and 50)."""
     low = np.full(p.n, -np.inf)
     some = np.flatnonzero(np.diff(p.off))
     if len(some):
         low[some] = np.maximum.reduceat(p.y1, p.off[some])
-    top = p.y0 < ((low + 50) * 28 / 100)[p.bill]
+    return p.y0 < ((low + 50) * 28 / 100)[p.bill]
+
+
+def bill_numbers(p: Page) -> tuple[np.ndarray, list[pa.Array]]:
+    """Pages with words in their top 28 %, and what stands right of a "No" there, else the first number there, else null."""
+    top = _top(p)
     at = _ordered(np.flatnonzero(top), p.bill, p.ix)
     begin = np.searchsorted(p.bill[at], np.arange(p.n + 1))
     lone = p.first(top & _has(p.text, r"^[0-9]{1,6}\z"))
     number = _taken(p.text, lone, lone >= 0).to_pylist()
     tolerance, labelled = p.tolerance(10.0), set()
-    for label in at[_has(p.text.take(pa.array(at)), r"(?i)^No\.?\z|^T0\z")]:
+    for label in at[_has(p.text.take(pa.array(at)), LABEL)]:
         i = p.bill[label]
         own = at[begin[i] : begin[i + 1]]
         line = own[np.abs(p.mid_y[own] - p.mid_y[label]) < tolerance[i]]
@@ -269,6 +296,50 @@ def word_rows(p: Page) -> tuple[np.ndarray, list[pa.Array]]:
     return rows.bill[rows.row], [pa.array(p.ix[rows.at]), pa.array(rows.ix[rows.row])]
 
 
+def _labels(p: Page) -> np.ndarray:
+    """Of pages that have one, the first "No" in the top 28 % that is not on a line of a registration number, and the word next to its right."""
+    top = _top(p)
+    at = _ordered(np.flatnonzero(top), p.bill, p.ix)
+    begin = np.searchsorted(p.bill[at], np.arange(p.n + 1))
+    text = p.text.take(pa.array(at))
+    todo = at[_has(text, LABEL, _plain(pc.less_equal(pc.binary_length(text), 3)))]
+    tolerance, found = p.tolerance(10.0), [np.zeros(0, np.int64)]
+    while len(todo):  # the first label of each page, then the next one of pages whose first has none, and so on
+        page = p.bill[todo]
+        lead = np.append(True, page[1:] != page[:-1])
+        label, page = todo[lead], page[lead]
+        size = begin[page + 1] - begin[page]
+        of = np.repeat(np.arange(len(label)), size)
+        word = at[np.arange(len(of)) + np.repeat(begin[page] - np.cumsum(size) + size, size)]
+        line = np.abs(p.mid_y[word] - p.mid_y[label][of]) < tolerance[page][of]
+        of, word = of[line], word[line]
+        end = np.searchsorted(of, np.arange(len(label) + 1))
+        gst = _has(_joined(p.text, word, end[:-1], end[1:], " "), r"[Gg][Ss][Tt]\s*[Nn][Oo]")
+        right = (p.mid_x[word] > p.mid_x[label][of]) & ~gst[of]
+        of, word = of[right], word[right]
+        near = np.lexsort([p.ix[word], p.mid_x[word], of])
+        own, first = np.unique(of[near], return_index=True)
+        found.append(np.stack([label[own], word[near[first]]], 1).ravel())
+        todo = todo[~lead]
+        todo = todo[~np.isin(p.bill[todo], page[own])]
+    return np.concatenate(found)
+
+
+def zones(p: Page) -> tuple[np.ndarray, list[pa.Array]]:
+    """Pages, zones, rows and boxes of the words that the functions above look at."""
+    total, net = p.first(_has(p.text, TOTAL, _begins(p.text, "T"))), p.first(_has(p.text, NET_TOTAL, _begins(p.text, "N")), last=True)
+    number = p.first(_has(p.text, SHAPE, _plain(pc.greater_equal(pc.binary_length(p.text), 13))))
+    bare = pc.replace_substring_regex(_taken(p.text, number, number >= 0), ANY_SPACE, "")
+    whole = pc.fill_null(pc.equal(pc.utf8_length(bare), 15), False).to_numpy(zero_copy_only=False)
+    customer = p.mid_y < (np.where(whole, _of(p.mid_y, number, np.nan), np.nan) - 5)[p.bill]
+    rows = Rows(p, p.mid_y < _of(p.y0, total, 1e9)[p.bill] - 20, p.tolerance(15.0))
+    words = [_labels(p), np.flatnonzero(customer), np.flatnonzero(_between(p, total, net)), rows.at]
+    at, size = np.concatenate(words), [len(w) for w in words]
+    row = np.append(np.zeros(len(at) - len(rows.at), np.int64), rows.ix[rows.row])
+    zone = pa.array(ZONES).take(pa.array(np.repeat(np.arange(4), size)))
+    return p.bill[at], [zone, pa.array(row, mask=np.arange(len(at)) < len(at) - len(rows.at)), *[pa.array(c[at]) for c in (p.x0, p.y0, p.x1, p.y1)]]
+
+
 ITEMS = ("row_ix", "sl_no", "dc", "date", "gg", "fabric", "counts", "mill", "dia", "weight", "rate", "amount")
 
 

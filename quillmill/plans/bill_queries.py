@@ -403,14 +403,14 @@ lb AS (SELECT bill_id, word_ix label, beside FROM (SELECT *, lead(word_ix) OVER
     "UNION ALL SELECT -1 - bill_id, 'table', 0, k * 50.0, 0.0, k * 50.0 + 30, 12.0 FROM b, (VALUES (0), (1)) v(k)",
 )
 def _(spark, d):
-    words = R.bills_words(spark, d)
+    words = R.bills_pages(spark, d)
     # Further pages whose number has a label of its own: "No." and the number, above a low total.
-    page = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("word_ix"), F.lit(t).alias("text"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 30.0).alias("x1"), F.lit(y + 12.0).alias("y1"))
+    page = F.array(*[
+        F.struct(F.lit(i).alias("word_ix"), F.lit(t).alias("text"), F.lit(None).alias("confidence"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 30.0).alias("x1"), F.lit(y + 12.0).alias("y1"))
         for i, (t, x, y) in enumerate((("No.", 0.0, 0.0), ("1234", 50.0, 0.0), ("foot", 0.0, 600.0), ("TOTAL", 0.0, 300.0)))
-    ]))
-    more = words.select((-1 - F.col("bill_id")).alias("bill_id")).distinct().select("bill_id", page.alias("w")).select("bill_id", "w.*")
-    both = words.select("bill_id", "word_ix", "text", "x0", "y0", "x1", "y1").unionByName(more)
+    ])
+    more = F.struct((-1 - F.col("bill_id")).alias("bill_id"), page.cast(words.schema["words"].dataType).alias("words"))
+    both = words.select(F.inline(F.array(F.struct("bill_id", "words"), more)))
     found = spatial.zones(spatial.normalize_words(both))
     return found.filter((F.col("bill_id") >= 0) | F.col("zone").isin("bill_no", "table"))
 

@@ -1,6 +1,8 @@
 """Words of whole pages in Arrow batches, and what the text parser evaluates."""
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +44,66 @@ def test_empty_pages_and_words_without_text(spark):
     assert [tuple(r) for r in spatial.word_rows(df).collect()] == [(2, 0, 0)]
 
 
+def _zones(words):
+    """zones of one page by its plain rule; words are (word_ix, text, x0, y0, x1, y1)."""
+    space = " \t\n\x0b\f\r"
+    words = sorted((i, (t or "").strip(space), *[v or 0.0 for v in at]) for i, t, *at in words)
+    text, box, y = [w[1] for w in words], [w[2:] for w in words], [(w[3] + w[5]) / 2 for w in words]
+    x, every = [(w[2] + w[4]) / 2 for w in words], range(len(words))
+    high = [b[3] - b[1] for b in box if b[3] > b[1]]
+    mean = math.floor((sum(high) / len(high) if high else 15.0) * 0.8 + 0.5)
+    bare = [re.sub(f"[{space}]", "", t) for t in text]
+    out = []
+    top = [i for i in every if box[i][1] < (max(b[3] for b in box) + 50) * 28 / 100]
+    for i in top:
+        line = [o for o in top if abs(y[o] - y[i]) < max(mean, 10)]
+        right = sorted((x[o], words[o][0], o) for o in line if x[o] > x[i])
+        if text[i].lower() in ("no", "no.", "t0") and right and not re.search(r"(?i)GST\s*No", " ".join(text[o] for o in line), re.ASCII):
+            out += [("bill_no", None, box[i]), ("bill_no", None, box[right[0][2]])]
+            break
+    number = [i for i in every if re.fullmatch("[0-9]{2}[A-Z][A-Z0-9]{10,14}", bare[i])][:1]
+    out += [("customer", None, box[i]) for n in number for i in every if len(bare[n]) == 15 and y[i] < y[n] - 5]
+    total = next((box[i][1] for i in every if re.fullmatch("T[O0D]?TAL|TOIAL", bare[i].upper())), None)
+    net = [box[i][1] for i in every if re.fullmatch("NETT[O0D]?TAL", bare[i].upper())]
+    if total is not None:
+        end = (net[-1] + 80 if net else total + 600) + 5
+        out += [("totals", None, b) for b in box if b[1] >= total - 5 and b[3] <= end]
+    row, last = 0, None
+    for i in sorted((i for i in every if y[i] < (1e9 if total is None else total) - 20), key=lambda i: (y[i], x[i], words[i][0])):
+        row += last is not None and abs(y[i] - last) > max(mean, 15)
+        last = y[i]
+        out.append(("table", row, box[i]))
+    return out
+
+
+ODD = ["No", "no.", "N0", "NO.", "T0", "t0 ", "No:", "GST", "gst", "GST No", "G\u017fT", "TOTAL", "t o t a l", "T\x0bTAL", "TOTALS", "toıal", "NETTOTAL", "Net T0tal", "NET",
+       "33ABCDE1234F1Z5", " 33ABCDE 1234F1Z5", "33ABCDE1234F1", "33ABCDE1234F1Z567", "33ABCDE1234F1Z5678", "33abcde1234f1z5", "1234", "12.50", "foot", "", " ", None]
+
+
+def test_zones_of_odd_pages_are_those_of_the_plain_rule(spark):
+    own, pages = random.Random(5), []
+    for n in range(400):
+        words, spread, kinds = [], own.choice((100, 400, 2000)), own.sample(ODD, own.randint(2, len(ODD)))
+        for i in range(own.randint(0, 30)):
+            x, y = (float(own.randrange(0, most, 10)) for most in (300, spread))
+            words.append((i, own.choice(kinds), x, y, x + own.choice((0.0, 20.0, 30.0)), y + own.choice((-5.0, 0.0, 12.0, 12.0, 40.0)) if own.random() < 0.95 else None))
+        own.shuffle(words)
+        pages.append((n, words))
+    df = spark.createDataFrame(pages, "bill_id long, words array<struct<word_ix:int,text:string,x0:double,y0:double,x1:double,y1:double>>")
+    want = sorted(((n, zone, row, *box) for n, words in pages for zone, row, box in _zones(words)), key=repr)
+    assert {w[1] for w in want} == {"bill_no", "customer", "totals", "table"}
+    assert sorted(map(tuple, spatial.zones(df).collect()), key=repr) == want
+    rows = spatial.normalize_words(df.select("bill_id", F.inline("words")).repartition(3))
+    assert sorted(map(tuple, spatial.zones(rows).collect()), key=repr) == want
+
+
+def test_zones_read_each_bill_once(spark, sf_dir):
+    from quillmill.plans.bill_queries import QUERIES
+
+    plan = _plan(QUERIES["spatial_zones"](spark, sf_dir))
+    assert plan.count("Generate") == 1 and plan.count("Aggregate") == 1 and plan.count("Window") == 1  # the further pages, the lines, their numbers
+
+
 def test_numbers_of_a_page_are_those_of_the_column_function(spark):
     import pyarrow as pa
 
