@@ -8,6 +8,7 @@ grouped beyond it.  The functions here take a batch and give back columns.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +61,17 @@ class Page:
         self.ix = of["word_ix"].to_numpy(zero_copy_only=False)
         self.mid_x, self.mid_y = (self.x0 + self.x1) / 2, (self.y0 + self.y1) / 2
 
+    @cached_property
+    def height(self) -> np.ndarray:
+        """The mean height of each page's words."""
+        high = self.y1 > self.y0
+        n = np.bincount(self.bill, high, self.n)
+        total = np.bincount(self.bill, np.where(high, self.y1 - self.y0, 0.0), self.n)
+        return np.where(n > 0, total / np.maximum(n, 1), 15.0)
+
     def tolerance(self, least: float) -> np.ndarray:
         """0.8 of the mean height of each page's words, at least ``least``."""
-        high = self.y1 > self.y0
-        n = np.bincount(self.bill[high], minlength=self.n)
-        total = np.bincount(self.bill[high], (self.y1 - self.y0)[high], self.n)
-        mean = np.where(n > 0, total / np.maximum(n, 1), 15.0)
-        return np.maximum(least, np.floor(mean * 0.8 + 0.5))
+        return np.maximum(least, np.floor(self.height * 0.8 + 0.5))
 
     def first(self, where: np.ndarray, last: bool = False) -> np.ndarray:
         """Of each page the first (or last) word that fulfils ``where``; -1 without."""

@@ -7,8 +7,11 @@ the text itself, the text is rendered in SQL too.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -393,6 +396,19 @@ lb AS (SELECT bill_id, word_ix label, beside FROM (SELECT *, lead(word_ix) OVER
   QUALIFY row_number() OVER (PARTITION BY bill_id ORDER BY word_ix) = 1)"""
 
 
+def _and_further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of bills, and for each a further one whose number has a label of its own: "No." and the number, above a low total."""
+    words = (("No.", 0.0, 0.0), ("1234", 50.0, 0.0), ("foot", 0.0, 600.0), ("TOTAL", 0.0, 300.0))
+    for own in R.in_pages(batches):
+        yield own
+        kind = own.schema.field("words").type.value_type
+        page = pa.array([{"word_ix": i, "text": t, "x0": x, "y0": y, "x1": x + 30, "y1": y + 12} for i, (t, x, y) in enumerate(words)], kind)
+        at = np.arange(own.num_rows * len(words)) % len(words)
+        off = np.arange(own.num_rows + 1) * len(words)
+        ids = pc.subtract(pa.scalar(-1, own.column(0).type), own.column(0))
+        yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(off, pa.int32()), page.take(pa.array(at)))], own.schema.names)
+
+
 @query(
     "spatial_zones",
     f"WITH {_ZONES} SELECT bill_id, 'customer' AS zone, NULL::bigint row_ix, x0, y0, x1, y1 FROM ws JOIN an USING (bill_id) WHERE y0 + 6 < g - 5 "
@@ -403,15 +419,7 @@ lb AS (SELECT bill_id, word_ix label, beside FROM (SELECT *, lead(word_ix) OVER
     "UNION ALL SELECT -1 - bill_id, 'table', 0, k * 50.0, 0.0, k * 50.0 + 30, 12.0 FROM b, (VALUES (0), (1)) v(k)",
 )
 def _(spark, d):
-    words = R.bills_pages(spark, d)
-    # Further pages whose number has a label of its own: "No." and the number, above a low total.
-    page = F.array(*[
-        F.struct(F.lit(i).alias("word_ix"), F.lit(t).alias("text"), F.lit(None).alias("confidence"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 30.0).alias("x1"), F.lit(y + 12.0).alias("y1"))
-        for i, (t, x, y) in enumerate((("No.", 0.0, 0.0), ("1234", 50.0, 0.0), ("foot", 0.0, 600.0), ("TOTAL", 0.0, 300.0)))
-    ])
-    more = F.struct((-1 - F.col("bill_id")).alias("bill_id"), page.cast(words.schema["words"].dataType).alias("words"))
-    both = words.select(F.inline(F.array(F.struct("bill_id", "words"), more)))
-    found = spatial.zones(spatial.normalize_words(both))
+    found = spatial.zones(R.bills_text(spark, d, one_word_net=True), _and_further)
     return found.filter((F.col("bill_id") >= 0) | F.col("zone").isin("bill_no", "table"))
 
 
