@@ -339,10 +339,10 @@ def zones(p: Page) -> tuple[np.ndarray, list[pa.Array]]:
     customer = p.mid_y < (np.where(whole, _of(p.mid_y, number, np.nan), np.nan) - 5)[p.bill]
     rows = Rows(p, p.mid_y < _of(p.y0, total, 1e9)[p.bill] - 20, p.tolerance(15.0))
     words = [_labels(p), np.flatnonzero(customer), np.flatnonzero(_between(p, total, net)), rows.at]
-    at, size = np.concatenate(words), [len(w) for w in words]
-    row = np.append(np.zeros(len(at) - len(rows.at), np.int64), rows.ix[rows.row])
-    zone = pa.array(ZONES).take(pa.array(np.repeat(np.arange(4), size)))
-    return p.bill[at], [zone, pa.array(row, mask=np.arange(len(at)) < len(at) - len(rows.at)), *[pa.array(c[at]) for c in (p.x0, p.y0, p.x1, p.y1)]]
+    at = np.concatenate(words)
+    zone = pa.concat_arrays([pa.repeat(name, len(w)) for name, w in zip(ZONES, words)])
+    row = pa.concat_arrays([pa.nulls(len(at) - len(rows.at), pa.int64()), pa.array(rows.ix[rows.row])])
+    return p.bill[at], [zone, row, *[pa.array(c[at]) for c in (p.x0, p.y0, p.x1, p.y1)]]
 
 
 ITEMS = ("row_ix", "sl_no", "dc", "date", "gg", "fabric", "counts", "mill", "dia", "weight", "rate", "amount")
